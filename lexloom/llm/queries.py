@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import op1_token_counts, op2_chat_format, op9_bpe_codec, op10_telephony
+from lexloom.llm import op1_token_counts, op2_chat_format, op5_jaccard_join, op9_bpe_codec, op10_telephony
 from lexloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op5_jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -32,6 +36,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts_query,
         "op2_chat_format": op2_chat_format_query,
+        "op5_jaccard_join": op5_jaccard_join_query,
         "op9_bpe_codec": op9_bpe_codec_query,
         "op10_telephony": op10_telephony_query,
     }
