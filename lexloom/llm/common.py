@@ -9,8 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-#: Texts are handed to numpy in blocks of about this many UTF-8 bytes.
-BLOCK_BYTES = 4 << 20
+#: Texts are handed to numpy in blocks of about this many characters.
+BLOCK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

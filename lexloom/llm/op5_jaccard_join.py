@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import blocks, staged
 from lexloom.llm.components import components
-from lexloom.llm.wordhash import mix, shingles, words
+from lexloom.llm.wordhash import distinct, mix, shingles, words
 
 WIDTH_WORDS = 5
 BAND = 4.0
@@ -47,7 +47,7 @@ SAMPLE_DOCS, MAX_FREQUENT = 20_000, 100_000
 def sets(texts: list[str], width: int = WIDTH_WORDS):
     """Shingle sets of whole texts, in order."""
     for lo, hi in blocks(texts):
-        hashes, counts, *_ = words(texts[lo:hi])
+        hashes, counts = words(texts[lo:hi])
         for part in np.split(hashes, np.cumsum(counts)[:-1]):
             yield shingles(part, width)
 
@@ -102,7 +102,7 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75, width: in
             out.append(key[cells[:, subset].any(axis=1)])
         if len(good) < need:
             out.append(mix(s, 7))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def _arrow(docs: DataFrame, schema: str, make, columns=("doc_id", "text")) -> DataFrame:

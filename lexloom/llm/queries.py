@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.llm import op1_token_counts, op2_chat_format, op5_jaccard_join, op9_bpe_codec, op10_telephony
+import corpus_pipeline
+from lexloom.llm import (
+    op1_token_counts,
+    op2_chat_format,
+    op3_language_id,
+    op4_lm_score,
+    op5_jaccard_join,
+    op6_quality,
+    op7_pii,
+    op8_decontaminate,
+    op9_bpe_codec,
+    op10_telephony,
+)
 from lexloom.llm.common import table
 
 
@@ -20,10 +32,30 @@ def op2_chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op3_language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_language_id.identify(table(spark, sf_dir, "documents"))
+
+
+def op4_lm_score_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_jaccard_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_pii_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_pii.spans(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_bpe_codec_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_bpe_codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -36,11 +68,18 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts_query,
         "op2_chat_format": op2_chat_format_query,
+        "op3_language_id": op3_language_id_query,
+        "op4_lm_score": op4_lm_score_query,
         "op5_jaccard_join": op5_jaccard_join_query,
+        "op6_quality": op6_quality_query,
+        "op7_pii": op7_pii_query,
+        "op8_decontaminate": op8_decontaminate_query,
         "op9_bpe_codec": op9_bpe_codec_query,
         "op10_telephony": op10_telephony_query,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: no result of these operators is expressible in SQL; tests compare with brute force and libraries."""
     return {}

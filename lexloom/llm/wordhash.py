@@ -24,6 +24,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting (which is several times faster here than hashing)."""
+    x = np.sort(x)
+    return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
+
+
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
@@ -35,22 +41,30 @@ def _power(base: int, n: int) -> np.ndarray:
     return held[:n]
 
 
-def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Hash of every word, words of each text, start and end byte of every word in the joined lower-case bytes."""
-    encoded = [t.encode().lower() for t in texts]
-    joined = b"\n".join(encoded) + b"\n"
-    data = np.frombuffer(joined, np.uint8)
-    inside = ~_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False])).view(np.int8)))
+def _runs(encoded: list[bytes], inside: np.ndarray, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """Hash of every run of ``inside`` bytes, runs of each text, size of every run, and hashes of the runs' heads."""
+    data = np.frombuffer(b"\n".join(encoded) + b"\n", np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], inside[data], [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
-    hashes = np.empty(len(start), np.uint64)
-    # running sums in pieces of a fixed size keep the tables of powers small; a word may cross pieces
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _power(_R, len(data)), out=total[1:])
     hashes = mix((total[end] - total[start]) * _power(_R_INVERSE, len(data) + 1)[start])
     ends = np.cumsum(np.fromiter((len(e) + 1 for e in encoded), np.int64, len(encoded)))
-    upto = np.searchsorted(start, ends, "left")
-    return hashes, np.diff(upto, prepend=0), start, end, joined
+    first = [mix((total[np.minimum(start + n, end)] - total[start]) * _power(_R_INVERSE, len(data) + 1)[start], n) for n in heads]
+    return hashes, np.diff(np.searchsorted(start, ends, "left"), prepend=0), end - start, *first
+
+
+def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts, and words of each text."""
+    return _runs([t.encode().lower() for t in texts], ~_SPACE)[:2]
+
+
+def runs(texts: list[str], inside: np.ndarray, lower: bool, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """As :func:`words` for runs of other bytes, with sizes and hashes of the first ``heads`` bytes of each run.
+
+    ``inside`` must leave out the line feed.
+    """
+    return _runs([t.lower().encode() if lower else t.encode() for t in texts], inside, heads)
 
 
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -62,4 +76,4 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     out = np.zeros(n - size + 1, np.uint64)
     for k in range(size):
         out = mix(out, size) + hashes[k : n - size + 1 + k]
-    return np.unique(mix(out, size))
+    return distinct(mix(out, size))
