@@ -12,9 +12,12 @@ shingle by itself as well; two such sets meet there.
 Shingles that a bounded sample of documents shows to be frequent have partitions of their own at the end
 of the order.  That keeps a shared passage from making signatures and has no influence on the result.
 
-Sets that share a signature are compared exactly, first with the smallest of the group (a star), then, where a
-group still spans several components, with the members of the other components.  Every pair that shares a
-signature is thus compared or already connected.  Equal sets are one node throughout; nodes are 64-bit digests
+Pairs that share a signature are first tried on parity sketches: of about two bits a shingle, bit ``i`` is the
+parity of the shingles that fall there, so two sketches never differ in more bits than the sets in elements, and
+a pair beyond the budget is no link.  The others are compared exactly, first with the smallest of the group (a star), then, where a
+group still spans several components, with the members of the other components: small groups as pairs, larger ones
+in blocks of about ``BLOCK`` members, which compare sketches in memory and hand on only the likely pairs.  Every pair
+that shares a signature is thus compared or already connected.  Equal sets are one node throughout; nodes are 64-bit digests
 of the whole set.
 
 Defined cases: null, empty and blank texts have 0 shingles and are their own component; fewer than five words
@@ -42,6 +45,8 @@ BAND = 4.0
 LOAD = 2.2
 #: Documents sampled to find frequent shingles (about), and the most such shingles that are kept.
 SAMPLE_DOCS, MAX_FREQUENT = 20_000, 100_000
+#: Members of a group that are compared as rows of pairs, and members of a block of a larger group.
+FEW, BLOCK = 8, 512
 
 
 def sets(texts: list[str], width: int = WIDTH_WORDS):
@@ -56,6 +61,22 @@ def node_of(shingle_set: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(shingle_set.tobytes()) - (1 << 63)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the elements by hash cell; a power of two of cells, at least 64, twice the elements or more."""
+    cells = 1 << max(6, int(2 * len(s) - 1).bit_length())
+    count = np.bincount((mix(s, 5) & np.uint64(cells - 1)).astype(np.int64), minlength=cells)
+    return np.packbits(count & 1).tobytes()
+
+
+def beyond(a: np.ndarray, b: np.ndarray, budget: int) -> bool:
+    """Whether two sketches show that the sets differ in more than ``budget`` elements."""
+    while len(a) > len(b):  # cells modulo a smaller power of two: halves add up
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum()) > budget
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -137,7 +158,8 @@ def _fresh(found: list[np.ndarray], state: dict) -> list[tuple[int, np.ndarray]]
 
 def _measure(rows, found, state):
     nodes = [node_of(s) if len(s) else None for s in found]
-    return [pa.array(rows[0], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64())]
+    made = [sketch(s) if len(s) else None for s in found]
+    return [pa.array(rows[0], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())]
 
 
 def _frequent(docs: DataFrame, total: int) -> np.ndarray:
@@ -154,25 +176,95 @@ def _frequent(docs: DataFrame, total: int) -> np.ndarray:
     return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _verify(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough, by exact comparison."""
+def _both(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
+    """``pairs`` with the columns of ``of_node`` for a (1) and for b (2)."""
+    names = [c for c in of_node.columns if c != "node"]
+    for side, k in (("a", 1), ("b", 2)):
+        pairs = pairs.join(of_node.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{k}") for c in names)), side)
+    return pairs
 
-    def compare(batches):
+
+def _buffers(batch, *names):
+    return zip(*([x.as_buffer() for x in batch.column(n)] for n in names))
+
+
+def _verify(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` that their sketches do not rule out."""
+
+    def likely(batches):
         for batch in batches:
+            sizes = zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist())
             keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                keep.append(linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent))
+            for (n1, n2), (x, y) in zip(sizes, _buffers(batch, "sketch1", "sketch2")):
+                near = 100 * min(n1, n2) >= percent * max(n1, n2)
+                keep.append(near and not beyond(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), (n1 + n2) * (100 - percent) // (100 + percent)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _both(pairs, sketches).mapInArrow(likely, "a long, b long")
+
+
+def _exact(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) of ``pairs`` whose sets are similar enough, by comparison of the sets."""
+
+    def compare(batches):
+        for batch in batches:
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in _buffers(batch, "shingles1", "shingles2")]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = held.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
-    right = held.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(compare, "a long, b long")
+    left = staged(pairs, "jaccard-likely")
+    held = _held(docs, left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
+    return staged(_both(left, held).mapInArrow(compare, "a long, b long"), "jaccard-links")
+
+
+def _block_pairs(percent: int):
+    """Likely pairs between two blocks of a group (or within one), by sketches and components."""
+
+    def run(group: pa.Table) -> pa.Table:
+        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
+        block, node, root, n = (group[c].to_numpy() for c in ("block", "node", "root", "n"))
+        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["sketch"]]
+        size = np.array([len(x) for x in raw])
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for cells in np.unique(size):  # the smaller sketch of a pair; the other one is folded to it
+            short, other = np.flatnonzero(size == cells), np.flatnonzero(size >= cells)
+            folded = np.stack([np.bitwise_xor.reduce(raw[i].reshape(-1, cells), axis=0) for i in other])
+            mine = np.stack([raw[i] for i in short])
+            step = max(1, (8 << 20) // (len(other) * int(cells)))
+            for k in range(0, len(short), step):
+                x = short[k : k + step]
+                apart = np.bitwise_count(mine[k : k + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
+                total = n[x][:, None] + n[other][None, :]
+                ok = (apart * (100 + percent) <= total * (100 - percent)) & (root[x][:, None] != root[other][None, :])
+                if lo != hi:
+                    ok &= block[x][:, None] != block[other][None, :]
+                i, j = np.nonzero(ok)
+                out.append((node[x[i]], node[other[j]]))
+        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return run
+
+
+def _cross(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Likely (a, b) of different components within groups of ``rest``."""
+    sizes = rest.groupBy("sig").agg(F.count("*").alias("members"))
+    sized = rest.join(sizes, "sig")
+    few = sized.filter(F.col("members") <= FEW)
+    other = few.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = few.select("sig", F.col("node").alias("a"), "root").join(other, "sig").filter("a < b and root <> rb").select("a", "b").distinct()
+    blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
+    many = sized.filter(F.col("members") > FEW).join(sketches, "node").withColumn("blocks", blocks_)
+    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("sig", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "sketch")
+    found = dealt.groupBy("sig", "lo", "hi").applyInArrow(_block_pairs(percent), "a long, b long")
+    return _verify(pairs, sketches, percent).unionByName(found).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs``."""
     spark = docs.sparkSession
-    base = staged(_arrow(docs, "doc_id long, n_shingles long, node long", _measure), "jaccard-base")
+    base = staged(_arrow(docs, "doc_id long, n_shingles long, node long, sketch binary", _measure), "jaccard-base")
     frequent = spark.sparkContext.broadcast(_frequent(docs, base.count()))
 
     def emit(rows, found, state):
@@ -185,19 +277,17 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # (sig, node) rows of groups with more than one node; one shuffle, grouped and ranked by sig
     spread = emitted.repartition("sig").sortWithinPartitions("sig", "node")
     shared = staged(spread.mapInArrow(_groups, "sig long, node long, hub long"), "jaccard-shared")
-    candidates = shared.select("node").distinct()
-    held = _held(docs, candidates)
-    stars = _verify(shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), held, percent)
-    links = staged(stars, "jaccard-links")
+    # of each node that shares a signature, once; first() takes any of equal values
+    sketches = base.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = staged(sketches.join(shared.select("node").distinct(), "node", "left_semi"), "jaccard-sketches")
+    stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = _exact(docs, _verify(stars, sketches, percent), percent)
     roots = staged(components(links, "a", "b"), "jaccard-roots")
     placed = shared.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
     rest = staged(placed.join(mixed, "sig", "left_semi"), "jaccard-rest")
-    other = rest.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    tried = links.select("a", "b")
-    cross = rest.withColumnRenamed("node", "a").join(other, "sig").filter("a < b and root <> rb").select("a", "b").distinct()
-    more = staged(_verify(cross, held, percent), "jaccard-more")
-    labels = staged(components(tried.unionByName(more), "a", "b"), "jaccard-labels")
+    more = _exact(docs, _cross(rest, sketches, percent), percent)
+    labels = staged(components(links.unionByName(more), "a", "b"), "jaccard-labels")
     nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     of_root = nodes.groupBy("root").agg(F.min("least").alias("component_id"))

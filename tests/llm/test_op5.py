@@ -47,7 +47,9 @@ def test_whole_table_equals_brute_force(spark, sf_dir):
     assert run(spark, rows) == brute(rows)
 
 
-def test_edits_around_the_threshold_and_shared_passages(spark):
+def test_edits_around_the_threshold_and_shared_passages(spark, monkeypatch):
+    monkeypatch.setattr(op, "BLOCK", 5)
+    monkeypatch.setattr(op, "FEW", 3)
     rng = np.random.default_rng(5)
     word = lambda: "w" + str(rng.integers(10**9))
     passage = [word() for _ in range(60)]
