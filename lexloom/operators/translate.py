@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import Protocol
@@ -118,6 +119,14 @@ def provide(keys: DataFrame, provider: Provider, batch_size: int = 40) -> DataFr
     return ready.mapInArrow(run, "translation_key string, target_text string")
 
 
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, so that what made it runs once."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
+
+
 def distinct_keys(segments: DataFrame, order: str = "id") -> DataFrame:
     """One row a key, with the text of its first segment; partial aggregation keeps hot keys small."""
     return segments.groupBy("translation_key").agg(F.min_by(F.struct("source_text", "kind"), order).alias("s"), F.count("*").alias("n")).select("translation_key", "s.*", "n")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import fixed_values as V
+from lexloom.functions import language
 from lexloom.functions import text as T
-from lexloom.operators import extract, parsers, scan, splice, translate, verify
+from lexloom.operators import extract, inplace, parsers, scan, splice, translate, verify
 from lexloom.sources.files import documents_as_files
 
 QUERIES: dict = {}
@@ -389,3 +390,70 @@ def q36(spark, sf_dir):
 )
 def q38(spark, sf_dir):
     return _marked(spark, sf_dir).select("path", (T.tokens(F.col("a"), V.PLACEHOLDER) == T.tokens(F.col("b"), V.PLACEHOLDER)).alias("same"))
+
+
+def _words_sql(lang: str) -> str:
+    held = ", ".join(f"'{w}'" for w in language.WORDS[lang])
+    return f"len(list_filter(words, lambda w: w IN ({held})))"
+
+
+_SCRIPT_SQL = " ".join(f"WHEN len(regexp_extract_all(seen, '{p}')) * 3 > len(regexp_extract_all(seen, '\\p{{L}}')) THEN '{lang}'" for lang, p in language.SCRIPTS.items())
+_COUNTS_SQL = ", ".join(f"{_words_sql(lang)} AS n_{lang}" for lang in language.WORDS)
+_MOST_SQL = f"greatest({', '.join(f'n_{lang}' for lang in language.WORDS)})"
+_PICK_SQL = " ".join(f"WHEN {_MOST_SQL} > 0 AND n_{lang} = {_MOST_SQL} THEN '{lang}'" for lang in language.WORDS)
+
+
+@query(
+    "q37_detect_language",
+    f"""WITH {_SRC}, d AS (SELECT *, left(src, {language.SEEN}) AS seen, length(regexp_replace(src, '^\\s+|\\s+$', '', 'g')) AS size FROM src),
+n AS (SELECT *, regexp_split_to_array(lower(seen), '[^\\p{{L}}]+') AS words FROM d), c AS (SELECT *, {_COUNTS_SQL} FROM n)
+SELECT doc_id, CASE WHEN size < 20 OR size IS NULL THEN NULL WHEN len(regexp_extract_all(src, '{_BROAD}')) > 0.1 * size
+  THEN CASE WHEN regexp_matches(seen, '{language.KANA}') THEN 'ja' WHEN regexp_matches(seen, '{language.HANGUL}') THEN 'ko' ELSE 'zh' END
+  {_SCRIPT_SQL} {_PICK_SQL} END AS detected FROM c""",
+)
+def q37(spark, sf_dir):
+    return _files(spark, sf_dir).select("doc_id", language.detect_prose(F.col("src")).alias("detected"))
+
+
+_ENGLISH = {"这个": "the", "和": "and"}
+
+
+@query(
+    "q39_inplace_markdown",
+    f"""WITH {_LN}, parts AS (SELECT *, regexp_extract(line, '{V.MARKDOWN_PREFIX}', 1) AS prefix FROM ln),
+made AS (SELECT path, k, CASE WHEN regexp_matches(line, '{_HAN}') THEN prefix || regexp_replace(replace(replace(substr(line, length(prefix) + 1), '这个', 'the'), '和', 'and'), '^\\s+|\\s+$', '', 'g') ELSE line END AS line FROM parts)
+SELECT path, sha256(string_agg(line, chr(10) ORDER BY k)) AS new_sha256 FROM made GROUP BY path""",
+)
+def q39(spark, sf_dir):
+    files = _content(spark, sf_dir).select("path", "content")
+    return inplace.rewrite(files, translate.Dictionary(_ENGLISH), translate.staged).select("path", F.sha2("content", 256).alias("new_sha256"))
+
+
+_QUOTING = {"这个": 'the "one"', "和": "and"}
+
+
+@query(
+    "q40_inplace_source",
+    """SELECT 'src/' || doc_id || '.ts' AS path, 'const a = "x' || doc_id || ' the \\"one\\""; // and "//" ' || doc_id || chr(10) || '  /* the "one" */' || chr(10)
+  || 'b = <i title=''plain''>the "one"</i>;' || chr(10) AS content FROM documents""",
+)
+def q40(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    src = F.concat(F.lit('const a = "x'), n, F.lit(' 这个"; // 和 "//" '), n, F.lit("\n  /* 这个 */\nb = <i title='plain'>这个</i>;\n"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    out = inplace.rewrite(files, translate.Dictionary(_QUOTING), translate.staged)
+    return out.select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("q41_inplace_json", """SELECT 'd/' || doc_id || '.json' AS path, '{"这个": ["the ' || doc_id || '", 5, {"k": "plain"}]}' AS content FROM documents""")
+def q41(spark, sf_dir):
+    n = F.col("doc_id").cast("string")
+    src = F.concat(F.lit('{"这个": ["这个 '), n, F.lit('", 5, {"k": "plain"}]}'))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), n, F.lit(".json")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    out = inplace.rewrite(files, translate.Dictionary(_ENGLISH), translate.staged)
+    return out.select("path", F.col("content").cast("string").alias("content"))
+
+
+@query("q42_language_histogram", f"SELECT detected, count(*) AS n FROM ({SQL['q37_detect_language']}) GROUP BY 1")
+def q42(spark, sf_dir):
+    return q37(spark, sf_dir).groupBy("detected").agg(F.count("*").alias("n"))
