@@ -16,7 +16,9 @@ Pairs that share a signature are first tried on parity sketches: of about two bi
 parity of the shingles that fall there, so two sketches never differ in more bits than the sets in elements, and
 a pair beyond the budget is no link.  The others are compared exactly, first with the smallest of the group (a star), then, where a
 group still spans several components, with the members of the other components: small groups as pairs, larger ones
-in blocks of about ``BLOCK`` members, which compare sketches in memory and hand on only the likely pairs.  Every pair
+in blocks of about ``BLOCK`` members, which compare sketches in memory and hand on only the likely pairs.  Before that, each
+member of a larger group is compared with its nearest one of another component, so that a large group of near copies is mostly
+one component by the time its remaining pairs are handed on: rows stay in proportion to members.  Every pair
 that shares a signature is thus compared or already connected.  Equal sets are one node throughout; nodes are 64-bit digests
 of the whole set.
 
@@ -47,6 +49,8 @@ LOAD = 2.2
 SAMPLE_DOCS, MAX_FREQUENT = 20_000, 100_000
 #: Members of a group that are compared as rows of pairs, and members of a block of a larger group.
 FEW, BLOCK = 8, 512
+#: Rounds in which each member of a larger group is compared with its nearest of another component only.
+NEAREST_ROUNDS = 2
 
 
 def sets(texts: list[str], width: int = WIDTH_WORDS):
@@ -216,8 +220,11 @@ def _exact(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return staged(_both(left, held).mapInArrow(compare, "a long, b long"), "jaccard-links")
 
 
-def _block_pairs(percent: int):
-    """Likely pairs between two blocks of a group (or within one), by sketches and components."""
+def _block_pairs(percent: int, nearest: bool):
+    """Likely pairs between two blocks of a group (or within one), by sketches and components.
+
+    ``nearest``: of each member only the one with the smallest share of differing cells.
+    """
 
     def run(group: pa.Table) -> pa.Table:
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
@@ -237,7 +244,12 @@ def _block_pairs(percent: int):
                 ok = (apart * (100 + percent) <= total * (100 - percent)) & (root[x][:, None] != root[other][None, :])
                 if lo != hi:
                     ok &= block[x][:, None] != block[other][None, :]
-                i, j = np.nonzero(ok)
+                if nearest:
+                    best = np.where(ok, apart / total, np.inf).argmin(axis=1)
+                    i = np.flatnonzero(ok[np.arange(len(x)), best])
+                    j = best[i]
+                else:
+                    i, j = np.nonzero(ok)
                 out.append((node[x[i]], node[other[j]]))
         a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
@@ -245,20 +257,29 @@ def _block_pairs(percent: int):
     return run
 
 
-def _cross(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely (a, b) of different components within groups of ``rest``."""
-    sizes = rest.groupBy("sig").agg(F.count("*").alias("members"))
-    sized = rest.join(sizes, "sig")
-    few = sized.filter(F.col("members") <= FEW)
-    other = few.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = few.select("sig", F.col("node").alias("a"), "root").join(other, "sig").filter("a < b and root <> rb").select("a", "b").distinct()
-    blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
-    many = sized.filter(F.col("members") > FEW).join(sketches, "node").withColumn("blocks", blocks_)
+def _blocks(rest: DataFrame, sketches: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Likely (a, b) of different components within the larger groups of ``rest``."""
+    many = rest.filter(F.col("members") > FEW).join(sketches, "node").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("sig", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "sketch")
-    found = dealt.groupBy("sig", "lo", "hi").applyInArrow(_block_pairs(percent), "a long, b long")
-    return _verify(pairs, sketches, percent).unionByName(found).distinct()
+    return dealt.groupBy("sig", "lo", "hi").applyInArrow(_block_pairs(percent, nearest), "a long, b long").distinct()
+
+
+def _cross(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Likely (a, b) of different components within all groups of ``rest``."""
+    few = rest.filter(F.col("members") <= FEW)
+    other = few.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
+    pairs = few.select("sig", F.col("node").alias("a"), "root").join(other, "sig").filter("a < b and root <> rb").select("a", "b").distinct()
+    return _verify(pairs, sketches, percent).unionByName(_blocks(rest, sketches, percent, False)).distinct()
+
+
+def _mixed(shared: DataFrame, links: DataFrame) -> DataFrame:
+    """sig, node, root, members of the groups that span several components of ``links``."""
+    roots = staged(components(links, "a", "b"), "jaccard-roots")
+    placed = shared.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members"))
+    return staged(placed.join(groups.filter("lo < hi").select("sig", "members"), "sig"), "jaccard-rest")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -282,10 +303,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sketches = staged(sketches.join(shared.select("node").distinct(), "node", "left_semi"), "jaccard-sketches")
     stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = _exact(docs, _verify(stars, sketches, percent), percent)
-    roots = staged(components(links, "a", "b"), "jaccard-roots")
-    placed = shared.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = staged(placed.join(mixed, "sig", "left_semi"), "jaccard-rest")
+    rest = _mixed(shared, links)
+    for _ in range(NEAREST_ROUNDS):
+        if not rest.filter(F.col("members") > FEW).limit(1).count():
+            break
+        links = links.unionByName(_exact(docs, _blocks(rest, sketches, percent, True), percent))
+        rest = _mixed(rest, links)
     more = _exact(docs, _cross(rest, sketches, percent), percent)
     labels = staged(components(links.unionByName(more), "a", "b"), "jaccard-labels")
     nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
