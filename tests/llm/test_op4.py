@@ -71,3 +71,30 @@ def test_filter_gives_levels_back(spark, monkeypatch):
                 want.append(1.5 * 2.0 ** np.floor(np.log2(c)) if c > 1 else 0.0)
         got, want = np.array(got), np.array(want)
         assert (got >= want).all() and (got == want).mean() > 0.97
+
+
+def test_scores_use_single_counts_and_a_filter_that_grows(spark):
+    assert op.shape(1 << 36)[0] * op.BLOCK_BITS == op.BITS_PER_TOKEN << 36  # 64 billion tokens keep their bits
+    words = [f"w{k}" for k in range(40)]
+    texts = [(i, " ".join(words[(i * 7 + k * (i % 3 + 1)) % 40] for k in range(12))) for i in range(1, 60)]
+    texts.append((1001, "alpha beta gamma"))  # every pair is met once
+    train = [(t or "").encode().split() + [None] for i, t in texts if not op.held_out(i)]
+    one, two = Counter(w for t in train for w in t), Counter(x for t in train for x in zip(t, t[1:]))
+
+    def about(c):
+        return 1.5 * 2.0 ** math.floor(math.log2(c)) if c > 1 else float(c)
+
+    below = sum(one.values()) + 0.1 * (len(one) + 1)
+    got = {r.doc_id: r.score for r in op.score_documents(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()}
+    assert not op.held_out(1001)
+    for i, t in texts:
+        seq, want = t.encode().split() + [None], 0.0
+        for k, w in enumerate(seq):
+            p, h = (about(one[w]) + 0.1) / below, about(one[seq[k - 1]]) if k else 0.0
+            want += math.log10(min((min(about(two[seq[k - 1], w]) if k else 0.0, h) + op.MU * p) / (h + op.MU), 1.0))
+        assert got[i] == pytest.approx(want, rel=1e-9), i
+
+
+def test_probe_of_a_full_filter_ends():
+    full = np.full(op.BLOCK_BITS // 8, 255, np.uint8)
+    assert op.probe(full, np.zeros(2, np.int64), np.array([5, 0], np.uint64), 3).tolist() == [3, -1]
