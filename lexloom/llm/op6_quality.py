@@ -5,8 +5,9 @@ ordered thresholds ``t1 < t2`` part them: ``P(grade > k) = sigmoid(w.x - t_k)``.
 words and word beginnings, sign runs and capital runs of the whole text and a few binned shares, each present or not, so length does
 not matter.  The expected grade and the tail probability ``P(grade = 2)`` select documents.
 
-The fit uses a bounded sample: at most ``MAX_ROWS`` labelled rows, the first by hash of doc_id, and of each at most
-``MAX_FEATURES`` features; features of fewer than ``MIN_DOCS`` of them have weight 0.
+The fit uses a bounded sample: at most ``MAX_ROWS`` labelled rows, the first by hash of doc_id, and of these as many as have
+``MAX_FEATURES`` features together; each row counts with all its features.  Features of fewer than ``MIN_DOCS`` rows have
+weight 0.
 
 Defined cases: a null or empty text has only the binned features; several labels of a document count by the
 lowest grade, labels with nulls do not count; without usable labels all documents are kept with tail probability
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, per_document
+from lexloom.llm.common import blocks, per_document, staged
 from lexloom.llm.wordhash import distinct, mix, runs
 
 BUCKETS = 1 << 18
-MAX_ROWS, MAX_FEATURES, MIN_DOCS = 12_000, 2_048, 4
+MAX_ROWS, MAX_FEATURES, MIN_DOCS = 12_000, 12_000 * 2_048, 4
 #: Bytes of word beginnings that are features too.
 HEADS = (4, 6)
 GRADES, STEPS, RATE, DECAY = 3, 250, 0.1, 3e-4
@@ -121,20 +122,28 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds from a bounded sample of the labelled documents."""
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     rated = labels.select("doc_id", "quality", "toxic").na.drop().groupBy("doc_id").agg(F.min(grade).cast("long").alias("grade"))
-    chosen = rated.orderBy(F.xxhash64("doc_id", F.lit("ratings")), "doc_id").limit(MAX_ROWS)
+    place = F.xxhash64("doc_id", F.lit("ratings"))
+    chosen = rated.orderBy(place, "doc_id").limit(MAX_ROWS).withColumn("place", place)
 
     def emit(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            grades = batch.column("grade").to_pylist()
             for lo, hi in blocks(texts):
                 column, counts = features(texts[lo:hi])
-                parts = [p[:MAX_FEATURES].tobytes() for p in np.split(column, np.cumsum(counts)[:-1])]
-                yield pa.RecordBatch.from_arrays([pa.array(grades[lo:hi], pa.int64()), pa.array(parts, pa.binary())], names=["grade", "found"])
+                parts = [p.tobytes() for p in np.split(column, np.cumsum(counts)[:-1])]
+                kept = [batch.column(c).slice(lo, hi - lo) for c in ("grade", "place")]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(counts, pa.int64()), pa.array(parts, pa.binary())], names=["grade", "place", "n", "found"])
 
     # the sample has a fixed bound, so it is the side to send
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
-    got = sample.mapInArrow(emit, "grade long, found binary").limit(2 * MAX_ROWS).toArrow()
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "place")
+    made = sample.mapInArrow(emit, "grade long, place long, n long, found binary").limit(2 * MAX_ROWS)
+    made = staged(made.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
+    sizes = sorted(tuple(r) for r in made.select("place", "row", "n").collect())
+    fits = max(1, int((np.cumsum([n for *_, n in sizes]) <= MAX_FEATURES).sum()))  # whole rows only
+    if len(sizes) > fits:
+        last = F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(sizes[fits - 1], ("place", "row"))))
+        made = made.filter(F.struct("place", "row") <= last)
+    got = made.select("grade", "found").toArrow()
     rows = [(g, np.frombuffer(f.as_buffer(), np.int32)) for g, f in zip(got["grade"].to_pylist(), got["found"])]
     return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes())))
 
