@@ -5,8 +5,10 @@ occur in a language's text; the language that needs the fewest phrases a symbol
 and all languages are lanes of one numpy array; a text is parsed whole, in stretches of ``STRETCH`` symbols (a
 phrase ends where a stretch ends, for all languages alike).
 
-The automata are learned from a bounded sample: about ``SAMPLE_DOCS`` passages of at most ``PASSAGE`` characters
-a language, together at most ``SAMPLE_CHARS`` characters over all languages.
+The automata are learned from a bounded sample a language: about ``SAMPLE_DOCS`` passages of at most ``PASSAGE``
+characters, together its share of ``SAMPLE_CHARS`` characters, but at least ``LEAST_CHARS``.  All labelled languages are
+learned, and every letter of their samples is a symbol.  Transitions are a dense table where the language's alphabet is
+small, else a hashed one.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is everything if no row is
 labelled; ties go to the language that sorts first; repeated rows are predicted row by row; an empty table
@@ -16,17 +18,18 @@ gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_document
+from lexloom.llm.common import per_document, staged
 
 SAMPLE_DOCS, PASSAGE, SAMPLE_CHARS = 400, 600, 320_000
-#: Languages that are learned, the most frequent first.
-MAX_LANGUAGES = 500
+#: Characters of a language's sample, however many languages share.
+LEAST_CHARS = 4_000
+#: Cells of a language's dense transition table; larger ones are hashed.
+DENSE = 1 << 23
 STRETCH = 512
 #: Phrases that make a language about e times less likely, for the score.
 SHARPNESS = 2.0
@@ -85,37 +88,84 @@ def letters(text: str) -> str:
     return text if text.isalpha() else "".join(c if c.isalpha() else " " for c in text)
 
 
+class Transitions:
+    """Ways of one automaton: ``next state << 2 | phrases ended`` of arrays of states and symbols.
+
+    No way on: the phrase ends and the symbol begins the next one; one that no text has is a phrase.
+    """
+
+    def __init__(self, edges: list[dict[int, int]], width: int):
+        self.width, n = width, len(edges)
+        state = np.repeat(np.arange(n), [len(e) for e in edges])
+        symbol = np.fromiter((s for e in edges for s in e), np.int64, len(state))
+        to = np.fromiter((t for e in edges for t in e.values()), np.int64, len(state))
+        begin = np.zeros(width, np.int64)
+        begin[symbol[state == 0]] = to[state == 0]
+        stuck = begin << 2 | 1 + (begin == 0)
+        root = begin << 2 | (begin == 0)
+        self.stuck = stuck.astype(np.int32)
+        self.keys = None
+        if n * width <= DENSE:
+            table = np.tile(self.stuck, (n, 1))
+            table[0] = root
+            table[state, symbol] = to << 2
+            self.table = table.ravel()
+            return
+        # the root's row is held in full, so that a symbol it lacks is found there
+        key = np.concatenate([np.arange(width), (state * width + symbol)[state > 0]])
+        value = np.concatenate([root, to[state > 0] << 2])
+        self.mask = (1 << (2 * len(key) - 1).bit_length()) - 1
+        self.keys, self.table = np.full(self.mask + 1, -1, np.int64), np.zeros(self.mask + 1, np.int32)
+        at, left = self._slot(key), np.arange(len(key))
+        while left.size:
+            free = self.keys[at] < 0
+            self.keys[at[free]] = key[left[free]]  # of several, one stays
+            placed = self.keys[at] == key[left]
+            self.table[at[placed]] = value[left[placed]]
+            at, left = (at[~placed] + 1) & self.mask, left[~placed]
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)).astype(np.int64) & self.mask
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state.astype(np.int64) * self.width + symbol
+        if self.keys is None:
+            return self.table[key]
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.table[at], self.stuck[symbol])
+        other = np.flatnonzero((found != key) & (found >= 0))
+        at = at[other]
+        while other.size:
+            at = (at + 1) & self.mask
+            held = self.keys[at]
+            hit = held == key[other]
+            out[other[hit]] = self.table[at[hit]]
+            more = ~hit & (held >= 0)
+            at, other = at[more], other[more]
+        return out
+
+
 class Identifier:
-    """Automata of all languages as one transition table; made once a worker from the sampled passages."""
+    """Automata of all languages; made once a worker from the sampled passages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
-        seen = sorted({c for passages in samples.values() for p in passages for c in letters(p)} | {" "})[:250]
-        self.code = np.full(0x110000, 255, np.uint8)
-        for i in range(0x110000):
-            if not chr(i).isalpha():
-                self.code[i] = 1
-        self.code[[ord(c) for c in seen if c != " "]] = np.arange(2, 2 + len(seen) - (" " in seen))
-        self.code[self.code == 255] = 0
-        self.width = 2 + len(seen)
-        tables, self.roots, base = [], [], 0
+        seen = sorted({c for passages in samples.values() for p in passages for c in letters(p)} - {" "})
+        # 0: a letter that no sample has, 1: no letter
+        self.code = np.fromiter((not chr(i).isalpha() for i in range(0x110000)), np.int32, 0x110000)
+        self.code[list(map(ord, seen))] = np.arange(2, 2 + len(seen))
+        self.own, self.steps = [], []
         for name in self.names:
-            flat: list[int] = []
-            for p in samples[name]:
-                flat += [*self.symbols([p])[0].tolist(), 0]
-            made = SuffixAutomaton(flat)
-            table = np.zeros((len(made.next), self.width), np.int64)
-            for i, edges in enumerate(made.next):
-                table[i, list(edges)] = list(edges.values())
-            # no way on: the phrase ends and the symbol begins the next one; one that no text has is a phrase
-            stuck = table == 0
-            ends = stuck.astype(np.int64) + (stuck & (table[0] == 0))
-            ends[0] = stuck[0]
-            table = np.where(stuck, table[0], table) + base
-            tables.append((table << 2 | ends).astype(np.int32))
-            self.roots.append(base)
-            base += len(made.next)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            codes = [self.symbols([p])[0] for p in samples[name]]
+            # symbols of the language itself: 0 for all letters that it lacks
+            used = np.unique(np.concatenate([[1], *codes]))
+            used = used[used > 0]
+            own = np.zeros(2 + len(seen), np.int32)
+            own[used] = np.arange(1, 1 + len(used))
+            made = SuffixAutomaton([s for c in codes for s in [*own[c].tolist(), 0]])
+            self.own.append(own)
+            self.steps.append(Transitions(made.next, 1 + len(used)))
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of all texts (one blank for a run of others than letters), and how many each text has."""
@@ -138,13 +188,14 @@ class Identifier:
         begin, size, owner = begin[order], size[order], owner[order]
         out = np.zeros((len(texts), len(self.names)), np.int64)
         live = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
-        for column, root in enumerate(self.roots):
-            state, count = np.full(len(size), root, np.int32), np.zeros(len(size), np.int32)
+        for column, (own, step) in enumerate(zip(self.own, self.steps)):
+            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
+            mine = own[codes]
             for k, n in enumerate(live.tolist()):
-                got = self.table[state[:n].astype(np.int64) * self.width + codes[begin[:n] + k]]
+                got = step(state[:n], mine[begin[:n] + k])
                 count[:n] += got & 3
                 state[:n] = got >> 2
-            count += state != root
+            count += state != 0
             out[:, column] = np.bincount(owner, count, len(texts))
         return out
 
@@ -162,27 +213,20 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     """Sampled passages of each language, from labelled rows that are not held out."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     labelled = docs.select("doc_id", "text", "lang").filter((F.coalesce(crc, F.lit(0)) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    # a row a language; the bound makes the map below one of fixed size
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    sizes = staged(labelled.groupBy("lang").agg(F.count("*").cast("double").alias("size")), "language-sizes")
+    n_languages = sizes.count()
+    if not n_languages:
         return {}
-    counts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], float(r["count"]))])
-    picked = labelled.withColumn("place", F.xxhash64("doc_id", F.lit("language sample")))
-    share = F.lit(float(SAMPLE_DOCS)) * F.lit(2.0**64) / F.try_element_at(counts, F.col("lang")) - F.lit(2.0**63)
+    limit = max(SAMPLE_CHARS // n_languages, LEAST_CHARS)
+    picked = labelled.withColumn("place", F.xxhash64("doc_id", F.lit("language sample"))).join(sizes, "lang")
+    share = F.lit(float(SAMPLE_DOCS)) * F.lit(2.0**64) / F.col("size") - F.lit(2.0**63)
     start = F.pmod("place", F.greatest(F.length("text") - PASSAGE, F.lit(1)))
-    rows = (
-        picked.filter(F.col("place").cast("double") <= share)
-        .select("lang", "place", F.substring("text", (start + 1).cast("int"), F.lit(PASSAGE)).alias("passage"))
-        .collect()
-    )
+    passages = picked.filter(F.col("place").cast("double") <= share).select("lang", "place", F.substring("text", (start + 1).cast("int"), F.lit(PASSAGE)).alias("passage"))
+    so_far = Window.partitionBy("lang").orderBy("place", "passage").rowsBetween(Window.unboundedPreceding, -1)
+    rows = passages.withColumn("held", F.coalesce(F.sum(F.length("passage")).over(so_far), F.lit(0))).filter(F.col("held") < limit).collect()
     out: dict[str, list[str]] = {}
-    limit = SAMPLE_CHARS // max(1, len({r.lang for r in rows}))
-    for lang, group in groupby(sorted(rows), key=lambda r: r.lang):
-        room = limit
-        for r in group:
-            if room > 0:
-                out.setdefault(lang, []).append(r.passage[:room])
-                room -= len(r.passage)
+    for r in sorted(rows, key=lambda r: (r.lang, r.place, r.passage)):
+        out.setdefault(r.lang, []).append(r.passage[: limit - r.held])
     return {k: v for k, v in out.items() if any(c.isalpha() for p in v for c in p)}
 
 
