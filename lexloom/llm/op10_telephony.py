@@ -1,10 +1,10 @@
 """Media columns for telephony audio: mu-law, A-law and IMA ADPCM in RIFF/WAVE files.
 
 Companded bytes are expanded by 256-entry lookup tables; ADPCM blocks are decoded with numpy across all
-blocks side by side; the PCM is resampled by linear interpolation in integers and can be stored.
+blocks of many files side by side; the PCM is resampled by linear interpolation in integers and can be stored.
 
 ``encode_payload`` stores a document's bytes as 8-bit samples without loss; ``media_columns`` writes the
-files and reads payload and features back from them.
+files of one codec and reads payload and features back from them, ``media_forms`` those of all three with their PCM.
 
 Defined cases: a null or empty text is the empty byte string, padded to one unit; equal texts give equal
 values whatever their ids; repeated rows are stored row by row; an empty table gives an empty table.
@@ -144,37 +144,60 @@ def encode_payload(text: str, unit: int = UNIT) -> bytes:
 
 def media_columns(docs: DataFrame, codec: str = "mulaw", store_pcm: bool = False) -> DataFrame:
     """doc_id, n_bytes, media (the file), payload (read back), feature; with ``store_pcm`` the resampled PCM file too."""
-    kind, align = CODECS[codec], UNIT // 2 if codec == "ima_adpcm" else 1
     extra = ", pcm binary" if store_pcm else ""
 
     def work(rows):
-        out: dict[str, list] = {n: [] for n in ("n_bytes", "media", "payload", "feature", "pcm")}
-        for text in rows["text"]:
-            raw = encode_payload(text)
-            media = write_wave(raw, kind, RATE, align)
-            found, rate, size, payload = read_wave(media)
-            pcm = resample(to_pcm(found, payload, size), rate, OUT_RATE)
-            out["n_bytes"].append(len(text.encode()))
-            out["media"].append(media)
-            out["payload"].append(payload)
-            out["feature"].append(features(pcm, OUT_RATE))
-            if store_pcm:
-                out["pcm"].append(write_wave(pcm.astype("<i2").tobytes(), PCM, OUT_RATE, 2))
-        return out | {"doc_id": rows["doc_id"]}
+        out = stored(rows["text"], codec)
+        return out | {"doc_id": rows["doc_id"], "n_bytes": [len(t.encode()) for t in rows["text"]]}
 
     return per_document(docs, ["doc_id", "text"], "doc_id long, n_bytes long, media binary, payload binary, feature string" + extra, work)
 
 
+def stored(texts: list[str], codec: str) -> dict[str, list]:
+    """media, payload, feature and pcm (a file of the resampled PCM) of each text; ADPCM blocks of all texts are decoded together."""
+    kind, align = CODECS[codec], UNIT // 2 if codec == "ima_adpcm" else 1
+    out: dict[str, list] = {"media": [write_wave(encode_payload(t), kind, RATE, align) for t in texts]}
+    read = [read_wave(m) for m in out["media"]]
+    out["payload"] = [payload for *_, payload in read]
+    sizes = np.array([len(p) // align for p in out["payload"]], np.int64) * (1 + 2 * (align - 4) if kind == IMA else 1)
+    decoded = np.split(to_pcm(kind, b"".join(out["payload"]), align), np.cumsum(sizes)[:-1])
+    pcms = [resample(pcm, rate, OUT_RATE) for pcm, (_, rate, _, _) in zip(decoded, read)]
+    out["feature"] = [features(pcm, OUT_RATE) for pcm in pcms]
+    out["pcm"] = [write_wave(pcm.astype("<i2").tobytes(), PCM, OUT_RATE, 2) for pcm in pcms]
+    return out
+
+
+def media_forms(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and of each codec ``<codec>_media``, ``_payload``, ``_feature`` and ``_pcm``."""
+    kinds = {"media": "binary", "payload": "binary", "feature": "string", "pcm": "binary"}
+    schema = ", ".join(f"{codec}_{name} {kind}" for codec in CODECS for name, kind in kinds.items())
+
+    def work(rows):
+        out = {f"{codec}_{name}": column for codec in CODECS for name, column in stored(rows["text"], codec).items()}
+        return out | {"doc_id": rows["doc_id"], "n_bytes": [len(t.encode()) for t in rows["text"]]}
+
+    return per_document(docs, ["doc_id", "text"], "doc_id long, n_bytes long, " + schema, work)
+
+
 def media_digests(docs: DataFrame) -> DataFrame:
-    """The stored media as lengths, digests and features."""
-    m = media_columns(docs)
-    tail = F.expr("substring(payload, greatest(octet_length(payload) - 31, 1), 32)")
+    """The stored media and PCM of all codecs as lengths, digests and features; columns without a codec's name are of mu-law."""
+    m = media_forms(docs)
+    tail = F.expr("substring(mulaw_payload, greatest(octet_length(mulaw_payload) - 31, 1), 32)")
+
+    def told(codec, prefix):
+        return [
+            F.octet_length(f"{codec}_media").cast("long").alias(f"{prefix}media_bytes"),
+            F.sha2(f"{codec}_media", 256).alias(f"{prefix}media_sha256"),
+            F.col(f"{codec}_feature").alias(f"{prefix}feature"),
+            F.octet_length(f"{codec}_pcm").cast("long").alias(f"{prefix}pcm_bytes"),
+            F.sha2(f"{codec}_pcm", 256).alias(f"{prefix}pcm_sha256"),
+        ]
+
     return m.select(
         "doc_id", "n_bytes",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
+        F.octet_length("mulaw_payload").cast("long").alias("payload_bytes"),
+        F.sha2("mulaw_payload", 256).alias("payload_sha256"),
         F.crc32(tail).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"),
-        F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        *told("mulaw", ""),
+        *[c for codec in ("alaw", "ima_adpcm") for c in (F.sha2(f"{codec}_payload", 256).alias(f"{codec}_payload_sha256"), *told(codec, f"{codec}_"))],
     )
