@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import staged
+from lexloom.llm.common import discard, staged
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -22,7 +22,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) of every node that has an edge; root is the smallest node that it reaches.
+    """(node, root) of every node that has an edge, as a staged table; root is the smallest node that it reaches.
 
     Each round is written to the shared folder, so a lost executor costs that round only; sums of the
     edges tell when nothing moves any more.
@@ -30,10 +30,13 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     now = staged(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
     seen = None
     while True:
-        now = staged(_stars(_stars(now, True), False), "edges")
+        before, now = now, staged(_stars(_stars(now, True), False), "edges")
+        discard(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
         seen = mark
     roots = now.select(F.col("b").alias("node")).distinct().withColumn("root", F.col("node"))
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)
+    out = staged(now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots), "roots")
+    discard(now)
+    return out

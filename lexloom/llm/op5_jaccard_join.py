@@ -9,20 +9,24 @@ takes ``d // (spare + 1) + 1`` groups).  Of two sets the one that needs fewer gr
 the other has the same signature among its own.  A set with too few filled groups emits all of them and each
 shingle by itself as well; two such sets meet there.
 
-Shingles that a bounded sample of documents shows to be frequent have partitions of their own at the end
-of the order.  That keeps a shared passage from making signatures and has no influence on the result.
-
-Pairs that share a signature are first tried on parity sketches: of about two bits a shingle, bit ``i`` is the
-parity of the shingles that fall there, so two sketches never differ in more bits than the sets in elements, and
-a pair beyond the budget is no link.  The others are compared exactly, first with the smallest of the group (a star), then, where a
-group still spans several components, with the members of the other components: small groups as pairs, larger ones
-in blocks of about ``BLOCK`` members, which compare sketches in memory and hand on only the likely pairs.  Every pair
-that shares a signature is thus compared or already connected.  Equal sets are one node throughout; nodes are 64-bit digests
-of the whole set.
+Shingles that are frequent in the corpus have partitions of their own at the end of the order.  That keeps a shared
+passage from making signatures and has no influence on the result.  ``width`` 1 (plain partitions, one subset each) is the
+default: with 3 and 1 the same guarantee took 2.3 to 2.5 times the signatures here and gave more pairs, as at 0.75 a budget of a third
+of the set leaves about two elements a partition either way.
+
+The smallest node of a signature's group is its hub.  All groups with one hub are one unit of work: the hub and every
+node that shares a signature with it there, each shipped once however many signatures it shares.  A unit whose members
+hold more than ``BLOCK`` elements is dealt in blocks and pairs of blocks.  Units are worked twice.  First on parity
+sketches: of about two bits a shingle, bit ``i`` is the parity of the shingles that fall there, so two sketches never
+differ in more bits than the sets in elements, and a pair beyond the budget is no link; nodes without a likely partner
+go.  Then on the sets of the others: every pair of different components is compared exactly inside the task, components
+are united there, and only links that unite two of them leave it, fewer than members.  Pairs of blocks come after all
+single blocks, when most of a large group is one component already.  Equal sets are one node throughout; nodes are
+64-bit digests of the whole set.
 
 Defined cases: null, empty and blank texts have 0 shingles and are their own component; fewer than five words
-make one shingle; repeated rows and ids are separate rows with the same component; an empty table gives an
-empty table; other columns are ignored.
+make one shingle; repeated rows and ids are separate rows with the same component; a null doc_id counts as the largest
+one; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, staged
+from lexloom.llm.common import blocks, discard, staged
 from lexloom.llm.components import components
 from lexloom.llm.wordhash import distinct, mix, shingles, words
 
@@ -43,10 +47,14 @@ WIDTH_WORDS = 5
 BAND = 4.0
 #: Elements a partition at the upper end of a band.
 LOAD = 2.2
-#: Documents sampled to find frequent shingles (about), and the most such shingles that are kept.
-SAMPLE_DOCS, MAX_FREQUENT = 20_000, 100_000
-#: Members of a group that are compared as rows of pairs, and members of a block of a larger group.
-FEW, BLOCK = 8, 512
+#: Frequent shingles that a task hands on, the most that are kept, and the share of sets (one of so many) they are in.
+TASK_FREQUENT, MAX_FREQUENT, FREQUENT_SHARE = 1 << 13, 100_000, 2000
+#: Shingles that are counted at once.
+COUNTED = 1 << 21
+#: Elements of the sets of a block of a unit (a larger set is alone with its share of others).
+BLOCK = 1 << 21
+#: Cells of the bitmap of documents whose sets are wanted.
+CELLS = 1 << 26
 
 
 def sets(texts: list[str], width: int = WIDTH_WORDS):
@@ -68,15 +76,6 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(count & 1).tobytes()
 
 
-def beyond(a: np.ndarray, b: np.ndarray, budget: int) -> bool:
-    """Whether two sketches show that the sets differ in more than ``budget`` elements."""
-    while len(a) > len(b):  # cells modulo a smaller power of two: halves add up
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum()) > budget
-
-
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
         return False
@@ -126,8 +125,8 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75, width: in
     return distinct(np.concatenate(out))
 
 
-def _arrow(docs: DataFrame, schema: str, make, columns=("doc_id", "text")) -> DataFrame:
-    """mapInArrow over whole texts; ``make`` maps an iterator of (values, set) to Arrow arrays."""
+def _arrow(docs: DataFrame, schema: str, make, columns=("text",), last=None) -> DataFrame:
+    """mapInArrow over whole texts; ``make`` maps columns, sets and the task's state to Arrow arrays, as ``last`` does at its end."""
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches):
@@ -137,162 +136,260 @@ def _arrow(docs: DataFrame, schema: str, make, columns=("doc_id", "text")) -> Da
             texts = [t or "" for t in rows[columns.index("text")]]
             for lo, hi in blocks(texts):
                 out = make([r[lo:hi] for r in rows], list(sets(texts[lo:hi])), state)
-                yield pa.RecordBatch.from_arrays(out, names=names)
+                if out is not None:
+                    yield pa.RecordBatch.from_arrays(out, names=names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays(last(state), names=names)
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def _fresh(found: list[np.ndarray], state: dict) -> list[tuple[int, np.ndarray]]:
-    """Non-empty sets that this task has not met yet (a bounded memory: it only saves work)."""
+def _fresh(found: list[np.ndarray], state: dict) -> list[int | None]:
+    """Nodes of the non-empty sets that this task has not met yet, else None (a bounded memory: it only saves work)."""
     seen, out = state.setdefault("seen", set()), []
     for s in found:
-        if len(s):
-            node = node_of(s)
-            if node not in seen:
-                seen.add(node)
-                out.append((node, s))
+        node = node_of(s) if len(s) else None
+        out.append(None if node in seen else node)
+        if node is not None:
+            seen.add(node)
     if len(seen) > 500_000:
         seen.clear()
     return out
 
 
-def _measure(rows, found, state):
-    nodes = [node_of(s) if len(s) else None for s in found]
-    made = [sketch(s) if len(s) else None for s in found]
-    return [pa.array(rows[0], pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(nodes, pa.int64()), pa.array(made, pa.binary())]
+def _tally(state: dict) -> None:
+    """Counts the gathered shingles; the most frequent ones stay, all less what the best of the others has."""
+    hashes, counts = state.get("held", (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    new, times = np.unique(np.concatenate(state.pop("parts", []) or [hashes[:0]]), return_counts=True)
+    every, back = np.unique(np.concatenate([hashes, new]), return_inverse=True)
+    total = np.bincount(back, np.concatenate([counts, times]), len(every)).astype(np.int64)
+    if len(every) > 8 * TASK_FREQUENT:
+        total -= np.partition(total, -8 * TASK_FREQUENT)[-8 * TASK_FREQUENT]
+    state["held"], state["size"] = (every[total > 0], total[total > 0]), 0
 
 
-def _frequent(docs: DataFrame, total: int) -> np.ndarray:
-    """Shingles that many of a bounded sample of documents have, at most MAX_FREQUENT; a matter of speed only."""
-    every = max(1, total // SAMPLE_DOCS)
+def _frequent(docs: DataFrame) -> np.ndarray:
+    """Shingles that one in ``FREQUENT_SHARE`` of all sets has, at most MAX_FREQUENT; a matter of speed only.
 
-    def emit(rows, found, state):
-        got = [s for _, s in _fresh(found, state)]
-        return [pa.array(np.concatenate(got).view(np.int64) if got else [], pa.int64())]
+    Each task keeps a bounded table of the most frequent ones of all its texts; the tables are added up.
+    """
 
-    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    counted = _arrow(sample, "h long", emit).groupBy("h").count().filter(F.col("count") >= max(8, min(total, SAMPLE_DOCS) // 2000))
-    top = counted.orderBy(F.desc("count"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    def emit(rows, found, state):
+        fresh = [s for s, node in zip(found, _fresh(found, state)) if node is not None]
+        state.setdefault("parts", []).extend(fresh)
+        state["sets"] = state.get("sets", 0) + len(fresh)
+        state["size"] = state.get("size", 0) + sum(map(len, fresh))
+        if state["size"] > COUNTED:
+            _tally(state)
+
+    def last(state):
+        _tally(state)
+        hashes, counts = state["held"]
+        most = np.sort(np.argsort(-counts, kind="stable")[:TASK_FREQUENT])
+        # the null shingle counts sets
+        return [pa.array([None, *hashes[most].view(np.int64).tolist()], pa.int64()), pa.array([state.get("sets", 0), *counts[most].tolist()], pa.int64())]
+
+    counted = staged(_arrow(docs, "h long, n long", emit, last=last).groupBy("h").agg(F.sum("n").alias("n")), "jaccard-frequent")
+    total = counted.filter("h is null").agg(F.sum("n")).first()[0] or 0
+    top = counted.filter(F.col("h").isNotNull() & (F.col("n") >= max(8, total // FREQUENT_SHARE))).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toArrow()
+    discard(counted)
     return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _both(pairs: DataFrame, of_node: DataFrame) -> DataFrame:
-    """``pairs`` with the columns of ``of_node`` for a (1) and for b (2)."""
-    names = [c for c in of_node.columns if c != "node"]
-    for side, k in (("a", 1), ("b", 2)):
-        pairs = pairs.join(of_node.select(F.col("node").alias(side), *(F.col(c).alias(f"{c}{k}") for c in names)), side)
-    return pairs
+def _measured(docs: DataFrame, frequent, percent: int) -> DataFrame:
+    """doc_id, n, node of every row, and sketch and signatures where the set is new to the task."""
 
+    def emit(rows, found, state):
+        fresh = _fresh(found, state)
+        sig = [signatures(s, frequent.value, percent).view(np.int64) if f is not None else None for s, f in zip(found, fresh)]
+        return [
+            pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array([len(s) for s in found], pa.int64()),
+            pa.array([node_of(s) if len(s) else None for s in found], pa.int64()),
+            pa.array([sketch(s) if f is not None else None for s, f in zip(found, fresh)], pa.binary()), pa.array(sig, pa.list_(pa.int64())),
+        ]
 
-def _buffers(batch, *names):
-    return zip(*([x.as_buffer() for x in batch.column(n)] for n in names))
+    dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text")
+    return _arrow(dealt, "doc_id long, cell long, n long, node long, sketch binary, sigs array<long>", emit, ("doc_id", "cell", "text"))
 
 
-def _verify(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` that their sketches do not rule out."""
+def _units(batches):
+    """Tables of the rows of one unit (hub, lo, hi), from rows sorted by them."""
+    now, held = None, []
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy() for c in ("hub", "lo", "hi")])
+        starts = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))) if batch.num_rows else []
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            if held and (key[:, a] != now).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            now = key[:, a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (hub, node, n) with ``block`` and each unit that a row takes part in, (lo, hi): all pairs of its hub's blocks.
+
+    The hub itself is in every block, and in no pair of two.
+    """
+    sizes = rows.groupBy("hub").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    own = F.col("node") == F.col("hub")
+    lo, hi = (F.when(own, F.col("with")).otherwise(f("block", "with")) for f in (F.least, F.greatest))
+    return rows.select(*[c for c in rows.columns if c not in ("blocks", "with")], lo.alias("lo"), hi.alias("hi"))
+
+
+def _worked(rows: DataFrame, work, schema: str) -> DataFrame:
+    return rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node").mapInArrow(work, schema)
+
+
+def partnered(n: np.ndarray, raw: list, block: np.ndarray | None, percent: int) -> np.ndarray:
+    """Marks the sets that have a likely partner (in another block, where ``block`` is given) by their sketches."""
+    cells, out = np.array([len(x) for x in raw]), np.zeros(len(raw), bool)
+    for size in np.unique(cells):  # a partner has as many cells or twice as many, which fold by halves
+        short, other = np.flatnonzero(cells == size), np.flatnonzero(cells == 2 * size)
+        rows = [np.frombuffer(raw[i], np.uint8) for i in short]
+        rows += [x[:size] ^ x[size:] for x in (np.frombuffer(raw[i], np.uint8) for i in other)]
+        flat, at = np.stack(rows), np.concatenate([short, other])
+        for k in range(len(short)):
+            total, apart = n[at[k + 1 :]] + n[at[k]], np.bitwise_count(flat[k + 1 :] ^ flat[k]).sum(axis=1, dtype=np.int64)
+            small = np.minimum(n[at[k + 1 :]], n[at[k]])
+            ok = (apart * (100 + percent) <= total * (100 - percent)) & (100 * small >= percent * (total - small))
+            if block is not None:
+                ok &= block[at[k + 1 :]] != block[at[k]]
+            if ok.any():
+                out[at[k]] = True
+                out[at[k + 1 :][ok]] = True
+    return out
 
-    def likely(batches):
-        for batch in batches:
-            sizes = zip(batch.column("n1").to_pylist(), batch.column("n2").to_pylist())
-            keep = []
-            for (n1, n2), (x, y) in zip(sizes, _buffers(batch, "sketch1", "sketch2")):
-                near = 100 * min(n1, n2) >= percent * max(n1, n2)
-                keep.append(near and not beyond(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8), (n1 + n2) * (100 - percent) // (100 + percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _both(pairs, sketches).mapInArrow(likely, "a long, b long")
+def _likely(percent: int):
+    """The rows of units that have a likely partner there."""
+    names = ["hub", "node", "n", "cell"]
 
+    def run(batches):
+        out, held = [], 0
+        for unit in _units(batches):
+            apart = unit["block"].to_numpy() if unit["lo"][0].as_py() != unit["hi"][0].as_py() else None
+            keep = partnered(unit["n"].to_numpy(), [x.as_buffer() for x in unit["sketch"]], apart, percent)
+            if keep.any():
+                out.append([unit[c].to_numpy()[keep] for c in names])
+                held += int(keep.sum())
+            if held > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
+                out, held = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=names)
 
-def _exact(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) of ``pairs`` whose sets are similar enough, by comparison of the sets."""
+    return run
 
-    def compare(batches):
-        for batch in batches:
-            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in _buffers(batch, "shingles1", "shingles2")]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = staged(pairs, "jaccard-likely")
-    held = _held(docs, left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct())
-    return staged(_both(left, held).mapInArrow(compare, "a long, b long"), "jaccard-links")
-
-
-def _block_pairs(percent: int):
-    """Likely pairs between two blocks of a group (or within one), by sketches and components."""
-
-    def run(group: pa.Table) -> pa.Table:
-        lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        block, node, root, n = (group[c].to_numpy() for c in ("block", "node", "root", "n"))
-        raw = [np.frombuffer(x.as_buffer(), np.uint8) for x in group["sketch"]]
-        size = np.array([len(x) for x in raw])
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for cells in np.unique(size):  # the smaller sketch of a pair; the other one is folded to it
-            short, other = np.flatnonzero(size == cells), np.flatnonzero(size >= cells)
-            folded = np.stack([np.bitwise_xor.reduce(raw[i].reshape(-1, cells), axis=0) for i in other])
-            mine = np.stack([raw[i] for i in short])
-            step = max(1, (8 << 20) // (len(other) * int(cells)))
-            for k in range(0, len(short), step):
-                x = short[k : k + step]
-                apart = np.bitwise_count(mine[k : k + step, None, :] ^ folded[None, :, :]).sum(axis=2, dtype=np.int64)
-                total = n[x][:, None] + n[other][None, :]
-                ok = (apart * (100 + percent) <= total * (100 - percent)) & (root[x][:, None] != root[other][None, :])
-                if lo != hi:
-                    ok &= block[x][:, None] != block[other][None, :]
-                i, j = np.nonzero(ok)
-                out.append((node[x[i]], node[other[j]]))
-        a, b = (np.concatenate([o[k] for o in out]) for k in (0, 1))
-        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return run
+def forest(found: list[np.ndarray], root: np.ndarray, block: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) that unite all components (``root``) of the sets which links join, one for each union.
+
+    With ``block`` only sets of different blocks are compared.
+    """
+    order = np.argsort([len(s) for s in found], kind="stable")
+    size, root = np.array([len(found[i]) for i in order]), root[order].copy()
+    ends = np.cumsum(size)
+    names, number = np.unique(np.concatenate([found[i] for i in order]), return_inverse=True)
+    mark, out = np.zeros(len(names), bool), []
+    least = np.searchsorted(size, -(-size * percent // 100), "left")  # partners of at least this size
+    for i in range(1, len(order)):
+        lo = int(least[i])
+        wanted = root[lo:i] != root[i]
+        if block is not None:
+            wanted &= block[order[lo:i]] != block[order[i]]
+        some = lo + np.flatnonzero(wanted)
+        if not some.size:
+            continue
+        mark[number[ends[i] - size[i] : ends[i]]] = True
+        if 2 * some.size > i - lo:
+            begin = ends[lo] - size[lo]
+            both = np.add.reduceat(mark[number[begin : ends[i - 1]]], ends[lo:i] - size[lo:i] - begin, dtype=np.int64)[some - lo]
+        else:
+            both = np.array([np.count_nonzero(mark[number[ends[j] - size[j] : ends[j]]]) for j in some])
+        mark[number[ends[i] - size[i] : ends[i]]] = False
+        near = some[100 * both >= percent * (size[i] + size[some] - both)]
+        if near.size:
+            roots, first = np.unique(root[near], return_index=True)
+            out += [(int(order[i]), int(order[j])) for j in near[first]]
+            root[np.isin(root, roots)] = root[i]
+    return out
+
 
+def _links(percent: int):
+    """(a, b) that unite components within units, by comparison of the sets."""
 
-def _cross(rest: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Likely (a, b) of different components within groups of ``rest``."""
-    sizes = rest.groupBy("sig").agg(F.count("*").alias("members"))
-    sized = rest.join(sizes, "sig")
-    few = sized.filter(F.col("members") <= FEW)
-    other = few.select("sig", F.col("node").alias("b"), F.col("root").alias("rb"))
-    pairs = few.select("sig", F.col("node").alias("a"), "root").join(other, "sig").filter("a < b and root <> rb").select("a", "b").distinct()
-    blocks_ = F.ceil(F.col("members") / BLOCK).cast("int")
-    many = sized.filter(F.col("members") > FEW).join(sketches, "node").withColumn("blocks", blocks_)
-    many = many.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("sig", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"), "block", "node", "root", "n", "sketch")
-    found = dealt.groupBy("sig", "lo", "hi").applyInArrow(_block_pairs(percent), "a long, b long")
-    return _verify(pairs, sketches, percent).unionByName(found).distinct()
+    def run(batches):
+        left, right = [], []
+        for unit in _units(batches):
+            node, first = np.unique(unit["node"].to_numpy(), return_index=True)
+            if len(node) > 1:
+                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["shingles"].take(first)]
+                apart = unit["block"].to_numpy()[first] if unit["lo"][0].as_py() != unit["hi"][0].as_py() else None
+                for i, j in forest(found, unit["root"].to_numpy()[first], apart, percent):
+                    left.append(node[i])
+                    right.append(node[j])
+            if len(left) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+                left, right = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
+    return run
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``."""
-    spark = docs.sparkSession
-    base = staged(_arrow(docs, "doc_id long, n_shingles long, node long, sketch binary", _measure), "jaccard-base")
-    frequent = spark.sparkContext.broadcast(_frequent(docs, base.count()))
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, shingles of the documents whose ``cell`` is wanted: their texts are read again, others are passed over."""
+    cells = wanted.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(CELLS // 64, np.int64)
+    bitmap[cells["w"].to_numpy()] = cells["bits"].to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def asked(batches):
+        for batch in batches:
+            cell = batch.column("cell").to_numpy()
+            yield batch.filter(pa.array((sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool))).select(["text"])
 
     def emit(rows, found, state):
-        fresh = _fresh(found, state)
-        sig = [signatures(s, frequent.value, percent) for _, s in fresh]
-        node = np.repeat(np.array([n for n, _ in fresh], np.int64), [len(x) for x in sig])
-        return [pa.array(np.concatenate(sig).view(np.int64) if sig else [], pa.int64()), pa.array(node, pa.int64())]
+        got = [(f, s) for f, s in zip(_fresh(found, state), found) if f is not None]
+        return [pa.array([f for f, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())]
+
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text").mapInArrow(asked, "text string")
+    return _arrow(texts, "node long, shingles binary", emit)
 
-    emitted = _arrow(docs, "sig long, node long", emit)
-    # (sig, node) rows of groups with more than one node; one shuffle, grouped and ranked by sig
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs``."""
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs))
+    base = staged(_measured(docs, frequent, percent), "jaccard-base")
+    # groups of more than one node; one shuffle, grouped and ranked by sig
+    emitted = base.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
     spread = emitted.repartition("sig").sortWithinPartitions("sig", "node")
-    shared = staged(spread.mapInArrow(_groups, "sig long, node long, hub long"), "jaccard-shared")
-    # of each node that shares a signature, once; first() takes any of equal values
-    sketches = base.filter("node is not null").groupBy("node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
-    sketches = staged(sketches.join(shared.select("node").distinct(), "node", "left_semi"), "jaccard-sketches")
-    stars = shared.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = _exact(docs, _verify(stars, sketches, percent), percent)
-    roots = staged(components(links, "a", "b"), "jaccard-roots")
-    placed = shared.select("sig", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("sig")
-    rest = staged(placed.join(mixed, "sig", "left_semi"), "jaccard-rest")
-    more = _exact(docs, _cross(rest, sketches, percent), percent)
-    labels = staged(components(links.unionByName(more), "a", "b"), "jaccard-labels")
-    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
-    of_root = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_node = nodes.join(of_root, "root").select("node", "component_id")
-    return base.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    pairs = spread.mapInArrow(_groups, "sig long, node long, hub long").select("hub", "node").distinct()
+    # first() takes any of equal sketches, and any document that has the set
+    nodes = base.filter("sigs is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "cell", "sketch")))
+    units = staged(pairs.join(nodes, "node"), "jaccard-units")
+    likely = staged(_worked(_dealt(units), _likely(percent), "hub long, node long, n long, cell long").distinct(), "jaccard-likely")
+    discard(units)
+    held = staged(_sets_of(docs, likely), "jaccard-sets")
+    members = staged(_dealt(likely).select("hub", "node", "block", "lo", "hi"), "jaccard-members")
+    links = _worked(members.filter("lo = hi").join(held, "node").withColumn("root", F.col("node")), _links(percent), "a long, b long")
+    links = staged(links, "jaccard-links")
+    labels = components(links, "a", "b")
+    if members.filter("lo < hi").limit(1).count():
+        crossed = members.filter("lo < hi").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        more = _worked(crossed.join(held, "node"), _links(percent), "a long, b long")
+        first, labels = labels, components(links.unionByName(more), "a", "b")
+        discard(first)
+    discard(held, likely, members, links)
+    rows = base.select("doc_id", "n", "node")
+    least = rows.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_node = least.join(of_root, "root").select("node", "component_id")
+    return rows.join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _groups(batches):
@@ -325,20 +422,3 @@ def _groups(batches):
         if carry_sig is not None and group[-1] == 0 and carry_out:
             last = True
         carry_sig, carry_node, carry_hub, carry_out = sig[-1], node[-1], hub[-1], last
-
-
-def _held(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """node, shingles of the candidate nodes: texts are read again; a bitmap of fixed size spares most others."""
-    spark, size = docs.sparkSession, 1 << 24
-    cells = candidates.select(F.pmod("node", F.lit(size)).alias("c"))
-    words_ = cells.groupBy((F.col("c") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(size // 64, np.int64)
-    bitmap[words_["w"].to_numpy()] = words_["bits"].to_numpy()
-    sent = spark.sparkContext.broadcast(bitmap)
-
-    def emit(rows, found, state):
-        got = [(n, s) for n, s in _fresh(found, state) if sent.value[(n % size) >> 6] >> ((n % size) & 63) & 1]
-        return [pa.array([n for n, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())]
-
-    found = _arrow(docs, "node long, shingles binary", emit)
-    return staged(found.join(candidates, "node", "left_semi").dropDuplicates(["node"]), "jaccard-sets")

@@ -48,8 +48,7 @@ def test_whole_table_equals_brute_force(spark, sf_dir):
 
 
 def test_edits_around_the_threshold_and_shared_passages(spark, monkeypatch):
-    monkeypatch.setattr(op, "BLOCK", 5)
-    monkeypatch.setattr(op, "FEW", 3)
+    monkeypatch.setattr(op, "BLOCK", 400)
     rng = np.random.default_rng(5)
     word = lambda: "w" + str(rng.integers(10**9))
     passage = [word() for _ in range(60)]
