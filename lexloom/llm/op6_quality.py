@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, per_document, staged
+from lexloom.llm.common import blocks, discard, per_document, staged
 from lexloom.llm.wordhash import distinct, mix, runs
 
 BUCKETS = 1 << 18
@@ -31,6 +32,8 @@ MAX_ROWS, MAX_FEATURES, MIN_DOCS = 12_000, 12_000 * 2_048, 4
 HEADS = (4, 6)
 GRADES, STEPS, RATE, DECAY = 3, 250, 0.1, 3e-4
 THRESHOLD = 0.5
+#: Features that the fit works on at a time.
+STRETCH = 1 << 20
 SCHEMA = "doc_id long, p_toxic double, tail_prob double, expected_grade double, keep boolean"
 
 _LETTER = np.zeros(256, bool)
@@ -78,11 +81,17 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not rows:
         return weights, thresholds
     grade = np.array([g for g, _ in rows])
-    column = np.concatenate([f for _, f in rows])
-    row = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    common = np.bincount(column, minlength=BUCKETS) >= min(MIN_DOCS, len(rows))
-    row, column = row[common[column]], column[common[column]]
-    used, column = np.unique(column, return_inverse=True)
+    times = np.zeros(BUCKETS, np.int32)
+    for _, found in rows:
+        times[found] += 1  # each bucket once a row
+    common = times >= min(MIN_DOCS, len(rows))
+    used = np.flatnonzero(common)
+    place = np.cumsum(common, dtype=np.int32) - 1
+    parts = [place[found[common[found]]] for _, found in rows]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in parts])
+    column = np.concatenate(parts)
+    del parts
+    stretches = [slice(k, k + STRETCH) for k in range(0, len(row), STRETCH)]
     above = np.array([np.clip((grade > k).mean(), 0.01, 0.99) for k in range(GRADES - 1)])
     # free parameters: the weights, the first threshold, and logarithms of the gaps to the next ones
     start = -np.log(above / (1 - above))
@@ -91,7 +100,7 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     n = len(rows)
     for step in range(1, STEPS + 1):
         w, cut = x[: len(used)], np.cumsum(np.concatenate([x[len(used) : len(used) + 1], np.exp(x[len(used) + 1 :])]))
-        f = np.bincount(row, w[column], n)
+        f = sum((np.bincount(row[k], w[column[k]], n) for k in stretches), np.zeros(n))
         upper = np.concatenate([np.ones((n, 1)), _sigmoid(f[:, None] - cut)], axis=1)  # P(grade >= k)
         lower = np.concatenate([upper[:, 1:], np.zeros((n, 1))], axis=1)
         at = np.arange(n), grade
@@ -103,7 +112,8 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         by_cut = slope[:, 1:GRADES].sum(axis=0)
         gap = np.exp(x[len(used) + 1 :])
         tail = np.cumsum(by_cut[::-1])[::-1]
-        gradient = np.concatenate([np.bincount(column, (du - dl)[row], len(used)), tail[:1], tail[1:] * gap]) / n
+        by_weight = sum((np.bincount(column[k], (du - dl)[row[k]], len(used)) for k in stretches), np.zeros(len(used)))
+        gradient = np.concatenate([by_weight, tail[:1], tail[1:] * gap]) / n
         gradient[: len(used)] -= DECAY * w
         first, second = 0.9 * first + 0.1 * gradient, 0.99 * second + 0.01 * gradient**2
         x += RATE * (1 - step / (STEPS + 1)) * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-6)
@@ -137,15 +147,16 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     # the sample has a fixed bound, so it is the side to send
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "place")
     made = sample.mapInArrow(emit, "grade long, place long, n long, found binary").limit(2 * MAX_ROWS)
-    made = staged(made.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
+    made = made_all = staged(made.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
     sizes = sorted(tuple(r) for r in made.select("place", "row", "n").collect())
     fits = max(1, int((np.cumsum([n for *_, n in sizes]) <= MAX_FEATURES).sum()))  # whole rows only
     if len(sizes) > fits:
         last = F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(sizes[fits - 1], ("place", "row"))))
         made = made.filter(F.struct("place", "row") <= last)
     got = made.select("grade", "found").toArrow()
+    discard(made_all)
     rows = [(g, np.frombuffer(f.as_buffer(), np.int32)) for g, f in zip(got["grade"].to_pylist(), got["found"])]
-    return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes())))
+    return fit(sorted(rows, key=lambda r: (r[0], xxhash.xxh3_64_intdigest(r[1]))))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
