@@ -7,6 +7,13 @@ see of a prefix is therefore the chain of suffixes that still begin some vocabul
 vocabulary-automaton node, the last token before it, and how many tokens fewer it had.  That chain is a
 state; states are interned when first met, and each transition carries the new last token and the change
 of the token count.  Words are lanes of numpy arrays that step through one hashed transition table.
+
+A long word is cut into pieces that are lanes side by side.  Each piece is a map from an entry state to an exit state
+and a count; it is taken at the state that the symbols just before it lead to, and the maps compose in a prefix scan.
+Where a piece's exit is not the next one's entry, the next one is run again from the right state.
+
+The table holds a bounded number of transitions: when it is full, the states that lanes are in are interned anew in
+an empty one.
 """
 
 from __future__ import annotations
@@ -16,10 +23,14 @@ import json
 import numpy as np
 
 #: Transitions kept before the machine is emptied and compiled anew; bounds a worker's memory.
-MAX_TRANSITIONS = 1 << 20
-_SLOTS = 1 << 21
+MAX_TRANSITIONS = 1 << 19
+#: Lanes that step at once; each may add a transition, so a table never has more than both together.
+LANES = 1 << 17
+_SLOTS = 1 << 20
+#: Symbols of a piece of a long word, and of those before it that tell its entry state.
+PIECE, WARM = 512, 48
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(64 - 21)
+_SHIFT = np.uint64(64 - 20)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -111,12 +122,28 @@ class Machine:
             self.length[i] = len(s)
         self._reset()
 
-    def _reset(self) -> None:
+    def _reset(self, *live: np.ndarray) -> None:
+        """Empties the table; the states in ``live`` arrays get their new numbers there."""
+        held = [self.states[i] for i in np.unique(np.concatenate(live))] if live else []
+        old = self.ids if live else {}
         self.keys = np.full(_SLOTS, -1, np.int64)
         self.values = np.zeros(_SLOTS, np.int64)
-        self.filled = 0
+        self.filled, self.single = 0, {}
         self.states: list[tuple] = [((0, -1, 0),)]
         self.ids = {self.states[0]: 0}
+        if held:
+            number = np.zeros(max(old[c] for c in held) + 1, np.int64)
+            for chain in held:
+                number[old[chain]] = self._intern(chain)
+            for array in live:
+                array[:] = number[array]
+
+    def _intern(self, chain: tuple) -> int:
+        to = self.ids.get(chain)
+        if to is None:
+            to = self.ids[chain] = len(self.states)
+            self.states.append(chain)
+        return to
 
     def _compile(self, key: int) -> int:
         """next state << 24 | last token << 6 | change of the count + 32."""
@@ -135,11 +162,7 @@ class Machine:
             raise ValueError(f"no token covers symbol {symbol}")
         token, delta = found
         chain = tuple((n, t, c - delta) for n, t, c in rest) + ((0, token, 0),)
-        to = self.ids.get(chain)
-        if to is None:
-            to = self.ids[chain] = len(self.states)
-            self.states.append(chain)
-        return to << 24 | token << 6 | delta + 32
+        return self._intern(chain) << 24 | token << 6 | delta + 32
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.view(np.uint64) * _MULT) >> _SHIFT).view(np.int64)
@@ -171,32 +194,85 @@ class Machine:
             at[todo] = (at[todo] + 1) % _SLOTS
         return out
 
-    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool):
-        """Token counts of the words at ``starts``; with ``keep`` also the last token of every prefix.
+    def _lanes(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray, last: np.ndarray | None, *others: np.ndarray) -> np.ndarray:
+        """Steps all lanes to their ends, in ``state``; gives the change of their counts.
 
-        Lanes are ordered by length, so that each step works on one leading slice.
+        Lanes are ordered by length, so that each step works on one leading slice; ``others`` are states to keep valid.
         """
-        if self.filled > MAX_TRANSITIONS:
-            self._reset()
-        order = np.argsort(-lengths, kind="stable")
-        start, length = starts[order], lengths[order]
-        n = len(order)
-        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        last = np.zeros(len(symbols), np.int32) if keep else None
-        longest = int(length[0]) if n else 0
+        count = np.zeros(len(start), np.int64)
+        longest = int(length[0]) if len(length) else 0
         # active[k]: how many lanes are longer than k
-        active = n - np.searchsorted(length[::-1], np.arange(longest), side="right")
+        active = len(length) - np.searchsorted(length[::-1], np.arange(longest), side="right")
         for k in range(longest):
             m = int(active[k])
-            at = start[:m] + k
-            got = self._step(state[:m] << 9 | symbols[at])
-            state[:m] = got >> 24
-            count[:m] += (got & 63) - 32
-            if keep:
+            for a in range(0, m, LANES):
+                b = min(m, a + LANES)
+                if self.filled > MAX_TRANSITIONS:
+                    self._reset(state, *others)
+                at = start[a:b] + k
+                got = self._step(state[a:b] << 9 | symbols[at])
+                state[a:b] = got >> 24
+                count[a:b] += (got & 63) - 32
+                if last is not None:
+                    last[at] = got >> 6 & 0x3FFFF
+        return count
+
+    def _again(self, symbols: np.ndarray, start: int, length: int, state: int, last: np.ndarray | None) -> tuple[int, int]:
+        """Exit state and count of one piece from another entry state."""
+        count = 0
+        for at in range(start, start + length):
+            key = state << 9 | int(symbols[at])
+            got = self.single.get(key)
+            if got is None:
+                got = self.single[key] = int(self._step(np.array([key], np.int64))[0])
+            state = got >> 24
+            count += (got & 63) - 32
+            if last is not None:
                 last[at] = got >> 6 & 0x3FFFF
-        out = np.empty(n, np.int64)
-        out[order] = count
-        return out, last
+        return state, count
+
+    def _joined(self, symbols, start, length, word, entry, exit_, count, last) -> np.ndarray:
+        """Counts of words from the maps of their pieces (in order): where entries fit, sums of them; else piece by piece."""
+        fits = np.ones(len(word), bool)
+        fits[1:] = (word[1:] != word[:-1]) | (exit_[:-1] == entry[1:])
+        wrong = np.unique(word[~fits])
+        for w in wrong.tolist():
+            rows = np.flatnonzero(word == w)
+            state = np.array([exit_[rows[0]]], np.int64)
+            for r in rows[1:].tolist():
+                if entry[r] != state[0]:
+                    if self.filled > MAX_TRANSITIONS:
+                        self._reset(state, entry, exit_)
+                    exit_[r], count[r] = self._again(symbols, int(start[r]), int(length[r]), int(state[0]), last)
+                state[0] = exit_[r]
+        return np.bincount(word, count).astype(np.int64)
+
+    def run(self, symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, keep: bool):
+        """Token counts of the words at ``starts``; with ``keep`` also the last token of every prefix."""
+        if self.filled > MAX_TRANSITIONS:
+            self._reset()
+        pieces = np.where(lengths > 2 * PIECE, -(-lengths // PIECE), 1)
+        word = np.repeat(np.arange(len(starts)), pieces)
+        number = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start, length = starts[word] + number * PIECE, np.where(pieces[word] > 1, PIECE, lengths[word])
+        ends = np.cumsum(pieces) - 1
+        length[ends] = lengths - (pieces - 1) * PIECE
+        entry = np.zeros(len(word), np.int64)
+        inner = np.flatnonzero(number)
+        if inner.size:
+            warm = np.zeros(len(inner), np.int64)
+            self._lanes(symbols, start[inner] - WARM, np.full(len(inner), WARM, np.int64), warm, None)
+            entry[inner] = warm
+        last = np.zeros(len(symbols), np.int32) if keep else None
+        order = np.argsort(-length, kind="stable")
+        entry = entry[order]
+        state = entry.copy()
+        count = self._lanes(symbols, start[order], length[order], state, last, entry)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        if not inner.size:
+            return count[back], last
+        return self._joined(symbols, start, length, word, entry[back], state[back], count[back], last), last
 
     def follow(self, last: np.ndarray, starts: np.ndarray, lengths: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of all words in order, by the back-pointers from each word's end."""
