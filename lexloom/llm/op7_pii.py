@@ -1,35 +1,38 @@
 """PII: base patterns plus information-theoretic sanitisation of the terms around them.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers; their values are the protected
-entities.  Terms that stand within ``WINDOW`` words of an entity are candidates.  Over the whole corpus, with ``D``
-documents, a term ``t`` discloses an entity ``e`` to the degree
+entities.  The ``WINDOW`` words before and after an entity, other spans passed over and however far apart, are its
+candidates.  Over the whole corpus, with ``D`` documents, a term ``t`` discloses an entity ``e`` to the degree
 
     ``log(D * n(e,t) / (n(e) * n(t))) / log(D / n(e))``
 
 that is, by their pointwise mutual information as a share of the entity's information (1: whoever sees the term
 knows the entity).  A pair that stands together in ``SUPPORT`` documents or more and reaches ``DISCLOSURE``
-exceeds the threshold: the term becomes a span of kind ``term`` wherever it stands in a window around that
-entity.  ``sanitise`` generalises base spans to their kind in brackets and removes terms.
+exceeds the threshold: in every document that holds the entity, each occurrence of the term outside base spans becomes a
+span of kind ``term``.  Documents without the entity keep the term, as nothing is protected in them that it could tell.
+An entity or pair met in one document only says nothing about the corpus and discloses nothing.  ``sanitise`` generalises
+base spans to their kind in brackets and removes terms.
 
 Counts cover all documents.  Terms are held as 64-bit hashes; a bitmap of fixed size (sent to the workers) spares
 counting most words that are nobody's candidate.
 
 Defined cases: null and empty texts have no spans; repeated rows count each as a document and are answered row by
 row; digits of any length are read whole; an empty table gives an empty table; other columns are ignored
-(``spans``) or stay (``sanitise``).
+(``spans``) or stay, whatever their names (``sanitise``).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom.llm.common import staged
 
@@ -92,91 +95,103 @@ def _hash(text: str) -> int:
     return xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(entity, term, start, end) of the words within WINDOW words of each span, outside of all spans."""
-    out = []
-    if not spans:
-        return out
-    gaps, at = [], 0
-    for a, _, b in spans:
-        gaps.append((at, max(at, a)))
+def words(text: str, spans: list[tuple[int, int, int]]) -> list[re.Match]:
+    """Words outside of all spans, in order; a span parts the words beside it."""
+    out, at = [], 0
+    for a, _, b in [*spans, (len(text), 0, len(text))]:
+        if a > at:
+            out += _WORD.finditer(text, at, a)
         at = max(at, b)
-    gaps.append((at, len(text)))
-    for k, (a, kind, b) in enumerate(spans):
-        entity = _hash(f"{KINDS[kind]}:{text[a:b].lower()}")
-        near = []
-        lo, hi = gaps[k]
-        # 400 characters hold any window of ordinary words; a longer word ends the window
-        cut = max(lo, hi - 400)
-        if cut > lo and cut > 0 and text[cut - 1].isalpha():
-            while cut < hi and text[cut].isalpha():
-                cut += 1
-        near += list(_WORD.finditer(text, cut, hi))[-WINDOW:]
-        lo, hi = gaps[k + 1]
-        cut = min(hi, lo + 400)
-        if cut < hi and text[cut].isalpha():
-            while cut > lo and text[cut - 1].isalpha():
-                cut -= 1
-        near += list(_WORD.finditer(text, lo, cut))[:WINDOW]
-        out += [(entity, _hash(m[0].lower()), m.start(), m.end()) for m in near]
     return out
 
 
+def contexts(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """(entity, term) of the WINDOW words outside of all spans before and after each span, each pair once."""
+    found = words(text, spans) if spans else []
+    begin, out = [m.start() for m in found], {}
+    hashes: dict[str, int] = {}
+    for a, kind, b in spans:
+        entity = _hash(f"{KINDS[kind]}:{text[a:b].lower()}")
+        k, n = bisect_left(begin, a), bisect_left(begin, b)
+        for m in (*found[max(0, k - WINDOW) : k], *found[n : n + WINDOW]):
+            word = m[0].lower()
+            if word not in hashes:
+                hashes[word] = _hash(word)
+            out[entity, hashes[word]] = None
+    return list(out)
+
+
 _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("s", pa.int64()), ("e", pa.int64())]))
-_FOUND = "base array<struct<kind:int,s:long,e:long>>, near array<struct<entity:long,term:long,s:long,e:long>>"
+_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64())]))
+_FOUND = "held string, base array<struct<kind:int,s:long,e:long>>, near array<struct<entity:long,term:long>>"
 
 
-def _find(names: list[str], added: tuple[str, str] = ("base", "near")):
-    """Adds base spans and their contexts to batches whose text may be left out of ``names``."""
+def _find(batches):
+    """Base spans and their candidates beside each batch's first column; ``held`` is the text where it has spans."""
+    for batch in batches:
+        base, near, held = [], [], []
+        for text in batch.column("text").to_pylist():
+            spans = base_spans(text or "")
+            base.append([{"kind": k, "s": a, "e": b} for a, k, b in spans])
+            near.append([{"entity": e, "term": t} for e, t in contexts(text or "", spans)])
+            held.append(text if spans else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.string()), pa.array(base, _SPAN), pa.array(near, _NEAR)], names=["kept", "held", "base", "near"])
 
-    def run(batches):
-        for batch in batches:
-            base, near = [], []
-            for text in batch.column("text").to_pylist():
-                spans = base_spans(text or "")
-                base.append([{"kind": k, "s": a, "e": b} for a, k, b in spans])
-                near.append([dict(zip(("entity", "term", "s", "e"), c)) for c in contexts(text or "", spans)])
-            kept = [batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(base, _SPAN), pa.array(near, _NEAR)], names=[*names, *added])
 
-    return run
+def _found(docs: DataFrame, kept: Column) -> DataFrame:
+    """``kept`` of each row beside what :func:`_find` tells of its text; one pass."""
+    given = docs.select(kept.alias("kept"), F.col("text").alias("text"))
+    schema = StructType([given.schema["kept"], *StructType.fromDDL(_FOUND)])
+    return given.mapInArrow(_find, schema)
+
+
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Bits of the terms' cells, of fixed size."""
+    cells = terms.select(F.pmod("term", F.lit(BITMAP)).alias("c"))
+    found = cells.groupBy((F.col("c") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(BITMAP // 64, np.int64)
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return bitmap
+
+
+class _Known:
+    """Hashes of words whose bit is set, else None; a bounded memory of words."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.held = bits, {}
+
+    def __call__(self, word: str) -> int | None:
+        h = self.held.get(word, 0)
+        if h == 0:
+            if len(self.held) > 300_000:
+                self.held.clear()
+            h = _hash(word)
+            c = h % BITMAP
+            h = self.held[word] = h if self.bits[c >> 6] >> (c & 63) & 1 else None
+        return h
 
 
 def disclosing(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
     """(entity, term) pairs beyond the threshold, from ``near`` of ``found`` and the words of all ``total`` rows of ``docs``."""
-    spark = docs.sparkSession
-    pairs = found.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))).alias("p")).select("p.*")
-    entities = found.filter(F.size("near") > 0).select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
+    some = found.filter(F.size("near") > 0)
+    pairs = some.select(F.inline("near"))
+    entities = some.select(F.explode(F.array_distinct(F.transform("near", lambda x: x["entity"]))).alias("entity"))
     together = staged(pairs.groupBy("entity", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= SUPPORT), "pii-pairs")
-    cells = together.select(F.pmod("term", F.lit(BITMAP)).alias("c"))
-    words = cells.groupBy((F.col("c") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(c % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(BITMAP // 64, np.int64)
-    bitmap[words["w"].to_numpy()] = words["bits"].to_numpy()
+    bitmap = _bitmap(together)
     if not bitmap.any():
         return together.select("entity", "term").limit(0)
-    sent = spark.sparkContext.broadcast(bitmap)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def count(batches):
         held: Counter = Counter()
-        known: dict[str, int | None] = {}
+        known = _Known(sent.value)
 
         def flush():
             return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["term", "n"])
 
-        bits = sent.value
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in set(_WORD.findall((text or "").lower())):
-                    h = known.get(word, 0)
-                    if h == 0:
-                        h = _hash(word)
-                        c = h % BITMAP
-                        h = known[word] = h if bits[c >> 6] >> (c & 63) & 1 else None
-                    if h is not None:
-                        held[h] += 1
-            if len(known) > 300_000:
-                known.clear()
+                held.update(h for h in map(known, set(_WORD.findall((text or "").lower()))) if h is not None)
             if len(held) > 300_000:
                 yield flush()
                 held = Counter()
@@ -190,17 +205,32 @@ def disclosing(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
 
 
 def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``found`` with ``terms``, the spans of disclosing terms of each row."""
-    near = found.filter(F.size("near") > 0).select("row", F.inline("near"))
-    terms = near.join(pairs, ["entity", "term"]).groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e")).alias("terms"))
+    """``found`` (with ``row``) and ``terms``: all occurrences of terms that disclose an entity of the row."""
+    sent = found.sparkSession.sparkContext.broadcast(_bitmap(pairs))
+
+    def occurrences(batches):
+        known = _Known(sent.value)
+        for batch in batches:
+            out = []
+            for row, text, base in zip(*(batch.column(c).to_pylist() for c in ("row", "held", "base"))):
+                for m in words(text, [(x["s"], x["kind"], x["e"]) for x in base]):
+                    term = known(m[0].lower())
+                    if term is not None:
+                        out.append((row, term, m.start(), m.end()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["row", "term", "s", "e"])
+
+    met = found.filter(F.size("base") > 0).select("row", "held", "base").mapInArrow(occurrences, "row long, term long, s long, e long")
+    # a term is near the few entities that it discloses, so rows grow by that; the entity must be the row's own
+    own = found.filter(F.size("near") > 0).select("row", F.inline("near")).select("row", "entity").distinct()
+    told = met.join(pairs, "term").join(own, ["row", "entity"], "left_semi")
+    terms = told.groupBy("row").agg(F.collect_set(F.struct(F.lit(4).alias("kind"), "s", "e")).alias("terms"))
     return found.join(terms, "row", "left")
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (and n_term) of every row of ``docs``."""
-    found = docs.select("doc_id", "text").mapInArrow(_find(["doc_id"]), f"doc_id long, {_FOUND}")
-    found = staged(found.withColumn("row", F.monotonically_increasing_id()), "pii-found")
-    every = _with_terms(found, staged(disclosing(docs, found, found.count()), "pii-terms"))
+    found = staged(_found(docs, F.col("doc_id")).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    every = _with_terms(found, staged(disclosing(docs, found, found.count()), "pii-terms")).withColumnRenamed("kept", "doc_id")
 
     def told(column):
         name = F.element_at(F.array(*map(F.lit, KINDS)), column["kind"] + 1)
@@ -241,21 +271,18 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     def write(batches):
         for batch in batches:
-            columns = [batch.column(n) for n in names]
+            columns = batch.column("kept").flatten()
             texts = []
-            for text, *lists in zip(*(batch.column(c).to_pylist() for c in ("text", "pii_base", "pii_terms"))):
+            for text, *lists in zip(*(batch.column(c).to_pylist() for c in ("held", "base", "terms"))):
                 texts.append(rewrite(text, [(x["s"], x["kind"], x["e"]) for part in lists for x in part or []]))
             columns[names.index("text")] = pa.array(texts, columns[names.index("text")].type)
             if "n_chars" in names:
                 columns[names.index("n_chars")] = pa.array(list(map(len, texts)), columns[names.index("n_chars")].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    added = _FOUND.replace("base array", "pii_base array").replace("near array", "pii_near array")
-    found = docs.mapInArrow(_find(names, ("pii_base", "pii_near")), f"{fields}, {added}").filter(F.size("pii_base") > 0)
-    found = staged(found.withColumn("pii_row", F.monotonically_increasing_id()), "pii-found")
-    near = found.select(F.col("pii_row").alias("row"), F.col("pii_near").alias("near"))
-    pairs = staged(disclosing(docs, near, docs.count()), "pii-terms")
-    terms = _with_terms(near, pairs).select(F.col("row").alias("pii_row"), F.col("terms").alias("pii_terms"))
-    told = found.join(terms, "pii_row", "left").select(*names, "pii_base", "pii_terms")
+    # a row's own columns travel in one, so that none can clash with what is found
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    found = staged(_found(docs, whole).filter(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id()), "pii-found")
+    pairs = staged(disclosing(docs, found, docs.count()), "pii-terms")
+    told = _with_terms(found, pairs).select("kept", "held", "base", "terms")
     return docs.mapInArrow(clean, schema).unionByName(told.mapInArrow(write, schema))

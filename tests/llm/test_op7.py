@@ -3,6 +3,8 @@ import re
 from collections import Counter
 from math import log
 
+from pyspark.sql import functions as F
+
 from lexloom.llm import op7_pii as op
 from lexloom.llm.common import table
 
@@ -40,20 +42,36 @@ def joined(spans):
 
 
 def brute(rows):
-    """Every row's base spans and term spans, from plain counts."""
+    """Every row's base spans and term spans, from plain counts and words as strings."""
     base = [brute_base(t or "") for _, t in rows]
-    near = [op.contexts(t or "", b) for (_, t), b in zip(rows, base)]
+    near, words = [], []
+    for (_, t), spans in zip(rows, base):
+        text, inside = t or "", set()
+        for a, _, b in spans:
+            inside.update(range(a, b))
+        cut = "".join("\0" if k in inside else c for k, c in enumerate(text))
+        own = [(m.start(), m[0].lower(), m.end()) for m in re.finditer(r"[^\W\d_]{3,}", cut)]
+        words.append(own)
+        pairs = set()
+        for a, k, b in spans:
+            before, after = [w for w in own if w[0] < a][-6:], [w for w in own if w[0] >= b][:6]
+            pairs |= {((k, text[a:b].lower()), w) for _, w, _ in before + after}
+        near.append(pairs)
     both, entity, term = Counter(), Counter(), Counter()
     for (_, t), n in zip(rows, near):
-        both.update({x[:2] for x in n})
-        entity.update({x[0] for x in n})
-        term.update({op._hash(w) for w in re.findall(r"[^\W\d_]{3,}", (t or "").lower())})
+        both.update(n)
+        entity.update({e for e, _ in n})
+        term.update(set(re.findall(r"[^\W\d_]{3,}", (t or "").lower())))
     total = len(rows)
 
     def tells(e, t):
         return both[e, t] >= 2 and entity[e] < total and log(total * both[e, t] / (entity[e] * max(term[t], both[e, t]))) >= 0.9 * log(total / entity[e])
 
-    terms = [{(a, 4, b) for e, t, a, b in n if tells(e, t)} for n in near]
+    tell = {}
+    for e, t in both:
+        if tells(e, t):
+            tell.setdefault(t, set()).add(e)
+    terms = [{(a, 4, b) for a, w, b in own if tell.get(w, set()) & {e for e, _ in n}} for own, n in zip(words, near)]
     return {i: (hashlib.sha256(joined(b).encode()).hexdigest(), joined(list(b) + list(x))) for (i, _), b, x in zip(rows, base, terms)}
 
 
@@ -76,12 +94,16 @@ def test_whole_table(spark, sf_dir):
 
 def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"the notes of Zebulon about ann@x.org are in box {i}") for i in range(3)]
-    rows += [(i, f"the notes about the box are here {i}") for i in range(10, 40)] + [(50, None), (51, ""), (52, SAMPLES[0])]
+    far = "Quirin" + " " * 900 + "bob@x.org +49 30 123456 bob@x.org 1.2.3.4" + " word" * 40 + " quirin"
+    rows += [(5, far), (6, far), (7, "quirin and Zebulon alone")]
+    rows += [(i, f"the notes about the box are here {i}") for i in range(10, 400)] + [(500, None), (501, ""), (502, SAMPLES[0])]
     got = check(spark, rows)
-    assert "term:13:20" in got[0][1] and got[50][1] == got[51][1] == "" and "term" not in got[12][1]
-    docs = spark.createDataFrame([(i, t, -1, "k", "r") for i, t in rows], "doc_id long, text string, n_chars int, near string, row string")
+    assert "term:13:20" in got[0][1] and got[500][1] == got[501][1] == "" and "term" not in got[12][1]
+    docs = spark.createDataFrame([(i, t, -1, "k", "r") for i, t in rows], "doc_id long, text string, n_chars int, near string, row string").withColumns({"pii_row": F.lit(1), "base": F.lit(2), "kept": F.lit("k")})
     out = {r.doc_id: r for r in op.sanitise(docs).collect()}
-    assert len(out) == len(rows)
+    assert len(out) == len(rows) and op.sanitise(docs).columns == docs.columns and {(r.row, r.base, r.kept) for r in out.values()} == {("r", 2, "k")}
     assert out[0].text == "the notes of  about [EMAIL] are in box 0" and out[0].n_chars == len(out[0].text)
-    assert out[12].text == rows[5][1] and out[12].n_chars == -1 and out[50].text is None
+    assert got[5][1].startswith("term:0:6,") and got[5][1].endswith(f"term:{len(far) - 6}:{len(far)}") and "term" not in got[7][1]
+    assert "quirin" not in out[6].text.lower()
+    assert out[12].text == "the notes about the box are here 12" and out[12].n_chars == -1 and out[500].text is None
     assert op.spans(docs.limit(0)).collect() == [] and op.sanitise(docs.limit(0)).collect() == []
