@@ -9,12 +9,22 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of the batches that Spark hands to Python workers (its own default is 64 MB, several times over in each worker).
+ARROW_BYTES = 8 << 20
 #: Texts are handed to numpy in blocks of about this many characters.
 BLOCK_BYTES = 1 << 20
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the batches of whole texts by their bytes, where the session has left them at the default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one of the Parquet tables; only Spark touches the path, so any store works."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write a table into the shared folder and read it back, so its lineage ends there."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,9 @@
 
 Labelled text of each language becomes a suffix automaton.  A text is cut greedily into the longest phrases that
 occur in a language's text; the language that needs the fewest phrases a symbol wins.  All texts of a block
-and all languages are lanes of one numpy array; a text is parsed whole, in stretches of ``STRETCH`` symbols (a
-phrase ends where a stretch ends, for all languages alike).
+and all languages are lanes of one numpy array.  A long text is parsed in stretches of ``STRETCH`` symbols side by side,
+each from the state that the symbols before it lead to; where the stretch before ends in another state, it is parsed again
+from that one, so the phrases are those of the whole text.
 
 The automata are learned from a bounded sample a language: about ``SAMPLE_DOCS`` passages of at most ``PASSAGE``
 characters, together its share of ``SAMPLE_CHARS`` characters, but at least ``LEAST_CHARS``.  All labelled languages are
@@ -30,7 +31,8 @@ SAMPLE_DOCS, PASSAGE, SAMPLE_CHARS = 400, 600, 320_000
 LEAST_CHARS = 4_000
 #: Cells of a language's dense transition table; larger ones are hashed.
 DENSE = 1 << 23
-STRETCH = 512
+#: Symbols of a stretch, and of those before it that tell its first state.
+STRETCH, WARM = 512, 64
 #: Phrases that make a language about e times less likely, for the score.
 SHARPNESS = 2.0
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -146,6 +148,21 @@ class Transitions:
         return out
 
 
+def _parse(step: Transitions, symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Last state of each lane, from ``state``, and the phrases that ended in it."""
+    order = np.argsort(-size, kind="stable")
+    start, length, now = begin[order], size[order], state[order]
+    count = np.zeros(len(order), np.int32)
+    live = len(length) - np.searchsorted(length[::-1], np.arange(length[0] if len(length) else 0), side="right")
+    for k, n in enumerate(live.tolist()):
+        got = step(now[:n], symbols[start[:n] + k])
+        count[:n] += got & 3
+        now[:n] = got >> 2
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return now[back], count[back]
+
+
 class Identifier:
     """Automata of all languages; made once a worker from the sampled passages."""
 
@@ -184,18 +201,20 @@ class Identifier:
         owner = np.repeat(np.arange(len(texts)), pieces)
         begin = np.repeat(np.cumsum(sizes) - sizes, pieces) + STRETCH * (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
         size = np.minimum(STRETCH, np.repeat(np.cumsum(sizes), pieces) - begin)
-        order = np.argsort(-size, kind="stable")
-        begin, size, owner = begin[order], size[order], owner[order]
+        inner = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        final = np.flatnonzero(np.append(owner[1:] != owner[:-1], [True] * bool(len(owner))))
         out = np.zeros((len(texts), len(self.names)), np.int64)
-        live = len(size) - np.searchsorted(size[::-1], np.arange(size[0] if len(size) else 0), side="right")
         for column, (own, step) in enumerate(zip(self.own, self.steps)):
-            state, count = np.zeros(len(size), np.int32), np.zeros(len(size), np.int32)
             mine = own[codes]
-            for k, n in enumerate(live.tolist()):
-                got = step(state[:n], mine[begin[:n] + k])
-                count[:n] += got & 3
-                state[:n] = got >> 2
-            count += state != 0
+            entry = np.zeros(len(size), np.int32)
+            entry[inner] = _parse(step, mine, begin[inner] - WARM, np.full(len(inner), WARM, np.int64), entry[inner])[0]
+            state, count = _parse(step, mine, begin, size, entry)
+            wrong = inner[entry[inner] != state[inner - 1]]
+            while wrong.size:  # the first of a text is right afterwards, and so are all that follow from it
+                entry[wrong] = state[wrong - 1]
+                state[wrong], count[wrong] = _parse(step, mine, begin[wrong], size[wrong], entry[wrong])
+                wrong = inner[entry[inner] != state[inner - 1]]
+            count[final] += state[final] != 0
             out[:, column] = np.bincount(owner, count, len(texts))
         return out
 
@@ -218,10 +237,11 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     if not n_languages:
         return {}
     limit = max(SAMPLE_CHARS // n_languages, LEAST_CHARS)
-    picked = labelled.withColumn("place", F.xxhash64("doc_id", F.lit("language sample"))).join(sizes, "lang")
+    picked = labelled.withColumn("place", F.xxhash64("doc_id", "text", F.lit("language sample"))).join(sizes, "lang")
     share = F.lit(float(SAMPLE_DOCS)) * F.lit(2.0**64) / F.col("size") - F.lit(2.0**63)
     start = F.pmod("place", F.greatest(F.length("text") - PASSAGE, F.lit(1)))
     passages = picked.filter(F.col("place").cast("double") <= share).select("lang", "place", F.substring("text", (start + 1).cast("int"), F.lit(PASSAGE)).alias("passage"))
+    passages = passages.filter("passage <> ''").distinct()  # each has a character, so what is collected is bounded
     so_far = Window.partitionBy("lang").orderBy("place", "passage").rowsBetween(Window.unboundedPreceding, -1)
     rows = passages.withColumn("held", F.coalesce(F.sum(F.length("passage")).over(so_far), F.lit(0))).filter(F.col("held") < limit).collect()
     out: dict[str, list[str]] = {}

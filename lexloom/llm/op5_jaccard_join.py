@@ -50,9 +50,9 @@ LOAD = 2.2
 #: Frequent shingles that a task hands on, the most that are kept, and the share of sets (one of so many) they are in.
 TASK_FREQUENT, MAX_FREQUENT, FREQUENT_SHARE = 1 << 13, 100_000, 2000
 #: Shingles that are counted at once.
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 #: Elements of the sets of a block of a unit (a larger set is alone with its share of others).
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Cells of the bitmap of documents whose sets are wanted.
 CELLS = 1 << 26
 

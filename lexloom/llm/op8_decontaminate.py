@@ -4,8 +4,8 @@ A test item of ``n`` characters may be met with up to ``n * percent // 100`` edi
 than that, so one piece at least is met exactly: an Aho-Corasick automaton of all pieces finds these hits, and
 Myers' bit-parallel distance (one Python integer holds a column) verifies the text around them.
 
-Items are read in blocks of bounded size and each block is matched against all whole texts.  Texts and items
-are compared in lower case with white space as single blanks; ``start`` and ``end`` count characters of that form.
+Items are dealt into blocks of about ``ITEM_CHARS`` characters by their hash; one block at a time is in the driver, is sent
+to the workers and matched against all whole texts.  Texts and items are compared in lower case with white space as single blanks; ``start`` and ``end`` count characters of that form.
 
 Defined cases: null and blank items match nothing; null and empty texts hold nothing; equal items are reported
 under each id; a repeated document is reported for each row; an empty table gives an empty table; other
@@ -15,12 +15,14 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_document
+from lexloom.llm.common import discard, per_document, staged
 
 PERCENT = 8
 #: Characters of items that one pass over the documents takes (bounds what is sent to the workers).
@@ -129,15 +131,12 @@ class Matcher:
 
 
 def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    block, held = [], 0
-    for r in items.select("item_id", "text").toLocalIterator():
-        block.append((r.item_id, r.text))
-        held += len(r.text or "")
-        if held > ITEM_CHARS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+    """Blocks of items, equal texts in one; at least one block, which may be empty."""
+    known = items.select("item_id", "text").filter("text is not null")
+    count = -(-int(known.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]) // ITEM_CHARS)
+    for k in range(max(1, count)):
+        block = known.filter(F.pmod(F.xxhash64("text"), F.lit(max(1, count))) == k).toArrow()
+        yield list(zip(block["item_id"].to_pylist(), block["text"].to_pylist()))
 
 
 _matchers: dict = {}
@@ -153,8 +152,10 @@ def _matcher(sent, percent: int) -> Matcher:
 
 def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, item_id, distance, start, end of every item in every document."""
-    out = None
-    for block in list(_blocks(items)) or [[]]:
+    parts: list[DataFrame] = []
+    for block in _blocks(items):
+        if parts and not hasattr(parts[-1], "staged_path"):
+            parts[-1] = staged(parts[-1], "leaks")
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def work(rows, sent=sent):
@@ -162,14 +163,19 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
             found = [(i, *hit) for i, t in zip(rows["doc_id"], rows["text"]) for hit in matcher.find(normal(t))]
             return dict(zip((c.split()[0] for c in SCHEMA.split(", ")), zip(*found) if found else [[]] * 5))
 
-        part = per_document(docs, ["doc_id", "text"], SCHEMA, work)
-        out = part if out is None else out.unionByName(part)
-    return out
+        parts.append(per_document(docs, ["doc_id", "text"], SCHEMA, work))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` that hold no item; all columns stay, nothing is shuffled."""
-    for block in _blocks(items):
+    held = None  # the staged table that ``docs`` reads
+    for number, block in enumerate(_blocks(items)):
+        if number:
+            before, docs = held, staged(docs, "clean")
+            held = docs
+            if before is not None:
+                discard(before)
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def keep(batches, sent=sent):

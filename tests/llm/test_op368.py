@@ -39,6 +39,16 @@ def test_phrases_equal_a_greedy_parse():
             assert made.phrases([text])[0, column] == n, (text, name)
 
 
+def test_long_texts_are_parsed_as_wholes(monkeypatch):
+    rng = random.Random(11)
+    words = ["the", "cat", "sat", "on", "mat", "hund", "matte", "schlief", "xq"]
+    made = o3.Identifier({"a": [" ".join(rng.choices(words[:5], k=200))], "b": [" ".join(rng.choices(words[4:8], k=200))]})
+    texts = [" ".join(rng.choices(words, k=n)) for n in (1, 90, 400, 3000)] + ["the " * 5000, "q" * 3000, ""]
+    cut = made.phrases(texts)
+    monkeypatch.setattr(o3, "STRETCH", 1 << 30)
+    assert (made.phrases(texts) == cut).all()
+
+
 def test_language_accuracy_and_cases(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     rows = {r.doc_id: r for r in o3.identify(docs).collect()}
@@ -115,6 +125,16 @@ def test_matches_equal_brute_force_distance():
             assert distance(t, text[a:b]) == d
 
 
+def test_blocks_of_items_together_find_what_one_block_finds(spark, sf_dir, monkeypatch):
+    items, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    again = docs.limit(5)  # repeated rows are reported for each
+    docs = docs.unionByName(again)
+    one, kept = sorted(o8.leaks(docs, items).collect()), sorted(r.doc_id for r in o8.clean(docs, items).collect())
+    monkeypatch.setattr(o8, "ITEM_CHARS", 2_500)
+    assert len(list(o8._blocks(items))) > 2
+    assert sorted(o8.leaks(docs, items).collect()) == one and sorted(r.doc_id for r in o8.clean(docs, items).collect()) == kept
+
+
 def test_leaks_and_clean(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark")
     docs = table(spark, sf_dir, "documents")
