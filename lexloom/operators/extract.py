@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
@@ -20,17 +22,16 @@ def build_segments(spans: DataFrame, files: DataFrame | None = None) -> DataFram
     out = spans
     if files is not None:
         held = files.select("path", "content", F.sha2("content", 256).alias("file_sha256"))
-        out = spans.join(held, "path")
-        part = lambda a, n: F.decode(F.substring(F.col("content"), a, n), "UTF-8")
-        before = part(F.lit(1), F.col("start_byte").cast("int"))
-        after = part((F.col("end_byte") + 1).cast("int"), F.length("content"))
-        out = out.filter(part((F.col("start_byte") + 1).cast("int"), (F.col("end_byte") - F.col("start_byte")).cast("int")) == F.col("source_text"))
-        out = out.withColumns({
-            "line": (F.length(before) - F.length(F.replace(before, F.lit("\n"))) + 1).cast("int"),
-            "column": F.length(F.substring_index(before, "\n", -1)),
-            "context_before": F.right(before, F.lit(40)),
-            "context_after": F.left(after, F.lit(40)),
-        }).drop("content")
+        part = lambda a, n: F.make_valid_utf8(F.substring(F.col("content"), (a + 1).cast("int"), n.cast("int")).cast("string"))
+        start, end = F.col("start_byte"), F.col("end_byte")
+        found = _on_lines(spans, files).join(held, "path").filter(part(start, end - start) == F.col("source_text"))
+        # forty characters need no more than 160 bytes; three more may belong to a character that is cut
+        back = F.least(start, F.lit(163).cast("long"))
+        out = found.withColumns({
+            "column": F.length(part(F.col("line_start"), start - F.col("line_start"))),
+            "context_before": F.right(part(start - back, back), F.lit(40)),
+            "context_after": F.left(part(end, F.lit(163)), F.lit(40)),
+        }).drop("content", "line_start")
     return out.withColumns({
         "id": T.segment_id(F.col("path"), F.col("start_byte"), F.col("end_byte")),
         "source_sha256": F.sha2("source_text", 256),
@@ -39,6 +40,16 @@ def build_segments(spans: DataFrame, files: DataFrame | None = None) -> DataFram
     })
 
 
+def _on_lines(spans: DataFrame, files: DataFrame) -> DataFrame:
+    """``spans`` with the number and the first byte of the line that each begins on; one ordered pass over each file."""
+    starts = scan.lines(files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")), "text")
+    starts = starts.select("path", F.col("start_byte"), F.lit(0).alias("rank"), (F.col("ln") + 1).alias("line"), F.col("start_byte").alias("line_start"), F.lit(None).cast(spans.select(F.struct("*")).schema[0].dataType).alias("span"))
+    own = spans.select("path", "start_byte", F.lit(1).alias("rank"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("line_start"), F.struct("*").alias("span"))
+    upto = Window.partitionBy("path").orderBy("start_byte", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    told = starts.unionByName(own).withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("line", "line_start")})
+    return told.filter("rank = 1").select("span.*", "line", "line_start")
+
+
 def violations(segments: DataFrame) -> DataFrame:
     """Segments that break the row constraints, with the reason."""
     reason = (
@@ -59,32 +70,9 @@ def line_segments(files: DataFrame, text: str = "src") -> DataFrame:
     return cut.select("path", F.lit("string").alias("kind"), start.alias("start_byte"), (start + F.octet_length(body)).alias("end_byte"), body.alias("source_text"))
 
 
-def _fences(switch: bool):
-    """Fold over lines: whether each is inside a fence or is one (an array of booleans).
-
-    ``switch``: another marker changes the fence (the in-place way); otherwise it is text within the fence.
-    """
-
-    def fold(all_lines: Column) -> Column:
-        zero = F.struct(F.lit("").alias("open"), F.array().cast("array<boolean>").alias("inside"))
-
-        def step(acc, line):
-            mark = F.regexp_extract(line, r"(?U)^\s*(`{3}|~{3})", 1)
-            one = F.substring(mark, 1, 1)
-            other = one if switch else acc["open"]
-            now = F.when(mark == "", acc["open"]).when(acc["open"] == "", one).when(acc["open"] == one, "").otherwise(other)
-            return F.struct(now.alias("open"), F.array_append(acc["inside"], (mark != "") | (acc["open"] != "")).alias("inside"))
-
-        return F.aggregate(all_lines, zero, step, lambda acc: acc["inside"])
-
-    return fold
-
-
 def outside_fences(files: DataFrame, text: str = "src", switch: bool = False) -> DataFrame:
-    """Lines outside fenced code, with byte positions; a file without a fence mark is not folded."""
-    fenced = F.when(F.col(text).rlike("(?m)^\\s*(```|~~~)"), _fences(switch)(F.split(F.col(text), "\n", -1)))
-    cut = scan.lines(files.withColumn("_inside", fenced), text)
-    return cut.filter(~F.coalesce(F.get("_inside", F.col("ln")), F.lit(False))).drop("_inside")
+    """Lines outside fenced code, with byte positions."""
+    return scan.lines(files, text, "switch" if switch else "nested").filter("not inside").drop("inside")
 
 
 def markdown_segments(files: DataFrame, text: str = "src") -> DataFrame:
@@ -123,19 +111,33 @@ def _pieces(cut: DataFrame, separator: str, label: str | None, kind: str) -> Dat
 
 
 def greedy(spans: DataFrame) -> DataFrame:
-    """In order of start, the spans that begin where the last accepted one has ended or later.
+    """In order of start, the spans that begin where the last accepted one has ended or later; one pass over sorted rows."""
+    return overlapping(spans).filter("accepted").drop("accepted")
 
-    A fold over the spans of one file, whose size is bounded by the scan.
-    """
-    order = F.array_sort(F.collect_list(F.struct("start_byte", F.when(F.col("kind") == "markdown_link_label", 1).otherwise(0).alias("rank"), "end_byte", "kind", "source_text")))
-    zero = F.expr("named_struct('upto', 0L, 'kept', cast(array() as array<struct<start_byte:bigint,rank:int,end_byte:bigint,kind:string,source_text:string>>))")
-
-    def step(acc, x):
-        taken = F.struct(x["end_byte"].alias("upto"), F.array_append(acc["kept"], x).alias("kept"))
-        return F.when(x["start_byte"] >= acc["upto"], taken).otherwise(acc)
 
-    kept = spans.groupBy("path").agg(F.aggregate(order, zero, step, lambda acc: acc["kept"]).alias("kept"))
-    return kept.select("path", F.inline("kept")).select("path", "kind", "start_byte", "end_byte", "source_text")
+def overlapping(spans: DataFrame) -> DataFrame:
+    """``spans`` with whether each is ``accepted``: it is translatable (where there is such a column) or not, and begins
+    where the last accepted translatable one has ended or later.  Rows of a file are read in order, link labels after others.
+    """
+    names, schema = spans.columns, StructType([*spans.schema, *StructType.fromDDL("accepted boolean")])
+    judged = "translatable" in names
+
+    def run(batches):
+        path, upto = None, 0
+        for batch in batches:
+            accepted = []
+            advance = batch.column(names.index("translatable")).to_pylist() if judged else [True] * batch.num_rows
+            for p, a, b, told in zip(*(batch.column(names.index(c)).to_pylist() for c in ("path", "start_byte", "end_byte")), advance):
+                if p != path:
+                    path, upto = p, 0
+                accepted.append(a >= upto)
+                if a >= upto and told:
+                    upto = b
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(accepted, pa.bool_())], names=[*names, "accepted"])
+
+    rank = F.when(F.col("kind") == "markdown_link_label", 1).otherwise(0)
+    ordered = spans.repartition("path").sortWithinPartitions("path", "start_byte", rank, "end_byte", "kind", "source_text")
+    return ordered.mapInArrow(run, schema)
 
 
 def gate(spans: DataFrame) -> tuple[DataFrame, DataFrame]:

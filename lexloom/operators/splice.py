@@ -18,7 +18,7 @@ def splice(files: DataFrame, segments: DataFrame) -> DataFrame:
     """path, status, content and applied of every file that has segments.
 
     status: ok, mismatch (the file is not the one extracted from), overlap or drift (the bytes are not the source
-    text); files with a fault keep their content.  One fold over a file's segments joins the gaps and targets.
+    text); files with a fault keep their content.  A file's gaps and targets are joined once.
     """
     row = F.struct("start_byte", "end_byte", "source_text", "target_text", "file_sha256")
     filled = F.collect_list(F.when(F.col("target_text").isNotNull(), row))
@@ -29,14 +29,12 @@ def splice(files: DataFrame, segments: DataFrame) -> DataFrame:
     shifted = F.slice(F.concat(starts, F.array(F.lit(None).cast("long"))), F.lit(2), F.size("s"))
     overlap = F.exists(F.zip_with("s", shifted, lambda x, n: F.coalesce(n < x["end_byte"], F.lit(False))), lambda x: x)
     drift = F.exists("s", lambda x: cut(x["start_byte"] + 1, x["end_byte"] - x["start_byte"]) != F.encode(x["source_text"], "UTF-8"))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<binary>").alias("out"))
-
-    def step(acc, x):
-        gap = cut(acc["at"] + 1, x["start_byte"] - acc["at"])
-        return F.struct(x["end_byte"].alias("at"), F.concat(acc["out"], F.array(gap, F.encode(x["target_text"], "UTF-8"))).alias("out"))
-
-    whole = F.aggregate("w", zero, step, lambda acc: F.concat(acc["out"], F.array(cut(acc["at"] + 1, F.length("content") - acc["at"]))))
-    spliced = F.aggregate(whole, F.lit(b""), lambda a, b: F.concat(a, b))
+    # gaps and targets in turn, as strings that keep any bytes, joined once
+    ends = F.transform("w", lambda x: x["end_byte"])
+    begins = F.concat(F.array(F.lit(0).cast("long")), F.slice(ends, F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))))
+    pairs = F.zip_with("w", begins, lambda x, at: F.concat(cut(at + 1, x["start_byte"] - at).cast("string"), x["target_text"]))
+    tail = F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0).cast("long"))
+    spliced = F.concat(F.array_join(pairs, ""), cut(tail + 1, F.length("content") - tail).cast("string")).cast("binary")
     status = F.when(F.col("s")[0]["file_sha256"] != F.sha2("content", 256), "mismatch").when(overlap, "overlap").when(drift, "drift").otherwise("ok")
     # the status is computed once, in a column of its own
     judged = joined.withColumn("status", status)
