@@ -7,6 +7,8 @@ BROAD = (
     r"\x{FF00}-\x{FFEF}\x{3040}-\x{309F}\x{30A0}-\x{30FF}\x{AC00}-\x{D7AF}]"
 )
 
+HAN_CHARS = "[\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF]"  # the same as HAN in Python's syntax
+
 # Patterns of tokens that a translation must leave alone.
 PROTECTED = (
     r"```[\s\S]*?```"
@@ -32,37 +34,53 @@ MARKDOWN_PREFIX = r"^(\s*(?:#{1,6}\s+|>\s+|[-*+]\s+(?:\[[ xX]\]\s+)?|\d+[.)]\s+)
 TABLE_RULE = r"^\s*\|?(?:\s*:?-{3,}:?\s*\|)+\s*$"
 ENUM_LIKE = r"^[A-Za-z0-9_.\-]+$"
 
+JSON_QUOTED = '"([^"]+)"'
+JSON_NAME = "^[a-zA-Z_][a-zA-Z0-9_.-]*$"
+COMMENT_LINE = r"^(?://|#|/\*|\*|<!--)"
+QUOTED_TEXT = r"\"[^\"]{3,}\"|'[^']{3,}'"
+
 # Span kinds, severities and penalties.
 KINDS = [
     "comment", "docstring", "string", "template_string", "template_string_fragment", "jsx_text", "ui_attribute", "json_value", "yaml_value",
     "toml_value", "markdown_heading", "markdown_paragraph", "markdown_table_cell", "markdown_link_label", "html_text", "line_comment",
     "block_comment", "doc_comment",
 ]
+UI_ATTRIBUTES = ["title", "alt", "aria-label", "placeholder"]
+ROUTE_CALLS = ["fetch", "navigate", "push", "replace", "route", "redirect"]
 SEVERITY = {"info": 1, "warning": 2, "error": 3}
 PENALTY = {"error": 5.0, "warning": 2.0, "info": 0.5}
 
 # Which files are read.
-DOCUMENT_SUFFIXES = ".md .markdown .rst .txt".split()
-TEXT_SUFFIXES = (
-    ".md .markdown .rst .txt .adoc .py .rs .js .ts .jsx .tsx .go .java .c .cpp .h .hpp .cs .rb .php .swift .kt .scala .lua .sh .bash .zsh "
-    ".fish .r .m .mm .pl .pm .html .htm .css .scss .sass .less .vue .svelte .jinja .jinja2 .j2 .ejs .hbs .json .yaml .yml .toml .ini .cfg "
-    ".conf .properties .env .xml .svg .proto .graphql .gql .ui .qml .po .pot"
-).split()
-BINARY_SUFFIXES = (
-    ".png .jpg .jpeg .gif .bmp .ico .webp .avif .mp3 .mp4 .wav .ogg .flac .aac .avi .mov .mkv .pdf .doc .docx .xls .xlsx .ppt .pptx .zip "
-    ".tar .gz .bz2 .xz .7z .rar .exe .dll .so .dylib .a .lib .o .obj .woff .woff2 .ttf .otf .eot .sqlite .db .bin .dat .pyc .pyo .class "
-    ".jar .war .mo"
-).split()
-SKIPPED_FOLDERS = (
-    "node_modules .git __pycache__ .pytest_cache target build dist .next .nuxt vendor venv .venv env .env .tox .mypy_cache .ruff_cache "
-    "coverage .nyc_output .gradle .maven"
-).split()
-VERIFY_SKIPPED_FOLDERS = ".git .hg .svn .venv venv env __pycache__ .pytest_cache .ruff_cache node_modules dist build".split()
-LOCK_FILES = (
-    "package-lock.json yarn.lock pnpm-lock.yaml Cargo.lock poetry.lock Pipfile.lock composer.lock Gemfile.lock go.sum bun.lockb"
-).split()
+MARKDOWN_SUFFIXES = [".md", ".markdown"]
+DOCUMENT_SUFFIXES = [".md", ".markdown", ".rst", ".txt"]
+TEXT_SUFFIXES = [
+    ".md", ".markdown", ".rst", ".txt", ".adoc", ".py", ".rs", ".js", ".ts", ".jsx", ".tsx", ".go", ".java", ".c", ".cpp", ".h",
+    ".hpp", ".cs", ".rb", ".php", ".swift", ".kt", ".scala", ".lua", ".sh", ".bash", ".zsh", ".fish", ".r", ".m", ".mm", ".pl",
+    ".pm", ".html", ".htm", ".css", ".scss", ".sass", ".less", ".vue", ".svelte", ".jinja", ".jinja2", ".j2", ".ejs", ".hbs",
+    ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".properties", ".env", ".xml", ".svg", ".proto", ".graphql",
+    ".gql", ".ui", ".qml", ".po", ".pot",
+]
+BINARY_SUFFIXES = [
+    ".png", ".jpg", ".jpeg", ".gif", ".bmp", ".ico", ".webp", ".avif", ".mp3", ".mp4", ".wav", ".ogg", ".flac", ".aac", ".avi",
+    ".mov", ".mkv", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".pptx", ".zip", ".tar", ".gz", ".bz2", ".xz", ".7z",
+    ".rar", ".exe", ".dll", ".so", ".dylib", ".a", ".lib", ".o", ".obj", ".woff", ".woff2", ".ttf", ".otf", ".eot", ".sqlite",
+    ".db", ".bin", ".dat", ".pyc", ".pyo", ".class", ".jar", ".war", ".mo",
+]
+SKIPPED_FOLDERS = [
+    "node_modules", ".git", "__pycache__", ".pytest_cache", "target", "build", "dist", ".next", ".nuxt", "vendor", "venv",
+    ".venv", "env", ".env", ".tox", ".mypy_cache", ".ruff_cache", "coverage", ".nyc_output", ".gradle", ".maven",
+]
+VERIFY_SKIPPED_FOLDERS = [
+    ".git", ".hg", ".svn", ".venv", "venv", "env", "__pycache__", ".pytest_cache", ".ruff_cache", "node_modules", "dist",
+    "build",
+]
+LOCK_FILES = [
+    "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Pipfile.lock", "composer.lock",
+    "Gemfile.lock", "go.sum", "bun.lockb",
+]
 MAX_FILE_BYTES = 500_000
-SYNTAX_SUFFIXES = ".json .yaml .yml .toml .py .xml .svg .ui".split()
+STATE_FILE = ".lexloom-state"
+SYNTAX_SUFFIXES = [".json", ".yaml", ".yml", ".toml", ".py", ".xml", ".svg", ".ui"]
 
 FILES_DDL = "path string, content binary, length long, is_symlink boolean, link_target string, snapshot string"
 SEGMENT_DDL = (

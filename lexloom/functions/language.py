@@ -13,13 +13,13 @@ SCRIPTS = {
     "hi": r"[\x{0900}-\x{097F}]", "th": r"[\x{0E00}-\x{0E7F}]",
 }
 WORDS = {
-    "en": "the and of to in is that it was for with as on be this are not have from by".split(),
-    "de": "der die das und ist nicht ein eine zu den mit von auf für im dem sich auch wird sind".split(),
-    "fr": "le les des et est une dans que qui pour pas sur au avec ce il sont du nous vous".split(),
-    "es": "el los las que y en una por con para es del se no su al lo como más pero".split(),
-    "it": "il che di e la per un non sono con della gli nel anche è più ma questo alla i".split(),
-    "pt": "o os que e do da em um uma não para com por mais como dos na ao são se".split(),
-    "nl": "de het een en van is dat niet op te zijn met voor aan er ook maar bij nog wordt".split(),
+    "en": ["the", "and", "of", "to", "in", "is", "that", "it", "was", "for", "with", "as", "on", "be", "this", "are", "not", "have", "from", "by"],
+    "de": ["der", "die", "das", "und", "ist", "nicht", "ein", "eine", "zu", "den", "mit", "von", "auf", "für", "im", "dem", "sich", "auch", "wird", "sind"],
+    "fr": ["le", "les", "des", "et", "est", "une", "dans", "que", "qui", "pour", "pas", "sur", "au", "avec", "ce", "il", "sont", "du", "nous", "vous"],
+    "es": ["el", "los", "las", "que", "y", "en", "una", "por", "con", "para", "es", "del", "se", "no", "su", "al", "lo", "como", "más", "pero"],
+    "it": ["il", "che", "di", "e", "la", "per", "un", "non", "sono", "con", "della", "gli", "nel", "anche", "è", "più", "ma", "questo", "alla", "i"],
+    "pt": ["o", "os", "que", "e", "do", "da", "em", "um", "uma", "não", "para", "com", "por", "mais", "como", "dos", "na", "ao", "são", "se"],
+    "nl": ["de", "het", "een", "en", "van", "is", "dat", "niet", "op", "te", "zijn", "met", "voor", "aan", "er", "ook", "maar", "bij", "nog", "wordt"],
 }
 KANA, HANGUL = r"[\x{3040}-\x{30FF}]", r"[\x{AC00}-\x{D7AF}]"
 #: Characters that are looked at, as in the detector whose answers these stand for.

@@ -125,15 +125,17 @@ def suffix(path: Column) -> Column:
 
 def glob_regex(patterns: Sequence[str]) -> str:
     """One regular expression for shell patterns; ``*`` crosses folders and ``**/`` may stand for nothing."""
-    out = []
-    for pattern in patterns:
-        forms = [pattern]
-        while "**/" in forms[-1]:
-            forms.append(forms[-1].replace("**/", "", 1))
-        for form in forms:
-            parts = re.split(r"(\*+|\?|\[[^\]]+\])", form)
-            out.append("".join(".*" if p.startswith("*") else "." if p == "?" else p.replace("[!", "[^") if p.startswith("[") and p else re.escape(p) for p in parts))
-    return "^(?s:" + "|".join(out) + ")$"
+    forms = {"**/": "(?:.*/)?", "?": "."}
+
+    def part(m: re.Match) -> str:
+        found = m[0]
+        if found in forms:
+            return forms[found]
+        if found.startswith("*"):
+            return ".*"
+        return found.replace("[!", "[^", 1) if found.startswith("[") and len(found) > 1 else re.escape(found)
+
+    return "^(?s:" + "|".join(re.sub(r"\*\*/|\*+|\?|\[[^\]]+\]|[^*?\[]+|\[", part, p) for p in patterns) + ")$"
 
 
 def lit_array(values: Sequence[str]) -> Column:

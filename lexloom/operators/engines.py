@@ -9,10 +9,6 @@ from collections.abc import Callable, Sequence
 
 from lexloom.operators.translate import Dictionary, Http, Offline, Provider, RoundRobin
 
-#: Codes of languages where a service differs.
-DEEPL_CODES = {"zh": "ZH", "en": "EN", "ja": "JA", "ko": "KO", "fr": "FR", "de": "DE", "es": "ES", "pt": "PT", "it": "IT", "ru": "RU"}
-
-
 class OneByOne:
     """A service that takes one text a request."""
 
@@ -24,9 +20,8 @@ class OneByOne:
 
 
 def deepl(source: str, target: str, key: str = "", model: str = "", url: str = "") -> Provider:
-    code = lambda lang: DEEPL_CODES.get(lang, lang.upper())
     host = url or ("https://api-free.deepl.com" if key.endswith(":fx") else "https://api.deepl.com")
-    encode = lambda texts: {"text": texts, "source_lang": code(source), "target_lang": code(target)}
+    encode = lambda texts: {"text": texts, "source_lang": source.upper(), "target_lang": target.upper()}
     decode = lambda answer: [t["text"] for t in answer["translations"]]
     return Http(f"{host}/v2/translate", encode, decode, {"Authorization": f"DeepL-Auth-Key {key}"}, per_request=50, pause=0.5)
 

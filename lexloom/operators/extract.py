@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql.types import StructType
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
 from lexloom.operators import scan
+from lexloom.operators.translate import staged
 
 SPAN = "path string, kind string, start_byte long, end_byte long, source_text string"
 
@@ -77,6 +81,11 @@ def outside_fences(files: DataFrame, text: str = "src", switch: bool = False) ->
 
 def markdown_segments(files: DataFrame, text: str = "src") -> DataFrame:
     """Headings, paragraphs, table cells and link labels of Markdown text; overlaps are resolved greedily."""
+    return greedy(markdown_spans(files, text))
+
+
+def markdown_spans(files: DataFrame, text: str = "src") -> DataFrame:
+    """The spans of :func:`markdown_segments` before overlaps are resolved."""
     cut = outside_fences(files, text)
     table = T.strip_u(F.col("line")).startswith("|")
     prefix = F.regexp_extract("line", V.MARKDOWN_PREFIX, 1)
@@ -88,7 +97,7 @@ def markdown_segments(files: DataFrame, text: str = "src") -> DataFrame:
     cells = _pieces(cut.filter(table & ~F.col("line").rlike(V.TABLE_RULE)), r"\|", None, "markdown_table_cell")
     labels = _pieces(cut.filter(~table), V.LINK_LABEL, V.LINK_LABEL, "markdown_link_label")
     labels = labels.filter(T.is_prose(F.col("source_text")))
-    return greedy(prose.unionByName(cells).unionByName(labels))
+    return prose.unionByName(cells).unionByName(labels)
 
 
 def _pieces(cut: DataFrame, separator: str, label: str | None, kind: str) -> DataFrame:
@@ -140,18 +149,68 @@ def overlapping(spans: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def gate(spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Spans with Han characters, and the others with the reason."""
-    han = T.has_han(F.col("source_text"))
-    return spans.filter(han), spans.filter(~han).select("path", "start_byte", F.left("source_text", F.lit(60)).alias("snippet"), F.lit("no Han characters").alias("reason"))
+@dataclass
+class Extraction:
+    """Segments of a tree, and why other spans and files gave none."""
+
+    segments: DataFrame
+    skipped: DataFrame
+    fallback: DataFrame
+    errors: DataFrame
+
+
+def extract_files(
+    files: DataFrame, include=None, exclude=None, translate_code: bool = False, source_is_cjk: bool = True, parsers=None, stage: Callable[[DataFrame], DataFrame] = staged
+) -> Extraction:
+    """EXTRACT of files (path, content, length): choice, decoding, a parser by suffix, no overlaps, the gate.
+
+    ``errors`` (path, reason) are files that are not UTF-8; ``fallback`` (path, reason) those that were read line by line, as
+    no parser knows their suffix or theirs failed; ``skipped`` (path, start_byte, snippet, reason) are spans that
+    overlap an earlier one, are not to be translated, or have no Han characters where ``source_is_cjk``.  Spans are
+    written down once (``stage``), as all four tables come from them.
+    """
+    from lexloom.operators import parsers as P
+
+    known = P.PARSERS if parsers is None else parsers
+    chosen = files.filter(scan.should_translate(F.col("path"), F.col("length"), include, exclude, translate_code))
+    text, suffix = F.col("content").cast("string"), T.suffix(F.col("path"))
+    errors = chosen.filter(~F.is_valid_utf8(text)).select("path", F.lit("not UTF-8").alias("reason"))
+    texts = chosen.filter(F.is_valid_utf8(text)).select("path", "content", F.decode("content", "UTF-8").alias("src"), suffix.alias("suffix"))
+    document, parsed = F.col("suffix").isin(V.MARKDOWN_SUFFIXES), F.col("suffix").isin(list(known))
+    plain = lambda df: df.select("*", F.lit(True).alias("translatable"), F.lit("").alias("reason"), F.lit(None).cast("array<string>").alias("protected_context"))
+    found = P.parse_all(texts.filter(parsed), known).unionByName(plain(markdown_spans(texts.filter(document & ~parsed).select("path", "src"))))
+    found = stage(found)
+    failed = found.filter("kind is null").select("path", "reason")
+    other = texts.filter(~parsed & ~document).select("path", F.lit("no parser").alias("reason")).unionByName(failed)
+    lines_ = stage(plain(line_segments(texts.select("path", "src").join(other.select("path"), "path", "left_semi"))))
+    judged = overlapping(found.filter("kind is not null").unionByName(lines_))
+    reason = F.when(~F.col("accepted"), "overlapping range").when(~F.col("translatable"), F.col("reason"))
+    if source_is_cjk:
+        reason = reason.when(~T.has_han(F.col("source_text")), "no Han characters")
+    told = stage(judged.withColumn("reason", reason))
+    skipped = told.filter("reason is not null").select("path", "start_byte", F.left("source_text", F.lit(60)).alias("snippet"), "reason")
+    kept = told.filter("reason is null").select("path", "kind", "start_byte", "end_byte", "source_text", "protected_context")
+    return Extraction(build_segments(kept, texts), skipped, other, errors)
 
 
 def prose(text: Column, kind: str) -> Column:
-    """Human-readable text of a file by kind: markdown, markup or json."""
+    """Human-readable text of a file by kind: markdown, markup, json or code."""
     stripped = F.filter(F.transform(F.split(text, "\n", -1), T.strip_u), lambda x: x != "")
     if kind == "markup":
         stripped = F.filter(F.transform(stripped, lambda x: T.strip_u(F.regexp_replace(x, "<[^>]+>", " "))), lambda x: x != "")
     if kind == "json":
-        found = F.flatten(F.transform(stripped, lambda x: F.regexp_extract_all(x, F.lit('"([^"]+)"'), 1)))
-        stripped = F.filter(found, lambda x: ~x.rlike("^[a-zA-Z_][a-zA-Z0-9_.-]*$") & (F.length(x) > 2))
+        found = F.flatten(F.transform(stripped, lambda x: F.regexp_extract_all(x, F.lit(V.JSON_QUOTED), 1)))
+        stripped = F.filter(found, lambda x: ~x.rlike(V.JSON_NAME) & (F.length(x) > 2))
+    if kind == "code":
+        # lines that begin a comment, hold a docstring mark or a quoted text
+        stripped = F.filter(stripped, lambda x: x.rlike(V.COMMENT_LINE) | x.contains('"""') | x.contains("'''") | x.rlike(V.QUOTED_TEXT))
     return F.array_join(stripped, "\n")
+
+
+def file_prose(path: Column, text: Column) -> Column:
+    """:func:`prose` by the file's suffix."""
+    suffix = T.suffix(path)
+    return (
+        F.when(suffix.isin(V.DOCUMENT_SUFFIXES), prose(text, "markdown")).when(suffix.isin(".html", ".htm", ".xml", ".svg"), prose(text, "markup"))
+        .when(suffix == ".json", prose(text, "json")).otherwise(prose(text, "code"))
+    )

@@ -33,6 +33,11 @@ def needs_translation(text: Column, lang: Column) -> Column:
     return F.when(lang.isin("zh", "ja", "ko"), T.has_broad(text)).otherwise(F.length(T.strip_u(text)) > 20)
 
 
+def enough(prose: Column) -> Column:
+    """Whether a file's prose is long enough to be translated at all."""
+    return F.length(T.strip_u(prose)) >= 5
+
+
 def is_binary(content: Column) -> Column:
     """A zero byte among the first 4096, or not UTF-8."""
     return F.hex(F.substring(content, 1, 4096)).rlike("^(?:..)*?00") | ~F.is_valid_utf8(content.cast("string"))

@@ -43,13 +43,28 @@ def splice(files: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def statistics(spliced: DataFrame) -> DataFrame:
-    count = lambda c: F.count_if(c)
+    """One row of counts; a file that passes all guards counts as spliced, with or without targets."""
+    count = lambda status: F.count_if(F.col("status") == status)
+    ok = F.col("status") == "ok"
     return spliced.agg(
-        F.count("*").alias("files_processed"), count(F.col("status") == "ok").alias("files_spliced"),
-        count(F.col("status") == "mismatch").alias("files_mismatched"), F.coalesce(F.sum("applied"), F.lit(0)).alias("segments_applied"),
+        F.count("*").alias("files_processed"), count("ok").alias("files_spliced"), count("mismatch").alias("files_skipped_mismatch"),
+        count("invalid").alias("files_skipped_validation"), F.coalesce(F.sum(F.when(ok, F.col("applied"))), F.lit(0)).cast("long").alias("segments_applied"),
     )
 
 
+class ApplyError(ValueError):
+    """A manifest that does not fit its files."""
+
+
+def check(spliced: DataFrame, segments: DataFrame, skip_mismatch: bool = False) -> None:
+    """Raises for files that are missing, overlap or drift, or no longer are what they were; mismatches can be skipped instead."""
+    faulty = spliced.filter(F.col("status").isin(["overlap", "drift"] + ["mismatch"] * (not skip_mismatch))).select("path", "status")
+    missing = segments.select("path").distinct().join(spliced.select("path"), "path", "left_anti").select("path", F.lit("missing").alias("status"))
+    first = faulty.unionByName(missing).orderBy("path").limit(20).collect()
+    if first:
+        raise ApplyError("; ".join(f"{r.path}: {r.status}" for r in first))
+
+
 def validated(spliced: DataFrame, files: DataFrame) -> DataFrame:
     """Structured files that no longer parse keep their original content."""
     from lexloom.operators.parsers import syntax_errors

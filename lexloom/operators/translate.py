@@ -5,10 +5,13 @@ from __future__ import annotations
 import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
+from itertools import accumulate
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -95,35 +98,47 @@ def call(provider: Provider, texts: Sequence[str]) -> list[str]:
     return out
 
 
-def provide(keys: DataFrame, provider: Provider, batch_size: int = 40) -> DataFrame:
+def provide(keys: DataFrame, provider: Provider, batch_size: int = 40, with_calls: bool = False) -> DataFrame:
     """(translation_key, target_text) for (translation_key, source_text); protected tokens pass untouched.
 
     Gaps between protected tokens of up to ``batch_size`` texts are one call; batches are made in each
-    partition, so no row number over the whole table is needed.
+    partition, so no row number over the whole table is needed.  ``with_calls`` adds the number of the call that
+    answered, null where there was nothing but blanks to ask.
     """
     gaps, found = T.protected_split(F.col("source_text"))
     ready = keys.select("translation_key", gaps.alias("gaps"), found.alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for k in range(0, batch.num_rows, batch_size):
                 part = batch.slice(k, batch_size)
                 gaps_, found_ = part.column("gaps").to_pylist(), part.column("found").to_pylist()
-                told = iter(call(provider, [g for row in gaps_ for g in row]))
+                asked = [g for row in gaps_ for g in row]
+                told = iter(call(provider, asked))
                 texts = []
                 for row, kept in zip(gaps_, found_):
                     new = [next(told) for _ in row]
                     texts.append("".join(a + b for a, b in zip(new, [*kept, ""])))
-                yield pa.RecordBatch.from_arrays([part.column("translation_key"), pa.array(texts, pa.string())], names=["translation_key", "target_text"])
+                number += 1
+                calls = pa.array([number if any(map(str.strip, asked)) else None] * part.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("translation_key"), pa.array(texts, pa.string()), calls], names=["translation_key", "target_text", "call"])
 
-    return ready.mapInArrow(run, "translation_key string, target_text string")
+    out = ready.mapInArrow(run, "translation_key string, target_text string, call long")
+    return out if with_calls else out.drop("call")
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that what made it runs once."""
+    """``df`` written to the shared checkpoint folder and read from there, so that what made it runs once.
+
+    Where the session names no folder, a local master gets one of its own machine; a cluster gets an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -132,20 +147,37 @@ def distinct_keys(segments: DataFrame, order: str = "id") -> DataFrame:
     return segments.groupBy("translation_key").agg(F.min_by(F.struct("source_text", "kind"), order).alias("s"), F.count("*").alias("n")).select("translation_key", "s.*", "n")
 
 
-def translate_manifest(segments: DataFrame, memory: DataFrame, provider: Provider, stage: Callable[[DataFrame], DataFrame], batch_size: int = 40):
-    """(segments with targets, new memory): only untranslated segments are asked for, memory first, each key once.
+@dataclass
+class Translation:
+    """What a run over a manifest gives: segments with targets, the new memory, and one row of statistics."""
+
+    segments: DataFrame
+    memory: DataFrame
+    statistics: DataFrame
+
 
-    ``stage`` must write a table and read it back: a provider is called once, whatever is retried later.
+def translate_manifest(segments: DataFrame, memory: DataFrame, provider: Provider, stage: Callable[[DataFrame], DataFrame] = staged, batch_size: int = 40) -> Translation:
+    """Fills the segments without a target: from the memory, else each key once by the provider.
+
+    ``stage`` must write a table and read it back: a provider is called once, whatever is retried later.  Segments that
+    have a target keep it, so a second run asks for nothing; hits of the memory grow by each segment that it filled.
     """
     missing = segments.filter("target_text is null")
     misses = distinct_keys(missing).join(memory.select("translation_key"), "translation_key", "left_anti")
-    fresh = stage(provide(misses.filter(T.strip_u(F.col("source_text")) != ""), provider, batch_size))
-    known = memory.select("translation_key", F.col("target_text").alias("found")).unionByName(fresh.withColumnRenamed("target_text", "found"))
-    filled = segments.join(known, "translation_key", "left").withColumn("target_text", F.coalesce("target_text", "found")).drop("found")
+    fresh = stage(provide(misses, provider, batch_size, with_calls=True))
+    known = memory.select("translation_key", F.col("target_text").alias("found"), F.lit("memory").alias("origin"))
+    known = known.unionByName(fresh.select("translation_key", F.col("target_text").alias("found"), F.lit("provider").alias("origin")))
+    joined = segments.join(known, "translation_key", "left").withColumn("origin", F.when(F.col("target_text").isNull(), F.col("origin")))
+    filled = joined.withColumn("target_text", F.coalesce("target_text", "found")).drop("found", "origin")
     hits = missing.groupBy("translation_key").agg(F.count("*").alias("more"))
     old = memory.join(hits, "translation_key", "left").withColumn("hits", F.col("hits") + F.coalesce("more", F.lit(0))).drop("more")
     added = misses.join(fresh, "translation_key").select("translation_key", "source_text", "target_text", "kind", F.lit(0).cast("long").alias("hits"))
-    return filled, old.unionByName(added)
+    counted = joined.agg(
+        F.count("*").alias("segments_total"), F.count_if(F.coalesce("target_text", "found").isNotNull()).alias("segments_translated"),
+        F.count_if(F.col("origin") == "memory").alias("segments_from_memory"), F.count_if(F.col("origin") == "provider").alias("segments_from_provider"),
+    )
+    calls = fresh.agg(F.count_distinct("call").alias("provider_calls"))  # one row each
+    return Translation(filled, old.unionByName(added), counted.join(F.broadcast(calls)))
 
 
 def update_targets(segments: DataFrame, targets: DataFrame) -> DataFrame:
@@ -153,7 +185,18 @@ def update_targets(segments: DataFrame, targets: DataFrame) -> DataFrame:
     return segments.join(targets.select("id", F.col("target_text").alias("new")), "id", "left").withColumn("target_text", F.coalesce("new", "target_text")).drop("new")
 
 
-def batches(rows: DataFrame, order: str, size: int, engines: int) -> DataFrame:
-    """Ordinal, batch and engine of each row in one global order (a report; calls use :func:`provide`)."""
-    ordinal = F.row_number().over(Window.orderBy(order)) - 1
-    return rows.withColumn("ordinal", ordinal).withColumns({"batch": F.floor(F.col("ordinal") / size), "engine": F.pmod("ordinal", F.lit(engines))})
+def batches(rows: DataFrame, order: str, size: int, engines: int, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Ordinal, batch and engine of each row in one global order (a report; calls use :func:`provide`).
+
+    Rows are dealt by ranges, numbered in each range, and the ranges' counts (one row each) are added up.
+    """
+    # the upper bits of the id are the range's number, the lower ones the row's place in it
+    dealt = (stage or staged)(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = sorted((r.part, r.n) for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))
+    offsets = rows.sparkSession.createDataFrame(list(before.items()), "_part long, _before long")
+    numbered = dealt.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    ordinal = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    out = numbered.withColumn("ordinal", ordinal.cast("int")).drop("_id", "_part", "_before")
+    return out.withColumns({"batch": F.floor(F.col("ordinal") / size), "engine": F.pmod("ordinal", F.lit(engines))})

@@ -30,48 +30,70 @@ def _issue(kind: str, severity: str, source: Column | None = None, target: Colum
     return F.struct(F.col("path").alias("file"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(kind.replace("_", " ")).alias("message"), (source if source is not None else none).alias("source"), (target if target is not None else none).alias("target"))
 
 
-def token_checks(source: Column, target: Column, suffix: Column) -> list[tuple[Column, Column]]:
-    """(condition, issue) pairs of one file pair: addresses, placeholders, code blocks and inline code as bags."""
-    told = lambda bag: F.slice(bag, 1, 10).cast("string")
-    out = []
-    for kind, pattern in (("url_changed", V.URL), ("email_changed", V.EMAIL), ("placeholder_changed", V.PLACEHOLDER)):
-        a, b = T.tokens(source, pattern), T.tokens(target, pattern)
-        out.append((a != b, _issue(kind, "error", told(a), told(b))))
-    marked = suffix.isin(".md", ".markdown", ".rst")
-    out.append((marked & (T.code_blocks(source) != T.code_blocks(target)), _issue("code_block_changed", "error")))
-    a, b = T.tokens(source, V.INLINE_CODE, 1), T.tokens(target, V.INLINE_CODE, 1)
-    out.append((marked & (a != b), _issue("inline_code_changed", "error", told(a), told(b))))
-    return out
+#: Bags of tokens that both versions of a file must share: pattern and group.
+_BAGS = {"url_changed": (V.URL, 0), "email_changed": (V.EMAIL, 0), "placeholder_changed": (V.PLACEHOLDER, 0), "inline_code_changed": (V.INLINE_CODE, 1)}
 
 
-def verify(source: DataFrame, target: DataFrame, syntax: bool = True) -> DataFrame:
-    """Issues between two trees (path, content, is_symlink, link_target): one full outer join on path.
+def token_issues(pairs: DataFrame) -> DataFrame:
+    """Issues of file pairs (path, a, b): addresses, placeholders and inline code as bags, code blocks in order.
 
-    Links are compared as links only, binary files by digest only, other files by syntax and tokens.
+    Each bag is taken once, in a column of its own, and then compared and told.
     """
-    keep = ~F.arrays_overlap(F.split("path", "/"), T.lit_array(V.VERIFY_SKIPPED_FOLDERS))
-    side = lambda df, k: df.filter(keep).select("path", F.col("content").alias(f"c{k}"), F.col("is_symlink").alias(f"l{k}"), F.col("link_target").alias(f"t{k}"), F.lit(True).alias(f"in{k}"))
+    bags = {f"{kind}_{side}": T.tokens(F.col(side), pattern, group) for kind, (pattern, group) in _BAGS.items() for side in "ab"}
+    taken = pairs.select("path", T.suffix(F.col("path")).isin(".md", ".markdown", ".rst").alias("marked"), *[c.alias(n) for n, c in bags.items()], (T.code_blocks(F.col("a")) != T.code_blocks(F.col("b"))).alias("blocks"))
+    told = lambda bag: F.slice(bag, 1, 10).cast("string")
+    found = [F.when(F.col("marked") & F.col("blocks"), _issue("code_block_changed", "error"))]
+    for kind in _BAGS:
+        a, b = F.col(f"{kind}_a"), F.col(f"{kind}_b")
+        differ = (a != b) & F.col("marked") if kind == "inline_code_changed" else a != b
+        found.append(F.when(differ, _issue(kind, "error", told(a), told(b))))
+    return taken.select(F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+
+
+def kept(files: DataFrame) -> DataFrame:
+    """The files that a verification looks at: no skipped folder, not the state of a run."""
+    parts = F.split("path", "/")
+    return files.filter(~F.arrays_overlap(parts, T.lit_array(V.VERIFY_SKIPPED_FOLDERS)) & (F.element_at(parts, -1) != V.STATE_FILE))
+
+
+def presence(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Files that only one tree has, and links that changed: one full outer join on path that carries no contents."""
+    side = lambda df, k: kept(df).select("path", F.col("is_symlink").alias(f"l{k}"), F.col("link_target").alias(f"t{k}"), F.lit(True).alias(f"in{k}"))
     both = side(source, 1).join(side(target, 2), "path", "full_outer")
-    common = F.col("in1").isNotNull() & F.col("in2").isNotNull()
-    link = common & (F.col("l1") | F.col("l2"))
-    binary = common & ~link & (scan.is_binary(F.col("c1")) | scan.is_binary(F.col("c2")))
+    link = F.col("in1").isNotNull() & F.col("in2").isNotNull() & (F.col("l1") | F.col("l2"))
     checks = [
         (F.col("in2").isNull(), _issue("missing_file", "error")),
         (F.col("in1").isNull(), _issue("extra_file", "warning")),
         (link & ~((F.col("l1") == F.col("l2")) & F.col("t1").eqNullSafe(F.col("t2"))), _issue("symlink_changed", "error")),
-        (binary & (F.sha2("c1", 256) != F.sha2("c2", 256)), _issue("binary_changed", "error")),
     ]
-    plain = common & ~link & ~binary
-    a, b = F.try_validate_utf8(F.col("c1").cast("string")), F.try_validate_utf8(F.col("c2").cast("string"))
-    checks += [(plain & F.coalesce(c, F.lit(False)), i) for c, i in token_checks(a, b, T.suffix(F.col("path")))]
-    found = F.filter(F.array(*[F.when(c, i) for c, i in checks]), lambda x: x.isNotNull())
-    issues = both.select(F.inline(found))
+    return both.select(F.inline(F.filter(F.array(*[F.when(c, i) for c, i in checks]), lambda x: x.isNotNull())))
+
+
+def pairs_of(source: DataFrame, target: DataFrame) -> DataFrame:
+    """path, c1, c2 and binary of the regular files that both trees have."""
+    side = lambda df, k: kept(df).filter(~F.col("is_symlink")).select("path", F.col("content").alias(f"c{k}"))
+    return side(source, 1).join(side(target, 2), "path").withColumn("binary", scan.is_binary(F.col("c1")) | scan.is_binary(F.col("c2")))
+
+
+def verify(source: DataFrame, target: DataFrame, syntax: bool = True, contents: bool = True) -> DataFrame:
+    """Issues between two trees (path, content, is_symlink, link_target).
+
+    Links are compared as links only, binary files by digest only, other files by syntax and tokens; without
+    ``contents`` only what :func:`presence` sees.
+    """
+    issues = presence(source, target)
+    if not contents:
+        return issues
+    pairs = pairs_of(source, target)
+    changed = pairs.filter(F.col("binary") & (F.sha2("c1", 256) != F.sha2("c2", 256)))
+    plain = pairs.filter(~F.col("binary"))
+    texts = plain.select("path", F.col("c1").cast("string").alias("a"), F.col("c2").cast("string").alias("b"))
+    issues = issues.unionByName(changed.select(_issue("binary_changed", "error").alias("i")).select("i.*")).unionByName(token_issues(texts))
     if syntax:
-        texts = both.filter(plain & T.suffix(F.col("path")).isin(V.SYNTAX_SUFFIXES))
-        bad = syntax_errors(texts.select("path", F.col("c2").alias("content"))).filter("error is not null").select("path", "error")
-        well = syntax_errors(texts.select("path", F.col("c1").alias("content"))).filter("error is null").select("path")
-        broken = bad.join(well, "path", "left_semi")
-        issues = issues.unionByName(broken.select(F.col("path").alias("file"), F.lit("syntax_error").alias("issue_type"), F.lit("error").alias("severity"), F.left("error", F.lit(100)).alias("message"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("target")))
+        judged = syntax_errors(plain.filter(T.suffix(F.col("path")).isin(V.SYNTAX_SUFFIXES)), ("c1", "c2"))
+        none = F.lit(None).cast("string")
+        broken = judged.filter("error_c1 is null and error_c2 is not null")
+        issues = issues.unionByName(broken.select(F.col("path").alias("file"), F.lit("syntax_error").alias("issue_type"), F.lit("error").alias("severity"), F.left("error_c2", F.lit(100)).alias("message"), none.alias("source"), none.alias("target")))
     return issues
 
 
@@ -106,4 +128,5 @@ def review(files: DataFrame, text: str = "src") -> DataFrame:
 def score(review_issues: DataFrame) -> DataFrame:
     """100 less the penalties, not below 0."""
     penalty = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in V.PENALTY.items() for x in kv]), F.col("severity")), F.lit(1.0))
-    return review_issues.agg(F.greatest(F.lit(0.0), 100.0 - F.coalesce(F.sum(penalty), F.lit(0.0))).alias("score"), F.count("*").alias("issues"))
+    total = F.coalesce(F.sum(penalty), F.lit(0.0))
+    return review_issues.agg(F.greatest(F.lit(0.0), 100.0 - total).alias("score"), total.alias("penalty"), F.count("*").alias("issues"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,38 +14,46 @@ from lexloom import fixed_values as V
 MEMORY_DDL = "translation_key string, source_text string, target_text string, kind string, hits long"
 
 
-class _Folder(InputPartition):
-    def __init__(self, folder: str, deep: bool):
-        super().__init__(folder)
-        self.folder, self.deep = folder, deep
+class _Paths(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(tuple(paths))
+        self.paths = paths
 
 
 class TreeReader(DataSourceReader):
-    """One partition for each folder right under the root; hidden files and links are kept."""
+    """Partitions of up to ``FILES`` files or ``BYTES`` bytes, however folders are filled; hidden files and links are kept.
+
+    The driver lists names and sizes; contents are read by the tasks, and not those of files beyond ``max_bytes``.
+    """
+
+    FILES, BYTES = 2_000, 64 << 20
 
     def __init__(self, options):
         self.root, self.snapshot = os.path.abspath(options["path"]), options.get("snapshot", "source")
         self.content = options.get("with_content", "true") == "true"
+        self.most = int(options.get("max_bytes", "-1"))
 
     def partitions(self):
-        if not os.path.isdir(self.root):
-            return []
-        inside = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Folder(self.root, False), *(_Folder(f, True) for f in inside)]
+        out, held, size = [], [], 0
+        for folder, folders, names in os.walk(self.root):
+            folders.sort()
+            for name in sorted([*names, *(f for f in folders if os.path.islink(os.path.join(folder, f)))]):
+                full = os.path.join(folder, name)
+                held.append(full)
+                size += os.lstat(full).st_size
+                if len(held) >= self.FILES or size >= self.BYTES:
+                    out.append(_Paths(held))
+                    held, size = [], 0
+        return [*out, _Paths(held)] if held else out
 
     def read(self, partition):
-        for folder, folders, names in os.walk(partition.folder):
-            linked = [f for f in folders if os.path.islink(os.path.join(folder, f))]
-            for name in sorted([*names, *linked]):
-                full = os.path.join(folder, name)
-                path, link = os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.islink(full)
-                content = None
-                if not link and self.content:
-                    with open(full, "rb") as f:
-                        content = f.read()
-                yield path, content, os.lstat(full).st_size, link, os.readlink(full) if link else None, self.snapshot
-            if not partition.deep:
-                break
+        for full in partition.paths:
+            path, link, size = os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.islink(full), os.lstat(full).st_size
+            content = None
+            if not link and self.content and (self.most < 0 or size <= self.most):
+                with open(full, "rb") as f:
+                    content = f.read()
+            yield path, content, size, link, os.readlink(full) if link else None, self.snapshot
 
 
 class TreeSource(DataSource):
@@ -65,20 +74,27 @@ def read_tree(spark: SparkSession, root: str, snapshot: str = "source", with_con
 
 
 def write_tree(files: DataFrame, root: str) -> None:
-    """Writes each row as one file, by rename, so a reader sees the old or the new file."""
+    """Writes each row as one file or link, by rename, so a reader sees the old or the new one.
+
+    ``root`` must be a folder that all executors reach.
+    """
+    linked = "link_target" in files.columns
 
     def put(rows):
         for r in rows:
             full = os.path.join(root, r.path)
             os.makedirs(os.path.dirname(full), exist_ok=True)
             part = f"{full}.{os.getpid()}.part"
-            with open(part, "wb") as f:
-                f.write(bytes(r.content))
-                f.flush()
-                os.fsync(f.fileno())
+            if linked and r.link_target is not None:
+                os.symlink(r.link_target, part)
+            else:
+                with open(part, "wb") as f:
+                    f.write(bytes(r.content))
+                    f.flush()
+                    os.fsync(f.fileno())
             os.replace(part, full)
 
-    files.select("path", "content").foreachPartition(put)
+    files.select("path", "content", *["link_target"] * linked).foreachPartition(put)
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:
@@ -89,16 +105,25 @@ def documents_as_files(docs: DataFrame) -> DataFrame:
 
 
 def manifest_lines(header: DataFrame, segments: DataFrame) -> DataFrame:
-    """JSON lines, the header first; nulls are written."""
+    """JSON lines in order: the header with the number of segments, then segments by path and place; nulls are written."""
+
     def row(df):
         return F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
 
-    return header.select(F.lit(0).alias("part"), row(header).alias("value")).unionByName(segments.select(F.lit(1).alias("part"), row(segments).alias("value"))).orderBy("part", "value").select("value")
+    counted = header.join(F.broadcast(segments.agg(F.count("*").alias("segment_count"))))
+    first = counted.select(F.lit("").alias("path"), F.lit(-1).cast("long").alias("start_byte"), row(counted).alias("value"))
+    return first.unionByName(segments.select("path", "start_byte", row(segments).alias("value"))).orderBy("path", "start_byte").select("value")
+
+
+def write_manifest(header: DataFrame, segments: DataFrame, path: str) -> None:
+    """A manifest as a folder of JSON-lines files, whose names keep the order."""
+    manifest_lines(header, segments).write.mode("overwrite").text(path)
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(header, segments, faulty lines with their numbers) of a JSON-lines manifest."""
-    text = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n", -1)).alias("k", "value"))
+    whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    text = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("k", "value"))
     filled = text.filter(F.trim("value") != "").withColumn("line", F.col("k") + 1)
     names = [f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")]
     keys = F.json_object_keys("value")
@@ -106,15 +131,41 @@ def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame,
     well = F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0, F.lit(False))
     well = well & F.coalesce(F.size(F.array_except(F.array(*[F.lit(n) for n in names if n not in ("target_text", "context_before", "context_after", "protected_context")]), keys)) == 0, F.lit(False))
     segments = filled.filter(~F.coalesce(head, F.lit(False)) & well).select(F.from_json("value", V.SEGMENT_DDL).alias("s")).select("s.*")
-    bad = filled.filter(~F.coalesce(head, F.lit(False)) & ~well).select("line", "value")
+    bad = filled.filter(~F.coalesce(head, F.lit(False)) & ~well).select("file", "line", "value")
     return filled.filter(head).select("value"), segments, bad
 
 
-def read_memory(spark: SparkSession, path: str) -> DataFrame:
+def read_memory(spark: SparkSession, path: str | None) -> DataFrame:
+    """The memory from a table (Parquet) or one JSON document (``.json``); nothing where there is none, an error that names a faulty file."""
+    nothing = spark.createDataFrame([], MEMORY_DDL)
+    if not path:
+        return nothing
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return nothing
+    if not path.endswith(".json"):
+        return spark.read.schema(MEMORY_DDL).parquet(path)
     entry = "entries map<string, struct<translation_key: string, source_text: string, target_text: string, kind: string, hits: long>>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", entry, {"mode": "FAILFAST"}).alias("m"))
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", entry, {"mode": "PERMISSIVE"}).alias("m"), F.get_json_object("value", "$.entries").isNotNull().alias("well"))
+    if whole.filter("not well or m.entries is null").limit(1).count():
+        raise ValueError(f"{path} is not a translation memory")
     return whole.select(F.explode("m.entries").alias("k", "e")).select("e.*")
 
 
 def write_memory(memory: DataFrame, path: str) -> None:
-    memory.filter("target_text is not null").write.mode("overwrite").parquet(path)
+    """Entries with a target, as a table (Parquet), or as one JSON document where the path ends so (for memories of one machine)."""
+    kept = memory.filter("target_text is not null")
+    if not path.endswith(".json"):
+        kept.write.mode("overwrite").parquet(path)
+        return
+    entry = F.struct(*[f.split()[0] for f in MEMORY_DDL.split(", ")])
+    rows = kept.select(F.to_json(F.struct(F.col("translation_key").alias("k"), entry.alias("e"))).alias("j")).orderBy("j").toLocalIterator()
+    with open(f"{path}.part", "w", encoding="utf-8") as f:
+        f.write('{"version": 1, "entries": {')
+        for n, r in enumerate(rows):
+            held = json.loads(r.j)
+            f.write((",\n" if n else "\n") + json.dumps(held["k"]) + ": " + json.dumps(held["e"], ensure_ascii=False))
+        f.write("\n}}\n")
+        f.flush()
+        os.fsync(f.fileno())
+    os.replace(f"{path}.part", path)
