@@ -53,13 +53,15 @@ TASK_FREQUENT, MAX_FREQUENT, FREQUENT_SHARE = 1 << 13, 100_000, 2000
 COUNTED = 1 << 19
 #: Elements of the sets of a block of a unit (a larger set is alone with its share of others).
 BLOCK = 1 << 20
+#: Characters of texts that are hashed at once.
+TEXT_BLOCK = 1 << 18
 #: Cells of the bitmap of documents whose sets are wanted.
 CELLS = 1 << 26
 
 
 def sets(texts: list[str], width: int = WIDTH_WORDS):
     """Shingle sets of whole texts, in order."""
-    for lo, hi in blocks(texts):
+    for lo, hi in blocks(texts, TEXT_BLOCK):
         hashes, counts = words(texts[lo:hi])
         for part in np.split(hashes, np.cumsum(counts)[:-1]):
             yield shingles(part, width)
@@ -125,16 +127,20 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int = 75, width: in
     return distinct(np.concatenate(out))
 
 
-def _arrow(docs: DataFrame, schema: str, make, columns=("text",), last=None) -> DataFrame:
-    """mapInArrow over whole texts; ``make`` maps columns, sets and the task's state to Arrow arrays, as ``last`` does at its end."""
+def _arrow(docs: DataFrame, schema: str, make, columns=("text",), last=None, asked=None) -> DataFrame:
+    """mapInArrow over whole texts; ``make`` maps columns, sets and the task's state to Arrow arrays, as ``last`` does at its end.
+
+    ``asked`` picks rows of a batch before their texts are looked at.
+    """
     names = [p.split()[0] for p in schema.split(", ")]
 
     def run(batches):
         state = {}
         for batch in batches:
+            batch = batch if asked is None else batch.filter(asked(batch))
             rows = [batch.column(c).to_pylist() for c in columns]
             texts = [t or "" for t in rows[columns.index("text")]]
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, TEXT_BLOCK):
                 out = make([r[lo:hi] for r in rows], list(sets(texts[lo:hi])), state)
                 if out is not None:
                     yield pa.RecordBatch.from_arrays(out, names=names)
@@ -348,17 +354,16 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap[cells["w"].to_numpy()] = cells["bits"].to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
-    def asked(batches):
-        for batch in batches:
-            cell = batch.column("cell").to_numpy()
-            yield batch.filter(pa.array((sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool))).select(["text"])
+    def asked(batch):
+        cell = batch.column("cell").to_numpy()
+        return pa.array((sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool))
 
     def emit(rows, found, state):
         got = [(f, s) for f, s in zip(_fresh(found, state), found) if f is not None]
         return [pa.array([f for f, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())]
 
-    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text").mapInArrow(asked, "text string")
-    return _arrow(texts, "node long, shingles binary", emit)
+    texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text")
+    return _arrow(texts, "node long, shingles binary", emit, ("text", "cell"), asked=asked)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
