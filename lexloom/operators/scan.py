@@ -106,4 +106,4 @@ def head_sample(files: DataFrame, n: int) -> DataFrame:
 def hash_sample(files: DataFrame, rate: float, most: int, seed: int = 0) -> DataFrame:
     """A repeatable random sample: at least one file, at most ``most``."""
     n = files.count()
-    return files.orderBy(F.xxhash64("path", F.lit(seed)), "path").limit(min(max(1, int(n * rate)), most, n))
+    return files.orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), "path"), 256), "path").limit(min(max(1, int(n * rate)), most, n))

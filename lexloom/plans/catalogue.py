@@ -291,7 +291,7 @@ def q25(spark, sf_dir):
     return scan.head_sample(_files(spark, sf_dir).select("path"), 20)
 
 
-@query("q26_sample_hash")
+@query("q26_sample_hash", f"WITH {_SRC} SELECT path FROM src ORDER BY sha256('0:' || path) LIMIT (SELECT least(greatest(1, floor(count(*) * 0.15)), 50)::BIGINT FROM src)")
 def q26(spark, sf_dir):
     return scan.hash_sample(_files(spark, sf_dir).select("path"), 0.15, 50)
 
@@ -326,51 +326,80 @@ def q30(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", extract.prose(F.col("html"), "markup").alias("prose"))
 
 
-@query("q31_html_segments")
+@query(
+    "q31_html_segments",
+    r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<(style|script)\b.*?</(style|script)>', '<>', 'g') AS h FROM pages),
+n AS (SELECT page_id, regexp_replace(unnest(string_split_regex(h, '<[^>]*>|&#?[A-Za-z0-9]+;?')), '^\s+|\s+$', '', 'g') AS source_text FROM c)
+SELECT 'p/' || page_id || '.html' AS path, 'html_text' AS kind, source_text FROM n WHERE source_text <> '' AND source_text NOT LIKE '#%'""",
+)
 def q31(spark, sf_dir):
     pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
-    return parsers.parse(pages)
+    return parsers.parse(pages).select("path", "kind", "source_text")
+
+
+#: What whole texts are freed from where they stand inside a literal or a line of another format.
+_UNSAFE = r"[\x00-\x1f\x22'`\\/<>{}()\[\]|$%#*]"
+
+
+def _one_line(text):
+    return F.regexp_replace(F.coalesce(text, F.lit("")), _UNSAFE, " ")
+
+
+_CLEAN = f"""{_SRC}, clean AS (SELECT doc_id, regexp_replace(coalesce(src, ''), '{_UNSAFE.replace("'", "''")}', ' ', 'g') AS body FROM src)"""
 
 
 @query(
     "q32_json_values",
-    """SELECT 'docs/' || doc_id || '.json' AS path, 'json_value' AS kind, title || ' ' || doc_id AS source_text FROM (SELECT doc_id, 'A title' AS title FROM documents)""",
+    f"""WITH {_CLEAN} SELECT 'docs/' || doc_id || '.json' AS path, 'json_value' AS kind, unnest(['A title ' || doc_id, 'Body ' || body]) AS source_text FROM clean""",
 )
 def q32(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    content = F.concat(F.lit('{"id": "x-'), n, F.lit('", "A title": {"link": "http://x/y", "t": ["A title '), n, F.lit('", 5, null]}}'))
-    docs = _table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), n, F.lit(".json")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    content = F.concat(F.lit('{"id": "x-'), n, F.lit('", "A title": {"link": "http://x/y", "t": ["A title '), n, F.lit('", 5, null], "k": "Body '), _one_line(F.col("src")), F.lit('"}}'))
+    docs = _files(spark, sf_dir).select(F.concat(F.lit("docs/"), n, F.lit(".json")).alias("path"), F.encode(content, "UTF-8").alias("content"))
     return parsers.parse(docs).select("path", "kind", "source_text")
 
 
-_MD = """md AS (SELECT 'docs/' || doc_id || '.md' AS path, doc_id FROM documents)"""
-
-
 @query(
     "q33_markdown",
-    f"""WITH {_MD} SELECT path, 'markdown_heading' AS kind, 'Title ' || doc_id AS source_text FROM md UNION ALL SELECT path, 'markdown_paragraph', 'item with [label](x.md) text' FROM md
-UNION ALL SELECT path, 'markdown_table_cell', 'cell ' || doc_id FROM md UNION ALL SELECT path, 'markdown_table_cell', '右' FROM md UNION ALL SELECT path, 'markdown_link_label', 'only label' FROM md""",
+    f"""WITH {_CLEAN}, md AS (SELECT 'docs/' || doc_id || '.md' AS path, doc_id, body FROM clean)
+SELECT path, 'markdown_heading' AS kind, 'Title ' || doc_id AS source_text FROM md UNION ALL SELECT path, 'markdown_paragraph', 'item with [label](x.md) text' FROM md
+UNION ALL SELECT path, 'markdown_table_cell', 'cell ' || doc_id FROM md UNION ALL SELECT path, 'markdown_table_cell', '右' FROM md UNION ALL SELECT path, 'markdown_link_label', 'only label' FROM md
+UNION ALL SELECT path, 'markdown_paragraph', 'Body ' || body FROM md""",
 )
 def q33(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit("# Title "), n, F.lit("\n- [x] item with [label](x.md) text\n```\ncode in fence\n```\n| cell "), n, F.lit(" | 右 |\n|---|---|\n[only label](y.md)\n`code`\nhttps://x.org/a\n"))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("docs/"), n, F.lit(".md")).alias("path"), src.alias("src"))
+    head = F.concat(F.lit("# Title "), n, F.lit("\n- [x] item with [label](x.md) text\n```\ncode in fence\n"), F.coalesce("src", F.lit("")))
+    src = F.concat(head, F.lit("\n```\n| cell "), n, F.lit(" | 右 |\n|---|---|\n[only label](y.md)\n`code`\nhttps://x.org/a\n> Body "), _one_line(F.col("src")), F.lit("\n"))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("docs/"), n, F.lit(".md")).alias("path"), src.alias("src"))
     return extract.markdown_segments(files).select("path", "kind", "source_text")
 
 
-def _literal(spark, name: str, text: str) -> DataFrame:
-    return spark.createDataFrame([(name, text.encode())], "path string, content binary")
-
-
-@query("q34_python_docstrings")
+@query(
+    "q34_python_docstrings",
+    f"""WITH {_CLEAN} SELECT 'p/' || doc_id || '.py' AS path, unnest(['docstring', 'docstring', 'comment']) AS kind,
+  unnest(['Module 文档 ' || doc_id || '.', 'Says 你好 ' || body || chr(10) || '    more', '# 注释 ' || doc_id]) AS source_text FROM clean""",
+)
 def q34(spark, sf_dir):
-    return parsers.parse(_literal(spark, "a.py", '"""Module 文档."""\n\n\ndef f():\n    """Says 你好."""\n    return 1  # 注释\n'))
+    n = F.col("doc_id").cast("string")
+    body = _one_line(F.col("src"))
+    content = F.concat(F.lit('"""Module 文档 '), n, F.lit('."""\n\n\ndef f():\n    """Says 你好 '), body, F.lit('\n    more"""\n    return "值"  # 注释 '), n, F.lit("\n"))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("p/"), n, F.lit(".py")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return parsers.parse(files).select("path", "kind", "source_text")
 
 
-@query("q35_code_lexer")
+@query(
+    "q35_code_lexer",
+    f"""WITH {_CLEAN} SELECT 'c/' || doc_id || '.tsx' AS path, unnest(['line_comment', 'template_string_fragment', 'template_string_fragment', 'string', 'string', 'jsx_text']) AS kind,
+  unnest(['// 注释 ' || body, '你好 ', ' 世界 ' || doc_id, '错误 ' || body, '名字 ' || doc_id, regexp_replace('文本 ' || body, '\s+$', '')]) AS source_text FROM clean""",
+)
 def q35(spark, sf_dir):
-    text = 'import a from "模块";\n// 注释\nconst x = `你好 ${name} 世界`;\nconsole.log("错误");\nfetch("/路径");\nreturn <input placeholder="名字" className="类">文本</input>;\n'
-    return parsers.parse(_literal(spark, "a.tsx", text))
+    n, body = F.col("doc_id").cast("string"), _one_line(F.col("src"))
+    content = F.concat(
+        F.lit('import a from "模块";\n// 注释 '), body, F.lit("\nconst x = `你好 ${name({a: 1})} 世界 "), n, F.lit('`;\nconsole.log("错误 '), body, F.lit('");\nfetch("/路径");\nreturn <input placeholder="名字 '), n,
+        F.lit('" className="类">文本 '), body, F.lit("</input>;\n"),
+    )
+    files = _files(spark, sf_dir).select(F.concat(F.lit("c/"), n, F.lit(".tsx")).alias("path"), F.encode(content, "UTF-8").alias("content"))
+    return parsers.parse(files).select("path", "kind", "source_text")
 
 
 @query(
@@ -432,22 +461,25 @@ _QUOTING = {"这个": 'the "one"', "和": "and"}
 
 @query(
     "q40_inplace_source",
-    """SELECT 'src/' || doc_id || '.ts' AS path, 'const a = "x' || doc_id || ' the \\"one\\""; // and "//" ' || doc_id || chr(10) || '  /* the "one" */' || chr(10)
-  || 'b = <i title=''plain''>the "one"</i>;' || chr(10) AS content FROM documents""",
+    f"""WITH {_CLEAN} SELECT 'src/' || doc_id || '.ts' AS path, 'const a = "x' || doc_id || ' the \\"one\\""; // and "//" ' || doc_id || chr(10) || '  /* the "one" */' || chr(10)
+  || 'b = <i title=''plain''>the "one"</i>;' || chr(10) || '// Body ' || replace(replace(body, '这个', 'the "one"'), '和', 'and') || chr(10) AS content FROM clean""",
 )
 def q40(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit('const a = "x'), n, F.lit(' 这个"; // 和 "//" '), n, F.lit("\n  /* 这个 */\nb = <i title='plain'>这个</i>;\n"))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    src = F.concat(F.lit('const a = "x'), n, F.lit(' 这个"; // 和 "//" '), n, F.lit("\n  /* 这个 */\nb = <i title='plain'>这个</i>;\n// Body "), _one_line(F.col("src")), F.lit("\n"))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("src/"), n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
     out = inplace.rewrite(files, translate.Dictionary(_QUOTING), translate.staged)
     return out.select("path", F.col("content").cast("string").alias("content"))
 
 
-@query("q41_inplace_json", """SELECT 'd/' || doc_id || '.json' AS path, '{"这个": ["the ' || doc_id || '", 5, {"k": "plain"}]}' AS content FROM documents""")
+@query(
+    "q41_inplace_json",
+    f"""WITH {_CLEAN} SELECT 'd/' || doc_id || '.json' AS path, '{{"这个": ["the ' || doc_id || '", 5, {{"k": "plain", "t": "Body ' || replace(replace(body, '这个', 'the'), '和', 'and') || '"}}]}}' AS content FROM clean""",
+)
 def q41(spark, sf_dir):
     n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit('{"这个": ["这个 '), n, F.lit('", 5, {"k": "plain"}]}'))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("d/"), n, F.lit(".json")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    src = F.concat(F.lit('{"这个": ["这个 '), n, F.lit('", 5, {"k": "plain", "t": "Body '), _one_line(F.col("src")), F.lit('"}]}'))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("d/"), n, F.lit(".json")).alias("path"), F.encode(src, "UTF-8").alias("content"))
     out = inplace.rewrite(files, translate.Dictionary(_ENGLISH), translate.staged)
     return out.select("path", F.col("content").cast("string").alias("content"))
 

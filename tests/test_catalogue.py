@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lexloom.plans import catalogue
+from lexloom.plans import catalogue, workflows  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 
