@@ -31,6 +31,7 @@ one; an empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -247,6 +248,15 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.select(*[c for c in rows.columns if c not in ("blocks", "with")], lo.alias("lo"), hi.alias("hi"))
 
 
+def _near_sizes(rows: DataFrame, percent: int) -> DataFrame:
+    """``rows`` (hub, node, n) whose hub has another node of a size that can be linked with theirs, by classes of sizes."""
+    # sizes that can be linked are in one class or in neighbouring ones
+    kind = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-9))).alias("kind")
+    counted = rows.groupBy("hub", kind).agg(F.count("*").alias("here"))
+    around = counted.select("hub", F.explode(F.array(*[F.col("kind") + d for d in (-1, 0, 1)])).alias("kind"), "here").groupBy("hub", "kind").agg(F.sum("here").alias("here"))
+    return rows.withColumn("kind", kind).join(around.filter("here > 1").select("hub", "kind"), ["hub", "kind"], "left_semi").drop("kind")
+
+
 def _worked(rows: DataFrame, work, schema: str) -> DataFrame:
     return rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node").mapInArrow(work, schema)
 
@@ -374,11 +384,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     emitted = base.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
     spread = emitted.repartition("sig").sortWithinPartitions("sig", "node")
     pairs = spread.mapInArrow(_groups, "sig long, node long, hub long").select("hub", "node").distinct()
+    fresh = base.filter("sigs is not null")
+    met = staged(_near_sizes(pairs.join(fresh.groupBy("node").agg(F.first("n").alias("n")), "node"), percent), "jaccard-pairs")
     # first() takes any of equal sketches, and any document that has the set
-    nodes = base.filter("sigs is not null").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "cell", "sketch")))
-    units = staged(pairs.join(nodes, "node"), "jaccard-units")
-    likely = staged(_worked(_dealt(units), _likely(percent), "hub long, node long, n long, cell long").distinct(), "jaccard-likely")
-    discard(units)
+    nodes = fresh.groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "sketch")))
+    likely = staged(_worked(_dealt(met).join(nodes, "node"), _likely(percent), "hub long, node long, n long, cell long").distinct(), "jaccard-likely")
+    discard(met)
     held = staged(_sets_of(docs, likely), "jaccard-sets")
     members = staged(_dealt(likely).select("hub", "node", "block", "lo", "hi"), "jaccard-members")
     links = _worked(members.filter("lo = hi").join(held, "node").withColumn("root", F.col("node")), _links(percent), "a long, b long")
