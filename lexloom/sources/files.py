@@ -44,7 +44,7 @@ class TreeReader(DataSourceReader):
                 if len(held) >= self.FILES or size >= self.BYTES:
                     out.append(_Paths(held))
                     held, size = [], 0
-        return [*out, _Paths(held)] if held else out
+        return [*out, _Paths(held)]
 
     def read(self, partition):
         for full in partition.paths:

@@ -1,0 +1,236 @@
+"""Trees, manifests, memories, runs and the command line: round trips on folders of odd files."""
+
+import json
+import os
+
+import pytest
+
+from lexloom import cli
+from lexloom.operators import engines, extract, parsers, resume, reviewer, scan, splice, translate
+from lexloom.project import Localiser, distinct_folders
+from lexloom.sources import files as S
+
+FILES = {
+    "a.md": "# 标题\n\n正文 with `代码` text\n",
+    "src/b.py": '"""文档 here."""\n\nx = "不译"  # 注释 here\n',
+    "src/c.json": '{"k": "标题 long enough", "n": 1}\n',
+    "src/d.tsx": 'const a = <b title="名字 here">文本</b>; // 注释\n',
+    "e.txt": "第一行\nplain\n第二行",
+    ".hidden/f.txt": "隐藏",
+    "node_modules/g.js": "// 注释\n",
+    "plain.txt": "nothing of that kind in here\n",
+}
+WORDS = {"标题": "title", "正文": "text", "文档": "docs", "注释": "note", "名字": "name", "文本": "words", "第一行": "line one", "第二行": "line two", "不译": "no", "隐藏": "hidden"}
+
+
+@pytest.fixture
+def tree(tmp_path):
+    root = tmp_path / "tree"
+    for name, text in FILES.items():
+        path = root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    (root / "bad.txt").write_bytes(b"\xff\xfe")
+    (root / "link.md").symlink_to("a.md")
+    (root / "dirlink").symlink_to("src")
+    return str(root)
+
+
+def contents(root):
+    out = {}
+    for folder, folders, names in os.walk(root):
+        for name in [*names, *(f for f in folders if os.path.islink(os.path.join(folder, f)))]:
+            full = os.path.join(folder, name)
+            rel = os.path.relpath(full, root)
+            if ".lexloom-state" not in rel:
+                out[rel] = os.readlink(full) if os.path.islink(full) else open(full, "rb").read()
+    return out
+
+
+def localiser(spark, **options):
+    return Localiser(spark, translate.Dictionary(WORDS), translate_code=True, **options)
+
+
+def test_tree_round_trip(spark, tree, tmp_path, monkeypatch):
+    monkeypatch.setattr(S.TreeReader, "FILES", 3)
+    S.write_tree(S.read_tree(spark, tree), str(tmp_path / "copy"))
+    assert contents(tmp_path / "copy") == contents(tree)
+    assert S.read_tree(spark, str(tmp_path / "missing")).count() == 0
+    rows = {r.path: r for r in S.read_tree(spark, tree, with_content=False).collect()}
+    assert rows["link.md"].is_symlink and rows["link.md"].link_target == "a.md" and rows["dirlink"].is_symlink and rows["a.md"].content is None
+
+
+def test_manifest_to_applied_tree(spark, tree, tmp_path):
+    run = localiser(spark, translation_memory_path=str(tmp_path / "memory.json"))
+    first, filled, out = (str(tmp_path / n) for n in ("first", "filled", "out"))
+    made = run.extract(tree, first)
+    assert {(r.path, r.reason) for r in made.errors.collect()} == {("bad.txt", "not UTF-8")}
+    assert {r.path for r in made.fallback.collect()} == {"e.txt", "plain.txt", ".hidden/f.txt"}
+    skipped = {(r.path, r.reason) for r in made.skipped.collect()}
+    assert ("a.md", "overlapping range") not in skipped
+    header, segments, faulty = S.read_manifest(spark, first)
+    rows = [(r.path, r.source_text) for r in segments.orderBy("path", "start_byte").collect()]
+    assert ("src/d.tsx", "名字 here") in rows and ("src/b.py", "文档 here.") in rows and ("e.txt", "第二行") in rows and faulty.count() == 0
+    assert json.loads(header.first().value)["segment_count"] == len(rows) == made.segments.count()
+    told = run.translate_manifest(first, filled)
+    assert told["segments_translated"] == told["segments_total"] == len(rows) and told["segments_from_memory"] == 0 and told["provider_calls"] > 0
+    again = run.translate_manifest(filled, str(tmp_path / "again"))
+    assert (again["segments_from_memory"], again["segments_from_provider"], again["provider_calls"]) == (0, 0, 0)
+    third = run.translate_manifest(first, str(tmp_path / "third"))
+    assert third["segments_from_memory"] == len(rows) and third["provider_calls"] == 0
+    memory = json.loads((tmp_path / "memory.json").read_text())["entries"]
+    assert {e["source_text"]: e["hits"] for e in memory.values()}["标题"] >= 1
+    stats = run.apply(filled, tree, out)
+    assert stats["segments_applied"] == len(rows) and stats["files_skipped_validation"] == 0
+    got = contents(out)
+    assert got["src/d.tsx"].decode() == 'const a = <b title="name here">words</b>; // note\n' and got["bad.txt"] == b"\xff\xfe" and got["link.md"] == "a.md"
+    assert got["a.md"].decode() == "# title\n\ntext with `代码` text\n"
+    with pytest.raises(splice.ApplyError, match="not empty"):
+        run.apply(filled, tree, out)
+    with pytest.raises(ValueError):
+        run.apply(filled, tree, tree + "/")
+    open(os.path.join(tree, "e.txt"), "a").write("!")
+    with pytest.raises(splice.ApplyError, match="e.txt: mismatch"):
+        run.apply(filled, tree, str(tmp_path / "out2"))
+    stats = localiser(spark, fail_on_source_mismatch=False).apply(filled, tree, str(tmp_path / "out3"))
+    assert stats["files_skipped_mismatch"] == 1
+    os.remove(os.path.join(tree, "a.md"))
+    with pytest.raises(splice.ApplyError, match="a.md: missing"):
+        localiser(spark, fail_on_source_mismatch=False).apply(filled, tree, str(tmp_path / "out4"))
+
+
+def test_memory_forms(spark, tmp_path):
+    rows = spark.createDataFrame([("k1", "你", "you", "string", 2), ("k2", "x", None, "string", 0)], S.MEMORY_DDL)
+    for name in ("m.json", "table"):
+        path = str(tmp_path / name)
+        assert S.read_memory(spark, path).count() == 0
+        S.write_memory(rows, path)
+        assert [tuple(r) for r in S.read_memory(spark, path).collect()] == [("k1", "你", "you", "string", 2)]
+    (tmp_path / "bad.json").write_text("{")
+    with pytest.raises(ValueError, match="bad.json"):
+        S.read_memory(spark, str(tmp_path / "bad.json"))
+    assert S.read_memory(spark, None).count() == 0
+
+
+def test_faulty_manifest_lines_have_numbers(spark, tmp_path):
+    (tmp_path / "m").write_text('{"type": "header"}\n\n{"id": "x"}\n')
+    header, segments, faulty = S.read_manifest(spark, str(tmp_path / "m"))
+    assert header.count() == 1 and segments.count() == 0 and [r.line for r in faulty.collect()] == [3]
+
+
+def test_run_resumes_and_reports(spark, tree, tmp_path, capsys):
+    out = str(tmp_path / "out")
+    run = localiser(spark, verify=True, audit_untranslated=True, review_engine="silent", review_sample_rate=1.0, export_manifest_path=str(tmp_path / "exported"))
+    told = run.run(tree, out)
+    got = contents(out)
+    assert got["src/b.py"].decode() == '"""docs here."""\n\nx = "no"  # note here\n' and json.loads(got["src/c.json"]) == {"k": "title long enough", "n": 1}
+    assert told["statistics"]["translated_files"] >= 5 and told["statistics"]["failed_files"] == 1 and not told["failed"]
+    assert told["audit"]["total_findings"] >= 1  # inline code stays
+    assert "score" in told["review"] and os.path.isdir(tmp_path / "exported")
+    second = run.translate(tree, out)
+    assert second["translated_files"] == 0 and second["total_files"] == 1 and contents(out) == got
+    other = localiser(spark, target_lang="fr").translate(tree, out)
+    assert other["translated_files"] == told["statistics"]["translated_files"]
+    dry = localiser(spark, dry_run=True).translate(tree, str(tmp_path / "dry"))
+    assert dry["translated_files"] == told["statistics"]["translated_files"] and not os.path.exists(tmp_path / "dry")
+    with pytest.raises(ValueError):
+        distinct_folders(tree, os.path.join(tree, "src", ".."))
+    with pytest.raises(ValueError):
+        Localiser(spark, code_scope="all")
+    in_place = localiser(spark).translate_in_place(tree)
+    assert in_place["translated_files"] >= 5 and localiser(spark).translate_in_place(tree)["translated_files"] == 0
+
+
+def test_command_line(spark, tree, tmp_path, capsys):
+    first, filled, out = (str(tmp_path / n) for n in ("first", "filled", "out"))
+    assert cli.main(["extract", tree, first, "--translate-code"], spark) == 0
+    assert cli.main(["translate-manifest", first, filled, "--translator", "upper"], spark) == 0
+    assert cli.main(["apply", filled, tree, out], spark) == 0
+    assert cli.main(["audit", out], spark) == 0
+    assert cli.main(["verify", tree, out, "--json-output", str(tmp_path / "report.json")], spark) == 0
+    assert json.loads((tmp_path / "report.json").read_text())["files"]["common"] == len(contents(tree)) - 1
+    os.remove(os.path.join(out, "plain.txt"))
+    assert cli.main(["verify", tree, out], spark) == 1 and cli.main(["verify", tree, out, "--fail-on", "never"], spark) == 0
+    assert cli.main(["review", out, "--original", tree, "--sample-rate", "1"], spark) == 0
+    assert cli.main(["detect", tree], spark) == 0
+    assert cli.main(["translate", tree, str(tmp_path / "t"), "--translator", "identity", "--verify"], spark) == 0
+    assert cli.main(["engines"], spark) == 0
+    said = capsys.readouterr().out
+    assert "missing_file" in said and "segments (0 from memory" in said and "deepl" in said and "score" in said
+
+
+def test_plug_ins_and_failures(spark):
+    def broken(text, suffix):
+        raise RuntimeError("no")
+
+    files = spark.createDataFrame([("a.ts", "// 注\n".encode(), 6), ("b.md", "# 题\n[名](x.md) 和\n".encode(), 30)], "path string, content binary, length long")
+    made = extract.extract_files(files, translate_code=True, parsers={".ts": broken})
+    assert {(r.path, r.reason) for r in made.fallback.collect()} == {("a.ts", "RuntimeError: no")}
+    assert [(r.path, r.source_text) for r in made.segments.orderBy("path", "start_byte").collect()] == [("a.ts", "// 注"), ("b.md", "题"), ("b.md", "[名](x.md) 和")]
+    assert ("b.md", "overlapping range") in {(r.path, r.reason) for r in made.skipped.collect()}
+    calls = []
+
+    class Shaky:
+        def translate(self, texts):
+            calls.append(len(texts))
+            if len(calls) == 1:
+                raise OSError
+            return list(texts)
+
+    assert translate.call(Shaky(), ["a", " ", "b"]) == ["a", " ", "b"] and calls == [2, 2]
+    with pytest.raises(ValueError):
+        translate.call(translate.Offline(str), []) or translate.call(type("Short", (), {"translate": lambda self, t: []})(), ["a"])
+    assert engines.provider("upper,identity", "zh", "en").translate(["a", "b", "c"]) == ["A", "b", "C"]
+    with pytest.raises(ValueError):
+        engines.provider("unknown", "zh", "en")
+    pairs = spark.createDataFrame([("p", "x" * 60, "y" * 60), ("q", "short", "short")], "path string, a string, b string")
+
+    class Model:
+        def review(self, path, source, target):
+            return [{"type": "tone", "severity": "info", "message": "m"}]
+
+    class Nonsense:
+        def review(self, path, source, target):
+            return [{"severity": "info"}]
+
+    assert [tuple(r)[:4] for r in reviewer.review_pairs(pairs, Model()).collect()] == [("p", "ai_tone", "info", "m")]
+    assert reviewer.review_pairs(pairs, Nonsense()).collect() == [] and reviewer.review_pairs(pairs, reviewer.Silent()).collect() == []
+
+
+def test_resume_table(spark, tmp_path):
+    config = {"source_lang": "zh", "target_lang": "en", "translate_code": True, "code_scope": "comments"}
+    folder = str(tmp_path / "state")
+    assert resume.load(spark, folder, config).count() == 0
+    resume.save(spark.createDataFrame([("a", "1")], "path string, file_sha256 string"), folder, config)
+    resume.save(spark.createDataFrame([("b", "2")], "path string, file_sha256 string"), folder, config)
+    assert sorted(r.path for r in resume.load(spark, folder, config).collect()) == ["a", "b"]
+    for field, value in (("source_lang", "ja"), ("target_lang", "fr"), ("translate_code", False), ("code_scope", "x")):
+        assert resume.load(spark, folder, config | {field: value}).count() == 0
+    spark.createDataFrame([(1,)], "x int").write.parquet(str(tmp_path / "other"))
+    assert resume.load(spark, str(tmp_path / "other"), config).count() == 0
+
+
+def test_lines_and_fences(spark):
+    text = "a\n```\nb\n~~~\nc\n```\nd\n  ~~~\ne"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "é\n\n你x")], "n int, src string")
+    got = [(r.n, r.ln, r.line, r.start_byte, r.inside) for r in scan.lines(rows, "src", "nested").orderBy("n", "ln").collect()]
+    assert [x[4] for x in got if x[0] == 1] == [False, True, True, True, True, True, False, True, True]
+    assert [x[1:4] for x in got if x[0] > 1] == [(0, "", 0), (0, "é", 0), (1, "", 3), (2, "你x", 4)]
+    switched = [r.inside for r in scan.lines(rows.filter("n = 1"), "src", "switch").orderBy("ln").collect()]
+    assert switched == [False] + [True] * 8
+
+
+def test_code_lexer():
+    def spans(text, suffix=".tsx"):
+        return [(text[f.start : f.end], f.kind) for f in parsers.code(text, suffix) if f.translatable]
+
+    assert spans('if (a > 1 && m("你好") && b < 2) {}') == [("你好", "string")]
+    assert spans("x = `你 ${f({a:1})} 好`;") == [("你 ", "template_string_fragment"), (" 好", "template_string_fragment")]
+    assert spans('a > "你好" + b <c') == [("你好", "string")]
+    assert spans("<A>你{x ? <B>好</B> : '吗'}</A>") == [("你", "jsx_text"), ("好", "jsx_text"), ("吗", "string")]
+    assert spans('r = /["你]/; s = "好"') == [("好", "string")]
+    assert spans("/** 文 */ /* plain */ // 行", ".go") == [("/** 文 */", "doc_comment"), ("// 行", "line_comment")]
+    assert spans("let c: &'a str = \"串\"; // 注", ".rs") == [("串", "string"), ("// 注", "line_comment")]
+    assert spans('<p :t="\'甲\'">乙 {{ n }}</p><script>x = "丙"</script><style>a{b:"丁"}</style>', ".vue") == [("'甲'", "string"), ("乙 {{ n }}", "jsx_text"), ("丙", "string")]
+    assert spans('throw new MyError("错"); console.log("打"); push("路"); a = {"键": "值"}') == [("错", "string"), ("打", "string"), ("值", "string")]
+    assert spans("`未完 ${") == [("未完 ", "template_string_fragment")] and spans('"未完') == [] and spans("<A>" * 3000 + "深" + "</A>" * 3000) == [("深", "jsx_text")]
