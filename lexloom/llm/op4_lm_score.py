@@ -10,8 +10,8 @@ lie in one block of ``BLOCK_BITS``, and blocks are stretches of buckets.  The fi
 counts a bucket fills its blocks, asks them for all n-grams that chunks sent, and sends the levels back to the chunks,
 where texts are scored.  So the filter has ``BITS_PER_TOKEN`` bits a training token at any size of the input.
 
-The probability of a word after a history mixes orders as Dirichlet smoothing does:
-``p_n = (min(c(hw), c(h)) + MU * p_(n-1)) / (c(h) + MU)`` on the add-0.1 unigram probability of the filter.
+The probability of a word after a history interpolates orders on the add-0.1 unigram probability of the filter:
+``p_n = SHARE * min(c(hw), c(h)) / c(h) + (1 - SHARE) * p_(n-1)``, and ``p_(n-1)`` after an unknown history.
 
 The base score needs exact counts.  The most frequent tokens (a fixed number) are broadcast; other tokens
 of a document are joined with the count table, which is exact at any size.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from lexloom.llm.common import blocks, staged
 from lexloom.llm.wordhash import mix, words
 
-ORDER, MU, PROBES = 2, 8.0, 4
+ORDER, SHARE, PROBES = 2, 0.5, 4
 BLOCK_BITS, BITS_PER_TOKEN = 1 << 13, 4
 #: Training tokens a bucket of n-grams, about, and the fewest buckets.
 BUCKET_TOKENS, MIN_BUCKETS = 1 << 20, 1 << 12
@@ -384,7 +384,7 @@ def text_scores(texts: list[str], known: np.ndarray, level: np.ndarray, n_bucket
         history = np.zeros(len(p))
         history[1:] = counts[n - 1][:-1]
         history[found[n] == 0] = 0
-        p = (np.minimum(counts[n], history) + MU * p) / (history + MU)
+        p = np.where(history > 0, SHARE * np.minimum(counts[n], history) / np.maximum(history, 1.0) + (1 - SHARE) * p, p)
     text = np.repeat(np.arange(len(texts)), sizes)
     return np.bincount(text, np.log10(np.minimum(p, 1.0)), len(texts)), sizes
 
