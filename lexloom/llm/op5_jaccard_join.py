@@ -48,8 +48,8 @@ WIDTH_WORDS = 5
 BAND = 4.0
 #: Elements a partition at the upper end of a band.
 LOAD = 2.2
-#: Frequent shingles that a task hands on, the most that are kept, and the share of sets (one of so many) they are in.
-TASK_FREQUENT, MAX_FREQUENT, FREQUENT_SHARE = 1 << 13, 100_000, 2000
+#: Sets that a frequent shingle is in, the most frequent ones that a task hands on, and the most that are kept.
+FREQUENT, TASK_FREQUENT, MAX_FREQUENT = 16, 1 << 15, 1 << 18
 #: Shingles that are counted at once.
 COUNTED = 1 << 19
 #: Elements of the sets of a block of a unit (a larger set is alone with its share of others).
@@ -176,15 +176,15 @@ def _tally(state: dict) -> None:
 
 
 def _frequent(docs: DataFrame) -> np.ndarray:
-    """Shingles that one in ``FREQUENT_SHARE`` of all sets has, at most MAX_FREQUENT; a matter of speed only.
+    """Shingles that ``FREQUENT`` sets or more have, at most MAX_FREQUENT; a matter of speed only.
 
-    Each task keeps a bounded table of the most frequent ones of all its texts; the tables are added up.
+    Each task keeps a bounded table of the most frequent ones of all its texts; the tables are added up.  Those
+    that a task meets once are left out, so counts are lower bounds.
     """
 
     def emit(rows, found, state):
         fresh = [s for s, node in zip(found, _fresh(found, state)) if node is not None]
         state.setdefault("parts", []).extend(fresh)
-        state["sets"] = state.get("sets", 0) + len(fresh)
         state["size"] = state.get("size", 0) + sum(map(len, fresh))
         if state["size"] > COUNTED:
             _tally(state)
@@ -193,13 +193,11 @@ def _frequent(docs: DataFrame) -> np.ndarray:
         _tally(state)
         hashes, counts = state["held"]
         most = np.sort(np.argsort(-counts, kind="stable")[:TASK_FREQUENT])
-        # the null shingle counts sets
-        return [pa.array([None, *hashes[most].view(np.int64).tolist()], pa.int64()), pa.array([state.get("sets", 0), *counts[most].tolist()], pa.int64())]
+        most = most[counts[most] > 1]
+        return [pa.array(hashes[most].view(np.int64)), pa.array(counts[most])]
 
-    counted = staged(_arrow(docs, "h long, n long", emit, last=last).groupBy("h").agg(F.sum("n").alias("n")), "jaccard-frequent")
-    total = counted.filter("h is null").agg(F.sum("n")).first()[0] or 0
-    top = counted.filter(F.col("h").isNotNull() & (F.col("n") >= max(8, total // FREQUENT_SHARE))).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toArrow()
-    discard(counted)
+    counted = _arrow(docs, "h long, n long", emit, last=last).groupBy("h").agg(F.sum("n").alias("n"))
+    top = counted.filter(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(MAX_FREQUENT).select("h").toArrow()
     return np.sort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
 
 
@@ -344,7 +342,7 @@ def _links(percent: int):
         for unit in _units(batches):
             node, first = np.unique(unit["node"].to_numpy(), return_index=True)
             if len(node) > 1:
-                found = [np.frombuffer(x.as_buffer(), np.uint64) for x in unit["shingles"].take(first)]
+                found = list(sets(unit["text"].take(first).to_pylist()))
                 apart = unit["block"].to_numpy()[first] if unit["lo"][0].as_py() != unit["hi"][0].as_py() else None
                 for i, j in forest(found, unit["root"].to_numpy()[first], apart, percent):
                     left.append(node[i])
@@ -357,8 +355,11 @@ def _links(percent: int):
     return run
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, shingles of the documents whose ``cell`` is wanted: their texts are read again, others are passed over."""
+def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text of the documents whose ``cell`` is wanted; others are passed over.
+
+    Texts travel to the units and are shingled there: they are a third of their sets' size when compressed.
+    """
     cells = wanted.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(CELLS // 64, np.int64)
     bitmap[cells["w"].to_numpy()] = cells["bits"].to_numpy()
@@ -369,11 +370,11 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.array((sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool))
 
     def emit(rows, found, state):
-        got = [(f, s) for f, s in zip(_fresh(found, state), found) if f is not None]
-        return [pa.array([f for f, _ in got], pa.int64()), pa.array([s.tobytes() for _, s in got], pa.binary())]
+        got = [(f, t or "") for f, t in zip(_fresh(found, state), rows[0]) if f is not None]
+        return [pa.array([f for f, _ in got], pa.int64()), pa.array([t for _, t in got], pa.string())]
 
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text")
-    return _arrow(texts, "node long, shingles binary", emit, ("text", "cell"), asked=asked)
+    return _arrow(texts, "node long, text string", emit, ("text", "cell"), asked=asked)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -390,7 +391,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     nodes = fresh.groupBy("node").agg(*(F.first(c).alias(c) for c in ("cell", "sketch")))
     likely = staged(_worked(_dealt(met).join(nodes, "node"), _likely(percent), "hub long, node long, n long, cell long").distinct(), "jaccard-likely")
     discard(met)
-    held = staged(_sets_of(docs, likely), "jaccard-sets")
+    held = staged(_texts_of(docs, likely), "jaccard-texts")
     members = staged(_dealt(likely).select("hub", "node", "block", "lo", "hi"), "jaccard-members")
     links = _worked(members.filter("lo = hi").join(held, "node").withColumn("root", F.col("node")), _links(percent), "a long, b long")
     links = staged(links, "jaccard-links")
