@@ -36,8 +36,7 @@ ENUM_LIKE = r"^[A-Za-z0-9_.\-]+$"
 
 JSON_QUOTED = '"([^"]+)"'
 JSON_NAME = "^[a-zA-Z_][a-zA-Z0-9_.-]*$"
-COMMENT_LINE = r"^(?://|#|/\*|\*|<!--)"
-QUOTED_TEXT = r"\"[^\"]{3,}\"|'[^']{3,}'"
+COMMENT_BLOCK = r"(?ms)^/\*.*?(?:^(?!#(?!!)|//|/\*)[^\n]*?\*/[^\n]*$|\z)"
 
 # Span kinds, severities and penalties.
 KINDS = [
@@ -52,6 +51,7 @@ PENALTY = {"error": 5.0, "warning": 2.0, "info": 0.5}
 
 # Which files are read.
 MARKDOWN_SUFFIXES = [".md", ".markdown"]
+TAGGED_SUFFIXES = [".html", ".htm", ".jinja2", ".vue", ".jsx", ".tsx", ".ui", ".qml", ".xml"]
 DOCUMENT_SUFFIXES = [".md", ".markdown", ".rst", ".txt"]
 TEXT_SUFFIXES = [
     ".md", ".markdown", ".rst", ".txt", ".adoc", ".py", ".rs", ".js", ".ts", ".jsx", ".tsx", ".go", ".java", ".c", ".cpp", ".h",

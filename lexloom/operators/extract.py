@@ -202,15 +202,37 @@ def prose(text: Column, kind: str) -> Column:
         found = F.flatten(F.transform(stripped, lambda x: F.regexp_extract_all(x, F.lit(V.JSON_QUOTED), 1)))
         stripped = F.filter(found, lambda x: ~x.rlike(V.JSON_NAME) & (F.length(x) > 2))
     if kind == "code":
-        # lines that begin a comment, hold a docstring mark or a quoted text
-        stripped = F.filter(stripped, lambda x: x.rlike(V.COMMENT_LINE) | x.contains('"""') | x.contains("'''") | x.rlike(V.QUOTED_TEXT))
+        return _code_prose(F.array_join(stripped, "\n"))
     return F.array_join(stripped, "\n")
 
 
+def _code_prose(text: Column) -> Column:
+    """Comments, docstring lines and lines that are one string, of text whose lines are stripped and not blank.
+
+    A block comment lasts from a line that begins it to a later one that ends it.
+    """
+    without = lambda x, signs: F.regexp_replace(x, f"^[{signs}]+", "")
+    comment = lambda x: F.when(x.rlike("^#(?!!)"), without(x, "# ")).when(x.startswith("//"), without(x, "/ "))
+
+    def in_block(x):
+        return comment(x).when(x.startswith("/*"), without(x, "/* ")).when(x.contains("*/"), F.regexp_replace(x, r"[*/ ]+$", "")).otherwise(without(x, "* "))
+
+    def outside(x):
+        marked = F.trim(F.regexp_replace(x, "[\"']{3}", ""))
+        return comment(x).when(x.rlike("\"{3}|'{3}"), marked).when(x.rlike("^['\"].*['\"]") & (F.length(x) > 4), F.regexp_replace(x, "^['\"]+|['\"]+$", ""))
+
+    def told(part, work):
+        return F.filter(F.transform(F.filter(F.split(part, "\n", -1), lambda x: x != ""), work), lambda x: x.isNotNull())
+
+    gaps, blocks = F.split(text, V.COMMENT_BLOCK, -1), F.regexp_extract_all(text, F.lit(V.COMMENT_BLOCK), 0)
+    parts = F.zip_with(gaps, blocks, lambda g, b: F.concat(told(F.coalesce(g, F.lit("")), outside), told(F.coalesce(b, F.lit("")), in_block)))
+    return F.array_join(F.flatten(parts), "\n")
+
+
 def file_prose(path: Column, text: Column) -> Column:
     """:func:`prose` by the file's suffix."""
     suffix = T.suffix(path)
     return (
-        F.when(suffix.isin(V.DOCUMENT_SUFFIXES), prose(text, "markdown")).when(suffix.isin(".html", ".htm", ".xml", ".svg"), prose(text, "markup"))
+        F.when(suffix.isin(".md", ".markdown", ".rst"), prose(text, "markdown")).when(suffix.isin(V.TAGGED_SUFFIXES), prose(text, "markup"))
         .when(suffix == ".json", prose(text, "json")).otherwise(prose(text, "code"))
     )

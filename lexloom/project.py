@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from lexloom.operators import engines, extract, inplace, reports, resume, review
 from lexloom.sources import files as S
 
 EAST = ("zh", "ja", "ko")
+HEADER = "type string, version int, source_lang string, target_lang string, repo_root string, created_at string"
 
 
 @dataclass
@@ -100,7 +102,7 @@ class Localiser:
         """Writes the manifest of a tree; side outputs come back."""
         o = self.options
         made = extract.extract_files(self._tree(root).filter(~F.col("is_symlink")), o.include_patterns, o.exclude_patterns, o.translate_code, self.east)
-        header = self.spark.createDataFrame([("header", 1, o.source_lang, o.target_lang, os.path.abspath(root))], "type string, version int, source_lang string, target_lang string, repo_root string")
+        header = self.spark.createDataFrame([("header", 1, o.source_lang, o.target_lang, os.path.abspath(root), datetime.now(UTC).isoformat())], HEADER)
         names = [f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")]
         S.write_manifest(header, made.segments.select(*names), manifest)
         return made
@@ -114,7 +116,7 @@ class Localiser:
         path = self.options.translation_memory_path
         memory = translate.staged(S.read_memory(self.spark, path))
         made = translate.translate_manifest(translate.staged(segments), memory, self.provider, translate.staged, self.options.batch_size)
-        told = self.spark.createDataFrame(header.select(F.from_json("value", "type string, version int, source_lang string, target_lang string, repo_root string").alias("h")).select("h.*").collect(), "type string, version int, source_lang string, target_lang string, repo_root string")
+        told = header.select(F.from_json("value", HEADER).alias("h")).select("h.*")
         S.write_manifest(told, made.segments.select(*segments.columns), out)
         if path:
             S.write_memory(translate.staged(made.memory), path)
