@@ -19,16 +19,68 @@ class OneByOne:
         return [self.http.translate([t])[0] for t in texts]
 
 
+def packed(text: str, limit: int) -> list[str]:
+    """Lines of a text in pieces of at most ``limit`` characters; a longer line is a piece of its own."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        if out and len(out[-1]) + len(line) + 1 <= limit:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+    return out
+
+
+class Chunked:
+    """Cuts texts beyond a service's limit at line ends and puts the answers together again."""
+
+    def __init__(self, inner: Provider, limit: int):
+        self.inner, self.limit = inner, limit
+
+    def translate(self, texts: Sequence[str]) -> list[str]:
+        parts = [packed(t, self.limit) if len(t) > self.limit else [t] for t in texts]
+        told = iter(self.inner.translate([p for own in parts for p in own]))
+        return ["\n".join(next(told) for _ in own) for own in parts]
+
+
+class Sequential:
+    """Asks for texts together, and one by one where that fails or the answers don't fit."""
+
+    def __init__(self, inner: Provider):
+        self.inner = inner
+
+    def translate(self, texts: Sequence[str]) -> list[str]:
+        try:
+            told = list(self.inner.translate(texts))
+            if len(told) == len(texts):
+                return told
+        except Exception:
+            if len(texts) == 1:
+                raise
+        return [self.inner.translate([t])[0] for t in texts]
+
+
+class Alone:
+    """Sends texts beyond ``limit`` characters by themselves, the others together."""
+
+    def __init__(self, inner: Provider, limit: int):
+        self.inner, self.limit = inner, limit
+
+    def translate(self, texts: Sequence[str]) -> list[str]:
+        short = [i for i, t in enumerate(texts) if len(t) <= self.limit]
+        out = dict(zip(short, self.inner.translate([texts[i] for i in short]))) if short else {}
+        return [out[i] if i in out else self.inner.translate([t])[0] for i, t in enumerate(texts)]
+
+
 def deepl(source: str, target: str, key: str = "", model: str = "", url: str = "") -> Provider:
     host = url or ("https://api-free.deepl.com" if key.endswith(":fx") else "https://api.deepl.com")
     encode = lambda texts: {"text": texts, "source_lang": source.upper(), "target_lang": target.upper()}
     decode = lambda answer: [t["text"] for t in answer["translations"]]
-    return Http(f"{host}/v2/translate", encode, decode, {"Authorization": f"DeepL-Auth-Key {key}"}, per_request=50, pause=0.5)
+    return Chunked(Sequential(Http(f"{host}/v2/translate", encode, decode, {"Authorization": f"DeepL-Auth-Key {key}"}, per_request=50, pause=0.5)), 50_000)
 
 
 def libre(source: str, target: str, key: str = "", model: str = "", url: str = "") -> Provider:
     encode = lambda texts: {"q": texts, "source": source, "target": target, "format": "text"} | ({"api_key": key} if key else {})
-    return Http(f"{url or 'http://localhost:5000'}/translate", encode, lambda answer: answer["translatedText"], per_request=50)
+    return Alone(Http(f"{url or 'http://localhost:5000'}/translate", encode, lambda answer: answer["translatedText"], per_request=50), 5_000)
 
 
 def _question(source: str, target: str, text: str) -> str:
@@ -39,7 +91,7 @@ def chat(source: str, target: str, key: str = "", model: str = "", url: str = ""
     """Services with the chat completions format."""
     encode = lambda texts: {"model": model, "temperature": 0.3, "messages": [{"role": "user", "content": _question(source, target, texts[0])}]}
     decode = lambda answer: [answer["choices"][0]["message"]["content"].strip()]
-    return OneByOne(Http(f"{url.rstrip('/')}/chat/completions", encode, decode, {"Authorization": f"Bearer {key}"}, per_request=1, pause=0.5, timeout=120))
+    return Chunked(OneByOne(Http(f"{url.rstrip('/')}/chat/completions", encode, decode, {"Authorization": f"Bearer {key}"}, per_request=1, pause=0.5, timeout=120)), 8_000)
 
 
 def ollama(source: str, target: str, key: str = "", model: str = "", url: str = "") -> Provider:

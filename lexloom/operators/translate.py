@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from itertools import accumulate
 from typing import Protocol
@@ -44,17 +45,20 @@ class Dictionary(Offline):
 
 
 class RoundRobin:
-    """Deals texts to several providers in turn and puts the answers back in order."""
+    """Deals texts to several providers in turn, asks them side by side and puts the answers back in order."""
 
     def __init__(self, providers: Sequence[Provider]):
         self.providers = list(providers)
 
     def translate(self, texts: Sequence[str]) -> list[str]:
+        n = len(self.providers)
         out: list[str] = [""] * len(texts)
-        for k, provider in enumerate(self.providers):
-            own = list(range(k, len(texts), len(self.providers)))
-            for i, t in zip(own, provider.translate([texts[i] for i in own])):
-                out[i] = t
+        with ThreadPoolExecutor(n) as pool:
+            answers = list(pool.map(lambda k: list(self.providers[k].translate(texts[k::n])) if texts[k::n] else [], range(n)))
+        for k, told in enumerate(answers):
+            if len(told) != len(texts[k::n]):
+                raise ValueError(f"provider answered {len(told)} of {len(texts[k::n])} texts")
+            out[k::n] = told
         return out
 
 

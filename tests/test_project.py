@@ -200,6 +200,26 @@ def test_plug_ins_and_failures(spark):
     assert reviewer.review_pairs(pairs, Nonsense()).collect() == [] and reviewer.review_pairs(pairs, reviewer.Silent()).collect() == []
 
 
+def test_limits_of_services():
+    asked = []
+
+    class Service:
+        def translate(self, texts):
+            asked.append(list(texts))
+            if len(texts) > 2:
+                raise OSError
+            return [t.upper() for t in texts]
+
+    assert engines.packed("ab\ncd\nefghijk\n", 5) == ["ab\ncd", "efghijk", ""]
+    assert engines.Chunked(engines.Sequential(Service()), 5).translate(["ab\ncd\nefghijk", "x"]) == ["AB\nCD\nEFGHIJK", "X"]
+    asked.clear()
+    assert engines.Sequential(Service()).translate(["a", "b", "c"]) == ["A", "B", "C"] and asked == [["a", "b", "c"], ["a"], ["b"], ["c"]]
+    asked.clear()
+    assert engines.Alone(Service(), 3).translate(["a", "long one", "b"]) == ["A", "LONG ONE", "B"] and asked == [["a", "b"], ["long one"]]
+    both = translate.RoundRobin([translate.Offline(str.upper), translate.Offline(str.lower)])
+    assert both.translate(["aB", "cD", "eF"]) == ["AB", "cd", "EF"] and both.translate([]) == [] and both.translate(["x"]) == ["X"]
+
+
 def test_resume_table(spark, tmp_path):
     config = {"source_lang": "zh", "target_lang": "en", "translate_code": True, "code_scope": "comments"}
     folder = str(tmp_path / "state")
