@@ -37,6 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -338,11 +339,11 @@ def _links(percent: int):
     """(a, b) that unite components within units, by comparison of the sets."""
 
     def run(batches):
-        left, right = [], []
+        left, right, unpack = [], [], zstandard.ZstdDecompressor().decompress
         for unit in _units(batches):
             node, first = np.unique(unit["node"].to_numpy(), return_index=True)
             if len(node) > 1:
-                found = list(sets(unit["text"].take(first).to_pylist()))
+                found = list(sets([unpack(x.as_buffer()).decode() for x in unit["text"].take(first)]))
                 apart = unit["block"].to_numpy()[first] if unit["lo"][0].as_py() != unit["hi"][0].as_py() else None
                 for i, j in forest(found, unit["root"].to_numpy()[first], apart, percent):
                     left.append(node[i])
@@ -358,7 +359,7 @@ def _links(percent: int):
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the documents whose ``cell`` is wanted; others are passed over.
 
-    Texts travel to the units and are shingled there: they are a third of their sets' size when compressed.
+    Texts travel to the units, compressed one by one, and are shingled there: that is a fraction of their sets' size.
     """
     cells = wanted.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(CELLS // 64, np.int64)
@@ -370,11 +371,12 @@ def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         return pa.array((sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool))
 
     def emit(rows, found, state):
-        got = [(f, t or "") for f, t in zip(_fresh(found, state), rows[0]) if f is not None]
-        return [pa.array([f for f, _ in got], pa.int64()), pa.array([t for _, t in got], pa.string())]
+        pack = state.setdefault("pack", zstandard.ZstdCompressor(level=6)).compress
+        got = [(f, pack((t or "").encode())) for f, t in zip(_fresh(found, state), rows[0]) if f is not None]
+        return [pa.array([f for f, _ in got], pa.int64()), pa.array([t for _, t in got], pa.binary())]
 
     texts = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell"), "text")
-    return _arrow(texts, "node long, text string", emit, ("text", "cell"), asked=asked)
+    return _arrow(texts, "node long, text binary", emit, ("text", "cell"), asked=asked)
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
