@@ -390,7 +390,7 @@ def q34(spark, sf_dir):
 @query(
     "q35_code_lexer",
     f"""WITH {_CLEAN} SELECT 'c/' || doc_id || '.tsx' AS path, unnest(['line_comment', 'template_string_fragment', 'template_string_fragment', 'string', 'string', 'jsx_text']) AS kind,
-  unnest(['// 注释 ' || body, '你好 ', ' 世界 ' || doc_id, '错误 ' || body, '名字 ' || doc_id, regexp_replace('文本 ' || body, '\s+$', '')]) AS source_text FROM clean""",
+  unnest(['// 注释 ' || body, '你好 ', ' 世界 ' || doc_id, '错误 ' || body, '名字 ' || doc_id, regexp_replace('文本 ' || body, '\\s+$', '')]) AS source_text FROM clean""",
 )
 def q35(spark, sf_dir):
     n, body = F.col("doc_id").cast("string"), _one_line(F.col("src"))
