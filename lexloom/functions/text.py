@@ -117,6 +117,15 @@ def chunks(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
+def merged_lines(original: Column, translated: Column, suffix_: Column) -> Column:
+    """The translated text of a document; of other files its lines where the original's hold Chinese, Japanese or Korean
+    characters and the translation is not blank, if both have as many lines, else the translated text.
+    """
+    old, new = F.split(original, "\n", -1), F.split(translated, "\n", -1)
+    lines = F.zip_with(old, new, lambda o, t: F.when(has_broad(o) & (strip_u(t) != ""), t).otherwise(o))
+    return F.when(~suffix_.isin(V.DOCUMENT_SUFFIXES) & (F.size(old) == F.size(new)), F.array_join(lines, "\n")).otherwise(translated)
+
+
 def suffix(path: Column) -> Column:
     """Lower-case suffix of the file name, with its dot; names that only begin with a dot have none."""
     name = F.element_at(F.split(path, "/"), -1)

@@ -403,3 +403,14 @@ def q76(spark, sf_dir):
 def q77(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return docs.select("doc_id", T.is_machine_constant(F.concat(F.lit("KEY_É_"), F.col("doc_id").cast("string"))).alias("constant"))
+
+
+@query(
+    "q78_merged_lines",
+    f"""WITH {_LN} SELECT path, sha256(CASE WHEN any_value(doc_id) % 3 = 0 THEN string_agg('T ' || line, chr(10) ORDER BY k) || chr(10)
+  ELSE string_agg(CASE WHEN regexp_matches(line, '{_BROAD}') THEN 'T ' || line ELSE line END, chr(10) ORDER BY k) END) AS text_sha256 FROM ln GROUP BY path""",
+)
+def q78(spark, sf_dir):
+    told = F.concat(F.lit("T "), F.replace("src", F.lit("\n"), F.lit("\nT ")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""))
+    files = _files(spark, sf_dir).filter("src is not null")
+    return files.select("path", F.sha2(T.merged_lines(F.col("src"), told, F.lit(".py")), 256).alias("text_sha256"))

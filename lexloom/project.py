@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
@@ -139,8 +140,13 @@ class Localiser:
     # whole trees
 
     def translate(self, root: str, out: str) -> dict:
-        """A copy of a tree, translated; files that an earlier run into ``out`` did under the same settings are left as they are."""
+        """A copy of a tree, translated; files that an earlier run into ``out`` did under the same settings are left as they are.
+
+        A folder that holds no state of an earlier run is replaced.
+        """
         distinct_folders(root, out)
+        if os.path.isdir(out) and not os.path.exists(os.path.join(out, V.STATE_FILE)) and not self.options.dry_run:
+            shutil.rmtree(out)
         return self._translate(root, out)
 
     def translate_in_place(self, root: str) -> dict:
