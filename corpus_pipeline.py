@@ -28,11 +28,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents without words are groups of their own.  Rows without doc_id can't be told apart and stay; an empty table stays
     empty; all columns stay.
     """
-    groups = op5_jaccard_join.near_duplicates(docs)
+    groups = staged(op5_jaccard_join.near_duplicates(docs), "pipeline-groups")
     first = groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("least")).agg(F.count("*").alias("rows"))
     first = staged(first, "pipeline-first")
-    chosen = lambda condition: docs.join(first.filter(condition).select("least"), F.col("doc_id") == F.col("least"), "left_semi")
-    kept = chosen("rows = 1")
+    dropped = groups.filter("doc_id <> component_id").select("doc_id")
+    # rows whose doc_id may be a dropped one or stand twice are joined; the others stay without a shuffle of their texts
+    unsure = op5_jaccard_join.cells(dropped.unionByName(first.filter("rows > 1").select(F.col("least").alias("doc_id"))))
+    sure, asked = (op5_jaccard_join.in_cells(docs.filter("doc_id is not null"), unsure, hit) for hit in (False, True))
+    chosen = lambda condition: asked.join(first.filter(condition).select("least"), F.col("doc_id") == F.col("least"), "left_semi")
+    kept = sure.unionByName(chosen("rows = 1"))
     if first.filter("rows > 1").limit(1).count():
         order = ["text", *[c for c in docs.columns if c != "text"]]
         least = chosen("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in order])).alias("_row"))

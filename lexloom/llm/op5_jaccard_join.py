@@ -356,14 +356,38 @@ def _links(percent: int):
     return run
 
 
+def _bits(wanted: DataFrame) -> np.ndarray:
+    """The cells of ``wanted`` as bits, of fixed size."""
+    found = wanted.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(CELLS // 64, np.int64)
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
+    return bitmap
+
+
+def cells(ids: DataFrame) -> np.ndarray:
+    """A bitmap of ``doc_id`` values; others may share their cells."""
+    return _bits(ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(CELLS)).alias("cell")))
+
+
+def in_cells(docs: DataFrame, bitmap: np.ndarray, hit: bool) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in a cell of the bitmap, or those that are in none."""
+    sent, n = docs.sparkSession.sparkContext.broadcast(bitmap), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            cell = batch.column(n).to_numpy()
+            found = (sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool)
+            yield batch.filter(pa.array(found == hit)).select(list(range(n)))
+
+    return docs.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(run, docs.schema)
+
+
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, text of the documents whose ``cell`` is wanted; others are passed over.
 
     Texts travel to the units, compressed one by one, and are shingled there: that is a fraction of their sets' size.
     """
-    cells = wanted.groupBy((F.col("cell") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(cell % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(CELLS // 64, np.int64)
-    bitmap[cells["w"].to_numpy()] = cells["bits"].to_numpy()
+    bitmap = _bits(wanted)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def asked(batch):

@@ -77,9 +77,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of (grade, features), by Adam on the penalised likelihood of all rows."""
-    weights, thresholds = np.zeros(BUCKETS), np.array([-40.0] * (GRADES - 1))
     if not rows:
-        return weights, thresholds
+        return np.zeros(BUCKETS), np.array([-40.0] * (GRADES - 1))
+    packed = _packed(rows)
+    del rows  # a list that only this call holds is free before the fit begins
+    return _fit(*packed)
+
+
+def _packed(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, ...]:
+    """Grades, the buckets that count, and the row and place (among those) of each feature, in 32 bits."""
     grade = np.array([g for g, _ in rows])
     times = np.zeros(BUCKETS, np.int32)
     for _, found in rows:
@@ -89,15 +95,19 @@ def fit(rows: list[tuple[int, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     place = np.cumsum(common, dtype=np.int32) - 1
     parts = [place[found[common[found]]] for _, found in rows]
     row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(x) for x in parts])
-    column = np.concatenate(parts)
-    del parts
+    column = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return grade, used, row, column
+
+
+def _fit(grade: np.ndarray, used: np.ndarray, row: np.ndarray, column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    weights = np.zeros(BUCKETS)
     stretches = [slice(k, k + STRETCH) for k in range(0, len(row), STRETCH)]
     above = np.array([np.clip((grade > k).mean(), 0.01, 0.99) for k in range(GRADES - 1)])
     # free parameters: the weights, the first threshold, and logarithms of the gaps to the next ones
     start = -np.log(above / (1 - above))
     x = np.concatenate([np.zeros(len(used)), start[:1], np.log(np.maximum(np.diff(start), 0.1))])
     first, second = np.zeros_like(x), np.zeros_like(x)
-    n = len(rows)
+    n = len(grade)
     for step in range(1, STEPS + 1):
         w, cut = x[: len(used)], np.cumsum(np.concatenate([x[len(used) : len(used) + 1], np.exp(x[len(used) + 1 :])]))
         f = sum((np.bincount(row[k], w[column[k]], n) for k in stretches), np.zeros(n))
@@ -153,10 +163,15 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     if len(sizes) > fits:
         last = F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(sizes[fits - 1], ("place", "row"))))
         made = made.filter(F.struct("place", "row") <= last)
+    return fit(_collected(made, made_all))
+
+
+def _collected(made: DataFrame, whole: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """The sampled rows in a defined order; their staged table goes."""
     got = made.select("grade", "found").toArrow()
-    discard(made_all)
+    discard(whole)
     rows = [(g, np.frombuffer(f.as_buffer(), np.int32)) for g, f in zip(got["grade"].to_pylist(), got["found"])]
-    return fit(sorted(rows, key=lambda r: (r[0], xxhash.xxh3_64_intdigest(r[1]))))
+    return sorted(rows, key=lambda r: (r[0], xxhash.xxh3_64_intdigest(r[1])))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
