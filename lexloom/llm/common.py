@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of the batches that Spark hands to Python workers (its own default is 64 MB, several times over in each worker).
-ARROW_BYTES = 8 << 20
+ARROW_BYTES = 4 << 20
 #: Texts are handed to numpy in blocks of about this many characters.
 BLOCK_BYTES = 1 << 20
 
