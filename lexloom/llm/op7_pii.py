@@ -241,7 +241,7 @@ def spans(docs: DataFrame) -> DataFrame:
         return F.array_join(F.transform(order, told), ",")
 
     full = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:int,s:long,e:long>>")))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {k})) as long) as n_{KINDS[k]}") for k in range(4)]
     n_term = F.coalesce(F.size("terms"), F.lit(0)).cast("long").alias("n_term")
     return every.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(full).alias("spans"), n_term)
 

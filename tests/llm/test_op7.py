@@ -72,7 +72,8 @@ def brute(rows):
         if tells(e, t):
             tell.setdefault(t, set()).add(e)
     terms = [{(a, 4, b) for a, w, b in own if tell.get(w, set()) & {e for e, _ in n}} for own, n in zip(words, near)]
-    return {i: (hashlib.sha256(joined(b).encode()).hexdigest(), joined(list(b) + list(x))) for (i, _), b, x in zip(rows, base, terms)}
+    counts = [tuple(sum(k == kind for _, k, _ in b) for kind in range(4)) for b in base]
+    return {i: (hashlib.sha256(joined(b).encode()).hexdigest(), joined(list(b) + list(x)), *n) for (i, _), b, x, n in zip(rows, base, terms, counts)}
 
 
 def test_base_spans_equal_the_patterns(sf_dir, spark):
@@ -82,7 +83,7 @@ def test_base_spans_equal_the_patterns(sf_dir, spark):
 
 def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r.doc_id: (r.base_sha256, r.spans) for r in op.spans(docs).collect()}
+    got = {r.doc_id: (r.base_sha256, r.spans, r.n_email, r.n_ip, r.n_card, r.n_phone) for r in op.spans(docs).collect()}
     assert got == brute(rows)
     return got
 
@@ -92,6 +93,11 @@ def test_whole_table(spark, sf_dir):
     check(spark, rows)
 
 
+def test_counts_by_kind(spark):
+    got = check(spark, [(1, "call +49 30 1234567 now"), (2, "a@b.c and 1.2.3.4"), (3, "card 4111 1111 1111 1111"), *enumerate(SAMPLES, 4)])
+    assert got[1][2:] == (0, 0, 0, 1) and got[2][2:] == (1, 1, 0, 0) and got[3][2:] == (0, 0, 1, 0)
+
+
 def test_terms_that_give_an_entity_away(spark):
     rows = [(i, f"the notes of Zebulon about ann@x.org are in box {i}") for i in range(3)]
     far = "Quirin" + " " * 900 + "bob@x.org +49 30 123456 bob@x.org 1.2.3.4" + " word" * 40 + " quirin"
