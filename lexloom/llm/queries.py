@@ -16,6 +16,7 @@ from lexloom.llm import (
     op8_decontaminate,
     op9_bpe_codec,
     op10_telephony,
+    op11_secrets,
 )
 from lexloom.llm.common import table
 
@@ -64,6 +65,10 @@ def op10_telephony_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_telephony.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_secrets.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts_query,
@@ -76,10 +81,11 @@ def queries() -> dict:
         "op8_decontaminate": op8_decontaminate_query,
         "op9_bpe_codec": op9_bpe_codec_query,
         "op10_telephony": op10_telephony_query,
+        "op11_secrets": op11_secrets_query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: no result of these operators is expressible in SQL; tests compare with brute force and libraries."""
-    return {}
+    """SQL of the operators that it expresses; tests compare the others with brute force and libraries."""
+    return {"op11_secrets": op11_secrets.SQL}
