@@ -98,3 +98,12 @@ def per_document(
 
 def _array(values, name: str, types: dict[str, pa.DataType]) -> pa.Array:
     return pa.array(values, type=types[name])
+
+
+#: DuckDB: one row with the 256 remainders of CRC-32, and the CRC-32 of a string's UTF-8 bytes where that row is joined.
+CRC_SQL = """crc AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crc_table FROM range(256) r(i))"""
+
+
+def crc32_sql(text: str) -> str:
+    octets = f"list_transform(range(1, 2 * strlen({text}), 2), lambda i: ('0x' || hex({text})[i:i + 1])::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, o: xor(c >> 8, crc_table[(xor(c, o) & 255) + 1])), 4294967295)"

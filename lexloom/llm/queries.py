@@ -17,6 +17,7 @@ from lexloom.llm import (
     op9_bpe_codec,
     op10_telephony,
     op11_secrets,
+    op12_conversation_trie,
 )
 from lexloom.llm.common import table
 
@@ -69,6 +70,10 @@ def op11_secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op11_secrets.digests(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts_query,
@@ -82,10 +87,11 @@ def queries() -> dict:
         "op9_bpe_codec": op9_bpe_codec_query,
         "op10_telephony": op10_telephony_query,
         "op11_secrets": op11_secrets_query,
+        "op12_conversation_trie": op12_conversation_trie_query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it expresses; tests compare the others with brute force and libraries."""
-    return {"op11_secrets": op11_secrets.SQL}
+    return {"op11_secrets": op11_secrets.SQL, "op12_conversation_trie": op12_conversation_trie.SQL}
