@@ -18,6 +18,7 @@ from lexloom.llm import (
     op10_telephony,
     op11_secrets,
     op12_conversation_trie,
+    op13_importance,
 )
 from lexloom.llm.common import table
 
@@ -74,6 +75,10 @@ def op12_conversation_trie_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts_query,
@@ -88,10 +93,11 @@ def queries() -> dict:
         "op10_telephony": op10_telephony_query,
         "op11_secrets": op11_secrets_query,
         "op12_conversation_trie": op12_conversation_trie_query,
+        "op13_importance": op13_importance_query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that it expresses; tests compare the others with brute force and libraries."""
-    return {"op11_secrets": op11_secrets.SQL, "op12_conversation_trie": op12_conversation_trie.SQL}
+    return {"op11_secrets": op11_secrets.SQL, "op12_conversation_trie": op12_conversation_trie.SQL, "op13_importance": op13_importance.SQL}
