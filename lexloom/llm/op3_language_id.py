@@ -6,9 +6,10 @@ and all languages are lanes of one numpy array.  A long text is parsed in stretc
 each from the state that the symbols before it lead to; where the stretch before ends in another state, it is parsed again
 from that one, so the phrases are those of the whole text.
 
-The automata are learned from a bounded sample a language: about ``SAMPLE_DOCS`` passages of at most ``PASSAGE``
-characters, together its share of ``SAMPLE_CHARS`` characters, but at least ``LEAST_CHARS``.  All labelled languages are
-learned, and every letter of their samples is a symbol.  Transitions are a dense table where the language's alphabet is
+The automata are learned from a bounded sample of labelled rows: of each language the first of about ``SAMPLE_DOCS`` by hash, each
+with its whole text, as many as have ``LANGUAGE_CHARS`` characters together; texts beyond that bound are passed over, unless a language has
+no other, when its shortest is taken.  What is learned of a language does not depend on the others, so memory and time grow
+with their number.  All labelled languages are learned, and every letter of their samples is a symbol.  Transitions are a dense table where the language's alphabet is
 small, else a hashed one.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, and so is everything if no row is
@@ -24,11 +25,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_document, staged
+from lexloom.llm.common import per_document
 
-SAMPLE_DOCS, PASSAGE, SAMPLE_CHARS = 400, 600, 320_000
-#: Characters of a language's sample, however many languages share.
-LEAST_CHARS = 4_000
+SAMPLE_DOCS, LANGUAGE_CHARS = 400, 80_000
 #: Cells of a language's dense transition table; larger ones are hashed.
 DENSE = 1 << 23
 #: Symbols of a stretch, and of those before it that tell its first state.
@@ -164,7 +163,7 @@ def _parse(step: Transitions, symbols: np.ndarray, begin: np.ndarray, size: np.n
 
 
 class Identifier:
-    """Automata of all languages; made once a worker from the sampled passages."""
+    """Automata of all languages; made once a worker from the sampled texts."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.names = sorted(samples)
@@ -229,24 +228,19 @@ class Identifier:
 
 
 def learn(docs: DataFrame) -> dict[str, list[str]]:
-    """Sampled passages of each language, from labelled rows that are not held out."""
+    """Sampled texts of each language, from labelled rows that are not held out."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    labelled = docs.select("doc_id", "text", "lang").filter((F.coalesce(crc, F.lit(0)) % 3 != 1) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = staged(labelled.groupBy("lang").agg(F.count("*").cast("double").alias("size")), "language-sizes")
-    n_languages = sizes.count()
-    if not n_languages:
-        return {}
-    limit = max(SAMPLE_CHARS // n_languages, LEAST_CHARS)
-    picked = labelled.withColumn("place", F.xxhash64("doc_id", "text", F.lit("language sample"))).join(sizes, "lang")
-    share = F.lit(float(SAMPLE_DOCS)) * F.lit(2.0**64) / F.col("size") - F.lit(2.0**63)
-    start = F.pmod("place", F.greatest(F.length("text") - PASSAGE, F.lit(1)))
-    passages = picked.filter(F.col("place").cast("double") <= share).select("lang", "place", F.substring("text", (start + 1).cast("int"), F.lit(PASSAGE)).alias("passage"))
-    passages = passages.filter("passage <> ''").distinct()  # each has a character, so what is collected is bounded
-    so_far = Window.partitionBy("lang").orderBy("place", "passage").rowsBetween(Window.unboundedPreceding, -1)
-    rows = passages.withColumn("held", F.coalesce(F.sum(F.length("passage")).over(so_far), F.lit(0))).filter(F.col("held") < limit).collect()
+    labelled = docs.select("doc_id", "text", "lang").filter((F.coalesce(crc, F.lit(0)) % 3 != 1) & F.col("lang").isNotNull() & (F.col("text") != ""))
+    labelled = labelled.select("lang", "text", F.length("text").alias("chars"), F.xxhash64("doc_id", "text", F.lit("language sample")).alias("place"))
+    sizes = labelled.groupBy("lang").agg(F.count_if(F.col("chars") <= LANGUAGE_CHARS).cast("double").alias("size"), F.min("chars").alias("least"))
+    bound = F.greatest("least", F.lit(LANGUAGE_CHARS))
+    share = F.lit(float(SAMPLE_DOCS)) * F.lit(2.0**64) / F.greatest("size", F.lit(1.0)) - F.lit(2.0**63)
+    picked = labelled.join(F.broadcast(sizes), "lang").filter((F.col("chars") <= bound) & (F.col("place").cast("double") <= share))
+    upto = Window.partitionBy("lang").orderBy("place", "text").rowsBetween(Window.unboundedPreceding, 0)
+    kept = picked.select("lang", "text", "chars", "place", bound.alias("bound")).distinct().withColumn("held", F.sum("chars").over(upto)).filter("held <= bound")
     out: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.place, r.passage)):
-        out.setdefault(r.lang, []).append(r.passage[: limit - r.held])
+    for r in sorted(kept.select("lang", "place", "text").collect()):
+        out.setdefault(r.lang, []).append(r.text)
     return {k: v for k, v in out.items() if any(c.isalpha() for p in v for c in p)}
 
 

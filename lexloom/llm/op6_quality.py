@@ -5,8 +5,9 @@ ordered thresholds ``t1 < t2`` part them: ``P(grade > k) = sigmoid(w.x - t_k)``.
 words and word beginnings, sign runs and capital runs of the whole text and a few binned shares, each present or not, so length does
 not matter.  The expected grade and the tail probability ``P(grade = 2)`` select documents.
 
-The fit uses a bounded sample: at most ``MAX_ROWS`` labelled rows, the first by hash of doc_id, and of these as many as have
-``MAX_FEATURES`` features together; each row counts with all its features.  Features of fewer than ``MIN_DOCS`` rows have
+The fit uses a bounded sample: at most ``MAX_ROWS`` labelled documents, the first by hash of doc_id, and of these as many as have
+``MAX_FEATURES`` features together; each counts with all its features, and of rows with equal doc_id the one with the fewest (ties: the
+smallest in bytes).  Features of fewer than ``MIN_DOCS`` rows have
 weight 0.
 
 Defined cases: a null or empty text has only the binned features; several labels of a document count by the
@@ -156,13 +157,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     # the sample has a fixed bound, so it is the side to send
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "place")
-    made = sample.mapInArrow(emit, "grade long, place long, n long, found binary").limit(2 * MAX_ROWS)
-    made = made_all = staged(made.withColumn("row", F.monotonically_increasing_id()), "quality-sample")
-    sizes = sorted(tuple(r) for r in made.select("place", "row", "n").collect())
-    fits = max(1, int((np.cumsum([n for *_, n in sizes]) <= MAX_FEATURES).sum()))  # whole rows only
+    made = sample.mapInArrow(emit, "grade long, place long, n long, found binary")
+    one = made.groupBy("place").agg(F.min(F.struct("n", "found", "grade")).alias("least")).select("place", "least.*")
+    made = made_all = staged(one, "quality-sample")
+    sizes = sorted(tuple(r) for r in made.select("place", "n").collect())
+    fits = max(1, int((np.cumsum([n for _, n in sizes]) <= MAX_FEATURES).sum()))  # whole rows only
     if len(sizes) > fits:
-        last = F.struct(*(F.lit(x).cast("long").alias(c) for x, c in zip(sizes[fits - 1], ("place", "row"))))
-        made = made.filter(F.struct("place", "row") <= last)
+        made = made.filter(F.col("place") <= sizes[fits - 1][0])
     return fit(_collected(made, made_all))
 
 

@@ -36,4 +36,15 @@ def test_no_language_is_left_out(spark):
     got = op.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     held = {k for k in range(520) if all(op.is_held_out(k * 8 + i) for i in range(8))}
     assert set(got) == {f"l{k}" for k in range(520) if k not in held}
-    assert all(sum(map(len, v)) >= min(op.LEAST_CHARS, 600) for v in got.values())
+    assert all(set(v) == {"abc def " * 300} for v in got.values())
+
+
+def test_whole_texts_whatever_other_languages_there_are(spark):
+    rows = [(k, f"start {k} " + "aaa bbb " * 400 + f"end{k}", "en") for k in range(60)] + [(1000 + k, "lange " * 20_000 + "ß" * k, "de") for k in range(1, 9)]
+    alone = op.learn(spark.createDataFrame(rows[:60], "doc_id long, text string, lang string"))
+    both = op.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    texts = {t for _, t, _ in rows}
+    assert alone["en"] == both["en"] and all(t in texts for v in both.values() for t in v)
+    assert op.LANGUAGE_CHARS * 0.9 < sum(map(len, both["en"])) <= op.LANGUAGE_CHARS
+    # all of one language are beyond the bound: the shortest is taken, whole
+    assert len(both["de"]) == 1 and len(both["de"][0]) == min(len(t) for i, t, lang in rows if lang == "de" and not op.is_held_out(i))

@@ -33,3 +33,14 @@ def test_the_bound_leaves_out_whole_rows(spark, monkeypatch):
     found = op.learn(docs, labels)
     assert 0 < len(found) < len(rows) and all(f.tobytes() in whole for _, f in found)
     assert sum(len(f) for _, f in found) <= op.MAX_FEATURES
+
+
+def test_one_row_of_equal_ids_counts(spark, monkeypatch):
+    rows = [(1, "a few words here"), (1, "a few words here and some more of them"), (2, "bad")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(op, "fit", lambda found: found)
+    for parts in (1, 7):
+        found = op.learn(docs.repartition(parts), labels)
+        column, counts = op.features(["bad", "a few words here"])
+        assert [(g, f.tolist()) for g, f in found] == [(1, column[: counts[0]].tolist()), (2, column[counts[0] :].tolist())]
