@@ -19,7 +19,7 @@ def test_run_equals_brute_force_stage_by_stage(spark, sf_dir):
     kept = {i: rows[i] for i in first if not any(x in op8_decontaminate.normal(rows[i]) for x in items)}
     number = {k: n for n, k in enumerate(op7_pii.KINDS)}
     clean = {}
-    for i, (_, told) in brute_spans(list(kept.items())).items():
+    for i, (_, told, *_) in brute_spans(list(kept.items())).items():
         spans = [(int(a), number[k], int(b)) for k, a, b in (s.split(":") for s in told.split(",") if s)]
         clean[i] = op7_pii.rewrite(kept[i], spans)
     library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
