@@ -6,12 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
+from lexloom.functions.arrays import let, running
+from lexloom.operators import parsers as P
 from lexloom.operators import scan
 from lexloom.operators.translate import staged
 
@@ -21,21 +23,15 @@ SPAN = "path string, kind string, start_byte long, end_byte long, source_text st
 def build_segments(spans: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Keys and ids of spans; with ``files`` (path, content) also line, column, contexts and the file's digest.
 
-    Spans that do not give their text back are left out; digests are taken once a file.
+    With ``files``, spans are gathered by path and meet their file once; those that do not give their text back are left out.
+    Spans of :func:`line_segments` and of parsers know their places already.
     """
     out = spans
     if files is not None:
-        held = files.select("path", "content", F.sha2("content", 256).alias("file_sha256"))
-        part = lambda a, n: F.make_valid_utf8(F.substring(F.col("content"), (a + 1).cast("int"), n.cast("int")).cast("string"))
-        start, end = F.col("start_byte"), F.col("end_byte")
-        found = _on_lines(spans, files).join(held, "path").filter(part(start, end - start) == F.col("source_text"))
-        # forty characters need no more than 160 bytes; three more may belong to a character that is cut
-        back = F.least(start, F.lit(163).cast("long"))
-        out = found.withColumns({
-            "column": F.length(part(F.col("line_start"), start - F.col("line_start"))),
-            "context_before": F.right(part(start - back, back), F.lit(40)),
-            "context_after": F.left(part(end, F.lit(163)), F.lit(40)),
-        }).drop("content", "line_start")
+        grouped = spans.groupBy("path").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "path"])).alias("spans"))
+        placed = P.place_spans(files.select("path", "content").join(grouped, "path"))
+        each = placed.select("path", "file_sha256", F.inline(F.arrays_zip("spans", "places")))
+        out = each.filter("places is not null").select("path", "spans.*", "file_sha256", *[f"places.{c}" for c in ("line", "column", "context_before", "context_after")])
     return out.withColumns({
         "id": T.segment_id(F.col("path"), F.col("start_byte"), F.col("end_byte")),
         "source_sha256": F.sha2("source_text", 256),
@@ -44,16 +40,6 @@ def build_segments(spans: DataFrame, files: DataFrame | None = None) -> DataFram
     })
 
 
-def _on_lines(spans: DataFrame, files: DataFrame) -> DataFrame:
-    """``spans`` with the number and the first byte of the line that each begins on; one ordered pass over each file."""
-    starts = scan.lines(files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("text")), "text")
-    starts = starts.select("path", F.col("start_byte"), F.lit(0).alias("rank"), (F.col("ln") + 1).alias("line"), F.col("start_byte").alias("line_start"), F.lit(None).cast(spans.select(F.struct("*")).schema[0].dataType).alias("span"))
-    own = spans.select("path", "start_byte", F.lit(1).alias("rank"), F.lit(None).cast("int").alias("line"), F.lit(None).cast("long").alias("line_start"), F.struct("*").alias("span"))
-    upto = Window.partitionBy("path").orderBy("start_byte", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    told = starts.unionByName(own).withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in ("line", "line_start")})
-    return told.filter("rank = 1").select("span.*", "line", "line_start")
-
-
 def violations(segments: DataFrame) -> DataFrame:
     """Segments that break the row constraints, with the reason."""
     reason = (
@@ -65,58 +51,49 @@ def violations(segments: DataFrame) -> DataFrame:
     return segments.withColumn("reason", reason).filter("reason is not null")
 
 
-def line_segments(files: DataFrame, text: str = "src") -> DataFrame:
-    """Every line with Han characters, without the white space around it."""
-    cut = scan.lines(files, text).filter(T.has_han(F.col("line")))
-    body = T.strip_u(F.col("line"))
-    lead = F.octet_length(F.regexp_extract("line", r"(?U)^(\s*)", 1))
-    start = F.col("start_byte") + lead
-    return cut.select("path", F.lit("string").alias("kind"), start.alias("start_byte"), (start + F.octet_length(body)).alias("end_byte"), body.alias("source_text"))
-
+def line_segments(files: DataFrame, text: str = "src", placed: bool = False) -> DataFrame:
+    """Every line with Han characters, without the white space around it.
 
-def outside_fences(files: DataFrame, text: str = "src", switch: bool = False) -> DataFrame:
-    """Lines outside fenced code, with byte positions."""
-    return scan.lines(files, text, "switch" if switch else "nested").filter("not inside").drop("inside")
+    With ``placed`` also line, column, contexts and file_sha256, cut from the neighbouring lines while the file's row is
+    at hand: forty characters need no more than forty lines on either side, and forty characters of each.
+    """
+    some = files.filter(T.has_han(F.col(text)))
+    if not placed:
+        return scan.lines(some.select("path", text), text, T.has_han).select("path", *_body(F.col("line"), F.col("start_byte")))
+    near = F.lit(P.CONTEXT)
+
+    def told(all_: Column, starts: Column, tails: Column, heads: Column) -> Column:
+        def row(k: Column) -> Column:
+            line = F.get(all_, k)
+            lead = F.regexp_extract(line, r"(?U)^(\s*)", 1)
+            rest = F.substr(line, F.length(lead) + F.length(T.strip_u(line)) + 1)
+            before = F.concat(F.slice(tails, F.greatest(k - near, F.lit(0)) + 1, F.least(k, near)), F.array(lead))
+            after = F.concat(F.array(rest), F.slice(heads, k + 2, near))
+            return F.struct(
+                *_body(line, F.get(starts, k)), (k + 1).alias("line"), F.length(lead).alias("column"),
+                F.right(F.array_join(before, "\n"), near).alias("context_before"), F.left(F.array_join(after, "\n"), near).alias("context_after"),
+            )
+
+        han = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda k: T.has_han(F.get(all_, k)))
+        return F.transform(han, row)
+
+    edge = lambda cut: lambda all_: F.transform(all_, lambda x: cut(x, near))
+    sizes = lambda all_: F.transform(all_, lambda x: (F.octet_length(x) + 1).cast("long"))
+    rows = let(F.split(text, "\n", -1), lambda a: let(running(sizes(a)), lambda s: let(edge(F.right)(a), lambda t: let(edge(F.left)(a), lambda h: told(a, s, t, h)))))
+    return some.select("path", F.sha2(F.encode(text, "UTF-8"), 256).alias("file_sha256"), F.inline(rows))
+
+
+def _body(line: Column, start_byte: Column) -> list[Column]:
+    """kind, start_byte, end_byte and source_text of a line without the white space around it."""
+    body, start = T.strip_u(line), start_byte + F.octet_length(F.regexp_extract(line, r"(?U)^(\s*)", 1))
+    return [F.lit("string").alias("kind"), start.alias("start_byte"), (start + F.octet_length(body)).alias("end_byte"), body.alias("source_text")]
 
 
 def markdown_segments(files: DataFrame, text: str = "src") -> DataFrame:
-    """Headings, paragraphs, table cells and link labels of Markdown text; overlaps are resolved greedily."""
-    return greedy(markdown_spans(files, text))
-
-
-def markdown_spans(files: DataFrame, text: str = "src") -> DataFrame:
-    """The spans of :func:`markdown_segments` before overlaps are resolved."""
-    cut = outside_fences(files, text)
-    table = T.strip_u(F.col("line")).startswith("|")
-    prefix = F.regexp_extract("line", V.MARKDOWN_PREFIX, 1)
-    body = F.substring(F.col("line"), F.length(prefix) + 1, F.length("line"))
-    plain = F.regexp_replace(F.regexp_replace(body, V.LINK_LABEL, ""), V.URL, "")
-    start = F.col("start_byte") + F.octet_length(prefix)
-    kind = F.when(prefix.rlike(r"^\s*#{1,6}\s+"), "markdown_heading").otherwise("markdown_paragraph")
-    prose = cut.filter(~table).filter(T.is_prose(plain)).select("path", kind.alias("kind"), start.alias("start_byte"), (start + F.octet_length(body)).alias("end_byte"), body.alias("source_text"))
-    cells = _pieces(cut.filter(table & ~F.col("line").rlike(V.TABLE_RULE)), r"\|", None, "markdown_table_cell")
-    labels = _pieces(cut.filter(~table), V.LINK_LABEL, V.LINK_LABEL, "markdown_link_label")
-    labels = labels.filter(T.is_prose(F.col("source_text")))
-    return prose.unionByName(cells).unionByName(labels)
-
-
-def _pieces(cut: DataFrame, separator: str, label: str | None, kind: str) -> DataFrame:
-    """Cells between separators, or the first groups of matches, of each line, with byte positions.
-
-    Arrays are those of one line, so running lengths within them stay small.
-    """
-    gaps = F.split(F.col("line"), separator, -1)
-    found = F.regexp_extract_all(F.col("line"), F.lit(separator), 0)
-    texts = gaps if label is None else F.regexp_extract_all(F.col("line"), F.lit(label), 1)
-    some = cut.filter(F.size(texts) > 0).select("path", "start_byte", gaps.alias("g"), found.alias("f"), F.posexplode(texts).alias("k", "piece"))
-    size = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda x, y: x + F.octet_length(y))
-    if label is None:
-        at, body = size(F.col("g"), F.col("k")) + size(F.col("f"), F.col("k")), T.strip_u(F.col("piece"))
-        at = at + F.octet_length(F.regexp_extract("piece", r"(?U)^(\s*)", 1))
-    else:
-        at, body = size(F.col("g"), F.col("k") + 1) + size(F.col("f"), F.col("k")) + 1, F.col("piece")
-    start = F.col("start_byte") + at
-    return some.filter(body != "").select("path", F.lit(kind).alias("kind"), start.cast("long").alias("start_byte"), (start + F.octet_length(body)).cast("long").alias("end_byte"), body.alias("source_text"))
+    """Headings, paragraphs, table cells and link labels of Markdown text, whatever its suffix; overlaps are resolved greedily."""
+    known = files.select(F.concat("path", F.lit("\0.md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
+    found = P.parse_all(known, {".md": P.markdown}).filter("accepted")
+    return found.withColumn("path", F.regexp_replace("path", "\0\\.md$", "")).select("path", "kind", "start_byte", "end_byte", "source_text")
 
 
 def greedy(spans: DataFrame) -> DataFrame:
@@ -169,28 +146,26 @@ def extract_files(
     overlap an earlier one, are not to be translated, or have no Han characters where ``source_is_cjk``.  Spans are
     written down once (``stage``), as all four tables come from them.
     """
-    from lexloom.operators import parsers as P
-
-    known = P.PARSERS if parsers is None else parsers
+    known = P.PARSERS if parsers is None else {s: P.markdown for s in V.MARKDOWN_SUFFIXES} | parsers
     chosen = files.filter(scan.should_translate(F.col("path"), F.col("length"), include, exclude, translate_code))
     text, suffix = F.col("content").cast("string"), T.suffix(F.col("path"))
     errors = chosen.filter(~F.is_valid_utf8(text)).select("path", F.lit("not UTF-8").alias("reason"))
     texts = chosen.filter(F.is_valid_utf8(text)).select("path", "content", F.decode("content", "UTF-8").alias("src"), suffix.alias("suffix"))
-    document, parsed = F.col("suffix").isin(V.MARKDOWN_SUFFIXES), F.col("suffix").isin(list(known))
-    plain = lambda df: df.select("*", F.lit(True).alias("translatable"), F.lit("").alias("reason"), F.lit(None).cast("array<string>").alias("protected_context"))
-    found = P.parse_all(texts.filter(parsed), known).unionByName(plain(markdown_spans(texts.filter(document & ~parsed).select("path", "src"))))
-    found = stage(found)
+    parsed = F.col("suffix").isin(list(known))
+    found = stage(P.parse_all(texts.filter(parsed), known))
     failed = found.filter("kind is null").select("path", "reason")
-    other = texts.filter(~parsed & ~document).select("path", F.lit("no parser").alias("reason")).unionByName(failed)
-    lines_ = stage(plain(line_segments(texts.select("path", "src").join(other.select("path"), "path", "left_semi"))))
-    judged = overlapping(found.filter("kind is not null").unionByName(lines_))
+    plain = texts.filter(~parsed)
+    other = plain.select("path", F.lit("no parser").alias("reason")).unionByName(failed)
+    by_line = line_segments(plain.select("path", "src").unionByName(texts.filter(parsed).join(failed, "path", "left_semi").select("path", "src")), placed=True)
+    whole = {"translatable": F.lit(True), "accepted": F.lit(True), "reason": F.lit(""), "protected_context": F.lit(None).cast("array<string>")}
+    judged = found.filter("kind is not null").unionByName(by_line.withColumns(whole))
     reason = F.when(~F.col("accepted"), "overlapping range").when(~F.col("translatable"), F.col("reason"))
     if source_is_cjk:
         reason = reason.when(~T.has_han(F.col("source_text")), "no Han characters")
     told = stage(judged.withColumn("reason", reason))
     skipped = told.filter("reason is not null").select("path", "start_byte", F.left("source_text", F.lit(60)).alias("snippet"), "reason")
-    kept = told.filter("reason is null").select("path", "kind", "start_byte", "end_byte", "source_text", "protected_context")
-    return Extraction(build_segments(kept, texts), skipped, other, errors)
+    kept = told.filter("reason is null").drop("reason", "translatable", "accepted")
+    return Extraction(build_segments(kept), skipped, other, errors)
 
 
 def prose(text: Column, kind: str) -> Column:

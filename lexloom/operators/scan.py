@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
+from lexloom.functions.arrays import let, running
 
 
 def should_translate(path: Column, length: Column, include=None, exclude=None, translate_code: bool = True) -> Column:
@@ -43,55 +42,21 @@ def is_binary(content: Column) -> Column:
     return F.hex(F.substring(content, 1, 4096)).rlike("^(?:..)*?00") | ~F.is_valid_utf8(content.cast("string"))
 
 
-def lines(files: DataFrame, text: str = "src", fences: str | None = None) -> DataFrame:
-    """path, ln (from 0), line and start_byte of every line; files are cut at line feeds only.
+def lines(files: DataFrame, text: str = "src", where: Callable[[Column], Column] | None = None) -> DataFrame:
+    """ln (from 0), line and start_byte of every line (``where`` a condition on the line holds), beside the other columns of ``files``.
 
-    Offsets are running sums within a file's own row, so nothing is shuffled; other columns of ``files`` are kept.
-    With ``fences`` (``nested`` or ``switch``, see :func:`_fenced`) a column ``inside`` tells lines of fenced code.
-    """
-    names = files.columns
-
-    def run(batches):
-        for batch in batches:
-            cut = pc.split_pattern(batch.column(names.index(text)), "\n")
-            sizes = pc.fill_null(pc.list_value_length(cut), 0).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            first = np.cumsum(sizes) - sizes
-            line = cut.flatten()
-            ends = np.cumsum(pc.binary_length(line).to_numpy().astype(np.int64) + 1)
-            before = np.concatenate(([0], ends[:-1])) if len(ends) else ends
-            kept = [batch.column(k).take(pa.array(row)) for k in range(len(names))]
-            out = [pa.array((np.arange(len(row)) - first[row]).astype(np.int32)), line, pa.array(before - before[first[row]])]
-            if fences:
-                out.append(pa.array(_fenced(line, row, fences), pa.bool_()))
-            yield pa.RecordBatch.from_arrays([*kept, *out], names=[*names, *added])
-
-    added = ["ln", "line", "start_byte"] + ["inside"] * bool(fences)
-    schema = StructType([*files.schema, *StructType.fromDDL("ln int, line string, start_byte long" + ", inside boolean" * bool(fences))])
-    return files.mapInArrow(run, schema)
-
-
-def _fenced(line: pa.Array, row: np.ndarray, kind: str) -> np.ndarray:
-    """Which lines are fence marks or lie inside a fence.
-
-    ``switch``: another marker changes the fence (the in-place way); ``nested``: it is text within the fence.
+    Files are cut at line feeds only.  Column functions within each file's row: nothing is shuffled, and the text itself does not
+    travel with its lines.
     """
-    out = np.zeros(len(row), bool)
-    marks = np.flatnonzero(pc.match_substring_regex(line, r"^[\s\pZ\x{0B}\x{85}]*(`{3}|~{3})").to_numpy(zero_copy_only=False))
-    last = np.searchsorted(row, row[marks], "right")  # the end of each mark's file
-    opened, of = "", -1
-    for at, end, mark in zip(marks.tolist(), last.tolist(), (x.lstrip()[0] for x in line.take(pa.array(marks)).to_pylist())):
-        if row[at] != of:
-            opened, of = "", row[at]
-        if not opened:
-            opened = mark
-            out[at:end] = True  # to the end, unless it is closed
-        elif opened == mark:
-            out[at + 1 : end] = False
-            opened = ""
-        elif kind == "switch":
-            opened = mark
-    return out
+    kept = [f"`{c}`" for c in files.columns if c != text]
+    row = lambda line, k, starts: F.struct(k.alias("ln"), line.alias("line"), F.get(starts, k).alias("start_byte"))
+
+    def told(all_: Column) -> Column:
+        starts = running(F.transform(all_, lambda x: (F.octet_length(x) + 1).cast("long")))
+        rows = let(starts, lambda at: F.transform(all_, lambda x, k: row(x, k, at)))
+        return rows if where is None else F.filter(rows, lambda r: where(r["line"]))
+
+    return files.select(*kept, F.inline(let(F.split(f"`{text}`", "\n", -1), told)))
 
 
 def resume(files: DataFrame, done: DataFrame) -> DataFrame:

@@ -71,8 +71,7 @@ FROM (SELECT seg.*, ln.line, (length(array_to_string(string_split(seg.src, chr(1
   + length(regexp_extract(ln.line, '^(\\s*)', 1)))::BIGINT AS p FROM seg JOIN ln ON seg.path = ln.path AND seg.k = ln.k)""",
 )
 def q02(spark, sf_dir):
-    files = _content(spark, sf_dir)
-    out = extract.build_segments(extract.line_segments(files), files)
+    out = extract.build_segments(extract.line_segments(_files(spark, sf_dir), placed=True))
     return out.select("id", "file_sha256", "line", "column", "context_before", "context_after")
 
 
@@ -104,7 +103,7 @@ def q05(spark, sf_dir):
 
 def _spliced(spark, sf_dir, fault=None):
     files = _content(spark, sf_dir)
-    segments = extract.build_segments(extract.line_segments(files)).join(files.select("path", F.sha2("content", 256).alias("file_sha256"), "doc_id"), "path")
+    segments = extract.build_segments(extract.line_segments(files, placed=True)).withColumn("doc_id", F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long"))
     segments = segments.withColumn("target_text", _target(F.col("source_text")))
     return splice.splice(files, fault(segments) if fault else segments)
 

@@ -21,7 +21,7 @@ def segments_stream(spark: SparkSession, source: str, target: str, checkpoint: s
 
     def write(batch: DataFrame, number: int) -> None:
         files = batch.withColumn("src", F.col("content").cast("string"))
-        segments = extract.build_segments(extract.line_segments(files), files)
+        segments = extract.build_segments(extract.line_segments(files, placed=True))
         segments.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

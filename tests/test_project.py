@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom import cli
-from lexloom.operators import engines, extract, parsers, resume, reviewer, scan, splice, translate
+from lexloom.operators import engines, extract, markdown, parsers, resume, reviewer, scan, splice, translate
 from lexloom.project import Localiser, distinct_folders
 from lexloom.sources import files as S
 
@@ -234,13 +234,54 @@ def test_resume_table(spark, tmp_path):
 
 
 def test_lines_and_fences(spark):
-    text = "a\n```\nb\n~~~\nc\n```\nd\n  ~~~\ne"
-    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "é\n\n你x")], "n int, src string")
-    got = [(r.n, r.ln, r.line, r.start_byte, r.inside) for r in scan.lines(rows, "src", "nested").orderBy("n", "ln").collect()]
-    assert [x[4] for x in got if x[0] == 1] == [False, True, True, True, True, True, False, True, True]
-    assert [x[1:4] for x in got if x[0] > 1] == [(0, "", 0), (0, "é", 0), (1, "", 3), (2, "你x", 4)]
-    switched = [r.inside for r in scan.lines(rows.filter("n = 1"), "src", "switch").orderBy("ln").collect()]
-    assert switched == [False] + [True] * 8
+    lines = "a\n```\nb\n~~~\nc\n```\nd\n  ~~~\ne".split("\n")
+    assert markdown.fenced(lines) == [False, True, True, True, True, True, False, True, True]
+    assert markdown.fenced(lines, switch=True) == [False] + [True] * 8
+    rows = spark.createDataFrame([(2, None), (3, ""), (4, "é\n\n你x")], "n int, src string")
+    got = [(r.n, r.ln, r.line, r.start_byte) for r in scan.lines(rows, "src").orderBy("n", "ln").collect()]
+    assert got == [(3, 0, "", 0), (4, 0, "é", 0), (4, 1, "", 3), (4, 2, "你x", 4)]
+
+
+def test_files_of_many_lines(spark):
+    """The size cap's 500 KB as 50,000 lines, as empty lines only, and as one line."""
+    text = "\n".join(f" 行 {k % 977}" for k in range(50_000))
+    files = spark.createDataFrame([("a.txt", text), ("b.txt", "\n" * 500_000 + "末"), ("c.txt", "长" * 160_000)], "path string, src string")
+    got = files.transform(extract.line_segments).collect()
+    data = text.encode()
+    assert len(got) == 50_002 and all(data[r.start_byte : r.end_byte].decode() == r.source_text for r in got if r.path == "a.txt")
+    placed = {(r.path, r.line): r for r in extract.line_segments(files, placed=True).collect()}
+    assert len(placed) == 50_002 and placed["b.txt", 500_001].context_before == "\n" * 40 and placed["c.txt", 1].context_before == ""
+    lines = text.split("\n")
+    for k in (0, 1, 7, 25_000, 49_999):
+        r, body = placed["a.txt", k + 1], lines[k].strip()
+        before, after = "\n".join([*lines[:k], " "]), "\n".join(["", *lines[k + 1 :]])
+        assert (r.context_before, r.context_after, r.source_text, r.column) == (before[-40:], after[:40], body, 1)
+    md = files.withColumn("content", F.encode("src", "UTF-8")).withColumn("path", F.regexp_replace("path", "txt", "md"))
+    assert parsers.parse_all(md).count() == 50_002
+
+
+def test_places_of_given_spans(spark):
+    rng = random.Random(1)
+    texts = {f"{k}.txt": "".join(rng.choices(["你", "a", "\n", "é", " ", "😀"], k=rng.randint(1, 200))) for k in range(40)}
+    spans, want = [], {}
+    for path, text in texts.items():
+        for _ in range(10):
+            a = rng.randrange(len(text))
+            b = rng.randint(a + 1, min(len(text), a + 9))
+            s, e = len(text[:a].encode()), len(text[:b].encode())
+            want[path, s, e] = (text[:a].count("\n") + 1, a - (text.rfind("\n", 0, a) + 1), text[:a][-40:], text[b:][:40])
+            spans.append((path, "string", s, e, text[a:b]))
+    faulty = [("0.txt", "string", 0, 1, "no such text"), ("none.txt", "string", 0, 1, "x"), ("1.txt", "string", 10**6, 10**6 + 1, "x")]
+    files = spark.createDataFrame([(p, t.encode()) for p, t in texts.items()] + [("bad.txt", b"\xff")], "path string, content binary")
+    rows = spark.createDataFrame(spans + faulty + [("bad.txt", "string", 0, 1, "x")], extract.SPAN)
+    got = extract.build_segments(rows, files).collect()
+    assert {(r.path, r.start_byte, r.end_byte): (r.line, r.column, r.context_before, r.context_after) for r in got} == want
+
+
+def test_markdown_spans():
+    text = "# 标题 \r\n| `code` | 格 | https://x.org |\n|---|\n- [ ] [标](a.md)\n1. 和 [标](b.md)\n\n> `x`\n"
+    assert [(text[a:b], k.removeprefix("markdown_")) for a, b, k in parsers.markdown(text)] == [("标题 ", "heading"), ("格", "table_cell"), ("标", "link_label"), ("和 [标](b.md)", "paragraph"), ("标", "link_label")]
+    assert [text[a:b] for a, b in markdown.inplace(text)] == ["标题 ", "格", "[标](a.md)", "和 [标](b.md)"]
 
 
 def plain_prose(content):
