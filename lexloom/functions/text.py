@@ -117,6 +117,17 @@ def chunks(text: Column, limit: int) -> Column:
     return F.when(F.length(text) <= limit, F.array(text)).otherwise(packed)
 
 
+def packed(text: str, limit: int) -> list[str]:
+    """:func:`chunks` of a plain string."""
+    out: list[str] = []
+    for line in text.split("\n") if len(text) > limit else [text]:
+        if out and len(out[-1]) + len(line) + 2 <= limit:
+            out[-1] += "\n" + line
+        else:
+            out.append(line)
+    return out
+
+
 def merged_lines(original: Column, translated: Column, suffix_: Column) -> Column:
     """The translated text of a document; of other files its lines where the original's hold Chinese, Japanese or Korean
     characters and the translation is not blank, if both have as many lines, else the translated text.

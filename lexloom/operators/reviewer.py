@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
 from lexloom.operators import scan, verify
+from lexloom.operators.translate import Http, Pace
 
 #: Characters of a file that a model is shown, and those below which it is not asked.
 SHOWN, LEAST = 3000, 50
@@ -34,15 +35,13 @@ class Chat:
     """A service with the chat completions format that answers in JSON: {"issues": [...]}."""
 
     def __init__(self, url: str, key: str, model: str, timeout: float = 60.0, pause: float = 1.0):
-        self.url, self.key, self.model, self.timeout, self.pause = url, key, model, timeout, pause
+        self.url, self.key, self.model, self.timeout, self.pace = url, key, model, timeout, Pace(pause)
 
     def review(self, path: str, source: str, target: str) -> list[dict]:
-        from lexloom.operators.translate import Http
-
         ask = f"Compare a file with its translation. Answer with JSON: an object with a list issues of objects with type, severity and message.\n\nFile {path}\n\nSource:\n{source}\n\nTranslation:\n{target}"
         encode = lambda _: {"model": self.model, "temperature": 0.1, "response_format": {"type": "json_object"}, "messages": [{"role": "user", "content": ask}]}
         decode = lambda answer: json.loads(answer["choices"][0]["message"]["content"])["issues"]
-        return Http(f"{self.url.rstrip('/')}/chat/completions", encode, decode, {"Authorization": f"Bearer {self.key}"}, 1, self.pause, self.timeout).translate([path])
+        return Http(f"{self.url.rstrip('/')}/chat/completions", encode, decode, {"Authorization": f"Bearer {self.key}"}, 1, self.pace, self.timeout).translate([path])
 
 
 def shortened(text: Column, limit: int = SHOWN) -> Column:
@@ -68,11 +67,19 @@ def review_pairs(pairs: DataFrame, reviewer: Reviewer, prefix: str = "ai_") -> D
     return asked.mapInArrow(run, verify.ISSUE)
 
 
+def _plain_pairs(source: DataFrame, target: DataFrame) -> DataFrame:
+    return verify.pairs_of(source, target).filter(~F.col("binary"))
+
+
+def sampled(source: DataFrame, target: DataFrame, rate: float = 0.15, most: int = 20) -> int:
+    """How many files :func:`equivalence` selects."""
+    n = _plain_pairs(source, target).count() if rate > 0 else 0
+    return min(max(1, int(n * rate)), most, n) if n else 0
+
+
 def equivalence(source: DataFrame, target: DataFrame, reviewer: Reviewer, rate: float = 0.15, most: int = 20) -> DataFrame:
     """Issues by a reviewer of the first files of both trees, in order of path; a rate of 0 asks for none."""
-    pairs = verify.pairs_of(source, target).filter(~F.col("binary"))
-    n = pairs.count() if rate > 0 else 0
-    some = scan.head_sample(pairs, min(max(1, int(n * rate)), most, n) if n else 0)
+    some = scan.head_sample(_plain_pairs(source, target), sampled(source, target, rate, most))
     return review_pairs(some.select("path", F.col("c1").cast("string").alias("a"), F.col("c2").cast("string").alias("b")), reviewer)
 
 

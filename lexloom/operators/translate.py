@@ -62,12 +62,29 @@ class RoundRobin:
         return out
 
 
+class Pace:
+    """Keeps requests ``interval`` seconds apart or more; the first waits ``offset`` seconds.  Clocks are those of the task."""
+
+    def __init__(self, interval: float = 0.0, offset: float = 0.0):
+        self.interval, self.offset, self.next = interval, offset, None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"next": None}
+
+    def wait(self) -> None:
+        now = time.monotonic()
+        at = now + self.offset if self.next is None else self.next
+        if now < at:
+            time.sleep(at - now)
+        self.next = max(now, at) + self.interval
+
+
 class Http:
-    """JSON over HTTP: ``encode`` makes a request body of texts, ``decode`` reads the answers."""
+    """JSON over HTTP: ``encode`` makes a request body of texts, ``decode`` reads the answers; ``pace`` is kept between requests."""
 
-    def __init__(self, url: str, encode: Callable, decode: Callable, headers: dict | None = None, per_request: int = 50, pause: float = 0.0, timeout: float = 60.0):
+    def __init__(self, url: str, encode: Callable, decode: Callable, headers: dict | None = None, per_request: int = 50, pace: Pace | None = None, timeout: float = 60.0):
         self.url, self.encode, self.decode, self.headers = url, encode, decode, headers or {}
-        self.per_request, self.pause, self.timeout = per_request, pause, timeout
+        self.per_request, self.pace, self.timeout = per_request, pace or Pace(), timeout
 
     def translate(self, texts: Sequence[str]) -> list[str]:
         import json
@@ -77,49 +94,107 @@ class Http:
         for k in range(0, len(texts), self.per_request):
             body = json.dumps(self.encode(list(texts[k : k + self.per_request]))).encode()
             request = urllib.request.Request(self.url, body, {"Content-Type": "application/json"} | self.headers)
+            self.pace.wait()
             with urllib.request.urlopen(request, timeout=self.timeout) as answer:
                 out += self.decode(json.load(answer))
-            time.sleep(self.pause)
         return out
 
 
-def call(provider: Provider, texts: Sequence[str]) -> list[str]:
-    """One retry, and as many answers as questions; blank texts are not sent."""
+@dataclass
+class Engine:
+    """A service that ``lanes`` tasks ask at once, together at most ``rate`` requests a second (none: as fast as it answers).
+
+    ``make`` gives a lane its provider, which keeps the lane's share of the rate.
+    """
+
+    make: Callable[[Pace], Provider]
+    lanes: int = 1
+    rate: float | None = None
+
+    def lane(self, k: int) -> Provider:
+        interval = self.lanes / self.rate if self.rate else 0.0
+        return self.make(Pace(interval, k * interval / self.lanes))
+
+
+class Lanes:
+    """Several engines with their lanes; a lane is one task, so a rate holds for the cluster, however many executors it has."""
+
+    def __init__(self, engines: Sequence[Engine]):
+        self.all = [(e, k) for e in engines for k in range(e.lanes)]
+        if not self.all:
+            raise ValueError("no lane to deal texts to")
+
+    def __len__(self) -> int:
+        return len(self.all)
+
+    def __getitem__(self, lane: int) -> Provider:
+        engine, k = self.all[lane]
+        return engine.lane(k)
+
+
+def _twice(provider: Provider, texts: list[str]) -> list[str]:
+    """The answers of one request or, where it fails or they don't fit, of a second one."""
+    for attempt in (1, 2):
+        try:
+            got = list(provider.translate(texts))
+            if len(got) != len(texts):
+                raise ValueError(f"provider answered {len(got)} of {len(texts)} texts")
+            return got
+        except Exception:
+            if attempt == 2:
+                raise
+    raise AssertionError
+
+
+def call(provider: Provider, texts: Sequence[str], on_error: str = "raise") -> list[str]:
+    """As many answers as texts; blank ones are not sent.
+
+    A call that fails is repeated once; then each text is asked by itself, with one more try, so that a bad one does not take the
+    others with it.  What fails alone raises, or stays as it is with ``on_error='passthrough'``.
+    """
     ask = [i for i, t in enumerate(texts) if t.strip()]
     out = list(texts)
-    if ask:
-        for attempt in (1, 2):
-            try:
-                got = list(provider.translate([texts[i] for i in ask]))
-                if len(got) != len(ask):
-                    raise ValueError(f"provider answered {len(got)} of {len(ask)} texts")
-                break
-            except Exception:
-                if attempt == 2:
-                    raise
-        for i, t in zip(ask, got):
+    if not ask:
+        return out
+    try:
+        for i, t in zip(ask, _twice(provider, [texts[i] for i in ask])):
             out[i] = t
+        return out
+    except Exception:
+        if len(ask) == 1 and on_error == "raise":
+            raise
+    for i in ask if len(ask) > 1 else ():
+        try:
+            out[i] = _twice(provider, [texts[i]])[0]
+        except Exception:
+            if on_error == "raise":
+                raise
     return out
 
 
-def provide(keys: DataFrame, provider: Provider, batch_size: int = 40, with_calls: bool = False) -> DataFrame:
+def provide(keys: DataFrame, provider: Provider | Lanes, batch_size: int = 40, with_calls: bool = False, on_error: str = "raise") -> DataFrame:
     """(translation_key, target_text) for (translation_key, source_text); protected tokens pass untouched.
 
     Gaps between protected tokens of up to ``batch_size`` texts are one call; batches are made in each
     partition, so no row number over the whole table is needed.  ``with_calls`` adds the number of the call that
-    answered, null where there was nothing but blanks to ask.
+    answered, null where there was nothing but blanks to ask.  With :class:`Lanes`, keys are dealt to lanes by their hash, and
+    each lane is a partition of its own.
     """
     gaps, found = T.protected_split(F.col("source_text"))
     ready = keys.select("translation_key", gaps.alias("gaps"), found.alias("found"))
+    lanes = provider if isinstance(provider, Lanes) else None
+    if lanes is not None:
+        ready = ready.repartitionById(len(lanes), F.pmod(F.xxhash64("translation_key"), F.lit(len(lanes))).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 33
+        place = TaskContext.get().partitionId()
+        number, asked_of = place << 33, provider if lanes is None else lanes[place]
         for batch in batches:
             for k in range(0, batch.num_rows, batch_size):
                 part = batch.slice(k, batch_size)
                 gaps_, found_ = part.column("gaps").to_pylist(), part.column("found").to_pylist()
                 asked = [g for row in gaps_ for g in row]
-                told = iter(call(provider, asked))
+                told = iter(call(asked_of, asked, on_error))
                 texts = []
                 for row, kept in zip(gaps_, found_):
                     new = [next(told) for _ in row]

@@ -47,7 +47,7 @@ class Options:
     include_patterns: list[str] = field(default_factory=list)
     exclude_patterns: list[str] = field(default_factory=list)
     batch_size: int = 40
-    max_workers: int = 1  # calls run at once: the partitions that texts are dealt into
+    max_workers: int = 1  # calls that run at once: the lanes of each engine
     translate_code: bool = False
     code_scope: str = "comments-and-strings"
     dry_run: bool = False
@@ -61,6 +61,8 @@ class Options:
     def __post_init__(self):
         if self.code_scope not in ("comments", "comments-and-strings"):
             raise ValueError("code_scope is comments or comments-and-strings")
+        if self.max_workers < 1:
+            raise ValueError("max_workers is 1 or more")
         if not 1 <= self.batch_size <= 100:
             raise ValueError("batch_size is 1 to 100")
         if self.verify_fail_on not in ("never", *V.SEVERITY):
@@ -82,7 +84,7 @@ class Localiser:
     def __init__(self, spark: SparkSession, provider: translate.Provider | None = None, reviewer: reviewer.Reviewer | None = None, **options):
         self.spark, self.options = spark, Options(**options)
         o = self.options
-        self.provider = provider or engines.provider(o.translator_engine, o.source_lang, o.target_lang, o.translator_api_key, o.translator_model, o.translator_base_url)
+        self.provider = provider or engines.lanes(o.translator_engine, o.source_lang, o.target_lang, o.translator_api_key, o.translator_model, o.translator_base_url, o.max_workers)
         self.reviewer = reviewer or self._reviewer(o.review_engine, o.review_base_url, o.review_api_key, o.review_model)
         self.east = o.source_lang in EAST
 
@@ -163,8 +165,6 @@ class Localiser:
         texts = left.filter(valid).withColumn("src", F.decode("content", "UTF-8"))
         wanted = scan.needs_translation(F.col("src"), F.lit(o.source_lang)) & scan.enough(extract.file_prose(F.col("path"), F.col("src")))
         work = texts.filter(wanted).select("path", "content")
-        if o.max_workers > 1:
-            work = work.repartition(o.max_workers)
         made = translate.staged(inplace.rewrite(work, self.provider, translate.staged, o.code_scope == "comments", self.east, o.batch_size))
         changed = made.filter("status = 'ok'")
         told = left.select("path", "file_sha256", F.length(F.when(valid, F.decode("content", "UTF-8"))).alias("translated_chars"), valid.alias("valid")).join(made.select("path", "status"), "path", "left")
@@ -201,7 +201,7 @@ class Localiser:
         if o.verify_ai:
             model = self._reviewer(o.verify_engine, o.verify_base_url, o.verify_api_key, o.verify_model)
             issues = issues.unionByName(reviewer.equivalence(source, target, model, o.verify_sample_rate, o.verify_max_ai_files))
-            reviewed = o.verify_max_ai_files
+            reviewed = reviewer.sampled(source, target, o.verify_sample_rate, o.verify_max_ai_files)
         issues, counts = translate.staged(issues), reports.counters(source, target, reviewed)
         if o.verify_json_output:
             reports.write_report(reports.report(issues, counts, root, out), o.verify_json_output)

@@ -210,8 +210,8 @@ def test_limits_of_services():
                 raise OSError
             return [t.upper() for t in texts]
 
-    assert engines.packed("ab\ncd\nefghijk\n", 5) == ["ab\ncd", "efghijk", ""]
-    assert engines.Chunked(engines.Sequential(Service()), 5).translate(["ab\ncd\nefghijk", "x"]) == ["AB\nCD\nEFGHIJK", "X"]
+    assert engines.packed("ab\ncd\nef", 5) == ["ab", "cd", "ef"] and engines.packed("ab\ncd\nefghijk\n", 6) == ["ab\ncd", "efghijk", ""]
+    assert engines.Chunked(engines.Sequential(Service()), 6).translate(["ab\ncd\nefghijk", "x"]) == ["AB\nCD\nEFGHIJK", "X"]
     asked.clear()
     assert engines.Sequential(Service()).translate(["a", "b", "c"]) == ["A", "B", "C"] and asked == [["a", "b", "c"], ["a"], ["b"], ["c"]]
     asked.clear()
