@@ -64,14 +64,16 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sample-rate", dest="review_sample_rate", type=float, default=0.15)
     p = command("detect", "languages of a sample of a tree", "root")
     p.add_argument("--sample", type=int, default=20)
+    p.add_argument("--profile", help="a table that learn-languages has written")
     choice(p)
+    command("learn-languages", "the language profile of a Parquet table of text and lang", "labelled", "profile")
     command("engines", "names of all engines")
     return top
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     given = vars(parser().parse_args(argv))
-    command, roots = given.pop("command"), {k: given.pop(k) for k in ("root", "out", "manifest", "original", "sample") if k in given}
+    command, roots = given.pop("command"), {k: given.pop(k) for k in ("root", "out", "manifest", "original", "sample", "profile", "labelled") if k in given}
     if command == "engines":
         print("\n".join(sorted(engines.ENGINES)))
         return 0
@@ -106,8 +108,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         issues, score = made.review(roots["root"], roots["original"])
         print(f"score {score.first().score}")
         print("\n".join(f"{r.issue_type}: {r.n}" for r in verify.by_type(issues).orderBy("issue_type").collect()))
+    elif command == "learn-languages":
+        print(f"{made.learn_languages(roots['labelled'], roots['profile'])} languages")
     elif command == "detect":
-        rows = made.detect(roots["root"], roots["sample"]).orderBy("path").collect()
+        rows = made.detect(roots["root"], roots["sample"], roots["profile"]).orderBy("path").collect()
         print("\n".join(f"{r.path} {r.language} {r.cjk_percent}%" for r in rows))
     return 0
 

@@ -1,10 +1,11 @@
-"""The main language of a text, by scripts and frequent words; column functions only."""
+"""The main language of a text: by a trained profile, else by scripts and frequent words."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions import ngrams
 from lexloom.functions import text as T
 
 # Scripts that stand for one language, and frequent words of languages in Latin script.
@@ -30,27 +31,37 @@ def _hits(words: Column, own: list[str]) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(own)))
 
 
-def detect(text: Column) -> Column:
+def _east(text: Column, count) -> Column:
+    """Whether more than a tenth of a text is Chinese, Japanese or Korean, and which by its script."""
+    told = F.when(count(KANA) > 0, "ja").when(count(HANGUL) > 0, "ko").otherwise("zh")
+    return F.when(T.count_broad(text) > 0.1 * F.length(T.strip_u(text)), told)
+
+
+def detect(text: Column, profile: ngrams.Profile | None = None, seen: int | None = SEEN) -> Column:
     """ISO 639-1 code, null for fewer than ten characters or without any sign of a language.
 
-    More than a tenth of Chinese, Japanese or Korean characters decide by their script; then other scripts with
-    more than a third of the letters; then the language with most frequent words (ties: in the order above).
+    More than a tenth of Chinese, Japanese or Korean characters decide by their script; then scripts of languages that the
+    profile does not know, with more than a third of the letters; then the profile.  Without a profile the language with most
+    frequent words (ties: in the order above).  All but the first rule look at ``seen`` characters, or at all (None).
     """
-    seen = F.left(text, F.lit(SEEN))
-    count = lambda pattern: F.regexp_count(seen, F.lit(pattern))
-    east = F.when(count(KANA) > 0, "ja").when(count(HANGUL) > 0, "ko").otherwise("zh")
-    letters = F.regexp_count(seen, F.lit(r"\p{L}"))
-    words = F.split(F.lower(seen), r"[^\p{L}]+")
-    hits = [(lang, _hits(words, own)) for lang, own in WORDS.items()]
-    most = F.greatest(*[n for _, n in hits])
-    out = F.when(T.count_broad(text) > 0.1 * F.length(T.strip_u(text)), east)
+    part = text if seen is None else F.left(text, F.lit(seen))
+    count = lambda pattern: F.regexp_count(part, F.lit(pattern))
+    letters = F.regexp_count(part, F.lit(r"\p{L}"))
+    out = F.when(_east(text, count).isNotNull(), _east(text, count))
     for lang, pattern in SCRIPTS.items():
-        out = out.when(count(pattern) * 3 > letters, lang)
-    for lang, n in hits:
-        out = out.when((most > 0) & (n == most), lang)
+        if profile is None or lang not in profile.languages:
+            out = out.when(count(pattern) * 3 > letters, lang)
+    if profile is not None:
+        out = out.otherwise(ngrams.classify(part, profile))
+    else:
+        words = F.split(F.lower(part), r"[^\p{L}]+")
+        hits = [(lang, _hits(words, own)) for lang, own in WORDS.items()]
+        most = F.greatest(*[n for _, n in hits])
+        for lang, n in hits:
+            out = out.when((most > 0) & (n == most), lang)
     return F.when(F.length(T.strip_u(text)) >= 10, out)
 
 
-def detect_prose(prose: Column) -> Column:
+def detect_prose(prose: Column, profile: ngrams.Profile | None = None, seen: int | None = SEEN) -> Column:
     """As :func:`detect`, for the prose of a file, of which at least twenty characters are needed."""
-    return F.when(F.length(T.strip_u(prose)) >= 20, detect(prose))
+    return F.when(F.length(T.strip_u(prose)) >= 20, detect(prose, profile, seen))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -168,6 +169,23 @@ def extract_files(
     return Extraction(build_segments(kept), skipped, other, errors)
 
 
+def decoded(content: Column, errors: str = "ignore") -> Column:
+    """Bytes as text: ``strict`` (null where they are not UTF-8), ``ignore`` (what is not UTF-8 is left out) or ``replace``."""
+    text = content.cast("string")
+    if errors == "strict":
+        return F.try_validate_utf8(text)
+    if errors == "replace":
+        return F.make_valid_utf8(text)
+
+    @F.pandas_udf("string")
+    def left_out(held: pd.Series) -> pd.Series:
+        return held.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    # Python only where something is to be left out
+    faulty = F.when(~F.is_valid_utf8(text), content)
+    return F.when(F.is_valid_utf8(text), text).otherwise(left_out(faulty))
+
+
 def prose(text: Column, kind: str) -> Column:
     """Human-readable text of a file by kind: markdown, markup, json or code."""
     stripped = F.filter(F.transform(F.split(text, "\n", -1), T.strip_u), lambda x: x != "")

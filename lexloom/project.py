@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import fixed_values as V
-from lexloom.functions import language
+from lexloom.functions import language, ngrams
 from lexloom.operators import engines, extract, inplace, reports, resume, reviewer, scan, splice, translate, verify
 from lexloom.sources import files as S
 
@@ -215,11 +215,19 @@ class Localiser:
         before = S.read_tree(self.spark, original) if original else None
         return reviewer.review(self._chosen(self._tree(root)), before, self.reviewer, self.options.review_sample_rate)
 
-    def detect(self, root: str, sample: int = 20) -> DataFrame:
-        """path, language and share of Chinese, Japanese and Korean characters of a random sample of files."""
+    def detect(self, root: str, sample: int = 20, profile: str | None = None) -> DataFrame:
+        """path, language and share of Chinese, Japanese and Korean characters of a random sample of files; with ``profile``
+        (a table made by :meth:`learn_languages`) by that.
+        """
         files = scan.hash_sample(self._chosen(self._tree(root)), 1.0, sample)
-        src = F.make_valid_utf8(F.col("content").cast("string"))
-        return reports.language_rows(files.withColumn("src", src), language.detect_prose(extract.file_prose(F.col("path"), F.col("src"))), F.col("src"))
+        src = extract.decoded(F.col("content"))
+        known = ngrams.Profile.of(self.spark.read.schema(ngrams.PROFILE_DDL).parquet(profile)) if profile else None
+        return reports.language_rows(files.withColumn("src", src), language.detect_prose(extract.file_prose(F.col("path"), F.col("src")), known), F.col("src"))
+
+    def learn_languages(self, labelled: str, profile: str) -> int:
+        """Writes the profile of a Parquet table of (text, lang); the number of its languages."""
+        ngrams.train(self.spark.read.parquet(labelled)).write.mode("overwrite").parquet(profile)
+        return self.spark.read.parquet(profile).select("lang").distinct().count()
 
     def run(self, root: str, out: str) -> dict:
         """The whole run as the options have it: translate or apply, export, review, verify, audit."""
