@@ -10,6 +10,18 @@ from lexloom.operators import extract, inplace, parsers, reports, reviewer, scan
 from lexloom.plans.catalogue import _BROAD, _DIFFER, _HAN, _LN, _SEG, _SRC, _content, _files, _issues, _segments, _table, _target, query
 
 _WORDS = {"这个": "the", "和": "and"}
+
+
+def _literal(text):
+    """A text as the literal of JSON and of C-like code, with its quotes, escapes and line ends."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x09\x0B-\x1F]", " ")
+    for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n")):
+        plain = F.replace(plain, F.lit(a), F.lit(b))
+    return F.concat(F.lit('"'), plain, F.lit('"'))
+
+
+_BODY = """replace(replace(replace(regexp_replace(coalesce(src, ''), '[\\x00-\\x09\\x0B-\\x1F]', ' ', 'g'), '\\', '\\\\'), '"', '\\"'), chr(10), '\\n')"""
+_LITERAL = f"""'"' || {_BODY} || '"'"""
 _ENGLISH = "replace(replace(source_text, '这个', 'the'), '和', 'and')"
 
 
@@ -110,11 +122,12 @@ _APPLY = f"""{_SRC}, f AS (SELECT doc_id, path, src, len(regexp_extract_all(src,
 
 
 def _applied(spark, sf_dir):
-    """JSON files with one value: of some the file changed, of some the target breaks the syntax, of some there is no target."""
+    """JSON files around whole texts: of some the file changed, of some the target breaks the syntax, of some there is no target."""
     n = F.col("doc_id")
-    text = F.concat(F.lit('{"k": "值 '), n.cast("string"), F.lit('", "n": '), F.coalesce(F.length("src"), F.lit(0)).cast("string"), F.lit("}"))
+    text = F.concat(F.lit('{"k": "值 '), n.cast("string"), F.lit('", "t": '), _literal(F.col("src")), F.lit("}"))
     files = _files(spark, sf_dir).select("doc_id", F.concat(F.lit("d/"), n.cast("string"), F.lit(".json")).alias("path"), F.encode(text, "UTF-8").alias("content"))
-    segments = extract.build_segments(parsers.parse(files.select("path", "content")), files.select("path", "content")).join(files.select("path", "doc_id"), "path")
+    found = parsers.parse_all(files.select("path", "content")).filter(F.col("source_text").startswith("值 "))
+    segments = extract.build_segments(found).join(files.select("path", "doc_id"), "path")
     target = F.when(n % 5 == 0, 'va"lue').when(n % 3 == 0, F.lit(None).cast("string")).otherwise("value")
     segments = segments.withColumn("target_text", target).withColumn("file_sha256", F.when(n % 7 == 0, "other").otherwise(F.col("file_sha256")))
     return splice.validated(splice.splice(files, segments), files)
@@ -131,9 +144,8 @@ def q50(spark, sf_dir):
 
 @query(
     "q51_structured_validation",
-    """SELECT 'd/' || doc_id || '.json' AS path, CASE WHEN doc_id % 7 = 0 THEN 'mismatch' WHEN doc_id % 5 = 0 THEN 'invalid' ELSE 'ok' END AS status,
-  '{"k": "' || CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 'value' ELSE '值 ' || doc_id END || '", "n": ' || coalesce(length(text_), 0) || '}' AS content
-FROM (SELECT doc_id, replace(replace(text, ' the ', ' 这个 '), ' and ', ' 和 ') AS text_ FROM documents)""",
+    f"""WITH {_SRC} SELECT 'd/' || doc_id || '.json' AS path, CASE WHEN doc_id % 7 = 0 THEN 'mismatch' WHEN doc_id % 5 = 0 THEN 'invalid' ELSE 'ok' END AS status,
+  '{{"k": "' || CASE WHEN doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 THEN 'value' ELSE '值 ' || doc_id END || '", "t": ' || {_LITERAL} || '}}' AS content FROM src""",
 )
 def q51(spark, sf_dir):
     return _applied(spark, sf_dir).select("path", "status", F.col("content").cast("string").alias("content"))
@@ -323,23 +335,35 @@ def q69(spark, sf_dir):
     return extract.violations(faulty).select("id", "reason")
 
 
+_ENGLISH_OF = "replace(replace({0}, '这个', 'the'), '和', 'and')"
+
+
 @query(
     "q70_comments_only",
-    """SELECT 'c/' || doc_id || '.ts' AS path, 'a = "值 ' || doc_id || '"; // the ' || doc_id || chr(10) || '/* first the' || chr(10) || ' * the ' || doc_id || ' */ b = "这个";' || chr(10) AS content FROM documents""",
+    f"""WITH {_SRC}, b AS (SELECT doc_id, replace(coalesce(src, ''), '*/', '* /') AS body FROM src) SELECT 'c/' || doc_id || '.ts' AS path,
+  'a = "值 ' || doc_id || '"; // the ' || doc_id || chr(10) || '/* first the' || chr(10) || {_ENGLISH_OF.format("body")} || ' */ b = "这个";' || chr(10) AS content FROM b""",
 )
 def q70(spark, sf_dir):
+    """Whole texts as block comments over many lines; strings beside them stay."""
     n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit('a = "值 '), n, F.lit('"; // 这个 '), n, F.lit("\n/* first 这个\n * 这个 "), n, F.lit(' */ b = "这个";\n'))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("c/"), n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    body = F.replace(F.coalesce("src", F.lit("")), F.lit("*/"), F.lit("* /"))
+    src = F.concat(F.lit('a = "值 '), n, F.lit('"; // 这个 '), n, F.lit("\n/* first 这个\n"), body, F.lit(' */ b = "这个";\n'))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("c/"), n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
     out = inplace.rewrite(files, translate.Dictionary(_WORDS), translate.staged, comments_only=True)
     return out.select("path", F.col("content").cast("string").alias("content"))
 
 
-@query("q71_docstring_lines", """SELECT 'c/' || doc_id || '.py' AS path, 'def f():' || chr(10) || '    \"\"\"the ' || doc_id || chr(10) || '    two and' || chr(10) || '    \"\"\"' || chr(10) || '    return "这个"' || chr(10) AS content FROM documents""")
+@query(
+    "q71_docstring_lines",
+    f"""WITH {_SRC}, b AS (SELECT doc_id, regexp_replace(coalesce(src, ''), '["\\\\\\x00-\\x09\\x0B-\\x1F]', ' ', 'g') AS body FROM src) SELECT 'c/' || doc_id || '.py' AS path,
+  'def f():' || chr(10) || '    \"\"\"the ' || doc_id || chr(10) || {_ENGLISH_OF.format("body")} || chr(10) || '    \"\"\"' || chr(10) || '    return "这个"' || chr(10) AS content FROM b""",
+)
 def q71(spark, sf_dir):
+    """Whole texts as docstrings; the string that is returned stays."""
     n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit('def f():\n    """这个 '), n, F.lit('\n    two 和\n    """\n    return "这个"\n'))
-    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("c/"), n, F.lit(".py")).alias("path"), F.encode(src, "UTF-8").alias("content"))
+    body = F.regexp_replace(F.coalesce("src", F.lit("")), r'["\\\x00-\x09\x0B-\x1F]', " ")
+    src = F.concat(F.lit('def f():\n    """这个 '), n, F.lit("\n"), body, F.lit('\n    """\n    return "这个"\n'))
+    files = _files(spark, sf_dir).select(F.concat(F.lit("c/"), n, F.lit(".py")).alias("path"), F.encode(src, "UTF-8").alias("content"))
     out = inplace.rewrite(files, translate.Dictionary(_WORDS), translate.staged, comments_only=True)
     return out.select("path", F.col("content").cast("string").alias("content"))
 
@@ -373,25 +397,52 @@ def q73(spark, sf_dir):
     return rows.select("path", F.sha2(F.when(F.col("engine") == 0, F.concat(F.lit("A "), "src")).otherwise(F.col("src")), 256).alias("text_sha256"))
 
 
-@query("q74_template_fragments", """SELECT doc_id, '值 ' || doc_id || ' ' AS first, ' 尾' AS second, '${f({a: ' || doc_id || '})}' AS kept, '你 ' || doc_id AS shown FROM documents""")
+def _escaped_template(text):
+    for a, b in (("\\", "\\\\"), ("`", "\\`"), ("$", "\\$")):
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return text
+
+
+@query(
+    "q74_template_fragments",
+    f"""WITH {_SRC} SELECT doc_id, '值 ' || doc_id || ' ' AS first, ' ' || replace(replace(replace(coalesce(src, ''), '\\', '\\\\'), '`', '\\`'), '$', '\\$') || ' 尾' AS second,
+  '${{f({{a: ' || {_LITERAL} || '}})}}' AS kept, '你 ' || doc_id AS shown FROM src""",
+)
 def q74(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit("x = `值 "), n, F.lit(" ${f({a: "), n, F.lit('})} 尾`; if (a > 1 && m("你 '), n, F.lit('") && b < 2) {}\nfetch("/路"); import y from "模";'))
-    files = _table(spark, sf_dir, "documents").select(F.concat(n, F.lit(".ts")).alias("path"), F.encode(src, "UTF-8").alias("content"))
-    found = parsers.parse_all(files).filter("translatable").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_byte", "source_text", "protected_context"))).alias("s"))
+    """Whole texts as a template's fragment, and as a literal inside its expression, which is kept as context."""
+    n, src = F.col("doc_id").cast("string"), F.coalesce("src", F.lit(""))
+    code = F.concat(F.lit("x = `值 "), n, F.lit(" ${f({a: "), _literal(src), F.lit("})} "), _escaped_template(src), F.lit(' 尾`; if (a > 1 && m("你 '), n, F.lit('") && b < 2) {}\nfetch("/路"); import y from "模";'))
+    files = _files(spark, sf_dir).select(F.concat(n, F.lit(".ts")).alias("path"), F.encode(code, "UTF-8").alias("content"))
+    # the literal of the expression is a string of its own
+    found = parsers.parse_all(files).filter("translatable and (kind <> 'string' or source_text like '你 %')").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("start_byte", "source_text", "protected_context"))).alias("s"))
     part = lambda k: F.col("s")[k]["source_text"]
     return found.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), part(0).alias("first"), part(1).alias("second"), F.col("s")[0]["protected_context"][0].alias("kept"), part(2).alias("shown"))
 
 
+_OWN_REASON = f"CASE WHEN regexp_full_match(body, '[\\p{{Lu}}\\p{{Nd}}_]+') THEN 'machine constant' WHEN regexp_matches(body, '{_HAN}') THEN 'text' ELSE 'no Han characters' END"
+
+
 @query(
     "q75_string_contexts",
-    """SELECT doc_id, reason FROM documents, (VALUES ('import/module source'), ('object key'), ('className'), ('route/endpoint'), ('machine constant'), ('test selector'), ('no Han characters')) r(reason)""",
+    f"""WITH {_SRC}, b AS (SELECT doc_id, {_BODY} AS body FROM src), told AS (
+  SELECT doc_id, unnest(['模', '键', 'KEY_ONE', '/路 ' || doc_id, '径 ' || doc_id, '错 ' || doc_id, 'a', '打 ' || doc_id, '类', '测', '名', 'plain ' || doc_id]) AS source_text,
+    unnest(['import/module source', 'object key', 'machine constant', 'route/endpoint', 'route/endpoint', 'error message', 'error message', 'console', 'className', 'test selector', 'shown attribute', 'no Han characters']) AS reason FROM b
+  UNION ALL SELECT doc_id, body, unnest(['route/endpoint', 'route/endpoint', 'error message', 'console', {_OWN_REASON}, {_OWN_REASON}]) FROM b WHERE regexp_matches(body, '\\S'))
+SELECT doc_id, sha256(source_text) AS text_sha256, reason, count(*) AS n FROM told GROUP BY 1, 2, 3""",
 )
 def q75(spark, sf_dir):
-    n = F.col("doc_id").cast("string")
-    src = F.concat(F.lit('import a from "模";\nx = {"键": 1, k: "KEY_ONE"};\nfetch("/路'), n, F.lit('");\ny = <b className="类" data-test-id="测" title="名">文 '), n, F.lit('</b>;\nz = "plain '), n, F.lit('";\n'))
-    files = _table(spark, sf_dir, "documents").select(F.concat(n, F.lit(".tsx")).alias("path"), F.encode(src, "UTF-8").alias("content"))
-    return parsers.parse_all(files).filter("not translatable").select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "reason")
+    """Contexts of strings among long and nested arguments: the whole text stands before, beside and within the others."""
+    n, text = F.col("doc_id").cast("string"), _literal(F.col("src"))
+    lines = [
+        'import a from "模"\nx = {"键": 1, k: "KEY_ONE"};\nfetch(', text, ", {h: [f(1), {t: ", text, '}]}, "/路 ', n, '");\nrouter.push(`${g(1)}`, {x: f({y: [2]})}, "径 ', n, '")\n',
+        'throw new MyError("a" + fmt(x, ', text, ') + "错 ', n, '");\nconsole.log(', text, ", h(", text, ', [{a: 1}]), "打 ', n, '");\n',
+        'y = <b className="类" data-test-id="测" onClick={() => { go(', text, ') }} title="名">文</b>;\nz = "plain ', n, '";\n',
+    ]
+    code = F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines])
+    files = _files(spark, sf_dir).select(F.concat(n, F.lit(".tsx")).alias("path"), F.encode(code, "UTF-8").alias("content"))
+    doc_id = F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id")
+    strings = parsers.parse_all(files).filter("kind = 'string'")
+    return strings.groupBy(doc_id, F.sha2("source_text", 256).alias("text_sha256"), "reason").agg(F.count("*").alias("n"))
 
 
 @query("q76_language_rows", f"WITH {_SRC} SELECT path, coalesce(lang, 'unknown') AS language, coalesce(round(len(regexp_extract_all(src, '{_BROAD}')) * 100.0 / greatest(length(src), 1), 1), 0)::DOUBLE AS cjk_percent FROM src WHERE src IS NOT NULL")
@@ -399,10 +450,16 @@ def q76(spark, sf_dir):
     return reports.language_rows(_files(spark, sf_dir).filter("src is not null"), F.col("lang"), F.col("src")).withColumn("cjk_percent", F.col("cjk_percent").cast("double"))
 
 
-@query("q77_machine_constants", "SELECT doc_id, true AS constant FROM documents")
+@query(
+    "q77_machine_constants",
+    """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^\\p{L}\\p{Nd}_]+')) AS word FROM documents), u AS (SELECT doc_id, unnest([word, upper(word), upper(word) || '_' || doc_id]) AS word FROM w)
+SELECT doc_id, count_if(regexp_full_match(word, '[\\p{Lu}\\p{Nd}_]+')) AS constants, count(*) AS words FROM u GROUP BY 1""",
+)
 def q77(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
-    return docs.select("doc_id", T.is_machine_constant(F.concat(F.lit("KEY_É_"), F.col("doc_id").cast("string"))).alias("constant"))
+    """Words of whole texts, as they are, in capitals, and as names with a number."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", r"[^\p{L}\p{Nd}_]+", -1)).alias("word"))
+    words = docs.select("doc_id", F.explode(F.array("word", F.upper("word"), F.concat_ws("_", F.upper("word"), F.col("doc_id").cast("string")))).alias("word"))
+    return words.groupBy("doc_id").agg(F.count_if(T.is_machine_constant(F.col("word"))).alias("constants"), F.count("*").alias("words"))
 
 
 @query(
@@ -414,3 +471,62 @@ def q78(spark, sf_dir):
     told = F.concat(F.lit("T "), F.replace("src", F.lit("\n"), F.lit("\nT ")), F.when(F.col("doc_id") % 3 == 0, "\n").otherwise(""))
     files = _files(spark, sf_dir).filter("src is not null")
     return files.select("path", F.sha2(T.merged_lines(F.col("src"), told, F.lit(".py")), 256).alias("text_sha256"))
+
+
+_PLAIN = r"[\x00-\x1F\x22'\x23%&*!|>\x5B\x5D`@{}:,?\x5C/-]"
+
+
+@query(
+    "q80_yaml_toml_values",
+    f"""WITH {_SRC}, b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(coalesce(src, ''), '{_PLAIN.replace("'", "''")}', ' ', 'g'), ' +', ' ', 'g')) AS body FROM src)
+SELECT 'd/' || doc_id || '.yaml' AS path, 'yaml_value' AS kind, unnest(['标题 ' || doc_id, 'it''s "' || doc_id || '"', 'Body ' || body]) AS source_text FROM b
+UNION ALL SELECT 'd/' || doc_id || '.toml', 'toml_value', unnest(['标题 ' || doc_id, 'Body ' || body, 'in "' || doc_id || '" quotes']) FROM b""",
+)
+def q80(spark, sf_dir):
+    """Values of YAML (plain, quoted, in lists, under keys of the same text) and TOML (tables, arrays, literal strings)."""
+    n = F.col("doc_id").cast("string")
+    body = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("src", F.lit("")), _PLAIN, " "), " +", " "))
+    yaml = F.concat(F.lit("标题 "), n, F.lit(": a/b\nlist:\n  - 标题 "), n, F.lit("\n  - 12\n  - it's \""), n, F.lit('"\n  - on\nnested: {other: "Body '), body, F.lit('", name: x-1}\n'))
+    toml = F.concat(F.lit('id = "x-'), n, F.lit('"\n[a."标题"]\nt = ["标题 '), n, F.lit('", "b.c"]\nlong = "Body '), body, F.lit("\"\nlit = 'in \""), n, F.lit("\" quotes'\n"))
+    files = _files(spark, sf_dir)
+    made = [files.select(F.concat(F.lit("d/"), n, F.lit(end)).alias("path"), F.encode(text, "UTF-8").alias("content")) for end, text in ((".yaml", yaml), (".toml", toml))]
+    return parsers.parse(made[0].unionByName(made[1])).select("path", "kind", "source_text")
+
+
+@query(
+    "q81_shown_attributes",
+    r"""WITH c AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<(style|script)\b.*?</(style|script)>', '<>', 'g') AS h FROM pages),
+n AS (SELECT page_id, regexp_replace(unnest(string_split_regex(h, '<[^>]*>|&#?[A-Za-z0-9]+;?')), '^\s+|\s+$', '', 'g') AS source_text FROM c),
+a AS (SELECT page_id, unnest(['名 ' || page_id, 'alt of ' || page_id, 'say "' || page_id || '"', 'shown ' || page_id]) AS source_text FROM pages)
+SELECT page_id, kind, count(*) AS n, sha256(string_agg(source_text, '|' ORDER BY source_text)) AS texts_sha256 FROM (
+  SELECT page_id, 'html_text' AS kind, source_text FROM n WHERE source_text <> '' AND source_text NOT LIKE '#%' UNION ALL SELECT page_id, 'ui_attribute', source_text FROM a) GROUP BY 1, 2""",
+)
+def q81(spark, sf_dir):
+    """Whole pages behind elements with shown attributes, and with others that are not taken."""
+    n = F.col("page_id").cast("string")
+    head = F.concat(F.lit('<img title="名 '), n, F.lit('" alt=\'alt of '), n, F.lit("' id=\"no "), n, F.lit('"/><input placeholder="#'), n, F.lit('" aria-label=\'say "'), n, F.lit('"\'><a href="x" title=\'shown '), n, F.lit("'></a>"))
+    pages = _table(spark, sf_dir, "pages").select(F.concat(F.lit("p/"), n, F.lit(".html")).alias("path"), F.encode(F.concat(head, "html"), "UTF-8").alias("content"))
+    found = parsers.parse(pages).select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("page_id"), "kind", "source_text")
+    return found.groupBy("page_id", "kind").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("source_text")), "|"), 256).alias("texts_sha256"))
+
+
+class _Longer:
+    """A model that finds translations longer or shorter than their source, and can't read some files."""
+
+    def review(self, path, source, target):
+        if path.endswith("7.md"):
+            raise ValueError("unreadable")
+        return [] if len(source) == len(target) else [{"type": "length", "severity": "info", "message": f"{len(target) - len(source)}"}]
+
+
+@query(
+    "q82_model_equivalence",
+    f"""WITH {_SRC}, p AS (SELECT path, src AS a, replace(src, '这个', '[this]') AS b FROM src WHERE src IS NOT NULL AND doc_id % 9 <> 0),
+s AS (SELECT * FROM p ORDER BY path LIMIT (SELECT least(greatest(1, floor(count(*) * 0.5)), 200)::BIGINT FROM p)), c AS (SELECT path, CASE WHEN length(a) > 3000 THEN left(a, 3000) || '...' ELSE a END AS a, CASE WHEN length(b) > 3000 THEN left(b, 3000) || '...' ELSE b END AS b, length(a) AS n, length(b) AS m FROM s)
+SELECT path AS file, 'ai_length' AS issue_type, 'info' AS severity, (length(b) - length(a))::VARCHAR AS message FROM c WHERE n >= 50 AND m >= 50 AND length(a) <> length(b) AND path NOT LIKE '%7.md'""",
+)
+def q82(spark, sf_dir):
+    """Files of two trees in order of path, as many as the rate asks for, by a model; links, binary and lone files are not asked about."""
+    files = _content(spark, sf_dir).filter("src is not null").withColumns({"is_symlink": F.lit(False), "link_target": F.lit(None).cast("string")})
+    target = files.withColumn("content", F.encode(_target(F.col("src")), "UTF-8")).filter("doc_id % 9 <> 0")
+    return reviewer.equivalence(files, target, _Longer(), 0.5, 200).select("file", "issue_type", "severity", "message")
