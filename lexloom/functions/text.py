@@ -137,6 +137,16 @@ def merged_lines(original: Column, translated: Column, suffix_: Column) -> Colum
     return F.when(~suffix_.isin(V.DOCUMENT_SUFFIXES) & (F.size(old) == F.size(new)), F.array_join(lines, "\n")).otherwise(translated)
 
 
+def segment_fault() -> Column:
+    """Why a row of segment columns breaks the row constraints; null where it does not."""
+    return (
+        F.when(~F.coalesce((F.col("start_byte") >= 0) & (F.col("start_byte") < F.col("end_byte")), F.lit(False)), "range")
+        .when(F.col("path").isNull() | (F.col("path") == "") | F.col("path").rlike(r"^[/\\]") | F.array_contains(F.split("path", r"[/\\]"), ".."), "path")
+        .when(~F.coalesce(F.col("kind").isin(V.KINDS), F.lit(False)), "kind")
+        .when(~F.coalesce(F.sha2("source_text", 256) == F.col("source_sha256"), F.lit(False)), "digest")
+    )
+
+
 def suffix(path: Column) -> Column:
     """Lower-case suffix of the file name, with its dot; names that only begin with a dot have none."""
     name = F.element_at(F.split(path, "/"), -1)

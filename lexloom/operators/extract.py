@@ -43,13 +43,7 @@ def build_segments(spans: DataFrame, files: DataFrame | None = None) -> DataFram
 
 def violations(segments: DataFrame) -> DataFrame:
     """Segments that break the row constraints, with the reason."""
-    reason = (
-        F.when(~((F.col("start_byte") >= 0) & (F.col("start_byte") < F.col("end_byte"))), "range")
-        .when((F.col("path") == "") | F.col("path").rlike(r"^[/\\]") | F.array_contains(F.split("path", r"[/\\]"), ".."), "path")
-        .when(~F.col("kind").isin(V.KINDS), "kind")
-        .when(F.sha2("source_text", 256) != F.col("source_sha256"), "digest")
-    )
-    return segments.withColumn("reason", reason).filter("reason is not null")
+    return segments.withColumn("reason", T.segment_fault()).filter("reason is not null")
 
 
 def line_segments(files: DataFrame, text: str = "src", placed: bool = False) -> DataFrame:

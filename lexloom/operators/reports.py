@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
-from lexloom.operators import verify
+from lexloom.operators import translate, verify
 
 
 def run_statistics(results: DataFrame) -> DataFrame:
@@ -35,22 +35,44 @@ def counters(source: DataFrame, target: DataFrame, reviewed: int = 0) -> DataFra
     return both.agg(F.count("a").alias("source_files"), F.count("b").alias("target_files"), common.alias("common_files"), common.alias("files_checked"), F.lit(reviewed).cast("long").alias("ai_files_reviewed"))
 
 
-def report(issues: DataFrame, counts: DataFrame, source: str, target: str) -> DataFrame:
-    """One row ``report``: the verification as JSON, issues in order of file and type."""
-    told = F.struct("file", F.col("issue_type").alias("type"), "severity", "message", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"))
-    held = issues.agg(F.array_sort(F.collect_list(told)).alias("issues"))
-    summary = verify.worst(issues).crossJoin(issues.agg(F.count("*").alias("n")))  # one row each
-    row = counts.crossJoin(held).crossJoin(summary)
-    files = F.struct(F.col("source_files").alias("source"), F.col("target_files").alias("target"), F.col("common_files").alias("common"), F.col("files_checked").alias("checked"), F.col("ai_files_reviewed").alias("ai_reviewed"))
-    found = F.struct(F.col("n").alias("issues"), "has_errors", "worst_severity")
-    return row.select(F.to_json(F.struct(F.lit(source).alias("source_dir"), F.lit(target).alias("target_dir"), files.alias("files"), found.alias("summary"), "issues")).alias("report"))
+_ORDER = ["file", "type", "severity", "message", "source", "target"]
 
 
-def write_report(made: DataFrame, path: str) -> None:
-    """The report as indented JSON, by rename."""
-    body = json.dumps(json.loads(made.first().report), ensure_ascii=False, indent=2)
+def report_lines(issues: DataFrame, counts: DataFrame, source: str, target: str) -> DataFrame:
+    """``value``: the lines of a verification as one JSON document, whose partitions are in order.
+
+    A header with the counts, a line for each issue in order of file and type, a trailer.  Issues are dealt by ranges and sorted within them;
+    only the counts are gathered.
+    """
+    c = counts.first().asDict()
+    told = issues.select("file", F.col("issue_type").alias("type"), "severity", "message", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target"))
+    summary = verify.worst(issues).crossJoin(issues.agg(F.count("*").alias("n"))).first()  # one row each
+    head = {
+        "source_dir": source, "target_dir": target,
+        "files": {"source": c["source_files"], "target": c["target_files"], "common": c["common_files"], "checked": c["files_checked"], "ai_reviewed": c["ai_files_reviewed"]},
+        "summary": {"issues": summary.n, "has_errors": summary.has_errors, "worst_severity": summary.worst_severity},
+    }
+    opened = json.dumps(head, ensure_ascii=False, indent=2).removesuffix("\n}") + ',\n  "issues": ['
+    spark = issues.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string").coalesce(1)
+    placed = translate.batches(told, _ORDER, 1, 1)
+    rows = placed.select(F.concat(F.when(F.col("ordinal") == 0, "    ").otherwise("   ,"), F.to_json(F.struct(*_ORDER), {"ignoreNullFields": "false"})).alias("value"))
+    return line(opened).unionByName(rows).unionByName(line("  ]\n}"))
+
+
+def write_report(lines: DataFrame, path: str) -> None:
+    """The document as a folder of text files whose names keep the order, or, where the path ends so, as one ``.json`` file by rename.
+
+    Lines stream through; the driver holds those of one partition at a time.
+    """
+    if not path.endswith(".json"):
+        lines.write.mode("overwrite").text(path)
+        return
     with open(f"{path}.part", "w", encoding="utf-8") as f:
-        f.write(body)
+        for r in lines.toLocalIterator():
+            f.write(r.value + "\n")
+        f.flush()
+        os.fsync(f.fileno())
     os.replace(f"{path}.part", path)
 
 

@@ -12,7 +12,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as T
@@ -207,17 +207,23 @@ def provide(keys: DataFrame, provider: Provider | Lanes, batch_size: int = 40, w
     return out if with_calls else out.drop("call")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there, so that what made it runs once.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which the driver and all executors share.
 
-    Where the session names no folder, a local master gets one of its own machine; a cluster gets an error.
+    Where the session names none, a local master gets one of its own machine; a cluster gets an error.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there, so that what made it runs once."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -264,13 +270,14 @@ def update_targets(segments: DataFrame, targets: DataFrame) -> DataFrame:
     return segments.join(targets.select("id", F.col("target_text").alias("new")), "id", "left").withColumn("target_text", F.coalesce("new", "target_text")).drop("new")
 
 
-def batches(rows: DataFrame, order: str, size: int, engines: int, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def batches(rows: DataFrame, order: str | list[str], size: int, engines: int, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Ordinal, batch and engine of each row in one global order (a report; calls use :func:`provide`).
 
     Rows are dealt by ranges, numbered in each range, and the ranges' counts (one row each) are added up.
     """
     # the upper bits of the id are the range's number, the lower ones the row's place in it
-    dealt = (stage or staged)(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    keys = [order] if isinstance(order, str) else order
+    dealt = (stage or staged)(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     counts = sorted((r.part, r.n) for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
     before = dict(zip((p for p, _ in counts), accumulate((n for _, n in counts), initial=0)))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
 from lexloom.operators import extract, inplace, parsers, reports, reviewer, scan, splice, translate, verify
 from lexloom.plans.catalogue import _BROAD, _DIFFER, _HAN, _LN, _SEG, _SRC, _content, _files, _issues, _segments, _table, _target, query
+from lexloom.sources import files
 
 _WORDS = {"这个": "the", "和": "and"}
 
@@ -228,9 +231,65 @@ def q57(spark, sf_dir):
 )
 def q58(spark, sf_dir):
     source, target = _pair(spark, sf_dir)
-    made = reports.report(verify.verify(source, target), reports.counters(source, target), "a", "b")
-    got = lambda path, kind: F.get_json_object("report", path).cast(kind)
-    return made.select(got("$.summary.issues", "long").alias("issues"), got("$.summary.has_errors", "boolean").alias("has_errors"), got("$.files.source", "long").alias("source_files"), F.coalesce(got("$.issues[0].file", "string"), F.lit("")).alias("first_file"))
+    lines = reports.report_lines(translate.staged(verify.verify(source, target)), reports.counters(source, target), "a", "b")
+    got = lambda path, kind: F.get_json_object("head", path).cast(kind)
+    head = lines.filter(F.col("value").startswith("{")).select(F.concat("value", F.lit("]}")).alias("head"))
+    first = lines.filter(F.col("value").startswith("    {")).select(F.get_json_object("value", "$.file").alias("first_file"))
+    told = head.select(got("$.summary.issues", "long").alias("issues"), got("$.summary.has_errors", "boolean").alias("has_errors"), got("$.files.source", "long").alias("source_files"))
+    return told.join(first, how="left").withColumn("first_file", F.coalesce("first_file", F.lit("")))  # one row each
+
+
+@query(
+    "q83_report_lines",
+    f"WITH {_DIFFER} SELECT file, issue_type AS type, row_number() OVER (ORDER BY file, issue_type) > 1 AS comma FROM issues",
+)
+def q83(spark, sf_dir):
+    """All issues as lines of one JSON document; all but the first stand behind a comma."""
+    issues = translate.staged(_issues(spark, sf_dir))
+    files = _content(spark, sf_dir)
+    lines = reports.report_lines(issues, reports.counters(files, files), "a", "b").filter(F.col("value").rlike("^   [ ,]\\{"))
+    part = lambda name: F.get_json_object(F.substring("value", 5, 1 << 30), f"$.{name}").alias(name)
+    return lines.select(part("file"), part("type"), F.col("value").startswith("   ,").alias("comma"))
+
+
+def _placed_segments(spark, sf_dir):
+    made = extract.build_segments(extract.line_segments(_files(spark, sf_dir), placed=True)).withColumn("protected_context", F.lit(None).cast("array<string>"))
+    return made.select(*[f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")])
+
+
+@query("q84_manifest_round_trip", f"WITH {_SEG} SELECT id, path, start_byte, source_text, k::INT AS line, CASE WHEN doc_id % 3 = 0 THEN 'T \"' || id || '\"' END AS target_text FROM seg")
+def q84(spark, sf_dir):
+    """A manifest of all segments, written, rewritten for every third document, and read in parts."""
+    path = f"{translate.shared_folder(spark)}/manifest-{uuid.uuid4().hex}"
+    header = spark.createDataFrame([("header", 1)], "type string, version int")
+    files.write_manifest(header, _placed_segments(spark, sf_dir), path)
+    segments = files.read_manifest(spark, path)[1]
+    third = segments.filter(F.regexp_extract("path", r"(\d+)\.md$", 1).cast("long") % 3 == 0)
+    files.rewrite_targets(spark, path, third.select("id", F.concat(F.lit('T "'), "id", F.lit('"')).alias("target_text")))
+    return files.read_manifest(spark, path)[1].select("id", "path", "start_byte", "source_text", "line", "target_text")
+
+
+@query(
+    "q85_faulty_lines",
+    f"""WITH {_SRC}, n AS (SELECT *, row_number() OVER (PARTITION BY doc_id % 16 ORDER BY doc_id) AS line FROM src)
+SELECT doc_id % 16 AS bucket, line, CASE doc_id % 11 WHEN 0 THEN 'fields' WHEN 1 THEN 'fields' WHEN 2 THEN 'range' WHEN 3 THEN 'digest' ELSE 'path' END AS reason FROM n WHERE doc_id % 11 < 5""",
+)
+def q85(spark, sf_dir):
+    """Lines of sixteen files that are no segments, with their numbers; each line holds a whole text."""
+    n = F.col("doc_id") % 11
+    names = [f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")]
+    made = _files(spark, sf_dir).withColumns({
+        "id": F.lit("i"), "kind": F.lit("string"), "start_byte": F.lit(0).cast("long"), "end_byte": F.when(n == 2, 0).otherwise(9).cast("long"), "line": F.lit(1), "column": F.lit(0),
+        "source_text": F.coalesce("src", F.lit("")), "target_text": F.lit(None).cast("string"), "file_sha256": F.lit("f"), "translation_key": F.lit("k"), "context_before": F.lit(""), "context_after": F.lit(""),
+        "path": F.when(n == 4, F.concat(F.lit("/"), "path")).otherwise(F.col("path")), "protected_context": F.lit(None).cast("array<string>"),
+    }).withColumn("source_sha256", F.sha2(F.when(n == 3, F.concat("source_text", F.lit("!"))).otherwise(F.col("source_text")), 256))
+    whole, more = (F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) for columns in (names, [*names, F.lit(1).alias("more")]))
+    value = F.when(n == 0, F.left(whole, F.length(whole) - 1)).when(n == 1, more).otherwise(whole)
+    path = f"{translate.shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    rows = made.select((F.col("doc_id") % 16).alias("bucket"), "doc_id", value.alias("value"))
+    rows.repartition(16, "bucket").sortWithinPartitions("bucket", "doc_id").select("bucket", "value").write.partitionBy("bucket").text(path)
+    bad = files.read_manifest(spark, path)[2]
+    return bad.select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("bucket"), "line", "reason")
 
 
 @query("q59_issue_summary", f"WITH {_DIFFER} SELECT issue_type, count(*) AS n, greatest(count(*) - 3, 0) AS more, list_aggregate(list_sort(list(file))[:3], 'string_agg', ',') AS shown FROM issues GROUP BY 1")

@@ -115,7 +115,7 @@ class Localiser:
         distinct_folders(manifest, out)
         header, segments, faulty = S.read_manifest(self.spark, manifest)
         if first := faulty.orderBy("file", "line").limit(1).collect():
-            raise ValueError(f"{first[0].file}, line {first[0].line}: not a segment")
+            raise ValueError(f"{first[0].file}, line {first[0].line}: not a segment ({first[0].reason})")
         path = self.options.translation_memory_path
         memory = translate.staged(S.read_memory(self.spark, path))
         made = translate.translate_manifest(translate.staged(segments), memory, self.provider, translate.staged, self.options.batch_size)
@@ -204,7 +204,7 @@ class Localiser:
             reviewed = reviewer.sampled(source, target, o.verify_sample_rate, o.verify_max_ai_files)
         issues, counts = translate.staged(issues), reports.counters(source, target, reviewed)
         if o.verify_json_output:
-            reports.write_report(reports.report(issues, counts, root, out), o.verify_json_output)
+            reports.write_report(reports.report_lines(issues, counts, root, out), o.verify_json_output)
         return issues, counts
 
     def fails(self, issues: DataFrame) -> bool:

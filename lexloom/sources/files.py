@@ -5,11 +5,13 @@ from __future__ import annotations
 import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexloom import fixed_values as V
+from lexloom.functions import text as T
+from lexloom.sources.versions import Versions, read_table, write_table
 
 MEMORY_DDL = "translation_key string, source_text string, target_text string, kind string, hits long"
 
@@ -116,23 +118,73 @@ def manifest_lines(header: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def write_manifest(header: DataFrame, segments: DataFrame, path: str) -> None:
-    """A manifest as a folder of JSON-lines files, whose names keep the order."""
-    manifest_lines(header, segments).write.mode("overwrite").text(path)
+    """A manifest as the next version of ``path``: a folder of JSON-lines files, whose names keep the order."""
+    Versions(segments.sparkSession, path).write(lambda folder: manifest_lines(header, segments).write.text(folder))
+
+
+def _lines_of(spark: SparkSession, path: str) -> DataFrame:
+    """value, file, block and id of every line; ids rise by one within a block, which is a part of a file that one task reads."""
+    versions = Versions(spark, path)
+    where = versions.current()[1] if versions.exists() else path
+    read = spark.read.text(where, lineSep="\n")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    return read.select("value", *place).withColumn("id", F.monotonically_increasing_id())
+
+
+def numbered(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows``, some of ``lines``, with their ``line`` in their file, from 1: the lines of blocks before, and the place within the block.
+
+    Only counts of blocks are put in order.
+    """
+    blocks = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = blocks.select("file", "block", "first", F.coalesce(earlier, F.lit(0)).alias("earlier"))
+    told = rows.join(blocks, ["file", "block"])
+    return told.withColumn("line", (F.col("earlier") + F.col("id") - F.col("first") + 1).cast("long")).drop("block", "id", "first", "earlier")
+
+
+#: Fields of a segment that a line may lack.
+OPTIONAL = ("target_text", "context_before", "context_after", "protected_context")
 
 
 def read_manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, segments, faulty lines with their numbers) of a JSON-lines manifest."""
-    whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    text = whole.select("file", F.posexplode(F.split("value", "\n", -1)).alias("k", "value"))
-    filled = text.filter(F.trim("value") != "").withColumn("line", F.col("k") + 1)
+    """(header lines, segments, faulty lines) of a JSON-lines manifest; a row is a line, and files are read in parts.
+
+    Faulty lines (file, line, value, reason) have other fields than a segment, or break a row constraint; only they are numbered.
+    Blank lines are passed over.
+    """
+    lines = _lines_of(spark, path)
+    filled = lines.filter(F.trim("value") != "")
     names = [f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")]
     keys = F.json_object_keys("value")
-    head = F.get_json_object("value", "$.type") == "header"
-    well = F.coalesce(F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0, F.lit(False))
-    well = well & F.coalesce(F.size(F.array_except(F.array(*[F.lit(n) for n in names if n not in ("target_text", "context_before", "context_after", "protected_context")]), keys)) == 0, F.lit(False))
-    segments = filled.filter(~F.coalesce(head, F.lit(False)) & well).select(F.from_json("value", V.SEGMENT_DDL).alias("s")).select("s.*")
-    bad = filled.filter(~F.coalesce(head, F.lit(False)) & ~well).select("file", "line", "value")
-    return filled.filter(head).select("value"), segments, bad
+    head = F.coalesce(F.get_json_object("value", "$.type") == "header", F.lit(False))
+    known = F.size(F.array_except(keys, F.array(*map(F.lit, names)))) == 0
+    whole = F.size(F.array_except(F.array(*[F.lit(n) for n in names if n not in OPTIONAL]), keys)) == 0
+    well = F.coalesce(known & whole, F.lit(False))
+    rows = filled.filter(~head).withColumn("s", F.when(well, F.from_json("value", V.SEGMENT_DDL)))
+    fault = rows.select("value", "file", "block", F.col("id").alias("place"), "s", "s.*")
+    fault = fault.withColumn("reason", F.when(F.col("s").isNull(), "fields").otherwise(T.segment_fault()))
+    segments = fault.filter("reason is null").select("s.*")
+    bad = fault.filter("reason is not null").select("value", "file", "block", F.col("place").alias("id"), "reason")
+    return filled.filter(head).select("value"), segments, numbered(bad, lines).select("file", "line", "value", "reason")
+
+
+def rewrite_targets(spark: SparkSession, path: str, targets: DataFrame) -> int:
+    """The next version of a manifest, with new targets (id, target_text) put in; all other lines stay byte for byte.
+
+    Without targets nothing is written.  The number of the current version is returned.
+    """
+    versions = Versions(spark, path)
+    base, folder = versions.current()
+    if folder is None or targets.limit(1).count() == 0:
+        return base
+    part = lambda name: F.get_json_object("value", f"$.{name}")
+    lines = spark.read.text(folder, lineSep="\n").filter(F.trim("value") != "")
+    keyed = lines.select("value", part("id").alias("id"), F.coalesce(part("path"), F.lit("")).alias("path"), F.coalesce(part("start_byte").cast("long"), F.lit(-1)).alias("start_byte"))
+    new = F.to_json(F.from_json("value", V.SEGMENT_DDL).withField("target_text", F.col("target_text")), {"ignoreNullFields": "false"})
+    told = keyed.join(targets.select("id", "target_text", F.lit(True).alias("told")), "id", "left")
+    out = told.select("path", "start_byte", F.when(F.col("told"), new).otherwise(F.col("value")).alias("value"))
+    return versions.write(lambda where: out.orderBy("path", "start_byte").select("value").write.text(where), base)
 
 
 def read_memory(spark: SparkSession, path: str | None) -> DataFrame:
@@ -140,6 +192,8 @@ def read_memory(spark: SparkSession, path: str | None) -> DataFrame:
     nothing = spark.createDataFrame([], MEMORY_DDL)
     if not path:
         return nothing
+    if not path.endswith(".json") and Versions(spark, path).exists():
+        return read_table(spark, path, MEMORY_DDL)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return nothing
@@ -153,10 +207,10 @@ def read_memory(spark: SparkSession, path: str | None) -> DataFrame:
 
 
 def write_memory(memory: DataFrame, path: str) -> None:
-    """Entries with a target, as a table (Parquet), or as one JSON document where the path ends so (for memories of one machine)."""
+    """Entries with a target, as the next version of a table (Parquet), or as one JSON document where the path ends so (for memories of one machine)."""
     kept = memory.filter("target_text is not null")
     if not path.endswith(".json"):
-        kept.write.mode("overwrite").parquet(path)
+        write_table(kept, path)
         return
     entry = F.struct(*[f.split()[0] for f in MEMORY_DDL.split(", ")])
     rows = kept.select(F.to_json(F.struct(F.col("translation_key").alias("k"), entry.alias("e"))).alias("j")).orderBy("j").toLocalIterator()
