@@ -13,7 +13,6 @@ from pyspark.sql.types import StructType
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
-from lexloom.functions.arrays import let, running
 from lexloom.operators import parsers as P
 from lexloom.operators import scan
 from lexloom.operators.translate import staged
@@ -49,33 +48,13 @@ def violations(segments: DataFrame) -> DataFrame:
 def line_segments(files: DataFrame, text: str = "src", placed: bool = False) -> DataFrame:
     """Every line with Han characters, without the white space around it.
 
-    With ``placed`` also line, column, contexts and file_sha256, cut from the neighbouring lines while the file's row is
-    at hand: forty characters need no more than forty lines on either side, and forty characters of each.
+    With ``placed`` also line, column, contexts and file_sha256, told in the pass over each text.
     """
     some = files.filter(T.has_han(F.col(text)))
-    if not placed:
-        return scan.lines(some.select("path", text), text, T.has_han).select("path", *_body(F.col("line"), F.col("start_byte")))
-    near = F.lit(P.CONTEXT)
-
-    def told(all_: Column, starts: Column, tails: Column, heads: Column) -> Column:
-        def row(k: Column) -> Column:
-            line = F.get(all_, k)
-            lead = F.regexp_extract(line, r"(?U)^(\s*)", 1)
-            rest = F.substr(line, F.length(lead) + F.length(T.strip_u(line)) + 1)
-            before = F.concat(F.slice(tails, F.greatest(k - near, F.lit(0)) + 1, F.least(k, near)), F.array(lead))
-            after = F.concat(F.array(rest), F.slice(heads, k + 2, near))
-            return F.struct(
-                *_body(line, F.get(starts, k)), (k + 1).alias("line"), F.length(lead).alias("column"),
-                F.right(F.array_join(before, "\n"), near).alias("context_before"), F.left(F.array_join(after, "\n"), near).alias("context_after"),
-            )
-
-        han = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda k: T.has_han(F.get(all_, k)))
-        return F.transform(han, row)
-
-    edge = lambda cut: lambda all_: F.transform(all_, lambda x: cut(x, near))
-    sizes = lambda all_: F.transform(all_, lambda x: (F.octet_length(x) + 1).cast("long"))
-    rows = let(F.split(text, "\n", -1), lambda a: let(running(sizes(a)), lambda s: let(edge(F.right)(a), lambda t: let(edge(F.left)(a), lambda h: told(a, s, t, h)))))
-    return some.select("path", F.sha2(F.encode(text, "UTF-8"), 256).alias("file_sha256"), F.inline(rows))
+    if placed:
+        found = P.parse_each(some.select("path", F.encode(text, "UTF-8").alias("content")), P.lines)
+        return found.drop("translatable", "reason", "protected_context", "accepted")
+    return scan.lines(some.select("path", text), text, T.has_han).select("path", *_body(F.col("line"), F.col("start_byte")))
 
 
 def _body(line: Column, start_byte: Column) -> list[Column]:
@@ -86,9 +65,8 @@ def _body(line: Column, start_byte: Column) -> list[Column]:
 
 def markdown_segments(files: DataFrame, text: str = "src") -> DataFrame:
     """Headings, paragraphs, table cells and link labels of Markdown text, whatever its suffix; overlaps are resolved greedily."""
-    known = files.select(F.concat("path", F.lit("\0.md")).alias("path"), F.encode(text, "UTF-8").alias("content"))
-    found = P.parse_all(known, {".md": P.markdown}).filter("accepted")
-    return found.withColumn("path", F.regexp_replace("path", "\0\\.md$", "")).select("path", "kind", "start_byte", "end_byte", "source_text")
+    found = P.parse_each(files.select("path", F.encode(text, "UTF-8").alias("content")), P.markdown)
+    return found.filter("accepted").select("path", "kind", "start_byte", "end_byte", "source_text")
 
 
 def greedy(spans: DataFrame) -> DataFrame:

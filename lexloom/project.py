@@ -7,7 +7,7 @@ import shutil
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom import fixed_values as V
@@ -93,18 +93,25 @@ class Localiser:
         return None if engine is None else reviewer.Silent() if engine == "silent" else reviewer.Chat(url, key, model)
 
     def _tree(self, root: str) -> DataFrame:
-        return S.read_tree(self.spark, root).filter(F.element_at(F.split("path", "/"), -1) != V.STATE_FILE)
+        return S.read_tree(self.spark, root, skipped=(V.STATE_FILE,))
 
     def _chosen(self, files: DataFrame) -> DataFrame:
+        return files.filter(self._choice())
+
+    def _choice(self, code: bool | None = None) -> Column:
         o = self.options
-        return files.filter(~F.col("is_symlink") & scan.should_translate(F.col("path"), F.col("length"), o.include_patterns, o.exclude_patterns, o.translate_code))
+        return ~F.col("is_symlink") & scan.should_translate(F.col("path"), F.col("length"), o.include_patterns, o.exclude_patterns, o.translate_code if code is None else code)
+
+    def _chosen_tree(self, root: str, code: bool | None = None) -> DataFrame:
+        """The files of a tree that are to be translated; others are neither read nor, in skipped folders, listed."""
+        return S.read_tree(self.spark, root, where=self._choice(code), skipped=(V.STATE_FILE, *V.SKIPPED_FOLDERS))
 
     # manifests
 
     def extract(self, root: str, manifest: str) -> extract.Extraction:
         """Writes the manifest of a tree; side outputs come back."""
         o = self.options
-        made = extract.extract_files(self._tree(root).filter(~F.col("is_symlink")), o.include_patterns, o.exclude_patterns, o.translate_code, self.east)
+        made = extract.extract_files(self._chosen_tree(root), o.include_patterns, o.exclude_patterns, o.translate_code, self.east)
         header = self.spark.createDataFrame([("header", 1, o.source_lang, o.target_lang, os.path.abspath(root), datetime.now(UTC).isoformat())], HEADER)
         names = [f.split()[0].strip("`") for f in V.SEGMENT_DDL.split(", ")]
         S.write_manifest(header, made.segments.select(*names), manifest)
@@ -188,15 +195,14 @@ class Localiser:
 
     def audit(self, root: str) -> tuple[DataFrame, DataFrame]:
         """(lines with Han characters, files that can't be read)."""
-        o = self.options
-        files = self._tree(root).filter(~F.col("is_symlink") & scan.should_translate(F.col("path"), F.col("length"), o.include_patterns, o.exclude_patterns))
+        files = self._chosen_tree(root, code=True)
         texts = files.filter(F.is_valid_utf8(F.col("content").cast("string"))).withColumn("src", F.decode("content", "UTF-8"))
         return verify.audit(texts), reports.unaudited(files)
 
     def verify(self, root: str, out: str) -> tuple[DataFrame, DataFrame]:
         """(issues, counters) of two trees; by a model as well, where that is asked for."""
         o = self.options
-        source, target = S.read_tree(self.spark, root), S.read_tree(self.spark, out)
+        source, target = (S.read_tree(self.spark, r, skipped=(V.STATE_FILE, *V.VERIFY_SKIPPED_FOLDERS)) for r in (root, out))
         issues, reviewed = verify.verify(source, target), 0
         if o.verify_ai:
             model = self._reviewer(o.verify_engine, o.verify_base_url, o.verify_api_key, o.verify_model)
@@ -213,13 +219,13 @@ class Localiser:
     def review(self, root: str, original: str | None = None) -> tuple[DataFrame, DataFrame]:
         """(issues, score) of a sample of a translated tree."""
         before = S.read_tree(self.spark, original) if original else None
-        return reviewer.review(self._chosen(self._tree(root)), before, self.reviewer, self.options.review_sample_rate)
+        return reviewer.review(self._chosen_tree(root), before, self.reviewer, self.options.review_sample_rate)
 
     def detect(self, root: str, sample: int = 20, profile: str | None = None) -> DataFrame:
         """path, language and share of Chinese, Japanese and Korean characters of a random sample of files; with ``profile``
         (a table made by :meth:`learn_languages`) by that.
         """
-        files = scan.hash_sample(self._chosen(self._tree(root)), 1.0, sample)
+        files = scan.hash_sample(self._chosen_tree(root), 1.0, sample)
         src = extract.decoded(F.col("content"))
         known = ngrams.Profile.of(self.spark.read.schema(ngrams.PROFILE_DDL).parquet(profile)) if profile else None
         return reports.language_rows(files.withColumn("src", src), language.detect_prose(extract.file_prose(F.col("path"), F.col("src")), known), F.col("src"))

@@ -4,75 +4,117 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
+from lexloom.operators.translate import staged
 from lexloom.sources.versions import Versions, read_table, write_table
 
 MEMORY_DDL = "translation_key string, source_text string, target_text string, kind string, hits long"
 
 
-class _Paths(InputPartition):
-    def __init__(self, paths: list[str]):
-        super().__init__(tuple(paths))
-        self.paths = paths
+#: Entries of one Arrow batch, and bytes of contents of one.
+ENTRIES, BYTES = 10_000, 8 << 20
+#: Bytes of contents that one task reads, about.
+TASK_BYTES = 64 << 20
+_ENTRY = "path string, length long, is_symlink boolean, link_target string, is_folder boolean"
 
 
-class TreeReader(DataSourceReader):
-    """Partitions of up to ``FILES`` files or ``BYTES`` bytes, however folders are filled; hidden files and links are kept.
+def _entries(root: str, folder: str) -> Iterator[tuple]:
+    """What a folder holds, in no order; a link is an entry of its own, wherever it points."""
+    base = os.path.join(root, folder) if folder else root
+    with os.scandir(base) as held:
+        for e in held:
+            name = f"{folder}/{e.name}" if folder else e.name
+            link = e.is_symlink()
+            yield name, e.stat(follow_symlinks=False).st_size, link, os.readlink(e.path) if link else None, not link and e.is_dir(follow_symlinks=False)
 
-    The driver lists names and sizes; contents are read by the tasks, and not those of files beyond ``max_bytes``.
-    """
-
-    FILES, BYTES = 2_000, 64 << 20
-
-    def __init__(self, options):
-        self.root, self.snapshot = os.path.abspath(options["path"]), options.get("snapshot", "source")
-        self.content = options.get("with_content", "true") == "true"
-        self.most = int(options.get("max_bytes", "-1"))
-
-    def partitions(self):
-        out, held, size = [], [], 0
-        for folder, folders, names in os.walk(self.root):
-            folders.sort()
-            for name in sorted([*names, *(f for f in folders if os.path.islink(os.path.join(folder, f)))]):
-                full = os.path.join(folder, name)
-                held.append(full)
-                size += os.lstat(full).st_size
-                if len(held) >= self.FILES or size >= self.BYTES:
-                    out.append(_Paths(held))
-                    held, size = [], 0
-        return [*out, _Paths(held)]
 
-    def read(self, partition):
-        for full in partition.paths:
-            path, link, size = os.path.relpath(full, self.root).replace(os.sep, "/"), os.path.islink(full), os.lstat(full).st_size
-            content = None
-            if not link and self.content and (self.most < 0 or size <= self.most):
-                with open(full, "rb") as f:
-                    content = f.read()
-            yield path, content, size, link, os.readlink(full) if link else None, self.snapshot
+def _batches(rows: Iterator[tuple], schema: str, most: int) -> Iterator[pa.RecordBatch]:
+    kinds = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    fields = [(n, kinds[k]) for n, k in (part.split() for part in schema.split(", "))]
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(zip(*held), fields)], names=[n for n, _ in fields])
 
 
-class TreeSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "lexloom_tree"
+def list_tree(spark: SparkSession, root: str, skipped: Sequence[str] = (), stage: Callable[[DataFrame], DataFrame] = staged) -> DataFrame:
+    """path, length, is_symlink and link_target of all files and links below ``root``, a folder that all executors reach.
 
-    def schema(self):
-        return V.FILES_DDL
+    The frontier of folders is a table that tasks expand level by level, so the driver knows how many folders are left but no names.
+    Folders whose name is ``skipped`` are not entered.  A root that is missing has no files.
+    """
+    top = os.path.abspath(root)
+
+    def expand(batches):
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                if folder or os.path.isdir(top):
+                    yield from _batches(_entries(top, folder), _ENTRY, ENTRIES)
+
+    levels: list[DataFrame] = []
+    frontier = spark.createDataFrame([("",)], "path string")
+    while True:
+        level = stage(frontier.mapInArrow(expand, _ENTRY))
+        levels.append(level.filter("not is_folder").drop("is_folder"))
+        frontier = level.filter("is_folder").select("path")
+        if skipped:
+            frontier = frontier.filter(~F.element_at(F.split("path", "/"), -1).isin(*skipped))
+        left = frontier.count()
+        if not left:
+            return reduce(DataFrame.unionByName, levels)
+        frontier = frontier.repartition(min(left, 4 * spark.sparkContext.defaultParallelism))
+
+
+def read_contents(listed: DataFrame, root: str) -> DataFrame:
+    """``listed`` rows (see :func:`list_tree`) with the content of files; links have none.
+
+    Names are dealt to tasks of about TASK_BYTES by their hash, however folders are filled.
+    """
+    top = os.path.abspath(root)
+    schema = "path string, content binary, length long, is_symlink boolean, link_target string"
+    total = listed.agg(F.coalesce(F.sum(F.when(~F.col("is_symlink"), F.col("length"))), F.lit(0)).alias("n")).first().n
+
+    def contents(rows):
+        for path, size, link, target in rows:
+            if link:
+                yield path, None, size, link, target
+            else:
+                with open(os.path.join(top, path), "rb") as f:
+                    yield path, f.read(), size, link, target
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("path", "length", "is_symlink", "link_target")))
+            held, size = [], 0
+            for row in contents(rows):
+                held.append(row)
+                size += row[2]
+                if size >= BYTES:
+                    yield from _batches(iter(held), schema, len(held))
+                    held, size = [], 0
+            if held:
+                yield from _batches(iter(held), schema, len(held))
 
-    def reader(self, schema):
-        return TreeReader(self.options)
+    tasks = max(int(total // TASK_BYTES) + 1, min(4 * listed.sparkSession.sparkContext.defaultParallelism, int(total >> 16) + 1))
+    return listed.repartition(tasks, F.xxhash64("path")).mapInArrow(run, schema)
 
 
-def read_tree(spark: SparkSession, root: str, snapshot: str = "source", with_content: bool = True) -> DataFrame:
-    spark.dataSource.register(TreeSource)
-    return spark.read.format("lexloom_tree").option("snapshot", snapshot).option("with_content", str(with_content).lower()).load(root)
+def read_tree(spark: SparkSession, root: str, snapshot: str = "source", with_content: bool = True, where: Column | None = None, skipped: Sequence[str] = ()) -> DataFrame:
+    """Files and links of a tree (FILES_DDL).  ``where`` chooses by path, length and links before any content is read, and
+    ``skipped`` folders are not listed.
+    """
+    listed = list_tree(spark, root, skipped)
+    if where is not None:
+        listed = listed.filter(where)
+    files = read_contents(listed, root) if with_content else listed.withColumn("content", F.lit(None).cast("binary"))
+    return files.select("path", "content", "length", "is_symlink", "link_target", F.lit(snapshot).alias("snapshot"))
 
 
 def write_tree(files: DataFrame, root: str) -> None:

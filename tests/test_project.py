@@ -55,14 +55,33 @@ def localiser(spark, **options):
 
 
 def test_tree_round_trip(spark, tree, tmp_path, monkeypatch):
-    monkeypatch.setattr(S.TreeReader, "FILES", 3)
+    monkeypatch.setattr(S, "ENTRIES", 2)
+    monkeypatch.setattr(S, "BYTES", 16)
     S.write_tree(S.read_tree(spark, tree), str(tmp_path / "copy"))
     assert contents(tmp_path / "copy") == contents(tree)
     assert S.read_tree(spark, str(tmp_path / "missing")).count() == 0
     rows = {r.path: r for r in S.read_tree(spark, tree, with_content=False).collect()}
+    pruned = {r.path for r in S.read_tree(spark, tree, where=F.col("length") < 60, skipped=("src", ".hidden")).collect()}
+    assert pruned == {p for p in contents(tree) if not p.startswith(("src/", ".hidden/"))}
     assert rows["link.md"].is_symlink and rows["link.md"].link_target == "a.md" and rows["dirlink"].is_symlink and rows["a.md"].content is None
 
 
+def test_deep_and_wide_trees_are_listed_by_tasks(spark, tmp_path):
+    root, want = tmp_path / "wide", {}
+    for k in range(300):
+        path = "/".join([*(f"d{k % m}" for m in range(2, 2 + k % 9)), f"f{k}.txt"])
+        assert not path.startswith("/")
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_text("x" * k)
+        want[path] = k
+    (root / "empty").mkdir()
+    (root / "loop").symlink_to(".")
+    listed = {r.path: r for r in S.list_tree(spark, str(root)).collect()}
+    assert {p: r.length for p, r in listed.items() if not r.is_symlink} == want and listed["loop"].link_target == "."
+    read = {r.path: len(r.content) for r in S.read_tree(spark, str(root), where=~F.col("is_symlink")).collect()}
+    assert read == want
+
+
 def test_manifest_to_applied_tree(spark, tree, tmp_path):
     run = localiser(spark, translation_memory_path=str(tmp_path / "memory.json"))
     first, filled, out = (str(tmp_path / n) for n in ("first", "filled", "out"))
