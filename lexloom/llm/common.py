@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,6 +59,35 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_tables: dict[str, dict] = {}
+
+
+def worker_tables(owner: str) -> dict:
+    """What a worker keeps for the tasks of one module; it is emptied when a task of another module begins there."""
+    return _tables.setdefault(owner, {})
+
+
+def released(run: Callable[[Iterator], Iterator], owner: str | None = None) -> Callable[[Iterator], Iterator]:
+    """``run`` for mapInArrow: tables of other modules' tasks are dropped first, and at its end what the task has freed goes back to the system.
+
+    Workers stay for the tasks of later stages, and would hold what the earlier ones needed.
+    """
+    owner = run.__module__ if owner is None else owner
+
+    def work(batches):
+        for name, held in _tables.items():
+            if name != owner:
+                held.clear()
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return work
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive index ranges of about ``limit`` characters; a longer text is a block of its own."""
     start = size = 0
@@ -93,7 +124,7 @@ def per_document(
     for part in schema.split(","):
         name, kind = part.split()
         types[name] = kinds[kind]
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(released(run, work.__module__), schema)
 
 
 def _array(values, name: str, types: dict[str, pa.DataType]) -> pa.Array:

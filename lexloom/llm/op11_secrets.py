@@ -186,7 +186,7 @@ def _joined(spans: Column) -> Column:
             bits = lambda best: (F.lit(weight(WINDOW)) - best) / (1e6 * WINDOW)
             return F.zip_with(h, lasts, lambda a, b: F.struct(
                 F.lit(3).alias("kind"), F.get(s, a - 1)["start"].alias("start"), F.get(s, b - 1)["end"].alias("end"),
-                bits(F.array_min(F.transform(F.slice(s, a, b - a + 1), lambda x: x["best"]))).alias("bits"),
+                bits(F.array_min(F.transform(F.sequence(a, b), lambda k: F.get(s, k - 1)["best"]))).alias("bits"),
             ))
 
         return _let(heads, told)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 
 from lexloom.llm import pretokens
 from lexloom.llm.bpe_core import Machine, Vocabulary
-from lexloom.llm.common import per_document
+from lexloom.llm.common import per_document, worker_tables
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -25,7 +25,7 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 class TokenCounter:
     """Counts for lists of texts; one a worker and vocabulary."""
 
-    _made: dict[str, "TokenCounter"] = {}
+    _made: dict[str, "TokenCounter"] = worker_tables(__name__)
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import pretokens
 from lexloom.llm.bpe_core import Machine, Vocabulary
+from lexloom.llm.common import released, worker_tables
 
 #: Characters of turns that are gathered before they are rendered and encoded.
 FLUSH_CHARS = 4 << 20
@@ -90,7 +91,7 @@ def token_mask(offsets: np.ndarray, spans: np.ndarray) -> tuple[np.ndarray, np.n
 class Encoder:
     """Token offsets of texts, by the byte-pair transducer; control strings are single tokens.  One a worker."""
 
-    _made: dict[tuple, "Encoder"] = {}
+    _made: dict[tuple, "Encoder"] = worker_tables(__name__)
 
     def __init__(self, path: str, template: Template):
         vocabulary = Vocabulary(path)
@@ -219,5 +220,5 @@ def format_conversations(turns: DataFrame, path: str | None = None, template: Te
         .repartition("conv_id")
         .sortWithinPartitions("conv_id", "turn", "role", "text")
     )
-    return ordered.mapInArrow(run, SCHEMA)
+    return ordered.mapInArrow(released(run), SCHEMA)
 

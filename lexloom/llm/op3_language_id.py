@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import per_document
+from lexloom.llm.common import per_document, worker_tables
 
 SAMPLE_DOCS, LANGUAGE_CHARS = 400, 80_000
 #: Cells of a language's dense transition table; larger ones are hashed.
@@ -244,7 +244,7 @@ def learn(docs: DataFrame) -> dict[str, list[str]]:
     return {k: v for k, v in out.items() if any(c.isalpha() for p in v for c in p)}
 
 
-_made: dict[tuple, Identifier] = {}
+_made: dict[tuple, Identifier] = worker_tables(__name__)
 
 
 def identify(docs: DataFrame, samples: dict[str, list[str]] | None = None) -> DataFrame:

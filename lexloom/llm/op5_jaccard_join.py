@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, discard, staged
+from lexloom.llm.common import blocks, discard, released, staged
 from lexloom.llm.components import components
 from lexloom.llm.wordhash import distinct, mix, shingles, words
 
@@ -149,7 +149,7 @@ def _arrow(docs: DataFrame, schema: str, make, columns=("text",), last=None, ask
         if last is not None:
             yield pa.RecordBatch.from_arrays(last(state), names=names)
 
-    return docs.select(*columns).mapInArrow(run, schema)
+    return docs.select(*columns).mapInArrow(released(run), schema)
 
 
 def _fresh(found: list[np.ndarray], state: dict) -> list[int | None]:
@@ -257,7 +257,7 @@ def _near_sizes(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _worked(rows: DataFrame, work, schema: str) -> DataFrame:
-    return rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node").mapInArrow(work, schema)
+    return rows.repartition("hub", "lo", "hi").sortWithinPartitions("hub", "lo", "hi", "node").mapInArrow(released(work), schema)
 
 
 def partnered(n: np.ndarray, raw: list, block: np.ndarray | None, percent: int) -> np.ndarray:
@@ -379,7 +379,7 @@ def in_cells(docs: DataFrame, bitmap: np.ndarray, hit: bool) -> DataFrame:
             found = (sent.value[cell >> 6] >> (cell & 63) & 1).astype(bool)
             yield batch.filter(pa.array(found == hit)).select(list(range(n)))
 
-    return docs.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(run, docs.schema)
+    return docs.select("*", F.pmod(F.xxhash64("doc_id"), F.lit(CELLS))).mapInArrow(released(run), docs.schema)
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -410,7 +410,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # groups of more than one node; one shuffle, grouped and ranked by sig
     emitted = base.filter("sigs is not null").select(F.explode("sigs").alias("sig"), "node")
     spread = emitted.repartition("sig").sortWithinPartitions("sig", "node")
-    pairs = spread.mapInArrow(_groups, "sig long, node long, hub long").select("hub", "node").distinct()
+    pairs = spread.mapInArrow(released(_groups), "sig long, node long, hub long").select("hub", "node").distinct()
     fresh = base.filter("sigs is not null")
     met = staged(_near_sizes(pairs.join(fresh.groupBy("node").agg(F.first("n").alias("n")), "node"), percent), "jaccard-pairs")
     # first() takes any of equal sketches, and any document that has the set

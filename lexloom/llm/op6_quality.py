@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, discard, per_document, staged
+from lexloom.llm.common import blocks, discard, per_document, released, staged
 from lexloom.llm.wordhash import distinct, mix, runs
 
 BUCKETS = 1 << 18
@@ -157,7 +157,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     # the sample has a fixed bound, so it is the side to send
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "place")
-    made = sample.mapInArrow(emit, "grade long, place long, n long, found binary")
+    made = sample.mapInArrow(released(emit), "grade long, place long, n long, found binary")
     one = made.groupBy("place").agg(F.min(F.struct("n", "found", "grade")).alias("least")).select("place", "least.*")
     made = made_all = staged(one, "quality-sample")
     sizes = sorted(tuple(r) for r in made.select("place", "n").collect())
@@ -197,4 +197,4 @@ def select(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(released(keep), docs.schema)

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexloom.llm.common import staged
+from lexloom.llm.common import released, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SUPPORT, DISCLOSURE = 6, 2, 0.9
@@ -142,7 +142,7 @@ def _found(docs: DataFrame, kept: Column) -> DataFrame:
     """``kept`` of each row beside what :func:`_find` tells of its text; one pass."""
     given = docs.select(kept.alias("kept"), F.col("text").alias("text"))
     schema = StructType([given.schema["kept"], *StructType.fromDDL(_FOUND)])
-    return given.mapInArrow(_find, schema)
+    return given.mapInArrow(released(_find), schema)
 
 
 def _bitmap(terms: DataFrame) -> np.ndarray:
@@ -198,7 +198,7 @@ def disclosing(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
         if held:
             yield flush()
 
-    terms = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
+    terms = docs.select("text").mapInArrow(released(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     scored = together.join(terms, "term").join(entities.groupBy("entity").agg(F.count("*").alias("n_entity")), "entity")
     seen = F.log(F.lit(float(total)) * F.col("n_both") / (F.col("n_entity") * F.greatest("n_term", "n_both")))
     return scored.filter((F.col("n_entity") < total) & (seen >= DISCLOSURE * F.log(F.lit(float(total)) / F.col("n_entity")))).select("entity", "term")
@@ -219,7 +219,7 @@ def _with_terms(found: DataFrame, pairs: DataFrame) -> DataFrame:
                         out.append((row, term, m.start(), m.end()))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["row", "term", "s", "e"])
 
-    met = found.filter(F.size("base") > 0).select("row", "held", "base").mapInArrow(occurrences, "row long, term long, s long, e long")
+    met = found.filter(F.size("base") > 0).select("row", "held", "base").mapInArrow(released(occurrences), "row long, term long, s long, e long")
     # a term is near the few entities that it discloses, so rows grow by that; the entity must be the row's own
     own = found.filter(F.size("near") > 0).select("row", F.inline("near")).select("row", "entity").distinct()
     told = met.join(pairs, "term").join(own, ["row", "entity"], "left_semi")
@@ -285,4 +285,4 @@ def sanitise(docs: DataFrame) -> DataFrame:
     found = staged(_found(docs, whole).filter(F.size("base") > 0).withColumn("row", F.monotonically_increasing_id()), "pii-found")
     pairs = staged(disclosing(docs, found, docs.count()), "pii-terms")
     told = _with_terms(found, pairs).select("kept", "held", "base", "terms")
-    return docs.mapInArrow(clean, schema).unionByName(told.mapInArrow(write, schema))
+    return docs.mapInArrow(released(clean), schema).unionByName(told.mapInArrow(released(write), schema))

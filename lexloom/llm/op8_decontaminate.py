@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import discard, per_document, staged
+from lexloom.llm.common import discard, per_document, released, staged, worker_tables
 
 PERCENT = 8
 #: Characters of items that one pass over the documents takes (bounds what is sent to the workers).
@@ -139,7 +139,7 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield list(zip(block["item_id"].to_pylist(), block["text"].to_pylist()))
 
 
-_matchers: dict = {}
+_matchers: dict = worker_tables(__name__)
 
 
 def _matcher(sent, percent: int) -> Matcher:
@@ -184,5 +184,5 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFram
                 texts = batch.column("text").to_pylist()
                 yield batch.filter(pa.array([next(matcher.find(normal(t)), None) is None for t in texts], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs.mapInArrow(released(keep), docs.schema)
     return docs

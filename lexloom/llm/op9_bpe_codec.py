@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from lexloom.llm import pretokens
 from lexloom.llm.bpe_core import Machine, Vocabulary
-from lexloom.llm.common import per_document
+from lexloom.llm.common import per_document, worker_tables
 
 #: Ranges whose characters NFC can change or compose with; texts without them are NFC already.
 _NFC_RISK = re.compile("[̀-\U0010ffff]")
@@ -38,7 +38,7 @@ def normalise(text: str) -> str:
 class WordCodec:
     """Encoder and decoder of one vocabulary with word-end symbols; one a worker."""
 
-    _made: dict[str, "WordCodec"] = {}
+    _made: dict[str, "WordCodec"] = worker_tables(__name__)
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
