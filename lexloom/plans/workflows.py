@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexloom import fixed_values as V
 from lexloom.functions import text as T
-from lexloom.operators import extract, inplace, parsers, reports, reviewer, scan, splice, translate, verify
+from lexloom.operators import extract, inplace, intervals, parsers, reports, reviewer, scan, splice, translate, verify
 from lexloom.plans.catalogue import _BROAD, _DIFFER, _HAN, _LN, _SEG, _SRC, _content, _files, _issues, _segments, _table, _target, query
 from lexloom.sources import files
 
@@ -589,3 +589,27 @@ def q82(spark, sf_dir):
     files = _content(spark, sf_dir).filter("src is not null").withColumns({"is_symlink": F.lit(False), "link_target": F.lit(None).cast("string")})
     target = files.withColumn("content", F.encode(_target(F.col("src")), "UTF-8")).filter("doc_id % 9 <> 0")
     return reviewer.equivalence(files, target, _Longer(), 0.5, 200).select("file", "issue_type", "severity", "message")
+
+
+@query(
+    "q86_interval_anti_join",
+    """WITH iv AS (SELECT l_returnflag AS path, l_orderkey, l_linenumber, (l_orderkey * 7 + l_linenumber * 3)::BIGINT AS s, (l_orderkey * 7 + l_linenumber * 3 + 1 + l_partkey % 9)::BIGINT AS e, l_suppkey % 4 = 0 AS cover FROM lineitem)
+SELECT path, l_orderkey, l_linenumber, s AS start_byte, e AS end_byte FROM iv r WHERE NOT cover AND NOT EXISTS (SELECT 1 FROM iv c WHERE c.cover AND c.path = r.path AND c.s < r.e AND r.s < c.e)""",
+)
+def q86(spark, sf_dir):
+    """Intervals of few large groups that touch none of the covers in their group."""
+    place = F.col("l_orderkey") * 7 + F.col("l_linenumber") * 3
+    spans = _table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("path"), "l_orderkey", "l_linenumber", place.cast("long").alias("start_byte"), (place + 1 + F.col("l_partkey") % 9).cast("long").alias("end_byte"), (F.col("l_suppkey") % 4 == 0).alias("cover"))
+    return intervals.outside(spans.filter("not cover"), spans.filter("cover")).drop("cover")
+
+
+@query("q87_extractor_from_sql", f"WITH {_TREE} SELECT path, kind, source_text FROM found WHERE kind <> 'string' OR path LIKE '%.ts'")
+def q87(spark, sf_dir):
+    """The parsers as table functions that SQL calls for each file."""
+    view, known = f"files_{uuid.uuid4().hex}", {".ts": parsers.code, ".py": parsers.python, ".json": parsers.structured}
+    _tree(spark, sf_dir).createOrReplaceTempView(view)
+    calls = []
+    for suffix, parser in known.items():
+        parsers.register(spark, f"spans_of_{suffix[1:]}", parser)
+        calls.append(f"SELECT path, kind, source_text, translatable FROM (SELECT path, content FROM {view} WHERE path LIKE '%{suffix}') f, LATERAL spans_of_{suffix[1:]}(f.path, f.content) s")
+    return spark.sql(" UNION ALL ".join(calls)).filter("translatable").filter(T.has_han(F.col("source_text"))).drop("translatable")
