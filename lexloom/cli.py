@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import SparkSession
@@ -33,33 +34,53 @@ def parser() -> argparse.ArgumentParser:
 
     def engine(p):
         p.add_argument("--translator", dest="translator_engine", default="identity", help="one engine or a comma list")
-        p.add_argument("--api-key", dest="translator_api_key", default="")
+        p.add_argument("--api-key", dest="translator_api_key", default=os.environ.get("TRANSLATOR_API_KEY", ""))
         p.add_argument("--model", dest="translator_model", default="")
         p.add_argument("--base-url", dest="translator_base_url", default="")
         p.add_argument("--batch-size", type=int, default=40)
+        p.add_argument("--max-workers", type=int, default=1, help="requests of each engine at once, over the whole cluster")
+        p.add_argument("--translation-memory", dest="translation_memory_path")
+
+    def reviewing(p, prefix: str = "review-", engine_name: str = "--review-with", engine_default: str | None = None):
+        p.add_argument(engine_name, dest="review_engine", default=engine_default, help="chat or silent")
+        p.add_argument(f"--{prefix}api-key", dest="review_api_key", default=os.environ.get("REVIEW_API_KEY", ""))
+        p.add_argument(f"--{prefix}model", dest="review_model", default="gpt-4o-mini")
+        p.add_argument(f"--{prefix}base-url", dest="review_base_url", default="")
+
+    def verifying(p, prefix: str = "verify-", ask: str = "--verify-ai"):
+        p.add_argument(ask, dest="verify_ai", action="store_true", help="have a model compare a sample")
+        p.add_argument(f"--{prefix}provider", dest="verify_engine", default="chat", help="chat or silent")
+        p.add_argument(f"--{prefix}api-key", dest="verify_api_key", default=os.environ.get("REVIEW_API_KEY", ""))
+        p.add_argument(f"--{prefix}model", dest="verify_model", default="gpt-4o-mini")
+        p.add_argument(f"--{prefix}base-url", dest="verify_base_url", default="")
+        p.add_argument(f"--{prefix}sample", dest="verify_sample_rate", type=float, default=0.15)
+        p.add_argument(f"--{prefix}max-files", dest="verify_max_ai_files", type=int, default=20)
+        p.add_argument("--fail-on" if ask != "--verify-ai" else "--verify-fail-on", dest="verify_fail_on", default="error", choices=["never", "info", "warning", "error"])
+        p.add_argument("--json-output" if ask != "--verify-ai" else "--verify-json-output", dest="verify_json_output")
 
     p = command("translate", "a translated copy of a tree", "root", "out")
-    languages(p), choice(p), engine(p)
-    p.add_argument("--code-scope", default="comments-and-strings")
-    p.add_argument("--max-workers", type=int, default=1)
+    languages(p), choice(p), engine(p), reviewing(p), verifying(p)
+    p.add_argument("--review-sample", dest="review_sample_rate", type=float, default=0.15)
+    p.add_argument("--code-scope", default="comments-and-strings", choices=["comments", "comments-and-strings"])
     p.add_argument("--dry-run", action="store_true")
     p.add_argument("--verify", action="store_true")
-    p.add_argument("--verify-fail-on", default="error")
     p.add_argument("--export-manifest", dest="export_manifest_path")
+    p.add_argument("--apply-manifest", dest="apply_manifest_path", help="put in this manifest's targets instead of translating")
+    p.add_argument("--skip-on-source-mismatch", dest="fail_on_source_mismatch", action="store_false")
     p.add_argument("--audit", dest="audit_untranslated", action="store_true")
+    p.add_argument("--verbose", action="store_true")
     p = command("extract", "the manifest of a tree", "root", "manifest")
     languages(p), choice(p)
     p = command("translate-manifest", "fill a manifest's targets into a new one", "manifest", "out")
     languages(p), engine(p)
-    p.add_argument("--translation-memory", dest="translation_memory_path")
     p = command("apply", "a copy of a tree with a manifest's targets", "manifest", "root", "out")
     p.add_argument("--skip-on-source-mismatch", dest="fail_on_source_mismatch", action="store_false")
     p = command("audit", "lines that still hold Han characters", "root")
     choice(p, code=False)
     p = command("verify", "compare a tree with its translation; exit code 1 beyond the threshold", "root", "out")
-    p.add_argument("--fail-on", dest="verify_fail_on", default="error")
-    p.add_argument("--json-output", dest="verify_json_output")
+    languages(p), verifying(p, "ai-", "--ai-check")
     p = command("review", "check a sample of a translated tree", "root")
+    languages(p), reviewing(p, "", "--engine", "silent")
     p.add_argument("--original")
     p.add_argument("--sample-rate", dest="review_sample_rate", type=float, default=0.15)
     p = command("detect", "languages of a sample of a tree", "root")

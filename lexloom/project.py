@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import shutil
 from dataclasses import dataclass, field
@@ -16,6 +17,7 @@ from lexloom.operators import engines, extract, inplace, reports, resume, review
 from lexloom.sources import files as S
 
 EAST = ("zh", "ja", "ko")
+LOG = logging.getLogger("lexloom")
 HEADER = "type string, version int, source_lang string, target_lang string, repo_root string, created_at string"
 
 
@@ -84,6 +86,9 @@ class Localiser:
     def __init__(self, spark: SparkSession, provider: translate.Provider | None = None, reviewer: reviewer.Reviewer | None = None, **options):
         self.spark, self.options = spark, Options(**options)
         o = self.options
+        if o.verbose:
+            logging.basicConfig(format="%(name)s: %(message)s")
+            LOG.setLevel(logging.INFO)
         self.provider = provider or engines.lanes(o.translator_engine, o.source_lang, o.target_lang, o.translator_api_key, o.translator_model, o.translator_base_url, o.max_workers)
         self.reviewer = reviewer or self._reviewer(o.review_engine, o.review_base_url, o.review_api_key, o.review_model)
         self.east = o.source_lang in EAST
@@ -172,7 +177,8 @@ class Localiser:
         texts = left.filter(valid).withColumn("src", F.decode("content", "UTF-8"))
         wanted = scan.needs_translation(F.col("src"), F.lit(o.source_lang)) & scan.enough(extract.file_prose(F.col("path"), F.col("src")))
         work = texts.filter(wanted).select("path", "content")
-        made = translate.staged(inplace.rewrite(work, self.provider, translate.staged, o.code_scope == "comments", self.east, o.batch_size))
+        memory, remember = self._memory()
+        made = translate.staged(inplace.rewrite(work, self.provider, translate.staged, o.code_scope == "comments", self.east, o.batch_size, memory, remember))
         changed = made.filter("status = 'ok'")
         told = left.select("path", "file_sha256", F.length(F.when(valid, F.decode("content", "UTF-8"))).alias("translated_chars"), valid.alias("valid")).join(made.select("path", "status"), "path", "left")
         results = told.select((F.col("valid") & ~F.coalesce(F.col("status"), F.lit("")).isin("invalid", "drift", "overlap", "mismatch")).alias("ok"), F.when(F.col("status") == "ok", "translated").otherwise("skip").alias("action"), "translated_chars", "path", "file_sha256")
@@ -191,6 +197,19 @@ class Localiser:
             resume.save(kept, state, o.config)
         return reports.run_statistics(results).first().asDict()
 
+    def _memory(self):
+        """The memory of texts that were rewritten in place, and what adds new ones to it; none where no path is given or nothing is to be written."""
+        path = self.options.translation_memory_path
+        if not path or self.options.dry_run:
+            return None, None
+        memory = translate.staged(S.read_memory(self.spark, path))
+
+        def remember(fresh: DataFrame) -> None:
+            added = fresh.select("translation_key", "source_text", "target_text", F.lit("in place").alias("kind"), F.lit(0).cast("long").alias("hits"))
+            S.write_memory(translate.staged(memory.unionByName(added)), path)
+
+        return memory, remember
+
     # looking at trees
 
     def audit(self, root: str) -> tuple[DataFrame, DataFrame]:
@@ -239,17 +258,22 @@ class Localiser:
         """The whole run as the options have it: translate or apply, export, review, verify, audit."""
         o = self.options
         told: dict = {"statistics": self.apply(o.apply_manifest_path, root, out) if o.apply_manifest_path else self.translate(root, out)}
+        LOG.info("%s: %s", "applied" if o.apply_manifest_path else "translated", told["statistics"])
         if o.export_manifest_path:
             try:
                 self.extract(out, o.export_manifest_path)
             except Exception as e:  # an export does not undo a run
                 told["export_error"] = str(e)
+                LOG.info("manifest not exported: %s", e)
         if self.reviewer is not None and not o.dry_run:
             told["review"] = self.review(out, root)[1].first().asDict()
+            LOG.info("review: %s", told["review"])
         if o.verify and not o.dry_run:
             issues, counts = self.verify(root, out)
             told["verification"] = reports.summary(issues, counts)
             told["failed"] = self.fails(issues)
+            LOG.info("verification:\n%s", told["verification"])
         if o.audit_untranslated and not o.dry_run:
             told["audit"] = reports.audit_summary(self.audit(out)[0]).first().asDict()
+            LOG.info("audit: %s", told["audit"])
         return told

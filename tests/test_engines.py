@@ -143,3 +143,34 @@ def test_the_command_line_asks_a_server(spark, stub, tmp_path):
     told = ["translate", str(root), str(tmp_path / "out"), "--translator", "libre", "--base-url", stub.url, "--max-workers", "2"]
     assert cli.main(told, spark) == 0
     assert (tmp_path / "out" / "a.md").read_text() == "# AB 标题\n\nMORE 正文 WORDS\n"
+    first = len(stub.seen)
+    memory = str(tmp_path / "memory")
+    for k, want in ((1, True), (2, False)):  # what is known is not asked for again
+        stub.seen.clear()
+        assert cli.main([*told[:2], str(tmp_path / f"out{k}"), *told[3:], "--translation-memory", memory], spark) == 0
+        assert bool(stub.seen) == want and (tmp_path / f"out{k}" / "a.md").read_text() == "# AB 标题\n\nMORE 正文 WORDS\n"
+    assert first > 0
+
+
+def test_models_from_the_command_line(spark, stub, tmp_path, capsys):
+    """Review and model verification with their own addresses, a report, an applied manifest, and counts of what was looked at."""
+    root, out = tmp_path / "tree", tmp_path / "out"
+    root.mkdir()
+    for k in range(6):
+        (root / f"{k}.md").write_text(f"# 标题 {k}\n\n" + "some more 正文 words here\n" * 4)
+    model = ["--review-with", "chat", "--review-base-url", stub.url, "--review-sample", "0.5", "--verify", "--verify-ai", "--verify-base-url", stub.url, "--verify-sample", "0.5", "--verify-max-files", "2"]
+    done = ["translate", str(root), str(out), "--translator", "libre", "--base-url", stub.url, *model, "--verify-json-output", str(tmp_path / "report.json"), "--export-manifest", str(tmp_path / "m"), "--verbose"]
+    assert cli.main(done, spark) == 0
+    asked = [s[3]["messages"][0]["content"] for s in stub.seen if s[1] == "/chat/completions"]
+    assert len(asked) == 3 + 2 and all("正文" in a for a in asked)
+    report = json.loads((tmp_path / "report.json").read_text())
+    assert report["files"]["ai_reviewed"] == 2 and [i["type"] for i in report["issues"]] == ["ai_tone"] * 2 and report["summary"]["worst_severity"] == "info"
+    assert cli.main(["verify", str(root), str(out), "--ai-check", "--ai-base-url", stub.url, "--ai-max-files", "1", "--fail-on", "info"], spark) == 1
+    assert cli.main(["review", str(out), "--original", str(root), "--engine", "chat", "--base-url", stub.url, "--sample-rate", "1"], spark) == 0
+    assert cli.main(["extract", str(root), str(tmp_path / "first")], spark) == 0
+    assert cli.main(["translate-manifest", str(tmp_path / "first"), str(tmp_path / "filled"), "--translator", "upper"], spark) == 0
+    assert cli.main(["translate", str(root), str(tmp_path / "applied"), "--apply-manifest", str(tmp_path / "filled")], spark) == 0
+    assert (tmp_path / "applied" / "0.md").read_text().startswith("# 标题 0\n\nSOME MORE 正文 WORDS HERE\n")
+    assert "tone: 6" in capsys.readouterr().out
+    with pytest.raises(SystemExit):
+        cli.main(["verify", "a", "b", "--fail-on", "sometimes"], spark)

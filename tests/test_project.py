@@ -297,6 +297,14 @@ def test_places_of_given_spans(spark):
     assert {(r.path, r.start_byte, r.end_byte): (r.line, r.column, r.context_before, r.context_after) for r in got} == want
 
 
+def test_decoding(spark):
+    data = ["文 a".encode(), b"\xff\xe4\xbd\xa0x\xe4\xbd", b"", None]
+    df = spark.createDataFrame([(k, d) for k, d in enumerate(data)], "k int, content binary")
+    got = lambda how: [r.t for r in df.select("k", extract.decoded(F.col("content"), how).alias("t")).orderBy("k").collect()]
+    assert got("ignore") == ["文 a", "你x", "", None] and got("strict") == ["文 a", None, "", None]
+    assert got("replace")[1].startswith("\ufffd你x")
+
+
 def test_markdown_spans():
     text = "# 标题 \r\n| `code` | 格 | https://x.org |\n|---|\n- [ ] [标](a.md)\n1. 和 [标](b.md)\n\n> `x`\n"
     assert [(text[a:b], k.removeprefix("markdown_")) for a, b, k in parsers.markdown(text)] == [("标题 ", "heading"), ("格", "table_cell"), ("标", "link_label"), ("和 [标](b.md)", "paragraph"), ("标", "link_label")]
