@@ -30,17 +30,35 @@ def _issue(kind: str, severity: str, source: Column | None = None, target: Colum
     return F.struct(F.col("path").alias("file"), F.lit(kind).alias("issue_type"), F.lit(severity).alias("severity"), F.lit(kind.replace("_", " ")).alias("message"), (source if source is not None else none).alias("source"), (target if target is not None else none).alias("target"))
 
 
-#: Bags of tokens that both versions of a file must share: pattern and group.
-_BAGS = {"url_changed": (V.URL, 0), "email_changed": (V.EMAIL, 0), "placeholder_changed": (V.PLACEHOLDER, 0), "inline_code_changed": (V.INLINE_CODE, 1)}
+_LOCAL = "[A-Za-z0-9._%+-]"
+#: Bags of tokens that both versions of a file must share: signs of which a text with such tokens has one, the pattern, the group.
+#: The patterns match what those of ``fixed_values`` match; an address is tried only where a run of its signs begins or the last match has
+#: ended, a placeholder only at its first sign.
+_BAGS = {
+    "url_changed": (("http",), V.URL, 0),
+    "email_changed": (("@",), rf"(?:\G|(?<!{_LOCAL})){V.EMAIL.replace('+@', '++@', 1)}", 0),
+    "placeholder_changed": (("{", "%", "$"), f"(?=[{{%$])(?:{V.PLACEHOLDER})", 0),
+    "inline_code_changed": (("`",), V.INLINE_CODE, 1),
+}
+
+
+def _bag(side: str, kind: str) -> Column:
+    """The tokens of one side; texts without their signs are not searched."""
+    signs, pattern, group = _BAGS[kind]
+    some = F.lit(False)
+    for sign in signs:
+        some = some | F.contains(F.col(side), F.lit(sign))
+    return F.when(some, T.tokens(F.col(side), pattern, group)).otherwise(F.array().cast("array<string>"))
 
 
 def token_issues(pairs: DataFrame) -> DataFrame:
     """Issues of file pairs (path, a, b): addresses, placeholders and inline code as bags, code blocks in order.
 
-    Each bag is taken once, in a column of its own, and then compared and told.
+    Pairs that are equal have none and are passed over; each bag is taken once, in a column of its own, and then compared and told.
     """
-    bags = {f"{kind}_{side}": T.tokens(F.col(side), pattern, group) for kind, (pattern, group) in _BAGS.items() for side in "ab"}
-    taken = pairs.select("path", T.suffix(F.col("path")).isin(".md", ".markdown", ".rst").alias("marked"), *[c.alias(n) for n, c in bags.items()], (T.code_blocks(F.col("a")) != T.code_blocks(F.col("b"))).alias("blocks"))
+    fence = lambda side: F.when(F.contains(F.col(side), F.lit("```")), T.code_blocks(F.col(side))).otherwise(F.array().cast("array<string>"))
+    bags = [_bag(side, kind).alias(f"{kind}_{side}") for kind in _BAGS for side in "ab"]
+    taken = pairs.filter(F.col("a") != F.col("b")).select("path", T.suffix(F.col("path")).isin(".md", ".markdown", ".rst").alias("marked"), *bags, (fence("a") != fence("b")).alias("blocks"))
     told = lambda bag: F.slice(bag, 1, 10).cast("string")
     found = [F.when(F.col("marked") & F.col("blocks"), _issue("code_block_changed", "error"))]
     for kind in _BAGS:
