@@ -6,29 +6,28 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Characters of an n-gram at most, and how many n-grams of each language a profile keeps.
 LONGEST, KEPT = 3, 500
-#: Distinct n-grams that a task counts before it hands them on.
-HELD = 400_000
+#: Distinct n-grams that a task counts before it hands them on, and characters of texts that are looked at together.
+HELD, BLOCK = 400_000, 1 << 18
+#: Cells of a profile's table from three code points to an n-gram; larger ones are searched instead.
+CELLS = 1 << 24
 PROFILE_DDL = "lang string, gram string, n long"
 _SPACE = 32
 
 
-class _Letters:
-    """Which code points are letters; made once a worker."""
+_held: list[np.ndarray] = []
 
-    table: np.ndarray | None = None
 
-    @classmethod
-    def of(cls) -> np.ndarray:
-        if cls.table is None:
-            cls.table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        return cls.table
+def letters() -> np.ndarray:
+    """Which code points are letters; made once a worker."""
+    if not _held:
+        _held.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
+    return _held[0]
 
 
 def grams(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -39,7 +38,7 @@ def grams(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
     lowered = [f" {t} " for t in (x.lower() if x else "" for x in texts)]
     points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     text = np.repeat(np.arange(len(lowered)), np.fromiter(map(len, lowered), np.int64, len(lowered)))
-    code = np.where(_Letters.of()[points], points, _SPACE)
+    code = np.where(letters()[points], points, _SPACE)
     keep = np.ones(len(code), bool)
     keep[1:] = (code[1:] != _SPACE) | (code[:-1] != _SPACE) | (text[1:] != text[:-1])
     code, text = code[keep], text[keep]
@@ -51,6 +50,19 @@ def grams(texts: Sequence[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield first[whole], key[whole]
 
 
+def blocks(texts: Sequence[str | None]) -> Iterator[range]:
+    """Texts in order, about BLOCK characters together; a longer one is alone."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        n = len(t or "")
+        if i > start and size + n > BLOCK:
+            yield range(start, i)
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield range(start, len(texts))
+
+
 def spelled(key: int) -> str:
     out = ""
     while key:
@@ -73,12 +85,14 @@ def counted(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             texts, langs = batch.column("text").to_pylist(), np.array(batch.column("lang").to_pylist())
             for lang in np.unique(langs):
-                for _, keys in grams([texts[i] for i in np.flatnonzero(langs == lang)]):
-                    for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True))):
-                        held[lang, k] = held.get((lang, k), 0) + n
-                if len(held) > HELD:
-                    yield _counts(held)
-                    held = {}
+                own = [texts[i] for i in np.flatnonzero(langs == lang)]
+                for block in blocks(own):
+                    for _, keys in grams([own[i] for i in block]):
+                        for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True))):
+                            held[lang, k] = held.get((lang, k), 0) + n
+                    if len(held) > HELD:
+                        yield _counts(held)
+                        held = {}
         yield _counts(held)
 
     some = labelled.select("text", "lang").filter("text is not null and lang is not null")
@@ -118,31 +132,49 @@ class Profile:
         share = (n + 0.5) / (n.sum(axis=0) + 0.5 * len(known)) if len(known) else n
         return cls(languages, known, np.floor(1000 * np.log(share)).astype(np.int64))
 
+    def __post_init__(self):
+        # code points of the n-grams get small numbers, so that three of them are a place in a table
+        parts = np.stack([self.keys >> (21 * n) & 0x1FFFFF for n in range(LONGEST)])
+        self.points = np.unique(parts[parts > 0])
+        self.table = None
+        width = len(self.points) + 1
+        if width**LONGEST <= CELLS:
+            small = np.where(parts > 0, np.searchsorted(self.points, parts) + 1, 0)
+            self.table = np.full(width**LONGEST, -1, np.int32)
+            self.table[(small[2] * width + small[1]) * width + small[0]] = np.arange(len(self.keys))
+            self.number = np.zeros(0x110000, np.int32)
+            self.number[self.points] = np.arange(1, width)
+
+    def _find(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which keys are n-grams of the profile, their places)."""
+        if self.table is None:
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            return (hit := self.keys[at] == key), at[hit]
+        width, at, odd = len(self.points) + 1, np.zeros(len(key), np.int64), np.zeros(len(key), bool)
+        for n in reversed(range(LONGEST)):
+            point = key >> (21 * n) & 0x1FFFFF
+            small = self.number[point]
+            odd |= (small == 0) & (point > 0)
+            at = at * width + small
+        found = self.table[at]
+        return (hit := (found >= 0) & ~odd), found[hit]
+
     def scores(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Score of each text (rows) by language (columns), and how many known n-grams each text has."""
         out, met = np.zeros((len(texts), len(self.languages)), np.int64), np.zeros(len(texts), np.int64)
         if not len(self.keys):
             return out, met
-        for text, key in grams(texts):
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            hit = self.keys[at] == key
-            text, at = text[hit], at[hit]
-            met += np.bincount(text, minlength=len(texts))
-            for k in range(len(self.languages)):
-                out[:, k] += np.bincount(text, self.weights[at, k], len(texts)).astype(np.int64)
+        for block in blocks(texts):
+            lo, hi = block.start, block.stop
+            for text, key in grams([texts[i] for i in block]):
+                hit, at = self._find(key)
+                text = text[hit]
+                met[lo:hi] += np.bincount(text, minlength=hi - lo)
+                for k in range(len(self.languages)):
+                    out[lo:hi, k] += np.bincount(text, self.weights[at, k], hi - lo).astype(np.int64)
         return out, met
 
     def best(self, texts: Sequence[str | None]) -> list[str | None]:
         """The language of the highest score (ties: the first in order); none without a known n-gram."""
         scores, met = self.scores(texts)
         return [self.languages[k] if n else None for k, n in zip(scores.argmax(axis=1), met)] if self.languages else [None] * len(texts)
-
-
-def classify(text: Column, profile: Profile) -> Column:
-    """:meth:`Profile.best` of a column, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def work(texts: pd.Series) -> pd.Series:
-        return pd.Series(profile.best(texts.tolist()), dtype=object)
-
-    return work(text)

@@ -41,6 +41,17 @@ def test_profile_equals_plain_counting(spark):
     for k, text in enumerate(texts):
         own = [g for g in plain_grams(text) if g in known]
         assert met[k] == len(own) and scores[k].tolist() == [sum(weight(lang, g) for g in own) for lang in sorted(counts)]
+    ngrams.CELLS, kept = 0, ngrams.CELLS
+    try:  # searched instead of looked up in a table
+        searched = ngrams.Profile.of(table)
+        assert searched.table is None and all((x == y).all() for x, y in zip(searched.scores(texts * 9), profile.scores(texts * 9)))
+    finally:
+        ngrams.CELLS = kept
+    ngrams.BLOCK, kept = 10, ngrams.BLOCK
+    try:
+        assert (profile.scores(texts)[0] == scores).all() and profile.scores(texts)[1].tolist() == met.tolist()
+    finally:
+        ngrams.BLOCK = kept
     assert profile.best(texts)[:4] == ["aa", "bb", None, None] and profile.best(texts)[5] == "cc"
     assert all(ngrams.spelled(ngrams.key_of(g)) == g for g in known)
 
