@@ -346,6 +346,19 @@ def test_prose_of_code(spark):
     assert tagged == "你  好\nx"
 
 
+def test_structured_values():
+    def spans(text, suffix):
+        return [(a, text[a:b]) for a, b, _ in parsers.structured(text, suffix)]
+
+    text = '{"a b": "a b", "k": ["a b", "c/d", "id_1", "x \\"q\\" y"], "z": {"t": "a b c"}}'
+    assert spans(text, ".json") == [(9, "a b"), (22, "a b"), (69, "a b c")]  # a value with escapes can't be located
+    assert spans('t = "标 题"\n[a]\nu = \'标 题\'\n"标 题" = 1\n', ".toml") == [(5, "标 题"), (19, "标 题")]
+    assert spans("标 题: 标 题\nl:\n- 标 题\n- '标 题'\nn: {k: \"e f\"}\n", ".yaml") == [(21, "标 题"), (5, "标 题"), (14, "标 题"), (34, "e f")]  # quoted forms are looked for first
+    assert spans("{", ".json") == [] and spans("[a", ".toml") == [] and spans("- aa aa aa", ".yml") == [(2, "aa aa aa")]
+    long = '{"t": "' + "长 文 " * 50_000 + '"}'
+    assert len(parsers.structured(long, ".json")) == 1 and len(parsers.structured("[" + ",".join(['"a b"'] * 30_000) + "]", ".json")) == 30_000
+
+
 def test_code_lexer():
     def spans(text, suffix=".tsx"):
         return [(text[f.start : f.end], f.kind) for f in parsers.code(text, suffix) if f.translatable]
