@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from lexloom.llm import wordhash
+
 #: Bytes of the batches that Spark hands to Python workers (its own default is 64 MB, several times over in each worker).
 ARROW_BYTES = 4 << 20
 #: Texts are handed to numpy in blocks of about this many characters.
@@ -79,6 +81,7 @@ def released(run: Callable[[Iterator], Iterator], owner: str | None = None) -> C
             if name != owner:
                 held.clear()
         yield from run(batches)
+        wordhash.forget()
         gc.collect()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

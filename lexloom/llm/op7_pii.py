@@ -38,6 +38,8 @@ from lexloom.llm.common import released, staged
 
 KINDS = ("email", "ip", "card", "phone", "term")
 WINDOW, SUPPORT, DISCLOSURE = 6, 2, 0.9
+#: Words whose hashes a task remembers, and counts that it holds, before it begins anew.
+REMEMBERED = 100_000
 BITMAP = 1 << 24
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -163,7 +165,7 @@ class _Known:
     def __call__(self, word: str) -> int | None:
         h = self.held.get(word, 0)
         if h == 0:
-            if len(self.held) > 300_000:
+            if len(self.held) > REMEMBERED:
                 self.held.clear()
             h = _hash(word)
             c = h % BITMAP
@@ -192,7 +194,7 @@ def disclosing(docs: DataFrame, found: DataFrame, total: int) -> DataFrame:
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 held.update(h for h in map(known, set(_WORD.findall((text or "").lower()))) if h is not None)
-            if len(held) > 300_000:
+            if len(held) > REMEMBERED:
                 yield flush()
                 held = Counter()
         if held:

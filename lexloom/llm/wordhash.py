@@ -30,6 +30,11 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def forget() -> None:
+    """Drops what is kept for the next block of texts; it is made anew in milliseconds."""
+    _powers.clear()
+
+
 def _power(base: int, n: int) -> np.ndarray:
     held = _powers.get(base)
     if held is None or len(held) < n:
