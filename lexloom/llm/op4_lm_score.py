@@ -30,10 +30,11 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, staged
+from lexloom.llm.common import blocks, released, staged
 from lexloom.llm.wordhash import mix, words
 
 ORDER, SHARE, PROBES = 2, 0.5, 4
@@ -82,18 +83,28 @@ def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _chunks(batches):
-    """Rows of about ``CHUNK_CHARS`` characters, packed."""
+    """Rows of about ``CHUNK_CHARS`` characters, packed; rows of several batches stand in one chunk, as batches are smaller."""
+    held, size = [], 0
     for batch in batches:
         batch = batch.select(["doc_id", "text"])
-        texts = batch.column("text").to_pylist()
-        out = []
-        for lo, hi in blocks([t or "" for t in texts], CHUNK_CHARS):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_batch(batch.slice(lo, hi - lo))
-            out.append(sink.getvalue().to_pybytes())
-        for body in out:
-            yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], names=["body"])
+        for lo, hi in blocks([t or "" for t in batch.column("text").to_pylist()], CHUNK_CHARS):
+            part = batch.slice(lo, hi - lo)
+            n = pc.sum(pc.utf8_length(part.column("text"))).as_py() or 0
+            if held and size + n > CHUNK_CHARS:
+                yield _packed(held)
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield _packed(held)
+
+
+def _packed(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for part in parts:
+            writer.write_batch(part)
+    return pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["body"])
 
 
 def _unpack(body: bytes) -> tuple[list, list[str]]:
@@ -332,13 +343,13 @@ def shape(tokens_: int) -> tuple[int, int]:
 
 def packed_grams(chunks: DataFrame, n_buckets: int) -> DataFrame:
     """Packed n-grams of all chunks, each bucket whole in one task."""
-    packed = chunks.mapInArrow(_train(n_buckets), "bucket long, chunk long, grams binary, at binary, n binary")
+    packed = chunks.mapInArrow(released(_train(n_buckets)), "bucket long, chunk long, grams binary, at binary, n binary")
     return packed.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def chunked(rows: DataFrame) -> DataFrame:
     """``rows`` in numbered chunks, written down so that the numbers stay."""
-    return staged(rows.mapInArrow(_chunks, "body binary").select(F.monotonically_increasing_id().alias("chunk"), "body"), "lm-chunks")
+    return staged(rows.mapInArrow(released(_chunks), "body binary").select(F.monotonically_increasing_id().alias("chunk"), "body"), "lm-chunks")
 
 
 def build_filter(rows: DataFrame, tokens_: int) -> tuple[np.ndarray, int]:
@@ -393,7 +404,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    counted = staged(rows.mapInArrow(_count_tokens, "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
+    counted = staged(rows.mapInArrow(released(_count_tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counted.filter(F.octet_length("token") <= FREQUENT_BYTES)
     top = short.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -439,10 +450,10 @@ def score_documents(docs: DataFrame) -> DataFrame:
                 )
 
     chunks = chunked(rows)
-    answers = packed_grams(chunks, n_buckets).mapInArrow(_answer(n_buckets, n_blocks), "chunk long, bucket long, body binary")
+    answers = packed_grams(chunks, n_buckets).mapInArrow(released(_answer(n_buckets, n_blocks)), "chunk long, bucket long, body binary")
     both = answers.unionByName(chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "body"))
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    first = staged(met.mapInArrow(score, SCHEMA).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    first = staged(met.mapInArrow(released(score), SCHEMA).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
     rare = first.select("row", F.inline("rest"))
     joined = rare.join(counted.withColumnRenamed("n", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = joined.groupBy("row").agg(
