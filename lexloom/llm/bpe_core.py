@@ -161,6 +161,8 @@ class Machine:
         if found is None:
             raise ValueError(f"no token covers symbol {symbol}")
         token, delta = found
+        if not -32 <= delta < 32 or token >= 1 << 18:
+            raise ValueError(f"a change of {delta} tokens to {token} does not fit its place")
         chain = tuple((n, t, c - delta) for n, t, c in rest) + ((0, token, 0),)
         return self._intern(chain) << 24 | token << 6 | delta + 32
 
