@@ -10,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions import text as T
 from lexloom.operators import scan, verify
 from lexloom.operators.translate import Http, Pace
 
