@@ -19,6 +19,7 @@ an empty one.
 from __future__ import annotations
 
 import json
+import struct
 
 import numpy as np
 
@@ -29,6 +30,8 @@ LANES = 1 << 17
 _SLOTS = 1 << 20
 #: Symbols of a piece of a long word, and of those before it that tell its entry state.
 PIECE, WARM = 512, 48
+#: A suffix of a state's chain: node, last token before it, how many tokens fewer.
+_SUFFIX = struct.Struct("<iih")
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _SHIFT = np.uint64(64 - 20)
 
@@ -87,7 +90,7 @@ class Vocabulary:
                     self.token.append(-1)
                 node = step
             self.token[node] = i
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
 
     def merge(self, symbols: tuple[int, ...]) -> list[int]:
         """Plain merging by rank, for pair tests only."""
@@ -101,13 +104,14 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether ``right`` stays whole beside ``left`` (-1: the word's start)."""
-        known = self._pairs.get((left, right))
+        pair = left + 1 << 32 | right
+        known = self._pairs.get(pair)
         if known is None:
             if len(self._pairs) > 400_000:
                 self._pairs.clear()
             whole = [left, right] if left >= 0 else [right]
             known = self.merge((self.symbols[left] if left >= 0 else ()) + self.symbols[right]) == whole
-            self._pairs[left, right] = known
+            self._pairs[pair] = known
         return known
 
 
@@ -129,7 +133,7 @@ class Machine:
         self.keys = np.full(_SLOTS, -1, np.int64)
         self.values = np.zeros(_SLOTS, np.int64)
         self.filled, self.single = 0, {}
-        self.states: list[tuple] = [((0, -1, 0),)]
+        self.states: list[bytes] = [_SUFFIX.pack(0, -1, 0)]
         self.ids = {self.states[0]: 0}
         if held:
             number = np.zeros(max(old[c] for c in held) + 1, np.int64)
@@ -138,7 +142,7 @@ class Machine:
             for array in live:
                 array[:] = number[array]
 
-    def _intern(self, chain: tuple) -> int:
+    def _intern(self, chain: bytes) -> int:
         to = self.ids.get(chain)
         if to is None:
             to = self.ids[chain] = len(self.states)
@@ -149,7 +153,7 @@ class Machine:
         """next state << 24 | last token << 6 | change of the count + 32."""
         state, symbol = key >> 9, key & 511
         v, found, rest = self.vocabulary, None, []
-        for node, last, fewer in self.states[state]:
+        for node, last, fewer in _SUFFIX.iter_unpack(self.states[state]):
             step = v.edges[node].get(symbol)
             if step is None:
                 continue
@@ -163,7 +167,7 @@ class Machine:
         token, delta = found
         if not -32 <= delta < 32 or token >= 1 << 18:
             raise ValueError(f"a change of {delta} tokens to {token} does not fit its place")
-        chain = tuple((n, t, c - delta) for n, t, c in rest) + ((0, token, 0),)
+        chain = b"".join(_SUFFIX.pack(n, t, c - delta) for n, t, c in [*rest, (0, token, delta)])
         return self._intern(chain) << 24 | token << 6 | delta + 32
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:

@@ -22,7 +22,7 @@ BLOCK_BYTES = 1 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bounds the batches of whole texts by their bytes, where the session has left them at the default."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, None) in ("67108864b", "64m", "64MB"):
+    if spark.conf.get(key) in ("67108864b", "64m", "64MB"):  # with a default of its own, get() doesn't tell Spark's
         spark.conf.set(key, f"{ARROW_BYTES}b")
 
 

@@ -33,6 +33,8 @@ MAX_ROWS, MAX_FEATURES, MIN_DOCS = 12_000, 12_000 * 2_048, 4
 HEADS = (4, 6)
 GRADES, STEPS, RATE, DECAY = 3, 250, 0.1, 3e-4
 THRESHOLD = 0.5
+#: Characters of texts that are hashed at once.
+TEXT_BLOCK = 1 << 18
 #: Features that the fit works on at a time.
 STRETCH = 1 << 20
 SCHEMA = "doc_id long, p_toxic double, tail_prob double, expected_grade double, keep boolean"
@@ -149,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def emit(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, TEXT_BLOCK):
                 column, counts = features(texts[lo:hi])
                 parts = [p.tobytes() for p in np.split(column, np.cumsum(counts)[:-1])]
                 kept = [batch.column(c).slice(lo, hi - lo) for c in ("grade", "place")]
@@ -193,7 +195,7 @@ def select(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     def keep(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            kept = [tails(texts[lo:hi], *sent.value)[:, -1] >= threshold for lo, hi in blocks(texts)]
+            kept = [tails(texts[lo:hi], *sent.value)[:, -1] >= threshold for lo, hi in blocks(texts, TEXT_BLOCK)]
             if kept:
                 yield batch.filter(pa.array(np.concatenate(kept)))
 
