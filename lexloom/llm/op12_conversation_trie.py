@@ -12,8 +12,10 @@ so one group-by on prefixes sums saved tokens, leaves and children of every subt
 shuffle.  Texts never leave the scan: a turn travels as a 128-bit hash and a word count, a prefix as the combination of the
 hashes of its turns with their depths.  Equal hashes count as equal.
 
-Windows run over (conversation, part): rows are dealt by ranges of (conv_id, turn), so a conversation that holds a large share of all rows is
-many parts, whose sums are put before each other in a second small window.  Parents are joined for the heads of owned
+Rows are dealt by ranges of (conv_id, turn) once, so a conversation that holds a large share of all rows is many runs, one a part.  A
+turn's number follows from its place in the part; what is told of a conversation (what it takes, its length, where it owns) is a row a run, joined on
+(conversation, part), and windows run within runs.  Sums of earlier runs are put before later ones in a small window over those of several parts, two
+rows a part at most, which is broadcast.  Parents are joined for the heads of owned
 suffixes only, salted, as one node can be the parent of most.  Ids of conversations that end at a node travel in packs of joined
 text, and each node's digest is streamed, so that a node where most conversations end takes little memory.
 
@@ -38,7 +40,7 @@ SALTS = 32
 PACK = 8192
 WORDS = r"[^\x20\x09-\x0D]+"
 _NODE = ["depth", "k1", "k2"]
-_ENDS = "depth int, k1 long, k2 long, first long, ids string"
+_TURNS = "array<struct<depth:int,a:bigint,b:bigint,words:bigint>>"
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
 
@@ -55,97 +57,93 @@ def slim_turns(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(turns with their ``part`` and number ``k`` from 1, conversations with their size ``n``)."""
-    dealt = staged(turns.repartitionByRange("conv_id", "turn", "a", "b").withColumn("part", F.spark_partition_id()), "trie-dealt")
-    sizes = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("size"))
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.withColumn("earlier", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy("turn", "a", "b"))
-    rows = dealt.withColumn("k", within).join(parts, ["conv_id", "part"])
-    out = staged(rows.select("conv_id", "part", (F.col("earlier") + F.col("k")).cast("int").alias("k"), "a", "b", "words"), "trie-turns")
-    convs = staged(out.groupBy("conv_id").agg(F.count("*").alias("n")), "trie-sizes")
-    discard(dealt)
-    return out, convs
+def dealt(turns: DataFrame) -> DataFrame:
+    """``turns`` in their order by ranges, with ``part`` and their place ``at`` in it."""
+    ranged = turns.repartitionByRange("conv_id", "turn", "a", "b").sortWithinPartitions("conv_id", "turn", "a", "b")
+    place = F.monotonically_increasing_id()  # the partition above 33 bits of places
+    return staged(ranged.select("conv_id", F.shiftright(place, 33).cast("int").alias("part"), place.alias("at"), "a", "b", "words"), "trie-dealt")
 
 
-def rebuilt(conversations: DataFrame, together: int = 20, shared: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(turns, conversations) after each conversation c takes the first h turns of conversation c - c % ``together`` in place of its own
-    first h; h is the crc32 of its decimal id modulo ``shared``.
+def runs(turns: DataFrame, together: int = 20, shared: int = 4) -> DataFrame:
+    """A row for each run (rows of a conversation in a part): conv_id, part, its first place ``start``, ``earlier`` (own turns in earlier
+    parts), h, taken, ``len`` and whether the conversation has other runs (``parts``); with the first run the root and the turns that are taken (``heads``).
 
-    Turns: conv_id, part, depth, a, b, words.  Conversations: conv_id, len (0 for those left without turns).
+    Each conversation c takes the first h turns of conversation c - c % ``together`` in place of its own first h; h is the crc32 of its
+    decimal id modulo ``shared``.
     """
-    turns, sizes = _numbered(slim_turns(conversations))
+    base = (F.col("conv_id") - F.col("conv_id") % together).alias("base")
+    own = turns.groupBy(base, "conv_id", "part").agg(F.min("at").alias("start"), F.count("*").alias("size"))
+    place = F.row_number().over(Window.partitionBy("base").orderBy("at"))
+    some = turns.filter(F.col("conv_id") % together == 0).select(F.col("conv_id").alias("base"), "at", "a", "b", "words").withColumn("depth", place).filter(F.col("depth") < shared)
+    first = some.groupBy("base").agg(F.sort_array(F.collect_list(F.struct("depth", "a", "b", "words"))).alias("first"))
+    whole = Window.partitionBy("base", "conv_id")  # dealt by base already
+    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % shared).cast("int")
-    asked = sizes.withColumns({"h": h, "base": F.col("conv_id") - F.col("conv_id") % together})
-    bases = sizes.select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
-    taken = F.least("h", F.coalesce("n_base", F.lit(0))).cast("int")
-    convs = staged(asked.join(bases, "base", "left").withColumn("taken", taken).drop("n_base"), "trie-conversations")
-    first = turns.filter(F.col("k") < shared).select(F.col("conv_id").alias("base"), "k", "a", "b", "words")
-    heads = convs.select("conv_id", "base", "taken").join(first, "base").filter("k <= taken")
-    heads = heads.select("conv_id", F.lit(-1).alias("part"), F.col("k").alias("depth"), "a", "b", "words")
-    # h follows from the id, and what was taken is told once a part
-    parts = turns.select("conv_id", "part").distinct().join(convs.select("conv_id", "h", "taken"), "conv_id")
-    own = turns.join(parts, ["conv_id", "part"]).filter("k > h").select("conv_id", "part", (F.col("k") - F.col("h") + F.col("taken")).alias("depth"), "a", "b", "words")
-    lengths = convs.select("conv_id", (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).cast("int").alias("len"))
-    return staged(heads.unionByName(own), "trie-rebuilt"), lengths
-
-
-def occurrences(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a row for each conversation and depth from 0, a row for each conversation and part with ``len`` and ``total`` words).
-
-    ``k1``, ``k2`` are the prefix, ``p1``, ``p2`` its parent, ``before`` the words of the turns before the depth.
+    told = own.join(first, "base", "left").withColumns({
+        "earlier": F.coalesce(F.sum("size").over(earlier), F.lit(0)), "n": F.sum("size").over(whole), "parts": F.count("*").over(whole), "h": h,
+    }).withColumn("taken", F.least("h", F.coalesce(F.array_size("first"), F.lit(0))))
+    root = F.array(F.struct(F.lit(0).alias("depth"), *[F.lit(0).cast("long").alias(c) for c in ("a", "b", "words")]))
+    heads = F.concat(root, F.coalesce(F.slice("first", F.lit(1), F.col("taken")), F.array().cast(_TURNS)))
+    length = (F.col("taken") + F.greatest(F.col("n") - F.col("h"), F.lit(0))).cast("int").alias("len")
+    return told.select("conv_id", "part", "start", "earlier", "h", "taken", length, (F.col("parts") > 1).alias("parts"), F.when(F.col("earlier") == 0, heads).alias("heads"))
+
+
+def occurrences(turns: DataFrame, told: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """A row for each rebuilt conversation and depth from 0, and the staged tables that it reads.
+
+    ``k1``, ``k2`` are the prefix, ``p1``, ``p2`` its parent, ``before`` the words of the turns before the depth, ``words`` those of the turn at it;
+    ``last`` ends a run.
     """
-    x = turns.withColumns({"x1": _hash(3, "depth", "a", "b"), "x2": _hash(4, "depth", "a", "b")})
-    sums = {"x1": F.bit_xor("x1"), "x2": F.bit_xor("x2"), "words": F.sum("words")}
-    parts = x.groupBy("conv_id", "part").agg(*[f.alias(f"all_{n}") for n, f in sums.items()])
-    whole = Window.partitionBy("conv_id")
-    earlier = whole.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = {f"before_{n}": F.coalesce((F.sum if n == "words" else F.bit_xor)(f"all_{n}").over(earlier), F.lit(0)) for n in sums}
-    parts = parts.withColumns(moved | {"total": F.sum("all_words").over(whole)})
-    # a conversation without turns has its root alone
-    root = convs.select("conv_id", F.lit(-2).alias("part"))
-    totals = parts.groupBy("conv_id").agg(F.max("total").alias("total"))
-    told = convs.join(totals, "conv_id", "left").withColumn("total", F.coalesce("total", F.lit(0)))
-    every = parts.select("conv_id", "part").unionByName(root).join(told, "conv_id")
-    upto = Window.partitionBy("conv_id", "part").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
-    local = x.withColumns({f"sum_{n}": f.over(upto) for n, f in sums.items()})
-    rows = local.join(parts.select("conv_id", "part", *moved), ["conv_id", "part"])
-    key = lambda n: F.col(f"before_x{n}").bitwiseXOR(F.col(f"sum_x{n}"))
-    rows = rows.select(
-        "conv_id", "part", "depth", key(1).alias("k1"), key(2).alias("k2"), key(1).bitwiseXOR(F.col("x1")).alias("p1"), key(2).bitwiseXOR(F.col("x2")).alias("p2"),
-        (F.col("before_words") + F.col("sum_words") - F.col("words")).alias("before"),
-    )
-    zero = F.lit(0).cast("long")
-    roots = root.select("conv_id", "part", F.lit(0).alias("depth"), *[zero.alias(c) for c in ("k1", "k2", "p1", "p2", "before")])
-    return staged(rows.unionByName(roots), "trie-occurrences"), staged(every, "trie-parts")
+    number = F.col("at") - F.col("start") + 1 + F.col("earlier")
+    own = F.struct((number - F.col("h") + F.col("taken")).cast("int").alias("depth"), "a", "b", "words")
+    none = F.array().cast(_TURNS)
+    every = F.concat(F.coalesce(F.when(number == 1, F.col("heads")), none), F.when(number > F.col("h"), F.array(own)).otherwise(none))
+    rebuilt = turns.join(told, ["conv_id", "part"]).select("conv_id", "part", "len", "parts", F.inline(every))
+    x = rebuilt.withColumns({f"x{n}": F.when(F.col("depth") > 0, _hash(2 + n, "depth", "a", "b")).otherwise(F.lit(0)) for n in (1, 2)})
+    order = Window.partitionBy("conv_id", "part").orderBy("depth")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"k1": F.bit_xor("x1").over(upto), "k2": F.bit_xor("x2").over(upto), "before": F.sum("words").over(upto) - F.col("words"), "last": F.lead("depth").over(order).isNull()}
+    key = [F.col(f"k{n}").bitwiseXOR(F.col(f"x{n}")).alias(f"p{n}") for n in (1, 2)]
+    rows = staged(x.withColumns(sums).select("conv_id", "part", "depth", "len", "k1", "k2", *key, "before", "words", "last", "parts"), "trie-rows")
+    # what earlier runs of the same conversation add: two rows a part at most, as only its first and last conversation have other parts
+    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    added = {"c1": F.bit_xor("k1"), "c2": F.bit_xor("k2"), "more": F.sum(F.col("before") + F.col("words"))}
+    ends_of = rows.filter("parts and last").repartition(1)
+    carried = staged(ends_of.select("conv_id", "part", *[F.coalesce(f.over(earlier), F.lit(0)).alias(n) for n, f in added.items()]), "trie-carried")
+    met = rows.join(F.broadcast(carried), ["conv_id", "part"], "left")
+    moved = [F.col(f"{c}{n}").bitwiseXOR(F.coalesce(f"c{n}", F.lit(0))).alias(f"{c}{n}") for c in "kp" for n in (1, 2)]
+    return met.select("conv_id", "part", "depth", "len", *moved, (F.col("before") + F.coalesce("more", F.lit(0))).alias("before"), "words", "last"), [rows, carried]
 
 
 def owners(met: DataFrame) -> DataFrame:
-    """conv_id, ``o`` (the depth from which it owns its path), ``before_o``, and ``leaf`` (whether it owns its end, and that is childless)."""
+    """For each run ``o`` (the depth from which its conversation owns its path, null where it owns nothing), ``before_o``, and ``leaf``
+    (whether it owns its end, and that is childless)."""
     nodes = met.groupBy(*_NODE).agg(F.min("conv_id").alias("conv_id"), F.max("before").alias("before"), F.max("len").alias("longest"))
-    own = nodes.groupBy("conv_id").agg(F.min(F.struct("depth", "before")).alias("head"), F.max((F.col("longest") == F.col("depth")).cast("long")).alias("leaf"))
-    return own.select("conv_id", F.col("head.depth").alias("o"), F.col("head.before").alias("before_o"), "leaf")
+    owned = nodes.select("conv_id", F.struct("depth", "before").alias("head"), (F.col("longest") == F.col("depth")).cast("long").alias("leaf"))
+    totals = met.filter("depth = len").select("conv_id", (F.col("before") + F.col("words")).alias("total"))
+    every = owned.unionByName(totals, True).unionByName(met.filter("last").select("conv_id", "part"), True)
+    own = every.groupBy("conv_id").agg(F.min("head").alias("head"), F.max("leaf").alias("leaf"), F.max("total").alias("total"), F.collect_list("part").alias("parts"))
+    before = F.coalesce("head.before", "total").alias("before_o")
+    return own.select("conv_id", F.explode("parts").alias("part"), F.col("head.depth").alias("o"), before, F.coalesce("leaf", F.lit(0)).alias("leaf"))
 
 
-def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
+def trie(turns: DataFrame, told: DataFrame) -> DataFrame:
     """All nodes: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
-    rows, parts = occurrences(turns, convs)
-    met = rows.join(parts.select("conv_id", "part", "len"), ["conv_id", "part"])
-    own = owners(met)
-    told = parts.join(own, "conv_id", "left").withColumns({
-        "o": F.coalesce("o", F.col("len") + 1), "before_o": F.coalesce("before_o", "total"), "leaf": F.coalesce("leaf", F.lit(0)),
-    }).drop("total")
+    met, read = occurrences(turns, told)
     deeper = F.col("depth") + 1
-    nodes = rows.join(told, ["conv_id", "part"]).groupBy(*_NODE).agg(
-        F.min(F.struct("conv_id", "o", "len")).alias("owner"), F.count("*").alias("n_convs"), F.max("p1").alias("p1"), F.max("p2").alias("p2"),
-        F.sum(deeper.between(F.col("o"), F.col("len")).cast("long")).alias("n_children"), F.sum("leaf").alias("n_leaves"),
-        F.sum(F.greatest(F.col("before_o") - F.col("before"), F.lit(0))).alias("saved_tokens"),
+    members = met.join(owners(met), ["conv_id", "part"]).withColumn("o", F.coalesce("o", F.col("len") + 1)).select(
+        *_NODE, "p1", "p2", "leaf", F.struct("conv_id", "o", "len").alias("owner"), deeper.between(F.col("o"), F.col("len")).cast("long").alias("child"),
+        F.greatest(F.col("before_o") - F.col("before"), F.lit(0)).alias("saved"),
+    )
+    # digests of ends come to their nodes in the same group-by
+    nodes = members.unionByName(ends(met), True).groupBy(*_NODE).agg(
+        F.min("owner").alias("owner"), F.count("owner").alias("n_convs"), F.max("p1").alias("p1"), F.max("p2").alias("p2"),
+        F.sum("child").alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum("saved").alias("saved_tokens"), F.max("ends_sha256").alias("ends_sha256"),
     )
     nodes = staged(nodes.select("*", "owner.*").drop("owner"), "trie-nodes")
-    out = _with_parents(nodes).join(ends(met), _NODE, "left")
+    discard(turns, *read)
     digest = F.coalesce("ends_sha256", F.lit(_EMPTY)).alias("ends_sha256")
-    return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
+    return _with_parents(nodes).select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", digest)
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:
@@ -162,18 +160,10 @@ def _with_parents(nodes: DataFrame) -> DataFrame:
 
 def ends(met: DataFrame) -> DataFrame:
     """ends_sha256 of each node at which conversations end."""
-    last = met.filter("depth = len").select(*_NODE, "conv_id")
-
-    def pack(batches):
-        for batch in batches:
-            out, now = [], None
-            for *key, conv_id in zip(*(batch.column(c).to_pylist() for c in (*_NODE, "conv_id"))):
-                if now is None or key != now[0] or len(now[1]) == PACK:
-                    now = (key, [])
-                    out.append(now)
-                now[1].append(conv_id)
-            rows = [(*key, ids[0], ",".join(map(str, ids))) for key, ids in out]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 5, (pa.int32(), *[pa.int64()] * 3, pa.string()))], names=["depth", "k1", "k2", "first", "ids"])
+    # parts are in the order of ids, so packs of later parts follow
+    ids = met.filter("depth = len").groupBy(*_NODE, "part").agg(F.sort_array(F.collect_list("conv_id")).alias("ids"))
+    packs = F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(PACK)), lambda at: F.slice("ids", at, F.lit(PACK)))
+    packed = ids.select(*_NODE, F.explode(packs).alias("pack")).select(*_NODE, F.col("pack")[0].alias("first"), F.array_join(F.col("pack").cast("array<string>"), ",").alias("ids"))
 
     def digest(batches):
         key = sha = None
@@ -191,7 +181,6 @@ def ends(met: DataFrame) -> DataFrame:
         if key is not None:
             yield _digests([(*key, sha.hexdigest())])
 
-    packed = last.repartitionByRange(*_NODE, "conv_id").sortWithinPartitions(*_NODE, "conv_id").mapInArrow(pack, _ENDS)
     return packed.repartition(*_NODE).sortWithinPartitions(*_NODE, "first").mapInArrow(digest, "depth int, k1 long, k2 long, ends_sha256 string")
 
 
@@ -202,7 +191,8 @@ def _digests(rows: list[tuple]) -> pa.RecordBatch:
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of the rebuilt conversations."""
-    return trie(*rebuilt(conversations))
+    turns = dealt(slim_turns(conversations))
+    return trie(turns, runs(turns))
 
 
 #: The same rows by prefixes as strings and by pairs of each node with those below it.

@@ -97,3 +97,21 @@ def test_whole_table_against_sql(spark, sf_dir):
     c.execute(f"create view conversations as select * from '{sf_dir}/conversations.parquet'")
     want = c.execute(f"SELECT {', '.join(NAMES)} FROM ({op.SQL})").fetchall()
     assert found(op12_conversation_trie_query(spark, sf_dir)) == sorted(want, key=repr)
+
+
+def test_shuffles_are_few(spark):
+    """Each shuffle is a task a partition, which small conversations over many partitions can't pay for again and again."""
+    tracker, partitions = spark.sparkContext.statusTracker(), 23
+    for key, value in (("spark.sql.adaptive.coalescePartitions.enabled", "false"), ("spark.sql.shuffle.partitions", str(partitions))):
+        spark.conf.set(key, value)
+    spark.sparkContext.setJobGroup("few-shuffles", "op12")
+    try:
+        rows = made(7)
+        assert found(op.conversation_trie(spark.createDataFrame(rows, DDL))) == brute(rows)
+        stages = {s for job in tracker.getJobIdsForGroup("few-shuffles") for s in tracker.getJobInfo(job).stageIds}
+        done = [info.numCompletedTasks for s in stages if (info := tracker.getStageInfo(s))]
+        assert 0 < sum(done) <= 16 * partitions, sorted(done)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
