@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import os
@@ -43,12 +44,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder or f"/tmp/lexloom-shared-{os.getuid()}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write a table into the shared folder and read it back, so its lineage ends there."""
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Spark removes the shuffle files of what runs in it at its end, not when the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
+def staged(df: DataFrame, label: str, drop_shuffles: bool = False) -> DataFrame:
+    """Write a table into the shared folder and read it back, so its lineage ends there; with ``drop_shuffles`` its shuffle files go at once."""
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_dropped(spark) if drop_shuffles else contextlib.nullcontext():
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out

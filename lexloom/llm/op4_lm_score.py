@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import blocks, released, staged
+from lexloom.llm.common import blocks, discard, released, staged
 from lexloom.llm.wordhash import mix, words
 
 ORDER, SHARE, PROBES = 2, 0.5, 4
@@ -404,7 +404,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text")
-    counted = staged(rows.mapInArrow(released(_count_tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens")
+    counted = staged(rows.mapInArrow(released(_count_tokens), "token binary, n long").groupBy("token").agg(F.sum("n").alias("n")), "lm-tokens", drop_shuffles=True)
     total, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     short = counted.filter(F.octet_length("token") <= FREQUENT_BYTES)
     top = short.orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
@@ -453,7 +453,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     answers = packed_grams(chunks, n_buckets).mapInArrow(released(_answer(n_buckets, n_blocks)), "chunk long, bucket long, body binary")
     both = answers.unionByName(chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "body"))
     met = both.repartition("chunk").sortWithinPartitions("chunk", "bucket")
-    first = staged(met.mapInArrow(released(score), SCHEMA).withColumn("row", F.monotonically_increasing_id()), "lm-scores")
+    first = staged(met.mapInArrow(released(score), SCHEMA).withColumn("row", F.monotonically_increasing_id()), "lm-scores", drop_shuffles=True)
+    discard(chunks)
     rare = first.select("row", F.inline("rest"))
     joined = rare.join(counted.withColumnRenamed("n", "c"), "token", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     more = joined.groupBy("row").agg(

@@ -1,6 +1,8 @@
 import math
+import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -102,3 +104,28 @@ def test_scores_use_single_counts_and_a_filter_that_grows(spark):
 def test_probe_of_a_full_filter_ends():
     full = np.full(op.BLOCK_BITS // 8, 255, np.uint8)
     assert op.probe(full, np.zeros(2, np.int64), np.array([5, 0], np.uint64), 3).tolist() == [3, -1]
+
+
+def test_disk_is_freed_before_the_result_is_read(spark):
+    def held():
+        """Bytes of shuffle files by name."""
+        files, out = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator(), {}
+        while files.hasNext():
+            file = files.next()
+            if file.getName().startswith("shuffle_") and file.getName().endswith(".data"):
+                out[file.getName()] = file.length()
+        return out
+
+    folder = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    before, chunks = set(held()), set(folder.glob("lm-chunks-*"))
+    more = lambda: sum(size for name, size in held().items() if name not in before)
+    rows = [(i, f"one two {i} three {i}x") for i in range(1000)]
+    scored = op.score_documents(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert set(folder.glob("lm-chunks-*")) <= chunks
+    # files go in the background; rows of the few totals may stay
+    until = time.monotonic() + 10
+    while more() > 4096 and time.monotonic() < until:
+        time.sleep(0.2)
+    assert more() <= 4096
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None  # as it was
+    assert scored.count() == 1000
